@@ -107,7 +107,11 @@ EPSILON, KAPPA = 216.0 / 24389.0, 24389.0 / 27.0
 
 
 def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    lin = [to_linear(c / 255.0) for c in (r, g, b)]
+    return linear_to_lab(*[to_linear(c / 255.0) for c in (r, g, b)])
+
+
+def linear_to_lab(*lin: Column) -> tuple[Column, Column, Column]:
+    """Lab from linear light; give it plain columns where the plan goes on, since each is used often."""
     t = [sum((lin[i] * k for i, k in enumerate(row)), F.lit(0.0)) / w for row, w in zip(TO_XYZ, WHITE, strict=True)]
     fx, fy, fz = (F.when(v > EPSILON, F.pow(F.greatest(v, F.lit(0.0)), F.lit(1.0 / 3.0))).otherwise((v * KAPPA + 16.0) / 116.0) for v in t)
     return fy * 116.0 - 16.0, (fx - fy) * 500.0, (fy - fz) * 200.0
@@ -116,7 +120,7 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
 def lab_to_rgb(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
     fy = (light + 16.0) / 116.0
     fx, fz = a / 500.0 + fy, fy - b / 200.0
-    cube = lambda f: F.when(f * f * f > EPSILON, f * f * f).otherwise((f * 116.0 - 16.0) / KAPPA)
+    cube = lambda f: F.when(f > EPSILON ** (1 / 3), f * f * f).otherwise((f * 116.0 - 16.0) / KAPPA)
     y = F.when(light > KAPPA * EPSILON, fy * fy * fy).otherwise(light / KAPPA)
     xyz = [cube(fx) * WHITE[0], y * WHITE[1], cube(fz) * WHITE[2]]
     return tuple(u8_round(clamp(from_linear(sum((xyz[i] * k for i, k in enumerate(row)), F.lit(0.0))), 0.0, 1.0) * 255.0) for row in FROM_XYZ)

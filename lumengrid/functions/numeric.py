@@ -22,7 +22,7 @@ def clamp(x: Column, low, high) -> Column:
 
 def u8(x: Column) -> Column:
     """Truncated to a whole number and saturated; NaN becomes 0."""
-    return F.when(F.isnan(x.cast("double")), 0).otherwise(clamp(x.cast("double"), 0.0, 255.0)).cast("int")
+    return clamp(F.nanvl(x.cast("double"), F.lit(0.0)), 0.0, 255.0).cast("int")
 
 
 def u8_round(x: Column) -> Column:

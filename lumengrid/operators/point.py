@@ -168,12 +168,13 @@ def photo_filter(pixels: DataFrame, rgb: tuple[int, int, int], density: float) -
     """Hue and saturation of a colour at the pixel's own lightness, mixed in linear light; half the saturation where a channel clips."""
     d = min(max(density, 0.0), 1.0)
     h, s, _ = color.rgb_to_hsl(*(F.lit(float(v)) for v in rgb))
-    light = color.rgb_to_hsl(R, G, B)[2]
-    full, half = color.hsl_to_rgb(h, s, light), color.hsl_to_rgb(h, s * 0.5, light)
-    clips = F.least(*full).eqNullSafe(F.lit(0)) | F.greatest(*full).eqNullSafe(F.lit(255))
-    tint = [F.when(clips, b).otherwise(a) for a, b in zip(full, half, strict=True)]
-    mixed = {c: color.to_linear(F.col(c) / 255.0) * (1.0 - d) + color.to_linear(t / 255.0) * d for c, t in zip(RGB, tint, strict=True)}
-    return pixels.withColumns({c: u8_round(clamp(color.from_linear(m), 0.0, 1.0) * 255.0) for c, m in mixed.items()})
+    staged = pixels.withColumn("_l", color.rgb_to_hsl(R, G, B)[2])
+    for name, part in (("_f", s), ("_h", s * 0.5)):
+        staged = staged.withColumns({f"{name}{c}": v for c, v in zip(RGB, color.hsl_to_rgb(h, part, F.col("_l")), strict=True)})
+    clips = (F.least(*[F.col(f"_f{c}") for c in RGB]) == 0) | (F.greatest(*[F.col(f"_f{c}") for c in RGB]) == 255)
+    staged = staged.withColumns({f"_t{c}": F.when(clips, F.col(f"_h{c}")).otherwise(F.col(f"_f{c}")) for c in RGB})
+    staged = staged.withColumns({f"_m{c}": color.to_linear(F.col(c) / 255.0) * (1.0 - d) + color.to_linear(F.col(f"_t{c}") / 255.0) * d for c in RGB})
+    return staged.withColumns({c: u8_round(clamp(color.from_linear(F.col(f"_m{c}")), 0.0, 1.0) * 255.0) for c in RGB}).select(pixels.columns)
 
 
 def hash3(u: Column, v: Column, w: int) -> Column:

@@ -141,8 +141,9 @@ def auto_color(pixels: DataFrame, fraction: float = 0.005, low: float = 0.3, hig
     done = _levelled(pixels, fraction)
     m = [F.col(f"m_{c}") for c in RGB]
     lum = (m[0] * 0.2126 + m[1] * 0.7152 + m[2] * 0.0722) / 255.0
-    light, a, b = color.rgb_to_lab(*m)
-    lab = done.withColumns({"lum": lum, "lab_l": light, "lab_a": a, "lab_b": b})
+    lit = done.withColumns({f"lin_{c}": color.to_linear(v / 255.0) for c, v in zip(RGB, m, strict=True)})
+    light, a, b = color.linear_to_lab(*[F.col(f"lin_{c}") for c in RGB])
+    lab = lit.withColumns({"lum": lum, "lab_l": light, "lab_a": a, "lab_b": b})
     mid = (F.col("a") != 0) & F.col("lum").between(low, high) & (F.least(*m) > 0) & (F.greatest(*m) < 255)
     cast = lab.where(mid).groupBy("image_id").agg(F.avg("lab_a").alias("mean_a"), F.avg("lab_b").alias("mean_b"), F.count("*").alias("n")).where(F.col("n") >= least)
     w = F.greatest(F.least((F.col("lum") - low) / (high - low), F.lit(1.0)), F.lit(0.0))
