@@ -1,0 +1,5 @@
+"""Image and pixel analytics on Spark DataFrames."""
+
+from lumengrid.frame import ImageFrame, plugin
+
+__all__ = ["ImageFrame", "plugin"]

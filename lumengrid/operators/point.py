@@ -12,11 +12,9 @@ from lumengrid.functions.color import Gradient
 from lumengrid.functions.numeric import clamp, div32, f32, mul32, u8, u8_round
 from lumengrid.plans.views import RGB
 
-R, G, B = (F.col(c) for c in RGB)
-
 
 def _gray() -> Column:
-    return f32(R) * f32(0.299) + f32(G) * f32(0.587) + f32(B) * f32(0.114)
+    return f32(F.col("r")) * f32(0.299) + f32(F.col("g")) * f32(0.587) + f32(F.col("b")) * f32(0.114)
 
 
 def map_rgb(pixels: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
@@ -99,8 +97,7 @@ def posterize(pixels: DataFrame, levels: int) -> DataFrame:
 
 
 def gradient_map(pixels: DataFrame, gradient: Gradient) -> DataFrame:
-    time = (R * 0.299 + G * 0.587 + B * 0.114) / 255.0
-    at = gradient.color_at(time)
+    at = gradient.color_at(color.luminance(F.col("r"), F.col("g"), F.col("b")))
     return pixels.withColumns({c: at[c] for c in RGB})
 
 
@@ -168,7 +165,7 @@ def photo_filter(pixels: DataFrame, rgb: tuple[int, int, int], density: float) -
     """Hue and saturation of a colour at the pixel's own lightness, mixed in linear light; half the saturation where a channel clips."""
     d = min(max(density, 0.0), 1.0)
     h, s, _ = color.rgb_to_hsl(*(F.lit(float(v)) for v in rgb))
-    staged = pixels.withColumn("_l", color.rgb_to_hsl(R, G, B)[2])
+    staged = pixels.withColumn("_l", color.rgb_to_hsl(*[F.col(c) for c in RGB])[2])
     for name, part in (("_f", s), ("_h", s * 0.5)):
         staged = staged.withColumns({f"{name}{c}": v for c, v in zip(RGB, color.hsl_to_rgb(h, part, F.col("_l")), strict=True)})
     clips = (F.least(*[F.col(f"_f{c}") for c in RGB]) == 0) | (F.greatest(*[F.col(f"_f{c}") for c in RGB]) == 255)
@@ -199,6 +196,6 @@ def noise(pixels: DataFrame, amount: float, gaussian: bool = False) -> DataFrame
 
 def rotate_hue(pixels: DataFrame, degrees: float) -> DataFrame:
     """An extension: the hue turned by an angle."""
-    h, s, light = color.rgb_to_hsl(R, G, B)
+    h, s, light = color.rgb_to_hsl(*[F.col(c) for c in RGB])
     turned = (h + (degrees % 360.0)) % 360.0
     return pixels.withColumns(dict(zip(RGB, color.hsl_to_rgb(turned, s, light), strict=True)))
