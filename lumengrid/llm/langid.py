@@ -13,6 +13,7 @@ Repeated rows get equal results; columns other than the named ones are not read,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ ROWS_PER_LANGUAGE = 3000
 MIN_RATE = 1e-4
 MAX_LANGUAGES = 1024
 UNKNOWN = "und"
+#: Bytes of text that are hashed at once; the arrays of trigrams take up to a hundred times as much.
+SLICE = 1 << 19
+NO_LETTER = re.compile(r"[\W\d_]")
 
 _letters: list[np.ndarray] = []
 
@@ -55,6 +59,19 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (a << np.uint64(42)) ^ (b << np.uint64(21)) ^ c, offsets, np.diff(offsets) > 0
 
 
+def pieces(texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:
+    """Texts with long ones cut, and the first piece of each. Cuts fall on what is no letter, so no trigram is lost."""
+    out, first = [], []
+    for text in texts:
+        first.append(len(out))
+        at = 0
+        while text and len(text) - at > SLICE and (cut := NO_LETTER.search(text, at + SLICE)):
+            out.append(text[at : cut.start()])
+            at = cut.start()
+        out.append(text[at:] if at else text)
+    return out, np.array([*first, len(out)], np.int64)
+
+
 def slot(grams: np.ndarray, k: int) -> np.ndarray:
     h = (grams ^ (grams >> np.uint64(29))) * MULTIPLIERS[k]
     return (h ^ (h >> np.uint64(32))) * MULTIPLIERS[(k + 1) % SLICES] >> np.uint64(48)
@@ -72,23 +89,31 @@ class Filters:
         self.false_rate = np.minimum(fill.prod(axis=1), 0.99)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        grams, offsets, has = trigrams(texts)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        parts, first = pieces(texts)
+        counts = np.concatenate([self._counts(parts[i : i + 1]) for i in range(len(parts))] if len(parts) > len(texts) else [self._counts(parts)])
+        counts = sums(counts, first)
+        n, has = np.maximum(counts[:, -1], 1), counts[:, -1] > 0
+        share = np.maximum(counts[:, :-1] / n[:, None] - self.false_rate, 0) / (1 - self.false_rate)
+        best = share.argmax(axis=1)
+        total = share.sum(axis=1)
+        score = np.where(has, share.max(axis=1) / np.where(total > 0, total, 1), 0.0)
+        return [self.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], score
+
+    def _counts(self, texts: list[str | None]) -> np.ndarray:
+        """For each text, the trigrams that each language has, and all trigrams."""
+        grams, offsets, _ = trigrams(texts)
         at = [slot(grams, k) for k in range(SLICES)]
-        n = np.maximum(np.diff(offsets), 1)
-        share = np.zeros((len(texts), len(self.languages)))
+        out = np.zeros((len(texts), len(self.languages) + 1), np.int64)
+        out[:, -1] = np.diff(offsets)
         for w in range(self.masks.shape[1]):
             mask = self.masks[0, w][at[0]]
             for k in range(1, SLICES):
                 mask &= self.masks[k, w][at[k]]
             for i in range(64 * w, min(64 * w + 64, len(self.languages))):
-                hits = sums((mask >> np.uint64(i % 64) & np.uint64(1)).astype(np.int64), offsets)
-                share[:, i] = np.maximum(hits / n - self.false_rate[i], 0) / (1 - self.false_rate[i])
-        best = share.argmax(axis=1)
-        total = share.sum(axis=1)
-        score = np.where(has, share.max(axis=1) / np.where(total > 0, total, 1), 0.0)
-        return [self.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], score
+                out[:, i] = sums((mask >> np.uint64(i % 64) & np.uint64(1)).astype(np.int32), offsets)
+        return out
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Filters:
@@ -108,15 +133,16 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             own = np.array([index[x] for x in part.column("lang").to_pylist()], np.int64)
-            grams, offsets, _ = trigrams(part.column("text").to_pylist())
-            of = np.repeat(own, np.diff(offsets))
+            parts, first = pieces(part.column("text").to_pylist())
+            own = np.repeat(own, np.diff(first))
             for language in np.unique(own).tolist():
-                mine = grams[of == language]
-                for k in range(SLICES):
-                    got = held.setdefault((language, k), np.zeros(SLOTS, np.int64))
-                    got += np.bincount(slot(mine, k).astype(np.int64), minlength=SLOTS)
+                for text in [parts[i] for i in np.flatnonzero(own == language)]:
+                    mine = trigrams([text])[0]
+                    for k in range(SLICES):
+                        got = held.setdefault((language, k), np.zeros(SLOTS, np.int64))
+                        np.add.at(got, slot(mine, k).astype(np.int64), 1)
         for (language, k), got in held.items():
             at = np.flatnonzero(got)
             yield pa.record_batch([pa.array(np.full(len(at), language)), pa.array(np.full(len(at), k)), pa.array(at), pa.array(got[at])], ["language", "slice", "slot", "n"])
@@ -134,7 +160,7 @@ def annotate(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFra
     shared = df.sparkSession.sparkContext.broadcast(filters)  # bounded: slices x slots x languages / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, SLICE):
             names, score = shared.value.predict(part.column(text_col).to_pylist())
             yield pa.record_batch([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
