@@ -35,7 +35,7 @@ from lumengrid.llm.common import Recent, gather, slices, stored, table, texts_of
 CAPACITY = 2048
 #: Parts in which the rows of one length are ranked.
 SALTS = 64
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -114,7 +114,7 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, tokenizer_path: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern, tokenizer_path)
         final = np.array([end_id], "<u4")
-        for part in slices(batches, limit=8 << 20):
+        for part in slices(batches):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, ids in enumerate(own.encode_slice(texts_of(part.column("text")))):
                 ids = np.concatenate([ids, final])
