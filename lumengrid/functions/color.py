@@ -11,8 +11,10 @@ from lumengrid.functions.numeric import clamp, u8, u8_round
 
 # Colours by name as (r, g, b, a).
 NAMED = {
-    "transparent": (0, 0, 0, 0), "black": (0, 0, 0, 255), "red": (255, 0, 0, 255), "green": (0, 255, 0, 255), "blue": (0, 0, 255, 255),
-    "yellow": (255, 255, 0, 255), "white": (255, 255, 255, 255), "gray": (128, 128, 128, 255),
+    "transparent": (0, 0, 0, 0), "black": (0, 0, 0, 255), "red": (255, 0, 0, 255), "crimson": (220, 20, 60, 255), "ruby": (224, 17, 95, 255), "pink": (255, 192, 203, 255),
+    "magenta": (255, 0, 255, 255), "hot_pink": (255, 105, 180, 255), "green": (0, 255, 0, 255), "lime_green": (50, 205, 50, 255), "sea_green": (46, 139, 87, 255),
+    "forest_green": (34, 139, 34, 255), "blue": (0, 0, 255, 255), "royal_blue": (65, 105, 225, 255), "sky_blue": (135, 206, 235, 255), "navy_blue": (0, 0, 128, 255),
+    "yellow": (255, 255, 0, 255), "orange": (255, 127, 0, 255), "indigo": (75, 0, 130, 255), "violet": (148, 0, 211, 255), "white": (255, 255, 255, 255), "gray": (128, 128, 128, 255),
 }
 
 
@@ -126,6 +128,28 @@ def lab_to_rgb(light: Column, a: Column, b: Column) -> tuple[Column, Column, Col
     return tuple(u8_round(clamp(from_linear(sum((xyz[i] * k for i, k in enumerate(row)), F.lit(0.0))), 0.0, 1.0) * 255.0) for row in FROM_XYZ)
 
 
+def hsl_to_lab(h: Column, s: Column, light: Column) -> tuple[Column, Column, Column]:
+    """By way of whole RGB channels, as the other mixed conversions."""
+    return rgb_to_lab(*hsl_to_rgb(h, s, light))
+
+
+def hsv_to_lab(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    return rgb_to_lab(*hsv_to_rgb(h, s, v))
+
+
+def lab_to_hsl(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    return rgb_to_hsl(*lab_to_rgb(light, a, b))
+
+
+def lab_to_hsv(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    return rgb_to_hsv(*lab_to_rgb(light, a, b))
+
+
+def random_color(seed: int) -> tuple[Column, Column, Column]:
+    """Channels drawn anew for each row from a seed."""
+    return tuple(F.floor(F.rand(seed + k) * 256).cast("int") for k in range(3))
+
+
 @dataclass(frozen=True)
 class Gradient:
     """Colour stops ((r, g, b, a), time) in order of time."""
@@ -149,6 +173,15 @@ class Gradient:
     def to_white(cls, one):
         return cls.evenly(one, NAMED["white"])
 
+    @classmethod
+    def rainbow(cls):
+        return cls.evenly(*(NAMED[n] for n in ("red", "orange", "yellow", "green", "blue", "indigo", "violet")))
+
+    @classmethod
+    def hue(cls):
+        """Full hues from 360 degrees down to 0."""
+        return cls.evenly(*(NAMED[n] for n in ("red", "magenta", "blue")), (0, 255, 255, 255), *(NAMED[n] for n in ("green", "yellow", "red")))
+
     def reverse(self) -> Gradient:
         last = max((t for _, t in self.stops), default=0.0)
         return Gradient(tuple((c, last - t) for c, t in reversed(self.stops)))

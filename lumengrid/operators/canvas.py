@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumengrid.functions.numeric import f32, u8
+from lumengrid.functions.numeric import div32, f32, u8
 from lumengrid.operators import blend
 from lumengrid.operators.raster import gaussian_blur
 from lumengrid.plans.views import CHANNELS, KEY, RGB
@@ -120,8 +120,6 @@ def stroke_rect(pixels: DataFrame, size: int, color: tuple[int, int, int, int],
 
 def drop_shadow(pixels: DataFrame, offset: tuple[int, int], color: tuple[int, int, int], opacity: float, size: int = 0) -> DataFrame:
     """A coloured copy of the opaque part, moved, blurred by `size` and put under the image; the canvas keeps its size."""
-
-
     shape = pixels.select("image_id", (F.col("x") + offset[0]).alias("x"), (F.col("y") + offset[1]).alias("y"), F.when(F.col("a") > 128, 255).otherwise(F.col("a")).alias("s"))
     shadow = pixels.select(*KEY).join(shape, list(KEY), "left").select(*KEY, *[F.lit(v).alias(c) for c, v in zip(RGB, color, strict=True)], F.coalesce("s", F.lit(0)).alias("a"))
     soft = gaussian_blur(shadow, size)
@@ -144,3 +142,61 @@ def visible(layers: DataFrame) -> DataFrame:
     return layers.where("visible")
 
 
+def move_to_top(layers: DataFrame, layer_id: str) -> DataFrame:
+    return move_to(layers, layer_id, 1 << 30)
+
+
+def move_to_bottom(layers: DataFrame, layer_id: str) -> DataFrame:
+    return move_to(layers, layer_id, -1)
+
+
+def find(layers: DataFrame, **wanted) -> DataFrame:
+    """The layers with the given columns, such as z=1, layer_id="a" or name="b"; the lowest of each canvas if several have them."""
+    for column, value in wanted.items():
+        layers = layers.where(F.col(column) == value)
+    rest = [c for c in layers.columns if c != "canvas_id"]
+    return layers.groupBy("canvas_id").agg(F.min_by(F.struct(*rest), "z").alias("v")).select("canvas_id", "v.*")
+
+
+def count(layers: DataFrame) -> DataFrame:
+    return layers.groupBy("canvas_id").agg(F.count("*").alias("n"))
+
+
+def place_relative(layers: DataFrame, layer_id: str, other: str, x: int, y: int) -> DataFrame:
+    """A layer placed at (x, y) from another layer of its canvas; without that other layer it stays."""
+    whole = Window.partitionBy("canvas_id")
+    mine = F.col("layer_id") == layer_id
+    at = {c: F.max(F.when(F.col("layer_id") == other, F.col(c))).over(whole) + d for c, d in (("x", x), ("y", y))}
+    return layers.select(*[F.when(mine & at[c].isNotNull(), at[c]).otherwise(F.col(c)).alias(c) if c in at else F.col(c) for c in layers.columns])
+
+
+def recenter(layers: DataFrame, size: int, axis: str = "x") -> DataFrame:
+    """Layers centred on one axis of a canvas of that size; halves truncate toward zero."""
+    side = "width" if axis == "x" else "height"
+    return layers.withColumn(axis, F.call_function("div", F.lit(size) - F.col(side), F.lit(2)).cast("int"))
+
+
+def fit_layers(layers: DataFrame, rule: str, width: int, height: int) -> DataFrame:
+    """Sizes by a rule: "maintain", "contain" or "cover" a canvas of width x height, "specific" (that size), "percentage" (width is a factor)."""
+    if rule == "maintain":
+        return layers
+    if rule == "specific":
+        return layers.withColumns({"width": F.lit(width), "height": F.lit(height)})
+    if rule == "percentage":
+        scale = f32(float(width))
+    else:
+        ratios = [div32(f32(float(to)), f32(F.col(c))) for to, c in ((width, "width"), (height, "height"))]
+        scale = F.least(*ratios) if rule == "contain" else F.greatest(*ratios)
+    return layers.withColumns({c: F.floor(f32(F.col(c)) * scale).cast("int") for c in ("width", "height")})
+
+
+def adjustment(layers: DataFrame, layer_id: str, kind: str) -> DataFrame:
+    """A 1 x 1 placeholder on top of each canvas, named by its kind; it has no visual effect."""
+    made = {"layer_id": F.lit(layer_id), "name": F.lit(kind), "image_id": F.lit(None).cast("int"), "x": F.lit(0), "y": F.lit(0), "width": F.lit(1), "height": F.lit(1), "opacity": F.lit(1.0), "blend_mode": F.lit("normal"), "visible": F.lit(True), "anchor": F.lit(None).cast("string"), "z": F.lit(0)}
+    return add(layers, layers.select("canvas_id").distinct().withColumns(made).select(layers.columns))
+
+
+def random_layout(images: DataFrame, width: int, height: int, seed: int) -> DataFrame:
+    """(image_id, x, y, rotation): a place and an angle for each image by a hash of its id, so a repeated run gives the same."""
+    draw = lambda k, n: F.pmod(F.xxhash64("image_id", F.lit(seed), F.lit(k)), F.lit(n)).cast("int")
+    return images.select("image_id", draw(0, width).alias("x"), draw(1, height).alias("y"), draw(2, 360).alias("rotation"))

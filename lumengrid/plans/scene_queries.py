@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumengrid.operators import blend, canvas, geometry, point, raster, spatial, stats, tiles, warp
+from lumengrid.functions import color
+from lumengrid.operators import blend, canvas, geometry, point, raster, shapes, spatial, stats, tiles, warp
 from lumengrid.operators.geometry import Path
 from lumengrid.plans.pixel_queries import _so, base
 from lumengrid.plans.sqltext import f, u8, u8r, views
@@ -180,3 +181,50 @@ def flagship(spark, d):
 _GRAY = u8(f"({f('r')} * {f(0.299)} + {f('g')} * {f(0.587)} + {f('b')} * {f(0.114)})")
 add("gray_histogram", flagship, f"{views('px')} SELECT image_id, {_GRAY} AS gray, count(*) AS cnt FROM px GROUP BY ALL")
 add("tone_then_blend", lambda spark, d: blend.blend(stats.auto_tone(spatial.box_blur(pixels_base(spark, d), 1)), point.grayscale(pixels_top(spark, d)), "screen"))
+
+# ready-made outlines, lines, planes
+for _n, _shape in (("star", shapes.star()), ("heart", shapes.heart()), ("ellipse", shapes.ellipse(5.0, 5.0, 9.0, 6.0)), ("hexagon", shapes.polygon(6)), ("pen_outline", shapes.outline(Path((1.0, 1.0)).line_to((8.0, 3.0)).line_to((4.0, 9.0)), 2.0, "square"))):
+    _fitted = _shape.fit(10.0, 10.0) if _n != "pen_outline" else _shape
+    add("area_" + _n, base(lambda p, s=_fitted: geometry.in_area(p, s)), f"{views('px')}, {_edges(_fitted)} SELECT * FROM px WHERE {_EVEN.format(**_C)}")
+_LINE = "SELECT CAST(s_suppkey AS INT) AS id, CAST(s_suppkey % 5 AS INT) AS x0, CAST(s_suppkey % 7 AS INT) AS y0, CAST(s_suppkey % 23 AS INT) AS x1, CAST(s_suppkey % 17 AS INT) AS y1 FROM {t}"
+
+
+def _lines(spark, d):
+    read(spark, d, "supplier").createOrReplaceTempView("lumengrid_supplier")
+    return spark.sql(_LINE.format(t="lumengrid_supplier"))
+
+
+_step = lambda a, b: f"CAST({a} + sign({b} - {a}) * ((i * abs({b} - {a}) * 2 + greatest(n, 1)) // (greatest(n, 1) * 2)) AS INT)"
+add("grid_lines", lambda spark, d: shapes.grid_lines(_lines(spark, d)), f"WITH l AS ({_LINE.format(t='supplier')}), n AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM l), i AS (SELECT *, CAST(unnest(range(n + 1)) AS INT) AS i FROM n) SELECT id, i, {_step('x0', 'x1')} AS x, {_step('y0', 'y1')} AS y FROM i")
+add("planes_round_trip", base(lambda p: shapes.from_planes(shapes.to_planes(p).withColumn("values", F.transform("values", lambda v: 1 - v)), 10)), f"{views('px')} SELECT image_id, x, y, {', '.join(f'CAST(floor((1 - {c} / 255.0::DOUBLE) * 255.0::DOUBLE) AS INT) AS {c}' for c in RGB)}, 255 AS a FROM px")
+add("indexed_round_trip", base(lambda p: shapes.from_indexed(images.indexed(p, 256), images.palette(p, 256))), f"{views('px')} SELECT image_id, x, y, r, g, b, 255 AS a FROM px")
+add("brush_fill", base(lambda p: shapes.fill_with_dabs(p, TRIANGLE, 3.0, (9, 8, 7, 255))))
+_lum = lambda t: f"(({t}.r * 0.299::DOUBLE + {t}.g * 0.587::DOUBLE + {t}.b * 0.114::DOUBLE) / 255)"
+add("contrast_ratio", base(lambda p: p.select("image_id", "x", "y", F.round(color.contrast_ratio(color.luminance(F.col("r"), F.col("g"), F.col("b")), F.lit(0.5)), 9).alias("ratio"))), f"{views('px')} SELECT image_id, x, y, round((greatest({_lum('px')}, 0.5::DOUBLE) + 0.05::DOUBLE) / (least({_lum('px')}, 0.5::DOUBLE) + 0.05::DOUBLE), 9) AS ratio FROM px")
+
+
+def _turned(p, *steps):
+    """Conversions one after the other, each a projection of its own, so that no expression is repeated."""
+    at = RGB
+    for step in steps:
+        p = p.withColumns(dict(zip(("_1", "_2", "_3"), step(*[F.col(c) for c in at]), strict=True)))
+        at = ("_1", "_2", "_3")
+    return p.select("image_id", "x", "y", *[F.col(a).alias(c) for a, c in zip(at, RGB, strict=True)], "a")
+
+
+add("hsv_by_hsl_round_trip", base(lambda p: _turned(p, color.rgb_to_hsv, color.hsv_to_hsl, color.hsl_to_rgb)), f"{views('px')} SELECT * FROM px")
+add("gradient_rainbow", base(lambda p: point.gradient_map(p, color.Gradient.rainbow())))
+add("gradient_hue_reversed", base(lambda p: point.gradient_map(p, color.Gradient.hue().reverse())))
+
+# more of the layer algebra
+add("layer_to_top", lambda spark, d: canvas.move_to_top(layers(spark, d), "L1"), _all("CASE layer_id WHEN 'L0' THEN 0 WHEN 'L2' THEN 1 WHEN 'L3' THEN 2 ELSE 3 END"))
+add("layer_to_bottom", lambda spark, d: canvas.move_to_bottom(layers(spark, d), "L2"), _all("CASE layer_id WHEN 'L2' THEN 0 WHEN 'L0' THEN 1 WHEN 'L1' THEN 2 ELSE 3 END"))
+add("layer_find", lambda spark, d: canvas.find(layers(spark, d), blend_mode="screen"), f"WITH {_LSQL} SELECT * FROM l WHERE blend_mode = 'screen' QUALIFY row_number() OVER (PARTITION BY canvas_id ORDER BY z) = 1")
+add("layer_count", lambda spark, d: canvas.count(layers(spark, d)), f"WITH {_LSQL} SELECT canvas_id, count(*) AS n FROM l GROUP BY canvas_id")
+add("layer_place_relative", lambda spark, d: canvas.place_relative(layers(spark, d), "L1", "L3", 5, -4), _all("z", x="CASE WHEN layer_id = 'L1' THEN coalesce(max(CASE WHEN layer_id = 'L3' THEN x END) OVER (PARTITION BY canvas_id) + 5, x) ELSE x END", y="CASE WHEN layer_id = 'L1' THEN coalesce(max(CASE WHEN layer_id = 'L3' THEN y END) OVER (PARTITION BY canvas_id) - 4, y) ELSE y END"))
+add("layer_recenter", lambda spark, d: canvas.recenter(layers(spark, d), 21, "y"), _all("z", y="CAST(trunc((21 - height) / 2.0::DOUBLE) AS INT)"))
+_ratio = lambda pick: f"{pick}({f(f('40') + ' / ' + f('width'))}, {f(f('30') + ' / ' + f('height'))})"
+for _rule, _pick in (("contain", "least"), ("cover", "greatest")):
+    add("layer_" + _rule, lambda spark, d, r=_rule: canvas.fit_layers(layers(spark, d), r, 40, 30), _all("z", **{c: f"CAST(floor({f(f(c) + ' * ' + _ratio(_pick))}) AS INT)" for c in ("width", "height")}))
+add("layer_adjustment", lambda spark, d: canvas.adjustment(layers(spark, d), "adj", "levels"), f"WITH {_LSQL}, n AS (SELECT canvas_id, CAST(max(z) + 1 AS INT) AS z FROM l GROUP BY canvas_id) SELECT * FROM l UNION ALL SELECT canvas_id, 'adj', 'levels', z, NULL, 0, 0, 1, 1, 1.0, 'normal', true, NULL FROM n")
+add("random_layout", base(lambda p: canvas.random_layout(p.select("image_id").distinct(), 640, 480, 7)))
