@@ -106,10 +106,18 @@ CASE o_orderkey % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'multiply' ELSE 'screen' EN
 _LSQL = "l AS (" + _LAYERS.format(div="//", ten="10.0::DOUBLE", t="orders").replace("STRING", "VARCHAR") + ")"
 
 
+_FIRST = " WHERE o_orderkey < 400"
+
+
+class Whole(str):
+    """A table folder of which every order becomes a layer."""
+
+
 def layers(spark, d):
-    """Four layers for each of a hundred canvases, from orders."""
+    """Four layers for each canvas, from orders: of a hundred canvases, or of all of them in a `Whole` folder."""
     read(spark, d, "orders").createOrReplaceTempView("lumengrid_orders")
-    return spark.sql(_LAYERS.format(div="div", ten="10D", t="lumengrid_orders"))
+    text = _LAYERS.removesuffix(_FIRST) if isinstance(d, Whole) else _LAYERS
+    return spark.sql(text.format(div="div", ten="10D", t="lumengrid_orders"))
 
 
 def _all(z: str, where: str = "", **new) -> str:
@@ -228,3 +236,8 @@ for _rule, _pick in (("contain", "least"), ("cover", "greatest")):
     add("layer_" + _rule, lambda spark, d, r=_rule: canvas.fit_layers(layers(spark, d), r, 40, 30), _all("z", **{c: f"CAST(floor({f(f(c) + ' * ' + _ratio(_pick))}) AS INT)" for c in ("width", "height")}))
 add("layer_adjustment", lambda spark, d: canvas.adjustment(layers(spark, d), "adj", "levels"), f"WITH {_LSQL}, n AS (SELECT canvas_id, CAST(max(z) + 1 AS INT) AS z FROM l GROUP BY canvas_id) SELECT * FROM l UNION ALL SELECT canvas_id, 'adj', 'levels', z, NULL, 0, 0, 1, 1, 1.0, 'normal', true, NULL FROM n")
 add("random_layout", base(lambda p: canvas.random_layout(p.select("image_id").distinct(), 640, 480, 7)))
+
+# the layer queries over all orders
+LAYER_QUERIES = [n for n in SQL if _LSQL in SQL[n]]
+for _n in LAYER_QUERIES:
+    add(_n + "_all", lambda spark, d, q=QUERIES[_n]: q(spark, Whole(d)), SQL[_n].replace(_LSQL, _LSQL.replace(_FIRST, "")))
