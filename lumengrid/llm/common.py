@@ -54,9 +54,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = upto
 
 
-def words_of(texts: pa.Array, pattern: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array, pattern: str | None = None, regex: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, each word's code, offsets of each text's words): split at `pattern`, or at ASCII white space."""
-    lists = pc.split_pattern(texts, pattern) if pattern else pc.ascii_split_whitespace(texts)
+    split = pc.split_pattern_regex if regex else pc.split_pattern
+    lists = split(texts, pattern) if pattern else pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()

@@ -1,14 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character models, of toxic and of ordinary texts, spell words from their start: the context of a letter is the word's
-beginning. Both discount their own counts absolutely and back off to shared counts: the pooled counts of both classes in
+Two character models, of toxic and of ordinary texts, spell each word to its end: the context of a letter is what stands
+before it in its word, up to ORDER - 1 letters with the word's start. Words are runs of letters and their marks; all else
+parts them. A letter in a context that no labelled text has it in says nothing. Both models discount their own counts absolutely and back off to shared counts: the pooled counts of both classes in
 the same context, which back off to continuation counts (in how many contexts that end alike a letter occurs) and from
 there to all letters. An expression that either class has hardly seen thus gets nearly the same likelihood from both. A
 text's score is the difference of the two log-likelihoods per word, mapped to 0..1 by a logistic curve; a word counts by what its
 difference exceeds a dead zone, and words that look ordinary do not outweigh those that do not.
 
-Counts cover all labelled rows, grouped by Spark; word beginnings rarer than `MIN_RATE` of all words (or seen once) are left to
-the shared counts, so a model has at most DEPTH / MIN_RATE of them at any input size. The curve is fitted on at most
+Counts cover all labelled rows, grouped by Spark; n-grams rarer than `MIN_RATE` of all n-grams (or seen once) are left out, so a
+model has at most 1 / MIN_RATE of them at any input size. The curve is fitted on at most
 `CURVE_ROWS` rows in expectation, each half scored by the other half's model.
 
 Null and empty texts, and texts without a letter, score the curve's value at no difference, 0.5 at most. Rows without a
@@ -19,100 +20,95 @@ the classes, every score is 0. Texts of any length are read whole; repeated rows
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lumengrid.llm.common import slices, stored, sums, table, texts_of, words_of
 
-DEPTH = 6
-END = "$"
+#: Letters of an n-gram: a letter, or the end mark, with its context.
+ORDER = 6
+START, END = "^", "$"
 MIN_RATE = 2e-6
 DISCOUNT = 0.9
 #: Nats by which a word's two likelihoods may differ for no reason but the classes' mix of languages and topics.
 DEAD_ZONE = 2.0
 CURVE_ROWS = 6000
+#: An n-gram's counts in each half's ordinary and toxic rows.
+COUNTS = ("n00", "n01", "n10", "n11")
 THRESHOLD = 0.7
-OTHER = re.compile(r"[\W\d_]+")
+#: What parts words: all but letters and the marks that belong to them.
+OTHER = r"[^\pL\pM]+"
 
 
-def beginning(word: str) -> str:
-    """The first DEPTH letters of a word, with the end mark if it ends there; empty without a letter."""
-    word = OTHER.sub("", word.lower())
-    return (word + END)[:DEPTH] if word else ""
+def grams(word: str) -> list[str]:
+    """Each letter of a word, and its end, with its context."""
+    marked = START + word + END
+    return [marked[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(marked))]
+
+
+def spelled(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, each token's words and their offsets, each text's tokens and their offsets); tokens are parted by white space."""
+    tokens, codes, offsets = words_of(texts)
+    words, own, own_offsets = words_of(pc.utf8_lower(pa.array(tokens, pa.string())), OTHER, regex=True)
+    return words, own, own_offsets, codes, offsets
 
 
 class Model:
-    """Word beginnings with the sum of log(toxic / ordinary) of their letters."""
+    """N-grams with the log(toxic / ordinary) of their last letters."""
 
     def __init__(self, counts: dict[str, list[int]]):
         self.gain = _gains(counts)
 
     def word(self, word: str) -> tuple[float, int]:
-        start = beginning(word)
-        if not start:
+        if not word:
             return 0.0, 0
-        gain = self.gain
-        for n in range(len(start), 0, -1):
-            if (g := gain.get(start[:n])) is not None:
-                return max(g - DEAD_ZONE, 0.0), 1
-        return 0.0, 1
+        g = sum(self.gain.get(x, 0.0) for x in grams(word))
+        return max(g - DEAD_ZONE, 0.0), 1
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """The difference of the log-likelihoods per word of each text."""
-        words, codes, offsets = words_of(texts)
+        words, own, own_offsets, codes, offsets = spelled(texts)
         values = np.array([self.word(w) for w in words], np.float64).reshape(-1, 2)
-        total = sums(values[codes], offsets)
+        total = sums(sums(values[own], own_offsets)[codes], offsets)
         return total[:, 0] / np.maximum(total[:, 1], 1)
 
 
 def _gains(counts: dict[str, list[int]]) -> dict[str, float]:
-    """For each beginning with counts [ordinary, toxic]: the sum of log ratios along its letters; steps without effect left out."""
+    """For each n-gram with counts [ordinary, toxic]: the log ratio of its last letter in its context."""
     children: dict[str, list[str]] = defaultdict(list)
-    for start in counts:
-        children[start[:-1]].append(start)
-    follows, after = defaultdict(set), defaultdict(int)
-    for start in counts:
-        follows[start[-2:-1], start[-1]].add(start[:-1])
-    for (last, _), contexts in follows.items():
-        after[last] += len(contexts)
-    letters = defaultdict(int)
-    for last, letter in follows:
+    for gram in counts:
+        children[gram[:-1]].append(gram)
+    follows: dict[tuple[str, str], int] = defaultdict(int)
+    for gram in counts:
+        follows[gram[-2], gram[-1]] += 1
+    after, kinds, letters = defaultdict(int), defaultdict(int), defaultdict(int)
+    for (last, letter), n in follows.items():
+        after[last] += n
+        kinds[last] += 1
         letters[letter] += 1
     n_letters, n_types = len(letters) or 1, sum(letters.values()) or 1
-    kinds = defaultdict(int)
-    for last, _ in follows:
-        kinds[last] += 1
 
     def continuation(last: str, letter: str) -> float:
         base = max(letters[letter] - DISCOUNT, 0) / n_types + DISCOUNT * n_letters / n_types / n_letters
         n = after[last]
-        return max(len(follows[last, letter]) - DISCOUNT, 0) / n + DISCOUNT * kinds[last] / n * base if n else base
+        return max(follows[last, letter] - DISCOUNT, 0) / n + DISCOUNT * kinds[last] / n * base
 
     gain: dict[str, float] = {}
-    stack = [("", 0.0, 0.0)]
-    while stack:
-        context, so_far, kept = stack.pop()
-        own = children.get(context)
-        if not own:
-            continue
+    for own in children.values():
         total = [sum(counts[c][y] for c in own) for y in (0, 1)]
         types = [sum(1 for c in own if counts[c][y]) for y in (0, 1)]
         pooled, pooled_types = sum(total), len(own)
         for c in own:
-            shared = max(sum(counts[c]) - DISCOUNT, 0) / pooled + DISCOUNT * pooled_types / pooled * continuation(c[-2:-1], c[-1])
+            shared = max(sum(counts[c]) - DISCOUNT, 0) / pooled + DISCOUNT * pooled_types / pooled * continuation(c[-2], c[-1])
             p = [(max(counts[c][y] - DISCOUNT, 0) + DISCOUNT * types[y] * shared) / total[y] if total[y] else shared for y in (0, 1)]
-            here = so_far + math.log(p[1] / p[0])
-            told = kept
-            if abs(here - kept) > 0.02:
-                gain[c] = told = here
-            stack.append((c, here, told))
+            gain[c] = math.log(p[1] / p[0])
     return gain
 
 
@@ -156,38 +152,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     rows = stored(labelled(docs, labels).withColumn("half", F.pmod(F.xxhash64("doc_id", "text", F.lit("half")), F.lit(2)).cast("int")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, str], int] = defaultdict(int)
+        held: dict[str, list[int]] = {}
 
         def out() -> pa.RecordBatch:
-            keys = list(zip(*held, strict=True)) or [(), (), ()]
-            batch = pa.record_batch([pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()), pa.array(held.values(), pa.int64())], ["half", "y", "start", "n"])
+            n = np.array(list(held.values()), np.int64).reshape(-1, 4)
+            batch = pa.record_batch([pa.array(held, pa.string()), *[pa.array(n[:, g]) for g in range(4)]], ["gram", *COUNTS])
             held.clear()
             return batch
 
         for part in slices(batches):
-            words, codes, offsets = words_of(part.column("text"))
-            starts = [beginning(w) for w in words]
+            words, own, own_offsets, codes, offsets = spelled(part.column("text"))
             group = part.column("half").to_numpy() * 2 + part.column("y").to_numpy()
             of = np.repeat(group, np.diff(offsets))
+            n = np.zeros((len(words), 4), np.int64)
             for g in np.unique(group).tolist():
-                n = np.bincount(codes[of == g], minlength=len(words))
-                for i in np.flatnonzero(n).tolist():
-                    if starts[i]:
-                        held[g // 2, g % 2, starts[i]] += int(n[i])
-            if len(held) > 500_000:
-                yield out()
+                tokens = np.bincount(codes[of == g], minlength=len(own_offsets) - 1)
+                np.add.at(n[:, g], own, np.repeat(tokens, np.diff(own_offsets)))
+            for word, c in zip(words, n.tolist(), strict=True):
+                for gram in grams(word) if word else ():
+                    if (mine := held.get(gram)) is None:
+                        held[gram] = c.copy()
+                    else:
+                        for g in range(4):
+                            mine[g] += c[g]
+                if len(held) > 500_000:
+                    yield out()
         yield out()
 
-    words = rows.mapInArrow(count, "half int, y int, start string, n long").groupBy("half", "y", "start").agg(F.sum("n").alias("n"))
-    words = stored(words)
-    total = words.agg(F.sum("n")).first()[0] or 0
-    # all beginnings of the words, one row for each with the counts of both halves and classes
-    every = words.select("half", "y", "n", F.explode(F.sequence(F.lit(1), F.length("start"))).alias("k"), "start").select("half", "y", "n", F.expr("left(start, k)").alias("start"))
-    sum_of = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0))
-    nodes = every.groupBy("start").agg(*[sum_of(h, y).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)])
-    kept = nodes.where(F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") >= max(2.0, MIN_RATE * total)).toArrow()
-    start = kept.column("start").to_pylist()
-    n = np.array([kept.column(c).to_numpy() for c in ("n00", "n01", "n10", "n11")], np.int64).reshape(4, -1)
+    counted = rows.mapInArrow(count, "gram string, " + ", ".join(f"{c} long" for c in COUNTS))
+    nodes = stored(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]).withColumn("n", sum(F.col(c) for c in COUNTS)))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    kept = nodes.where(F.col("n") >= max(2.0, MIN_RATE * total)).toArrow()
+    start = kept.column("gram").to_pylist()
+    n = np.array([kept.column(c).to_numpy() for c in COUNTS], np.int64).reshape(4, -1)
     if not n.size or not (n[0] + n[2]).any() or not (n[1] + n[3]).any():
         return Classifier(None)
     tree = lambda a: {s: c for s, c in zip(start, a.T.tolist(), strict=True) if sum(c)}
@@ -213,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
 def annotate(df: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
     """`df` with toxic_score; a clashing column of this name is replaced."""
     df = df.drop("toxic_score")
-    shared = df.sparkSession.sparkContext.broadcast(classifier)  # bounded by DEPTH / MIN_RATE beginnings
+    shared = df.sparkSession.sparkContext.broadcast(classifier)  # bounded by 1 / MIN_RATE n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
