@@ -5,11 +5,11 @@ before it in its word, up to ORDER - 1 letters with the word's start. Words are
 parts them. A letter in a context that no labelled text has it in says nothing. Both models discount their own counts absolutely and back off to shared counts: the pooled counts of both classes in
 the same context, which back off to continuation counts (in how many contexts that end alike a letter occurs) and from
 there to all letters. An expression that either class has hardly seen thus gets nearly the same likelihood from both. A
-text's score is the difference of the two log-likelihoods per word, mapped to 0..1 by a logistic curve; a word counts by what its
-difference exceeds a dead zone, and words that look ordinary do not outweigh those that do not.
+text's score is the difference of the two log-likelihoods per word, mapped to 0..1 by a logistic curve; a word counts by
+what its difference exceeds a dead zone, and words that look ordinary do not outweigh those that do not.
 
-Counts cover all labelled rows, grouped by Spark; n-grams rarer than `MIN_RATE` of all n-grams (or seen once) are left out, so a
-model has at most 1 / MIN_RATE of them at any input size. The curve is fitted on at most
+Counts cover all n-grams of all labelled rows, in a Spark table that grows with them; words meet it in parts of about `PART`
+n-grams, one pass over the texts' distinct words for each, and texts meet the words above the dead zone in the same way. The curve is fitted on at most
 `CURVE_ROWS` rows in expectation, each half scored by the other half's model.
 
 Null and empty texts, and texts without a letter, score the curve's value at no difference, 0.5 at most. Rows without a
@@ -19,8 +19,6 @@ the classes, every score is 0. Texts of any length are read whole; repeated rows
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +33,13 @@ from lumengrid.llm.common import slices, stored, sums, table, texts_of, words_of
 #: Letters of an n-gram: a letter, or the end mark, with its context.
 ORDER = 6
 START, END = "^", "$"
-MIN_RATE = 2e-6
 DISCOUNT = 0.9
 #: Nats by which a word's two likelihoods may differ for no reason but the classes' mix of languages and topics.
 DEAD_ZONE = 2.0
+#: Gains are whole multiples of 1 / STEP, so that their sums are exact in any order.
+STEP = 1 << 20
+#: N-grams or words that a worker holds at once.
+PART = 1_000_000
 CURVE_ROWS = 6000
 #: An n-gram's counts in each half's ordinary and toxic rows.
 COUNTS = ("n00", "n01", "n10", "n11")
@@ -60,56 +61,83 @@ def spelled(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndar
     return words, own, own_offsets, codes, offsets
 
 
-class Model:
-    """N-grams with the log(toxic / ordinary) of their last letters."""
-
-    def __init__(self, counts: dict[str, list[int]]):
-        self.gain = _gains(counts)
-
-    def word(self, word: str) -> tuple[float, int]:
-        if not word:
-            return 0.0, 0
-        g = sum(self.gain.get(x, 0.0) for x in grams(word))
-        return max(g - DEAD_ZONE, 0.0), 1
-
-    def score(self, texts: pa.Array) -> np.ndarray:
-        """The difference of the log-likelihoods per word of each text."""
-        words, own, own_offsets, codes, offsets = spelled(texts)
-        values = np.array([self.word(w) for w in words], np.float64).reshape(-1, 2)
-        total = sums(sums(values[own], own_offsets)[codes], offsets)
-        return total[:, 0] / np.maximum(total[:, 1], 1)
-
-
-def _gains(counts: dict[str, list[int]]) -> dict[str, float]:
-    """For each n-gram with counts [ordinary, toxic]: the log ratio of its last letter in its context."""
-    children: dict[str, list[str]] = defaultdict(list)
-    for gram in counts:
-        children[gram[:-1]].append(gram)
-    follows: dict[tuple[str, str], int] = defaultdict(int)
-    for gram in counts:
-        follows[gram[-2], gram[-1]] += 1
-    after, kinds, letters = defaultdict(int), defaultdict(int), defaultdict(int)
-    for (last, letter), n in follows.items():
-        after[last] += n
-        kinds[last] += 1
-        letters[letter] += 1
-    n_letters, n_types = len(letters) or 1, sum(letters.values()) or 1
-
-    def continuation(last: str, letter: str) -> float:
-        base = max(letters[letter] - DISCOUNT, 0) / n_types + DISCOUNT * n_letters / n_types / n_letters
-        n = after[last]
-        return max(follows[last, letter] - DISCOUNT, 0) / n + DISCOUNT * kinds[last] / n * base
-
-    gain: dict[str, float] = {}
-    for own in children.values():
-        total = [sum(counts[c][y] for c in own) for y in (0, 1)]
-        types = [sum(1 for c in own if counts[c][y]) for y in (0, 1)]
-        pooled, pooled_types = sum(total), len(own)
-        for c in own:
-            shared = max(sum(counts[c]) - DISCOUNT, 0) / pooled + DISCOUNT * pooled_types / pooled * continuation(c[-2], c[-1])
-            p = [(max(counts[c][y] - DISCOUNT, 0) + DISCOUNT * types[y] * shared) / total[y] if total[y] else shared for y in (0, 1)]
-            gain[c] = math.log(p[1] / p[0])
-    return gain
+def gains(nodes: DataFrame) -> DataFrame:
+    """(gram, by0, by1, both): the log(toxic / ordinary) of each n-gram's last letter, by the rows outside half 0, outside half 1, and by all.
+
+    All steps are aggregations and joins of the n-grams' table, and nothing of it reaches the driver.
+    """
+    size = F.length("gram")
+    own = nodes.select("*", F.expr("left(gram, length(gram) - 1)").alias("context"), F.substring("gram", size - 1, F.lit(1)).alias("last"), F.right("gram", F.lit(1)).alias("letter"))
+    pairs = own.groupBy("last", "letter").agg(F.count("*").alias("f"))
+    after = pairs.groupBy("last").agg(F.sum("f").alias("after"), F.count("*").alias("kinds"))
+    letters = pairs.groupBy("letter").agg(F.sum("f").alias("letters"))
+    n_letters, n_types = letters.agg(F.count("*"), F.sum("letters")).first()
+    less = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) if isinstance(c, str) else F.greatest(c - DISCOUNT, F.lit(0.0))
+    base = less("letters") / F.lit(n_types or 1) + F.lit(DISCOUNT / (n_types or 1))
+    spread = pairs.join(after, "last").join(letters, "letter").select("last", "letter", (less("f") / F.col("after") + DISCOUNT * F.col("kinds") / F.col("after") * base).alias("spread"))
+    counts = {"by0": ("n10", "n11"), "by1": ("n00", "n01"), "both": ("n0", "n1")}
+    own = own.withColumns({"n0": F.col("n00") + F.col("n10"), "n1": F.col("n01") + F.col("n11")})
+    sides = [c for two in counts.values() for c in two]
+    sums_of = [F.sum(c).alias("sum_" + c) for c in sides] + [F.sum((F.col(c) > 0).cast("long")).alias("types_" + c) for c in sides]
+    contexts = own.groupBy("context").agg(F.sum(F.col("n0") + F.col("n1")).alias("pooled"), F.count("*").alias("types"), *sums_of)
+    told = own.join(contexts, "context").join(spread, ["last", "letter"])
+    shared = less(F.col("n0") + F.col("n1")) / F.col("pooled") + DISCOUNT * F.col("types") / F.col("pooled") * F.col("spread")
+    told = told.withColumn("shared", shared)
+
+    def p(c: str):
+        return F.when(F.col("sum_" + c) > 0, (less(c) + DISCOUNT * F.col("types_" + c) * F.col("shared")) / F.col("sum_" + c)).otherwise(F.col("shared"))
+
+    exact = lambda e: F.round(e * STEP) / STEP
+    return told.select("gram", *[F.when(F.col(ordinary) + F.col(toxic) > 0, exact(F.log(p(toxic) / p(ordinary)))).otherwise(0.0).alias(name) for name, (ordinary, toxic) in counts.items()])
+
+
+def likelihoods(df: DataFrame, told: DataFrame, names: list[str], text_col: str = "text") -> DataFrame:
+    """`df` with toxic_words and toxic_<name>: each text's number of words and the sum of what they exceed the dead zone by."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield pa.record_batch([pa.array([w for w in spelled(texts_of(part.column("text")))[0] if w], pa.string())], ["word"])
+
+    words = stored(df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(distinct, "word string").distinct())
+    above = summed(words, told, names, "word", grams).select("word", *[F.greatest(F.col("toxic_" + n) - DEAD_ZONE, F.lit(0.0)).alias(n) for n in names])
+    above = stored(above.where(" or ".join(f"`{n}` > 0" for n in names)))
+    return summed(df, above, names, text_col, lambda word: [word])
+
+
+def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, units) -> DataFrame:
+    """`df` with toxic_words and toxic_<name>: each text's number of words, and the sum over their units of each of the table's columns.
+
+    The table (unit, ...) goes by in parts of about PART rows, so that a worker holds one of them; each part meets all texts.
+    """
+    spark, added = df.sparkSession, ["toxic_words", *["toxic_" + n for n in names]]
+    df = df.drop(*added).withColumns({added[0]: F.lit(0).cast("long"), **{c: F.lit(0.0) for c in added[1:]}})
+    parts = max(1, -(-table.count() // PART))
+    for k in range(parts):
+        unit = table.columns[0]
+        held = table.where(F.pmod(F.xxhash64(unit), F.lit(parts)) == k).select(unit, *names).toArrow()
+        values = np.stack([held.column(n).to_numpy() for n in names] or [[]], axis=1)
+        index = {g: i for i, g in enumerate(held.column(unit).to_pylist())}
+        shared = spark.sparkContext.broadcast((index, np.concatenate([values, np.zeros((1, len(names)))])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first: bool = not k) -> Iterator[pa.RecordBatch]:
+            index, values = shared.value
+            none = len(index)
+            for part in slices(batches, text_col):
+                words, own, own_offsets, codes, offsets = spelled(texts_of(part.column(text_col)))
+                size = np.array([len(units(w)) if w else 0 for w in words], np.int64)
+                at = np.fromiter((index.get(u, none) for w in words if w for u in units(w)), np.int64, size.sum())
+                by_word = np.column_stack([size > 0, sums(values[at], np.concatenate([[0], np.cumsum(size)]))])
+                total = sums(sums(by_word[own], own_offsets)[codes], offsets)
+                columns = list(part.columns[: -len(added)])
+                columns.append(pa.array(total[:, 0].astype(np.int64)) if first else part.column(added[0]))
+                columns += [pa.array(total[:, i] + part.column(c).to_numpy()) for i, c in enumerate(added[1:], 1)]
+                yield pa.record_batch(columns, part.schema.names)
+
+        df = df.mapInArrow(run, df.schema)
+        if parts > 1:
+            df = stored(df)
+            shared.unpersist()
+    return df
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -119,13 +147,10 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    def __init__(self, model: Model | None, slope: float = 0.0, bias: float = 0.0):
-        self.model, self.slope, self.bias = model, slope, bias
+    """The table of n-grams (none with no row of a class) and the curve."""
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        if self.model is None:
-            return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * self.model.score(texts), -50, 50)))
+    def __init__(self, table: DataFrame | None, slope: float = 0.0, bias: float = 0.0):
+        self.table, self.slope, self.bias = table, slope, bias
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -180,44 +205,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         yield out()
 
     counted = rows.mapInArrow(count, "gram string, " + ", ".join(f"{c} long" for c in COUNTS))
-    nodes = stored(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]).withColumn("n", sum(F.col(c) for c in COUNTS)))
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    kept = nodes.where(F.col("n") >= max(2.0, MIN_RATE * total)).toArrow()
-    start = kept.column("gram").to_pylist()
-    n = np.array([kept.column(c).to_numpy() for c in COUNTS], np.int64).reshape(4, -1)
-    if not n.size or not (n[0] + n[2]).any() or not (n[1] + n[3]).any():
+    nodes = stored(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+    n = nodes.agg(*[F.sum(c) for c in COUNTS]).first()
+    if not (n[0] or 0) + (n[2] or 0) or not (n[1] or 0) + (n[3] or 0):
         return Classifier(None)
-    tree = lambda a: {s: c for s, c in zip(start, a.T.tolist(), strict=True) if sum(c)}
-    halves = spark.sparkContext.broadcast([Model(tree(n[2:])), Model(tree(n[:2]))])  # rows of a half are scored by the other's model
+    told = stored(gains(nodes))
     by_class = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     share = F.when(F.col("y") == 1, F.lit(min(1.0, CURVE_ROWS / 2 / by_class.get(1, 1)))).otherwise(min(1.0, CURVE_ROWS / 2 / by_class.get(0, 1)))
     sample = rows.where(F.pmod(F.xxhash64("text", "doc_id", F.lit("curve")), F.lit(1_000_000)) < share * 1_000_000)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            texts, half = part.column("text"), part.column("half").to_numpy()
-            x = np.where(half == 0, halves.value[0].score(texts), halves.value[1].score(texts))
-            yield pa.record_batch([pa.array(x), part.column("y")], ["x", "y"])
-
-    got = sample.mapInArrow(score, "x double, y int").toArrow()
+    x = F.when(F.col("half") == 0, F.col("toxic_by0")).otherwise(F.col("toxic_by1")) / F.greatest("toxic_words", F.lit(1))
+    got = likelihoods(sample, told, ["by0", "by1"]).select(x.alias("x"), "y").toArrow()
     x, y = got.column("x").to_numpy(), got.column("y").to_numpy()
-    model = Model(tree(n[:2] + n[2:]))
     order = np.lexsort((y, x))
     slope, bias = _curve(x[order], y[order].astype(float)) if len(x) and 0 < y.sum() < len(y) else (1.0, 0.0)
-    return Classifier(model, max(slope, 0.0), min(bias, 0.0))
+    return Classifier(told, max(slope, 0.0), min(bias, 0.0))
 
 
 def annotate(df: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
     """`df` with toxic_score; a clashing column of this name is replaced."""
     df = df.drop("toxic_score")
-    shared = df.sparkSession.sparkContext.broadcast(classifier)  # bounded by 1 / MIN_RATE n-grams
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            score = shared.value.score(texts_of(part.column(text_col)))
-            yield pa.record_batch([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, "toxic_score"])
-
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("toxic_score", DoubleType())]))
+    if classifier.table is None:
+        return df.withColumn("toxic_score", F.lit(0.0))
+    columns = df.columns
+    x = F.col("toxic_both") / F.greatest("toxic_words", F.lit(1))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(classifier.bias + classifier.slope * x, F.lit(50.0)), F.lit(-50.0))))
+    return likelihoods(df, classifier.table, ["both"], text_col).select(*[F.col(f"`{c}`") for c in columns], score.alias("toxic_score"))
 
 
 def held_out():
