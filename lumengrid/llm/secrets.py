@@ -1,7 +1,8 @@
 """Secret scans: candidates by character runs, a random forest against false positives.
 
 A candidate is a run of token characters of at least `LEAST` bytes with a digit in it, or of 20 bytes and more; a leading
-`name=` or `name:` belongs to the words before it. The forest judges length, character classes and transitions, coverage
+`name=` or `name:` belongs to the words before it. What follows an asking word (password, key, token ...) is a candidate
+whatever its characters and length, up to a quote or white space. The forest judges length, character classes and transitions, coverage
 by dictionary words, path traits and the neighbouring words. It is trained by Spark's RandomForestClassifier on labelled
 findings: a table (candidate, before, after, secret) with at most `FINDINGS` rows; `labelled_findings` makes one.
 Its trees are small and fixed in number, and go to the tasks as nested tuples.
@@ -17,6 +18,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ TOKEN[[ord(c) for c in string.ascii_letters + string.digits + "_-+/=.~:@"]] = Tr
 NAME = re.compile(r"^[A-Za-z_.-]{2,24}[=:](?!//)")
 ASKS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "auth", "bearer", "credential", "credentials", "private")
 DENIES = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "uuid", "guid", "id", "version", "build", "phone", "tel", "date", "isbn", "example", "placeholder", "revision", "digest")
+#: An asking word, what parts it from its value, and the value.
+ASKED = re.compile(rf"(?i:{'|'.join(sorted(ASKS, key=len, reverse=True))})[\"']?(?:\s*[:=]\s*|\s+)[\"']?([^\s\"']+)")
 HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_live", "xox", "AIza", "eyJ", "glpat-")
 DICTIONARY = tuple("""about access account after again also another answer back base because become before begin between book bridge
 build call change child city clear client close code color come common company config content control count country course
@@ -102,7 +106,17 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Dat
         lambda: ("eyJ" + pick(b64, 30) + "." + pick(b64, 40) + "." + pick(b64, 30), words(1) + " "),
         lambda: (pick(string.ascii_letters + string.digits + "_-", r.randint(10, 20)), words(1) + " " + asks()),
     ]
+    marks = "!#$%^&*?@"
+    passphrase = lambda: "".join(made_up().capitalize() for _ in range(r.randint(2, 3)))
+    told = lambda: words(1) + " " + r.choice(ASKS) + r.choice(["=", ": ", " = ", "=\"", ": '"])
+    secret += [
+        lambda: (passphrase(), told()),
+        lambda: (pick(string.ascii_letters, r.randint(8, 19)), told()),
+        lambda: (pick(string.ascii_letters + string.digits + marks, r.randint(6, 20)) + r.choice(marks) + pick(string.ascii_letters + string.digits, r.randint(1, 4)), told()),
+    ]
     harmless = [
+        lambda: (r.choice(DICTIONARY), words(1) + " " + r.choice(ASKS) + r.choice([" ", " ", ": "])),
+        lambda: (made_up() + r.choice(["", "", ".", ",", ")"]), words(1) + " " + r.choice(ASKS) + " "),
         lambda: (r.choice(DICTIONARY) + r.choice("_-.") + r.choice(DICTIONARY) + str(r.randint(1, 9999)), words(3) + " "),
         lambda: ("/".join(made_up() for _ in range(r.randint(2, 5))) + r.choice([".html", ".py", ".json", "2024", "/v2"]), words(2) + " "),
         lambda: (pick(hexes, r.choice([8, 12, 32, 40, 64])), words(1) + " " + r.choice(DENIES) + r.choice([" ", ": ", "="])),
@@ -170,7 +184,21 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 
 
 def candidates(data: bytes) -> Iterator[tuple[int, int]]:
-    """Spans in bytes of the candidates, in order."""
+    """Spans in bytes of the candidates, in order; an asked value takes the place of the runs that it meets."""
+    text = data.decode()
+    asked, at, chars = [], 0, 0
+    for m in ASKED.finditer(text):
+        a = at + len(text[chars : m.start(1)].encode())
+        at, chars = a + len(m[1].encode()), m.end(1)
+        if (n := len(m[1].rstrip(".:,;"))) > 0:
+            asked.append((a, a + len(m[1][:n].encode())))
+    starts, stops = [a for a, _ in asked], [b for _, b in asked]
+    free = [(a, b) for a, b in _runs(data) if bisect_right(starts, b - 1) == bisect_right(stops, a)]
+    yield from sorted(asked + free)
+
+
+def _runs(data: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of the character runs, in order."""
     raw = np.frombuffer(data, np.uint8)
     inside = np.concatenate([[False], TOKEN[raw], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
@@ -215,8 +243,9 @@ def redact(df: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
                     gap = data[at:a].decode()
                     start = chars + len(gap)
                     out += [gap, MARK]
-                    spans.append({"start": start, "stop": start + b - a, "score": score})  # candidates are ASCII
-                    at, chars = b, start + b - a
+                    stop = start + len(data[a:b].decode())
+                    spans.append({"start": start, "stop": stop, "score": score})
+                    at, chars = b, stop
                 texts.append("".join([*out, data[at:].decode()]) if found else text)
                 findings.append(spans)
             columns = list(part.columns)
