@@ -65,8 +65,8 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     loss_mask holds the spans [start, stop) of the bodies of `learn_from`, in code points of `formatted`; attachments are
     (number, kind, uri, tokens) in the order of their placeholders `<|kind:number|>`.
     """
-    visited = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), visit(F.coalesce(F.col(parts_col), F.array().cast(PART))).alias("seen"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.to_json("seen"))
+    visited = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.concat_ws("", F.transform(F.coalesce(F.col(parts_col), F.array().cast(PART)), lambda p: p["text"])).alias("said"), visit(F.coalesce(F.col(parts_col), F.array().cast(PART))).alias("seen"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "said", F.to_json("seen"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     files = F.filter("seen", lambda p: p["kind"] != "text")
     numbered = visited.withColumn("files", files).withColumn("first", F.coalesce(F.sum(F.size("files")).over(before), F.lit(0)))

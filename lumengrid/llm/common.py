@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as one slice of words; a longer single text makes a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -21,10 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir.
+
+    Where that is unset, a local master (tests, bench) gets a temporary folder; a cluster, whose machines share none, an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lumengrid-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/lumengrid/{uuid.uuid4().hex}"
 
 
@@ -35,6 +42,33 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in HEAVY of a table's rows is heavy; a table has fewer than HEAVY of them.
+HEAVY = 128
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """An inner join with `right`, which has one row for each key; `left`, a stored table, may hold any share of its rows under one key.
+
+    Rows of heavy keys meet their fewer than HEAVY right rows by broadcast and stay where they are; only the rest are dealt by
+    key. `total`: the number of rows of `left`, if known.
+    """
+    least = (left.count() if total is None else total) / HEAVY
+    heavy = [r[0] for r in left.groupBy(key).count().where(F.col("count") > F.lit(least)).select(key).collect()]  # fewer than HEAVY
+    if not heavy:
+        return left.join(right, key)
+    keys = left.sparkSession.createDataFrame([(k,) for k in heavy], left.select(key).schema)
+    few = right.join(F.broadcast(keys), key, "left_semi")
+    return left.join(F.broadcast(few), key).unionByName(left.join(F.broadcast(keys), key, "left_anti").join(right, key))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """A string column with null texts as empty ones."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,14 +1,15 @@
 """Language identification by language-bitmask n-gram filters.
 
 A bit-sliced Bloom filter: each of `SLICES` tables maps a hashed trigram to a bitmask of languages; the masks of all
-slices, and-ed, name all languages whose frequent trigrams include it. A text's popcounts per language, corrected for
-each filter's rate of false positives, decide. Slots are set where the counts of a bounded sample of labelled rows reach
-`MIN_RATE` of a language's trigrams, so at most 1 / MIN_RATE slots of a slice are set for a language.
+slices, and-ed, name all languages whose trigrams include it. A text's popcounts per language, corrected for each filter's
+rate of false positives, decide. A slot is set by every trigram of a bounded sample of labelled rows, however rare. The
+filters take SLICES x SLOTS bits for each language, of any number.
 
 Trigrams are those of the lower-cased text whose middle is a letter, anything else than a letter being a boundary. Null
 texts and texts without a letter are `und` with score 0. Rows without a label or text are not learned from; ties go to
 the language that sorts first. Texts of any length are read whole. With nothing to learn from, every text is `und`.
-Repeated rows get equal results; columns other than the named ones are not read, but `annotate` keeps them.
+Repeated rows get equal results; columns other than the named ones are not read, but `annotate` keeps them, and replaces
+only those that have the names of its results.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ SLICES = 3
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: The bound of the sample: labelled rows of a language that the filters are fitted on, in expectation.
 ROWS_PER_LANGUAGE = 3000
-MIN_RATE = 1e-4
-MAX_LANGUAGES = 1024
 UNKNOWN = "und"
 #: Bytes of text that are hashed at once; the arrays of trigrams take up to a hundred times as much.
 SLICE = 1 << 19
@@ -80,12 +79,15 @@ def slot(grams: np.ndarray, k: int) -> np.ndarray:
 class Filters:
     """The fitted slices: languages, a bitmask word array for each slice, and false-positive rates."""
 
-    def __init__(self, languages: list[str], slots: list[tuple[int, int, int]]):
+    def __init__(self, languages: list[str], words: list[tuple[int, int, int, int]]):
+        """`words`: (language, slice, word, bits), 64 slots to a word."""
         self.languages = languages
         self.masks = np.zeros((SLICES, -(-len(languages) // 64) or 1, SLOTS), np.uint64)
-        for language, k, at in slots:
+        fill = np.zeros((len(languages), SLICES))
+        for language, k, word, bits in words:
+            at = word * 64 + np.flatnonzero(np.unpackbits(np.array([bits], "<i8").view(np.uint8), bitorder="little"))
             self.masks[k, language // 64, at] |= np.uint64(1 << language % 64)
-        fill = np.array([[np.count_nonzero(self.masks[k, i // 64] >> np.uint64(i % 64) & np.uint64(1)) for k in range(SLICES)] for i in range(len(languages))]).reshape(-1, SLICES) / SLOTS
+            fill[language, k] += len(at) / SLOTS
         self.false_rate = np.minimum(fill.prod(axis=1), 0.99)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -119,52 +121,45 @@ class Filters:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Filters:
     """Filters from a sample of the labelled rows, drawn by a hash of id and text."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
     languages = sorted(counts)
     if not languages:
         return Filters([], [])
-    share = F.lit(0.0)
-    for name in languages:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, rows_per_language / counts[name]))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
-    index = {name: i for i, name in enumerate(languages)}
+    drawn = df.sparkSession.createDataFrame([(name, i, min(1.0, rows_per_language / counts[name])) for i, name in enumerate(languages)], "lang string, language int, share double")
+    sample = rows.join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("language", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for part in slices(batches, limit=SLICE):
-            own = np.array([index[x] for x in part.column("lang").to_pylist()], np.int64)
+            own = part.column("language").to_numpy()
             parts, first = pieces(part.column("text").to_pylist())
             own = np.repeat(own, np.diff(first))
             for language in np.unique(own).tolist():
                 for text in [parts[i] for i in np.flatnonzero(own == language)]:
                     mine = trigrams([text])[0]
                     for k in range(SLICES):
-                        got = held.setdefault((language, k), np.zeros(SLOTS, np.int64))
-                        np.add.at(got, slot(mine, k).astype(np.int64), 1)
+                        held.setdefault((language, k), np.zeros(SLOTS, bool))[slot(mine, k).astype(np.int64)] = True
         for (language, k), got in held.items():
-            at = np.flatnonzero(got)
-            yield pa.record_batch([pa.array(np.full(len(at), language)), pa.array(np.full(len(at), k)), pa.array(at), pa.array(got[at])], ["language", "slice", "slot", "n"])
+            bits = np.packbits(got, bitorder="little").view("<i8")
+            at = np.flatnonzero(bits)
+            yield pa.record_batch([pa.array(np.full(len(at), language, np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(bits[at])], ["language", "slice", "word", "bits"])
 
-    counted = sample.mapInArrow(run, "language long, slice long, slot long, n long").groupBy("language", "slice", "slot").agg(F.sum("n").alias("n"))
-    totals = counted.where("slice = 0").groupBy("language").agg(F.sum("n").alias("total"))
-    often = counted.join(F.broadcast(totals), "language").where(F.col("n") >= F.greatest(F.col("total") * MIN_RATE, F.lit(2)))  # totals: a row per language
-    got = often.select("language", "slice", "slot").toArrow()
-    return Filters(languages, list(zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)))
+    found = sample.mapInArrow(run, "language int, slice int, word int, bits long").groupBy("language", "slice", "word").agg(F.bit_or("bits").alias("bits"))
+    got = found.toArrow()  # SLICES x SLOTS / 64 rows per language at most
+    return Filters(languages, list(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True)))
 
 
-def annotate(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """`df` with lang_pred and score; clashing columns of these names are replaced."""
-    df = df.drop("lang_pred", "score")
+def annotate(df: DataFrame, filters: Filters, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """`df` with the language and its score; clashing columns of these names are replaced."""
+    df = df.drop(lang_out, score_out)
     shared = df.sparkSession.sparkContext.broadcast(filters)  # bounded: slices x slots x languages / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, SLICE):
             names, score = shared.value.predict(part.column(text_col).to_pylist())
-            yield pa.record_batch([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, lang_out, score_out])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())]))
 
 
 def held_out(fold: int, of: int):

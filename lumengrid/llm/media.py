@@ -189,4 +189,7 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "tensors",
+        "windows",
+        "segments",
     )

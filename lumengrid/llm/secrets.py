@@ -1,7 +1,8 @@
 """Secret scans: candidates by character runs, a random forest against false positives.
 
-A candidate is a run of token characters of at least `LEAST` bytes with a digit in it, or of 20 bytes and more; a leading
-`name=` or `name:` belongs to the words before it. What follows an asking word (password, key, token ...) is a candidate
+A candidate is a run of token characters of at least `LEAST` bytes that is no plain word: with a digit, with a capital after a
+small letter, with a sign that words lack, or of `LONG` bytes and more; a leading `name=` or `name:` belongs to the words before
+it. Runs of letters alone, in one case or capitalised, are words: nothing but what stands before them can tell. What follows an asking word (password, key, token ...) is a candidate
 whatever its characters and length, up to a quote or white space. The forest judges length, character classes and transitions, coverage
 by dictionary words, path traits and the neighbouring words. It is trained by Spark's RandomForestClassifier on labelled
 findings: a table (candidate, before, after, secret) with at most `FINDINGS` rows; `labelled_findings` makes one.
@@ -29,14 +30,17 @@ from pyspark.sql.types import StructType
 
 from lumengrid.llm.common import slices, table
 
-LEAST, LONG = 8, 20
-FINDINGS = 6000
+LEAST, LONG = 6, 20
+FINDINGS = 8000
 TREES, DEPTH = 30, 8
 MARK = "[SECRET]"
 THRESHOLD = 0.5
 
 TOKEN = np.zeros(256, bool)
 TOKEN[[ord(c) for c in string.ascii_letters + string.digits + "_-+/=.~:@"]] = True
+#: Digits, and token characters that plain words lack.
+ODD = np.zeros(256, bool)
+ODD[[ord(c) for c in string.digits + "_+=~"]] = True
 NAME = re.compile(r"^[A-Za-z_.-]{2,24}[=:](?!//)")
 ASKS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "auth", "bearer", "credential", "credentials", "private")
 DENIES = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "uuid", "guid", "id", "version", "build", "phone", "tel", "date", "isbn", "example", "placeholder", "revision", "digest")
@@ -89,7 +93,7 @@ def shape(candidate: str, before: str, after: str) -> list[float]:
 PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
 
 
-def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> DataFrame:
     """A table of labelled findings: drawn secrets, and strings that look like them, among words."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -110,11 +114,16 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Dat
     passphrase = lambda: "".join(made_up().capitalize() for _ in range(r.randint(2, 3)))
     told = lambda: words(1) + " " + r.choice(ASKS) + r.choice(["=", ": ", " = ", "=\"", ": '"])
     secret += [
+        lambda: (pick(string.ascii_letters, r.randint(12, 19)), words(2) + " "),
         lambda: (passphrase(), told()),
         lambda: (pick(string.ascii_letters, r.randint(8, 19)), told()),
         lambda: (pick(string.ascii_letters + string.digits + marks, r.randint(6, 20)) + r.choice(marks) + pick(string.ascii_letters + string.digits, r.randint(1, 4)), told()),
     ]
     harmless = [
+        lambda: (passphrase(), words(2) + " "),
+        lambda: (r.choice(["_", "=", "~", "+"]).join(made_up() for _ in range(r.randint(2, 4))), words(2) + " "),
+        lambda: (made_up() + str(r.randint(0, 99)) + made_up(), words(2) + " "),
+        lambda: (made_up() + made_up() + ":" + str(r.randint(0, 99)), words(2) + " "),
         lambda: (r.choice(DICTIONARY), words(1) + " " + r.choice(ASKS) + r.choice([" ", " ", ": "])),
         lambda: (made_up() + r.choice(["", "", ".", ",", ")"]), words(1) + " " + r.choice(ASKS) + " "),
         lambda: (r.choice(DICTIONARY) + r.choice("_-.") + r.choice(DICTIONARY) + str(r.randint(1, 9999)), words(3) + " "),
@@ -202,9 +211,12 @@ def _runs(data: bytes) -> Iterator[tuple[int, int]]:
     raw = np.frombuffer(data, np.uint8)
     inside = np.concatenate([[False], TOKEN[raw], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
-    digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
+    upper, lower = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122)
+    telling = ODD[raw]
+    telling[1:] |= upper[1:] & lower[:-1]
+    told = np.concatenate([[0], np.cumsum(telling)])
     size = edge[:, 1] - edge[:, 0]
-    keep = (size >= LEAST) & ((digits[edge[:, 1]] > digits[edge[:, 0]]) | (size >= LONG))
+    keep = (size >= LEAST) & ((told[edge[:, 1]] - told[edge[:, 0]] > 0) | (size >= LONG))
     for a, b in edge[keep].tolist():
         run = data[a:b].decode()
         if name := NAME.match(run):
@@ -225,9 +237,9 @@ def scan(data: bytes, forest: Forest) -> list[tuple[int, int, float]]:
     return found
 
 
-def redact(df: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
-    """`df` with secrets in `text_col` replaced by a mark, and `findings`: (start, stop, score) in code points of the old text."""
-    df = df.drop("findings")
+def redact(df: DataFrame, forest: Forest, text_col: str = "text", out: str = "findings") -> DataFrame:
+    """`df` with secrets in `text_col` replaced by a mark, and `out`: (start, stop, score) in code points of the old text."""
+    df = df.drop(out)
     shared = df.sparkSession.sparkContext.broadcast(forest)  # TREES trees of DEPTH levels
     index = df.columns.index(text_col)
 
@@ -238,21 +250,21 @@ def redact(df: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
             for text in part.column(index).to_pylist():
                 data = (text or "").encode()
                 found = scan(data, shared.value)
-                at, chars, out, spans = 0, 0, [], []
+                at, chars, kept, spans = 0, 0, [], []
                 for a, b, score in found:
                     gap = data[at:a].decode()
                     start = chars + len(gap)
-                    out += [gap, MARK]
+                    kept += [gap, MARK]
                     stop = start + len(data[a:b].decode())
                     spans.append({"start": start, "stop": stop, "score": score})
                     at, chars = b, stop
-                texts.append("".join([*out, data[at:].decode()]) if found else text)
+                texts.append("".join([*kept, data[at:].decode()]) if found else text)
                 findings.append(spans)
             columns = list(part.columns)
             columns[index] = pa.array(texts, pa.string())
-            yield pa.record_batch([*columns, pa.array(findings, kind)], [*part.schema.names, "findings"])
+            yield pa.record_batch([*columns, pa.array(findings, kind)], [*part.schema.names, out])
 
-    extra = StructType.fromDDL("findings array<struct<start:long,stop:long,score:double>>")
+    extra = StructType.fromDDL(f"`{out}` array<struct<start:long,stop:long,score:double>>")
     return df.mapInArrow(run, StructType([*df.schema.fields, *extra.fields]))
 
 

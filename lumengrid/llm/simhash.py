@@ -1,22 +1,33 @@
-"""SimHash near-duplicates with pivot distance tables.
-
-A fingerprint's table holds its Hamming distances to many reference fingerprints. Two fingerprints within `radius` bits
-differ by at most `radius` in every coordinate (triangle inequality), so a pair is discarded by its maximum coordinate
-difference and only survivors are compared bit by bit.
-
-A table alone would still meet all pairs. Coordinates of one kind prune before pairs are formed: with the zero word and
-the single-bit words among the references, d(x, bit i) - d(x, 0) = 1 - 2 * x[i], so equal coordinates on a block of bits
-are an equi-join key. Of `BLOCKS` blocks, a pair within 4 bits has two blocks untouched; each of the 15 pairs of blocks is one join key.
-Within a key, groups are swept in sorted order; pairs already connected are skipped, and a group sends one edge per member
-at most. Groups above `GROUP` fingerprints are dealt to pairs of parts, so that no task holds one whole.
-
-Only different fingerprints are compared; copies share theirs. Null and empty texts have fingerprint zero and are linked
-like any other; repeated rows get the same result each. Null ids are fingerprinted and take their component's id, but never
-name it (a component with null ids only has a null id). Texts may be of any length: shingles are hashed in runs.
+"""SimHash near-duplicates with stored pivot distance tables.
+
+Every different fingerprint gets a row of a stored table: its Hamming distances to the reference fingerprints. These are
+the zero word, the 64 words of one bit, and `FAR` random words. Two fingerprints within `radius` bits differ by at most
+`radius` in every coordinate (triangle inequality), so a pair is discarded by its maximum coordinate difference, and only
+survivors are compared bit by bit.
+
+Candidates come from the table too, by a grid join on coordinates. A distance to a random word says little of 64 bits (for
+two unrelated words it differs by 5.7 on average), but the distance to a word of one bit, less that to the zero word, is
++1 or -1 and differs only if the pair differs there: these are the references that tell most. A cell is a choice of such
+coordinates with their values; rows of one cell are compared.
+
+- `near_duplicates` is exact for fingerprints: of `blocks` blocks of references, a pair within `radius` bits has
+  blocks - radius whole ones; each choice of so many is one cell. Blocks grow in number with the table, so that cells stay small.
+- `similar_documents` looks for a Jaccard similarity of word shingles, of which 64 bits are only a sketch: at 0.8, pairs
+  are some 10 bits apart. Its cells are random choices of coordinates, so many that a pair `MEAN_BITS` apart
+  shares a cell with the chance `RECALL`, and candidates up to `WIDE` bits apart are verified on their shingles.
+
+Within a cell, rows are swept in sorted order. Cells above `GROUP` rows are dealt to pairs of parts, so that no task holds
+one whole; they are found by the cells of a share of the table, and if that misses one, its task just holds more.
+
+Only different texts are compared. Null and empty texts have fingerprint zero and are linked like any other; repeated rows
+get the same result each. Null ids are fingerprinted by `near_duplicates` and take their component's id, but never name it
+(a component with null ids only has a null id); `similar_documents` leaves them out, as nothing could name them. Texts may be
+of any length: shingles are hashed in runs. An empty table gives an empty result. Only the id and the text are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,24 +37,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import slices, stored, table, texts_of
+from lumengrid.llm.common import slices, spread_join, stored, table, texts_of
 from lumengrid.llm.components import components
 
 SEED = 42
 RADIUS = 4
-BLOCKS = 6
-#: Fingerprints of one key that a task compares at once.
+#: Rows of one cell that a task compares at once.
 GROUP = 8192
-#: Random reference fingerprints of the table.
-PIVOTS = np.random.default_rng(7).integers(0, 2**64, 16, dtype=np.uint64)
+#: Random references; their distances are the bytes of a long.
+FAR = np.random.default_rng(7).integers(0, 2**64, 8, dtype=np.uint64)
+#: The zero word and the words of one bit.
+UNIT = np.concatenate([[0], 1 << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
 RUN = 1 << 16
-
-
-def fingerprint(text: bytes, shingle: int, seed: int = SEED) -> int:
-    """The 64-bit SimHash of a UTF-8 text: a bit is 1 if it is set in over half the shingles' hashes."""
-    words = text.lower().split()  # of bytes: A-Z only; splits at 0x20 and 0x09-0x0D
+#: Candidates of `similar_documents`: the widest pair, and the chance that a pair MEAN_BITS apart shares a cell.
+WIDE = 18
+MEAN_BITS = 10
+RECALL = 0.97
+#: Rows of a random cell, as a power of two, where fingerprints are unlike each other.
+CELL_BITS = 4
+#: Candidates that a text tests in the first round, and the factor from round to round.
+TESTS, MORE = 1, 16
+
+
+def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle, repeats included, in runs: A-Z lower-cased, words split at 0x20 and 0x09-0x0D, joined by spaces."""
+    words = text.lower().split()  # of bytes: both know ASCII only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
@@ -52,13 +72,28 @@ def fingerprint(text: bytes, shingle: int, seed: int = SEED) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), RUN):
         a, b = starts[at : at + RUN].tolist(), ends[at : at + RUN].tolist()
-        h = np.fromiter((digest(joined[i:j], seed) for i, j in zip(a, b, strict=True)), "<u8", len(a))
+        yield np.fromiter((digest(joined[i:j], seed) for i, j in zip(a, b, strict=True)), "<u8", len(a))
+
+
+def _folded(runs: Iterator[np.ndarray]) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for h in runs:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts), bitorder="little").tobytes(), "little")
+        n += len(h)
+    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, shingle: int, seed: int = SEED) -> int:
+    """The 64-bit SimHash of a UTF-8 text: a bit is 1 if it is set in over half the shingles' hashes."""
+    return _folded(shingle_hashes(text, shingle, seed))
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted different shingle hashes of a text."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, shingle)]))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -73,35 +108,124 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def block_keys(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
-    """A mask of bits for each choice of blocks that some pair within the radius leaves untouched."""
-    edges = np.linspace(0, 64, blocks + 1).astype(int)
-    masks = [sum(1 << i for i in range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [sum(masks[i] for i in some) for some in combinations(range(blocks), blocks - radius)]
+# --- pivot tables and their cells ----------------------------------------------------------------------------------
+
+
+def distances(fp: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """Hamming distances to the references, a row for each fingerprint."""
+    return np.stack([np.bitwise_count(fp ^ p) for p in references], axis=1).astype(np.uint8)
+
+
+def pivot_table(rows: DataFrame) -> DataFrame:
+    """`rows`, which have a column fp, with their coordinates: `unit` (bytes) and `far` (8 bytes as a long). Stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(batch.schema.get_field_index("fp")).to_numpy().view(np.uint64)
+            unit, far = distances(fp, UNIT), distances(fp, FAR)
+            size = pa.array([len(UNIT)] * len(fp), pa.int32())
+            offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * len(UNIT))
+            data = pa.Array.from_buffers(pa.binary(), len(size), [None, offsets.buffers()[1], pa.py_buffer(unit.tobytes())])
+            yield pa.record_batch([*batch.columns, data, pa.array(np.ascontiguousarray(far).view(np.int64)[:, 0])], [*batch.schema.names, "unit", "far"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return stored(rows.mapInArrow(run, f"{kept}, unit binary, far long"))
+
 
+def block_choices(blocks: int, radius: int) -> list[list[int]]:
+    """The references of each choice of blocks that some pair within the radius leaves whole."""
+    parts = np.array_split(np.arange(1, 65), blocks)
+    return [np.concatenate([parts[i] for i in some]).tolist() for some in combinations(range(blocks), blocks - radius)]
 
-def pivot_table(fp: np.ndarray) -> np.ndarray:
-    """Distances to the reference fingerprints, one row for each of them."""
-    return np.stack([np.bitwise_count(fp ^ p) for p in PIVOTS]).astype(np.int8)
 
+def blocks_for(n: int, radius: int) -> int:
+    """Two blocks more than the radius, and more of them until a cell's coordinates number as many as n has bits."""
+    blocks = radius + 2
+    while blocks < 16 and (blocks - radius) * 64 / blocks < math.log2(max(n, 2)):
+        blocks += 1
+    return blocks
 
-def near(fp: np.ndarray, left: np.ndarray, right: np.ndarray, coordinates: np.ndarray, radius: int) -> np.ndarray:
-    """Which of the pairs are within the radius: maximum coordinate difference first, then the bits."""
-    keep = np.arange(len(left))
-    for row in coordinates:
-        keep = keep[np.abs(row[left[keep]] - row[right[keep]]) <= radius]
-    return keep[np.bitwise_count(fp[left[keep]] ^ fp[right[keep]]) <= radius]
 
+def random_choices(n: int, recall: float | None = None, bits: int = MEAN_BITS, seed: int = 17) -> list[list[int]]:
+    """Random choices of CELL_BITS references fewer than n has bits; so many that a pair `bits` apart agrees on one with the chance `recall`."""
+    k = min(max(math.ceil(math.log2(max(n, 2))) - CELL_BITS, 6), 40)
+    recall = RECALL if recall is None else recall
+    whole = math.prod((64 - bits - i) / (64 - i) for i in range(k))
+    r = np.random.default_rng(seed)
+    return [sorted((r.permutation(64)[:k] + 1).tolist()) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - whole)))]
 
-def links(fp: np.ndarray, group: np.ndarray, part: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (member, smallest member) of what is connected within each run of equal `group`.
 
-    Rows of equal group are neighbours. `part` is 2 for rows that are compared with each other, and 0 or 1 for rows of
-    two parts of which only pairs across are compared here.
+def cells(pivots: DataFrame, choices: list[list[int]], columns: list[str]) -> DataFrame:
+    """(cell, columns): each row of the stored table once for each choice of coordinates. Equal coordinates give equal cells."""
+    r = np.random.default_rng(3)
+    weights = np.zeros((len(UNIT), len(choices)), np.int64)
+    for c, some in enumerate(choices):
+        weights[some, c] = r.integers(-(2**62), 2**62, len(some)) | 1
+    start = r.integers(-(2**62), 2**62, len(choices))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                unit = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, len(UNIT)).astype(np.int64)
+                own = (unit - unit[:, :1]) @ weights + start  # wraps at 64 bits
+                for c in range(len(choices)):
+                    yield pa.record_batch([pa.array(own[:, c]), *part.columns[1:]], ["cell", *columns])
+
+    kinds = "".join(f", `{c}` {pivots.schema[c].dataType.simpleString()}" for c in columns)
+    return pivots.select("unit", *columns).mapInArrow(run, f"cell long{kinds}")
+
+
+def dealt(pivots: DataFrame, choices: list[list[int]], columns: list[str], group: int, n: int) -> DataFrame:
+    """(columns, cell[, part]): the cells, sorted within partitions. Large ones are dealt to cells of two parts each.
+
+    `part` is 2 for rows that are compared with each other, and 0 or 1 for rows of two parts of which only pairs across are
+    compared; without a large cell there is none.
     """
-    n = len(fp)
-    label = np.arange(n)
-    coordinates = pivot_table(fp)
+    own = cells(pivots, choices, columns)
+    rate = max(1, min(64, group // 128))
+    large = None
+    if n > group:
+        some = pivots.where(F.pmod(F.xxhash64("fp", F.lit("deal")), F.lit(rate)) == 0)
+        large = stored(cells(some, choices, []).groupBy("cell").count().where(F.col("count") * rate > group).select("cell", F.ceil(F.col("count") * rate / group).cast("int").alias("parts")))
+    if large is not None and not large.isEmpty():  # part p of n meets each part q >= p in a cell (p, q); pairs of one part are compared in (p, p) only
+        own = own.join(large, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        own = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        part = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") > F.col("q"), 1).otherwise(0).alias("part")
+        own = own.select(*columns, F.xxhash64("cell", F.least("p", "q"), F.greatest("p", "q")).alias("cell"), part)
+    return own.repartition("cell").sortWithinPartitions("cell")
+
+
+def by_cell(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The sorted rows in tables of whole cells, of about `least` rows, with each row's cell as a running number."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        g = _groups(t)
+        cut = int(np.searchsorted(g, g[-1]))  # the last cell may go on in the next batch
+        if cut:
+            yield t.slice(0, cut), g[:cut]
+            held = t.slice(cut).to_batches()
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, _groups(t)
+
+
+def _groups(t: pa.Table) -> np.ndarray:
+    cell = t.column("cell").to_numpy()
+    return np.cumsum(np.concatenate([[0], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, int)
+
+
+def _parts(t: pa.Table) -> np.ndarray:
+    return t.column("part").to_numpy() if "part" in t.column_names else np.full(t.num_rows, 2)
+
+
+def pairs_by_step(group: np.ndarray, part: np.ndarray, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell, as index arrays, one distance in the order at a time; `wanted(a, b)` picks among them first."""
+    n = len(group)
     start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.array([], int)
     longest = int(np.diff(np.append(start, n)).max()) if n else 0
     at = np.arange(n)
@@ -110,14 +234,48 @@ def links(fp: np.ndarray, group: np.ndarray, part: np.ndarray, radius: int = RAD
         at = at[group[at] == group[at + step]]
         if not len(at):
             break
-        open_pairs = at[(label[at] != label[at + step]) & ((part[at] != part[at + step]) | (part[at] == 2))]
-        if not len(open_pairs):
-            continue
-        hit = open_pairs[near(fp, open_pairs, open_pairs + step, coordinates, radius)]
-        if len(hit):
-            label = _joined(label, hit, hit + step)
-    moved = np.flatnonzero(label != np.arange(n))
-    return fp[moved], fp[label[moved]]
+        some = at[(part[at] != part[at + step]) | (part[at] == 2)]
+        some = some[wanted(some, some + step)]
+        if len(some):
+            yield some, some + step
+
+
+def near(fp: np.ndarray, far: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs are within the radius: the maximum coordinate difference first, then the bits."""
+    keep = np.abs(far[left] - far[right]).max(axis=1, initial=0) <= radius
+    keep[keep] = np.bitwise_count(fp[left[keep]] ^ fp[right[keep]]) <= radius
+    return keep
+
+
+def _coordinates(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    fp = t.column("fp").to_numpy().view(np.uint64)
+    return fp, np.ascontiguousarray(t.column("far").to_numpy()).view(np.uint8).reshape(-1, len(FAR)).astype(np.int8)
+
+
+# --- exact components of fingerprints ------------------------------------------------------------------------------
+
+
+def near_edges(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """(a, b): star edges (member, smallest member) that connect the distinct fingerprints `fp` within the radius.
+
+    A cell sends one edge for each member at most; pairs that it has connected already are skipped.
+    """
+    pivots = pivot_table(distinct.select("fp"))
+    n = pivots.count()
+    cell_rows = dealt(pivots, block_choices(blocks_for(n, radius), radius), ["fp", "far"], group, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, g in by_cell(batches, 4 * group):
+            fp, far = _coordinates(t)
+            label = [np.arange(len(fp))]
+            for a, b in pairs_by_step(g, _parts(t), lambda a, b: label[0][a] != label[0][b]):  # noqa: B023
+                hit = near(fp, far, a, b, radius)
+                if hit.any():
+                    label[0] = _joined(label[0], a[hit], b[hit])
+            moved = np.flatnonzero(label[0] != np.arange(len(fp)))
+            yield pa.record_batch([pa.array(fp[moved].view(np.int64)), pa.array(fp[label[0][moved]].view(np.int64))], ["a", "b"])
+
+    return cell_rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,60 +291,176 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = again
 
 
-def near_edges(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """(a, b): star edges that connect the distinct fingerprints `fp` within the radius."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_keys(BLOCKS, radius)]
-    keyed = distinct.select("fp", F.posexplode(F.array([F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    large = stored(keyed.groupBy("t", "key").count().where(F.col("count") > group).select("t", "key", F.ceil(F.col("count") / group).cast("int").alias("parts")))
-    if large.isEmpty():
-        dealt = keyed.select("fp", "t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("part"))
-    else:  # part p of n meets each part q >= p in a cell (p, q); within a cell, pairs of one part are compared in (p, p) only
-        own = keyed.join(large, ["t", "key"], "left").withColumn("n", F.coalesce("parts", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-        cells = own.select("fp", "t", "key", "p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"))
-        dealt = cells.select("fp", "t", "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), F.when(F.col("p") == F.col("q"), 2).when(F.col("p") > F.col("q"), 1).otherwise(0).alias("part"))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest id that each row reaches over links of at most `radius` differing bits."""
+    rows = stored(fingerprints(df, id_col, text_col, shingle))
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    roots = components(near_edges(distinct.select("fp"), radius))
+    named = stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of_fp = stored(spread_join(named, names, "root").select("fp", "component_id"))
+    return spread_join(rows, of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- components of similar texts -----------------------------------------------------------------------------------
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, fp, node, n): the fingerprint, a digest of the set of shingles, and the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 4 * group:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            g = _groups(t)
-            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
-            if cut:
-                yield _edges(t.slice(0, cut), g[:cut], radius)
-                held = t.slice(cut).to_batches()
-        if held:
-            t = pa.Table.from_batches(held).combine_chunks()
-            yield _edges(t, _groups(t), radius)
-
-    keys = ["t", "key", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).select("fp", *keys, "part").mapInArrow(run, "a long, b long").distinct()
+        for part in slices(batches):
+            fp, node, n = [], [], []
+            for t in texts_of(part.column("text")):
+                runs = list(shingle_hashes(t.as_py().encode(), shingle))
+                own = np.unique(np.concatenate([np.zeros(0, "<u8"), *runs]))
+                fp.append(_folded(iter(runs)))
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                n.append(len(own))
+            columns = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fp, node)]
+            yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), *columns, pa.array(n, pa.int32())], ["doc_id", "text_hash", "fp", "node", "n"])
 
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, node long, n int")
 
-def _groups(t: pa.Table) -> np.ndarray:
-    change = np.zeros(t.num_rows, bool)
-    for c in ("t", "key", "i", "j"):
-        v = t.column(c).to_numpy()
-        change[1:] |= v[1:] != v[:-1]
-    return np.cumsum(change)
 
+def candidates(pivots: DataFrame, choices: list[list[int]], n: int, tests: int, first: bool, similarity: float, radius: int = WIDE, group: int = GROUP) -> DataFrame:
+    """(node, best, star) from rows with comp and floor: what each text has to test next among texts of other components.
 
-def _edges(t: pa.Table, group: np.ndarray, radius: int) -> pa.RecordBatch:
-    a, b = links(t.column("fp").to_numpy().view(np.uint64), group, t.column("part").to_numpy(), radius)
-    return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    `best` are the `tests` closest candidates (rank, partner) above its floor in the order of bits, then digest;
+    `star` is the smallest candidate, in the first round, so that a crowd soon meets at one text.
+    """
+    rows = dealt(pivots, choices, ["fp", "far", "node", "n", *([] if first else ["comp", "floor"])], group, n)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, g in by_cell(batches, 4 * group):
+            fp, far = _coordinates(t)
+            node, size = t.column("node").to_numpy(), t.column("n").to_numpy()
+            comp, floor = (node, np.full(len(node), -1)) if first else (t.column(c).to_numpy() for c in ("comp", "floor"))
+            tail = (node.view(np.uint64) >> np.uint64(7)).view(np.int64)
+
+            def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return (comp[a] != comp[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))  # noqa: B023
+
+            out: list[tuple[np.ndarray, ...]] = []
+            stars = np.full(len(node), -1)
+            held = 0
+            for a, b in pairs_by_step(g, _parts(t), wanted):
+                hit = near(fp, far, a, b, radius)
+                a, b = a[hit], b[hit]
+                if not len(a):
+                    continue
+                bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) << 57
+                for x, y in ((a, b), (b, a)):
+                    if first:
+                        better = (stars[x] < 0) | (node[y] < node[stars[x]])
+                        stars[x[better]] = y[better]  # an index occurs once in a step's x
+                    rank = bits | tail[y]
+                    above = rank > floor[x]
+                    out.append((x[above], rank[above], y[above]))
+                    held += int(above.sum())
+                if held > 1 << 20:
+                    out = [_closest(out, tests)]
+                    held = len(out[0][0])
+            x, rank, y = _closest(out, tests)
+            s = np.flatnonzero(stars >= 0) if first else np.zeros(0, int)
+            yield pa.record_batch(
+                [pa.array(node[np.concatenate([x, s])]), pa.array(np.concatenate([rank, np.zeros(len(s), np.int64)])), pa.array(node[np.concatenate([y, stars[s]])]), pa.array(np.arange(len(x) + len(s)) >= len(x))],
+                ["node", "rank", "partner", "star"],
+            )
+
+    found = rows.mapInArrow(run, "node long, rank long, partner long, star boolean")
+    best = F.slice(F.array_sort(F.collect_set(F.when(~F.col("star"), F.struct("rank", "partner")))), 1, tests)
+    return found.groupBy("node").agg(best.alias("best"), F.min(F.when(F.col("star"), F.col("partner"))).alias("star"))
+
+
+def _closest(parts: list[tuple[np.ndarray, ...]], tests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `tests` smallest ranks of each x."""
+    if not parts:
+        return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, int)
+    x, rank, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((rank, x))
+    x, rank, y = x[order], rank[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+    place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    keep = place < tests
+    return x[keep], rank[keep], y[keep]
+
+
+def shingle_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, hashes): the sorted shingle hashes of the texts that stand for the nodes in wanted (doc_id, text_hash, node). Stored."""
+    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id that each row reaches over links of at most `radius` differing bits."""
-    rows = stored(fingerprints(df, id_col, text_col, shingle))
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(near_edges(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = named.join(names, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            hashes = [shingle_set(t.as_py().encode(), shingle).tobytes() for t in texts_of(part.column("text"))]
+            yield pa.record_batch([part.column("node"), pa.array(hashes, pa.binary())], ["node", "hashes"])
+
+    rows = texts.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
+    return stored(rows.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), a > b, whose sets are similar. The smaller node of a crowd is heavy, and joined without dealing by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    left = spread_join(pairs, sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, root, group_id): the group (its root's digest) and its smallest id, for rows that have an id.
+
+    Groups are the components of links between texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
+    In rounds, each text tests its closest candidates outside its group, then more of them; verified links join groups, and what
+    is in one group is not tested any more. The rounds end when no text has a candidate outside its group that it has not tested.
+    `text_hash` is xxhash64 of the text.
+    """
+    rows = stored(signatures(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle))
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n")))
+    n = nodes.count()
+    choices = random_choices(n)
+    state = pivot_table(nodes.select("node", "fp", "n", F.col("node").alias("comp"), F.lit(-1).cast("long").alias("floor")))
+    links, sets, tests, first = None, None, TESTS, True
+    while True:
+        asked = stored(candidates(state, choices, n, tests, first, similarity))
+        tried = asked.select("node", F.explode("best.partner").alias("partner"))
+        if first:
+            tried = tried.unionByName(asked.select("node", F.col("star").alias("partner")).where("star is not null"))
+        pairs = stored(tried.select(F.greatest("node", "partner").alias("a"), F.least("node", "partner").alias("b")).distinct())
+        if pairs.isEmpty():
+            break
+        if first:  # texts without a candidate have no part in later rounds
+            active = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+            sets = shingle_sets(df, nodes.join(active, "node").select("rep.*", "node"), id_col, text_col, shingle)
+        good = stored(verified(pairs, sets, similarity))
+        links = good if links is None else stored(links.unionByName(good))
+        roots = components(links).withColumnRenamed("root", "new_comp")
+        floors = asked.select("node", F.when(F.size("best") < tests, F.lit(2**63 - 1)).otherwise(F.element_at("best.rank", -1)).alias("new_floor"))
+        moved = state.join(active, "node", "left_semi").join(roots, "node", "left").join(floors, "node", "left")
+        done = F.coalesce("new_floor", F.lit(2**63 - 1))  # no candidate outside its group
+        state = stored(moved.select("node", "fp", "n", F.coalesce("new_comp", "comp").alias("comp"), done.alias("floor"), "unit", "far"))
+        if state.where(F.col("floor") < 2**63 - 1).isEmpty():
+            break
+        tests, first = tests * MORE, False
+    if links is None:
+        named = nodes.select("node", F.col("node").alias("root"), "rep")
+    else:
+        named = nodes.select("node", "rep").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
+    named = stored(named)
+    names = named.groupBy("root").agg(F.min("rep.doc_id").alias("group_id"))
+    of_node = stored(spread_join(named, names, "root").select("node", "root", "group_id"))
+    return spread_join(rows, of_node, "node").select("doc_id", "text_hash", "root", "group_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

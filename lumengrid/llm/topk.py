@@ -1,16 +1,18 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
-The dimensions are cut into m blocks; a block's partial products are one score list. Phase 1: each task takes the k best
-of every local list, completes their scores, and the k-th best of all tasks' lists becomes a query's cutoff; since it is
-the score of k real candidates, no answer lies below it. Phase 2: with the cutoff broadcast, each task collects every
-entry with a partial product of at least cutoff / m in some list (an entry below that in all m lists cannot reach the
-cutoff). Phase 3: the collected entries' remaining blocks are added and those at or above the cutoff are merged.
-
-Queries go through in blocks of bounded bytes; each block meets all rows once per phase. A task sends k rows per query
-at most. Components become floor(scale * x) with x as double; vectors that are null or hold null or non-finite
-components, and rows with a null id, take no part, nor do queries or candidates of another length than the first
-query's. Ties go to the smaller id. Repeated rows count once each; a query never meets rows of its own id, and rows that
-share a query's id ask once, with the smallest vector. An empty table or no query gives an empty result.
+The dimensions are cut into m blocks; a block's partial products are one score list. Phase 1 gathers local lists: each task
+takes the k best of every list of its rows, one list at a time, resolves these entries' exact scores and no others, and the
+k-th best of all tasks' entries becomes a query's cutoff. Since it is the score of k real candidates, no answer lies below it.
+Phase 2: with the cutoff broadcast, each task collects the entries with a partial product of at least cutoff / m in some
+list; an entry below that in all m lists cannot reach the cutoff. Phase 3: only the collected entries' scores are resolved
+exactly, and those at or above the cutoff are merged. With fewer than k candidates there is no cutoff, and all are collected.
+
+Queries go through in blocks of bounded bytes; each block meets all rows once per phase, and its results are written, so that
+plans do not grow with the number of blocks. A task sends k rows per query at most. Components become floor(scale * x) with x
+as double; vectors that are null or hold null or non-finite components, and rows with a null id, take no part. Vectors are
+searched among those of their own length; an empty one scores 0 with others of its kind. Ties go to the smaller id. Repeated
+rows count once each; a query never meets rows of its own id, and rows that share a query's id ask once, with the shortest,
+then smallest vector. An empty table or no query gives an empty result. Only the id and the vector are read.
 """
 
 from __future__ import annotations
@@ -20,16 +22,19 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import stored, table
+from lumengrid.llm.common import shared_folder, stored, table
 
 #: Bytes of the queries that one pass broadcasts.
 QUERY_BYTES = 16 << 20
 #: Rows that a task scores at once.
 ROWS = 1024
 QUERIES = 512
+#: Entries whose exact scores are resolved at once.
+ENTRIES = 1 << 16
 
 
 def quantized(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -41,110 +46,128 @@ def quantized(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFr
     return kept.select(F.col(id_col).cast("long").alias("vec_id"), parts.alias("v"))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.floor(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
+def _whole(values: np.ndarray) -> np.ndarray:
+    """Products of these stay exact in doubles below 2**53; larger numbers become Python's integers."""
+    return values if values.size == 0 or np.abs(values).max() < 2**20 else np.array([int(v) for v in values.ravel()], object).reshape(values.shape)
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in whole numbers: doubles hold the sums exactly below 2**53; else Python's integers."""
-    if a.size == 0 or b.size == 0 or np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**53:
-        return a @ b.T
-    return (np.array([[int(x) for x in r] for r in a], object) @ np.array([[int(x) for x in r] for r in b], object).T).astype(object)
+def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) for each length of vectors."""
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for width in np.unique(size).tolist():
+        at = np.flatnonzero(size == width)
+        yield at, np.floor(column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)).reshape(len(at), width)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indexes of the k best entries of a list, ties to smaller ids."""
-    return np.lexsort((ids, -scores.astype(np.float64) if scores.dtype != object else np.array([-int(s) for s in scores], object)))[:k]
+def _exact(q: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The whole scores of the entries (query i, row j), and no others."""
+    if len(i) == 0:
+        return np.zeros(0, object)
+    out = [(_whole(q[i[at : at + ENTRIES]]) * _whole(rows[j[at : at + ENTRIES]])).sum(axis=1) for at in range(0, len(i), ENTRIES)]
+    return np.array([int(v) for part in out for v in part], object)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            yield part.column(0).to_numpy(), _matrix(part.column(1), width)
+def _lists(q: np.ndarray, rows: np.ndarray, blocks: int) -> Iterator[np.ndarray]:
+    """Each list's partial products [query, row] as doubles, one list at a time; off by a rounding error at most."""
+    edges = np.linspace(0, q.shape[1], min(blocks, max(q.shape[1], 1)) + 1).astype(int)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield q[:, a:b] @ rows[:, a:b].T
+
+
+def _gathered(q: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, blocks: int) -> np.ndarray:
+    """Phase 1: marks the k best entries of each list; `own` marks a query's own rows, which take no part."""
+    take = np.zeros(own.shape, bool)
+    n = min(k, own.shape[1])
+    for part in _lists(q, rows, blocks):
+        part[own] = -np.inf
+        np.put_along_axis(take, np.argpartition(-part, n - 1, axis=1)[:, :n], True, axis=1)
+    return take & ~own
+
+
+def _collected(q: np.ndarray, rows: np.ndarray, own: np.ndarray, cutoff: np.ndarray, blocks: int) -> np.ndarray:
+    """Phase 2: marks the entries that reach the uniform threshold in some list."""
+    take = np.zeros(own.shape, bool)
+    m = min(blocks, max(q.shape[1], 1))
+    slack = 1e-9 * (np.abs(q).sum(axis=1) * (np.abs(rows).max() if rows.size else 0) + 1)  # more than doubles may round
+    least = (cutoff / m - slack)[:, None]
+    for part in _lists(q, rows, blocks):
+        take |= part >= least
+    return take & ~own
 
 
 SENT = "query_id long, vec_id long, score decimal(38,0)"
 
 
-def _sent(found: dict[int, list[tuple[int, int]]], k: int) -> pa.RecordBatch:
+def _best(found: dict[int, list[tuple[int, int]]], k: int) -> pa.RecordBatch:
     """A task's k best (score, id) per query."""
     rows = [(q, i, s) for q, own in found.items() for s, i in sorted(own, key=lambda e: (-e[0], e[1]))[:k]]
     columns = list(zip(*rows, strict=True)) or [(), (), ()]
     return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([Decimal(s) for s in columns[2]], pa.decimal128(38, 0))], ["query_id", "vec_id", "score"])
 
 
-def _pass(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, blocks: int, cutoff: np.ndarray | None) -> DataFrame:
-    """Phase 1 (no cutoff) or phases 2 and 3 over all rows for one block of queries."""
-    spark, width = vectors.sparkSession, queries.shape[1]
-    shared = spark.sparkContext.broadcast((ids, queries, cutoff))  # QUERY_BYTES at most
-    edges = np.linspace(0, width, blocks + 1).astype(int)
+def _pass(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, blocks: int, cutoffs: dict[int, float] | None) -> DataFrame:
+    """Phase 1 (no cutoffs), or phases 2 and 3, over all rows for one block of queries: ids and a matrix for each length."""
+    shared = vectors.sparkSession.sparkContext.broadcast((queries, cutoffs))  # QUERY_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, own, low = shared.value
+        asked, cut = shared.value
         found: dict[int, list[tuple[int, int]]] = {}
-        for row_ids, rows in _rows(batches, width):
-            for at in range(0, len(own_ids), QUERIES):
-                q_ids, q = own_ids[at : at + QUERIES], own[at : at + QUERIES]
-                lists = [_product(q[:, a:b], rows[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                total = sum(lists)
-                self_hit = q_ids[:, None] == row_ids[None, :]
-                if low is None:
-                    take = np.zeros(total.shape, bool)
-                    for part in lists:
-                        part = np.where(self_hit, -np.inf, part.astype(np.float64))
-                        n = min(k, part.shape[1])
-                        np.put_along_axis(take, np.argpartition(-part, n - 1, axis=1)[:, :n], True, axis=1)
-                else:
-                    share = low[at : at + QUERIES, None] / blocks
-                    take = np.zeros(total.shape, bool)
-                    for part in lists:
-                        take |= part.astype(np.float64) >= share - 1e-6 * np.abs(share)  # phase 2: the uniform threshold
-                    take &= total.astype(np.float64) >= low[at : at + QUERIES, None] - 1e-6 * np.abs(low[at : at + QUERIES, None])
-                take &= ~self_hit
-                for i in np.flatnonzero(take.any(axis=1)):
-                    hits = np.flatnonzero(take[i])
-                    if len(hits) > k:
-                        hits = hits[_best(total[i, hits], row_ids[hits], k)]
-                    mine = found.setdefault(int(q_ids[i]), [])
-                    mine += [(int(total[i, h]), int(row_ids[h])) for h in hits]
-                    if len(mine) > 8 * k:
-                        mine[:] = sorted(mine, key=lambda e: (-e[0], e[1]))[:k]
-        yield _sent(found, k)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                all_ids = part.column(0).to_numpy()
+                for rows_at, rows in _vectors(part.column(1)):
+                    if rows.shape[1] not in asked:
+                        continue
+                    ids, queries = asked[rows.shape[1]]
+                    row_ids = all_ids[rows_at]
+                    for at in range(0, len(ids), QUERIES):
+                        q_ids, q = ids[at : at + QUERIES], queries[at : at + QUERIES]
+                        own = q_ids[:, None] == row_ids[None, :]
+                        if cut is None:
+                            take = _gathered(q, rows, own, k, blocks)
+                        else:
+                            take = _collected(q, rows, own, np.array([cut.get(i, -np.inf) for i in q_ids.tolist()]), blocks)
+                        i, j = np.nonzero(take)
+                        for x, y, score in zip(i.tolist(), j.tolist(), _exact(q, rows, i, j), strict=True):
+                            if cut is None or score >= cut.get(int(q_ids[x]), -np.inf):
+                                mine = found.setdefault(int(q_ids[x]), [])
+                                mine.append((score, int(row_ids[y])))
+                                if len(mine) > 64 * k:
+                                    mine[:] = sorted(mine, key=lambda e: (-e[0], e[1]))[:k]
+        yield _best(found, k)
 
     return vectors.mapInArrow(run, SENT)
 
 
+def _by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    column = rows.column("v").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    ids = rows.column("vec_id").to_numpy()
+    return {m.shape[1]: (ids[at], m) for at, m in _vectors(column)}
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, blocks: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows but its own."""
     spark = df.sparkSession
-    wanted = df.where(is_query)
-    vectors, asked = quantized(df, scale, id_col, vector_col), quantized(wanted, scale, id_col, vector_col)
-    asked = stored(asked.groupBy("vec_id").agg(F.min("v").alias("v")))
+    vectors, asked = quantized(df, scale, id_col, vector_col), quantized(df.where(is_query), scale, id_col, vector_col)
+    first = F.min(F.struct(F.size("v").alias("n"), "v"))
+    asked = stored(asked.groupBy("vec_id").agg(first.alias("first")).select("vec_id", "first.v", (F.lit(64) + 8 * F.col("first.n")).cast("long").alias("bytes")))
+    n_blocks = max(1, -(-(asked.agg(F.sum("bytes")).first()[0] or 0) // QUERY_BYTES))
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    folder = shared_folder(spark)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    first = asked.orderBy("vec_id").limit(1).collect()
-    if not first:
-        return empty
-    width = len(first[0].v)
-    if not width:
-        return empty
-    asked, vectors = asked.where(F.size("v") == width), vectors.where(F.size("v") == width)
-    per_block = max(1, QUERY_BYTES // (8 * width))
-    n_blocks = -(-asked.count() // per_block)
-    result = None
-    for block in range(n_blocks):  # each holds per_block queries on average, and is sent in parts if it holds more
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).toArrow()
-        for at in range(0, part.num_rows, per_block):
-            some = part.slice(at, per_block).combine_chunks()
-            ids, queries = some.column("vec_id").to_numpy(), np.floor(some.column("v").combine_chunks().flatten().to_numpy()).reshape(-1, width)
-            lists = _pass(vectors, ids, queries, k, blocks, None)
-            ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-            kth = lists.withColumn("rank", ranked).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("score")).collect()  # one row per query of the block
-            cut = {r[0]: r[1] for r in kth}
-            cutoff = np.array([cut.get(int(i), -np.inf) for i in ids])
-            final = _pass(vectors, ids, queries, k, blocks, cutoff).withColumn("rank", ranked.cast("int")).where(F.col("rank") <= k)
-            result = final if result is None else result.unionByName(final)
-    return result.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    empty.write.mode("append").parquet(folder)
+    for block in range(n_blocks):  # of QUERY_BYTES on average, and sent in parts if it holds more
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).toArrow()
+        edges = np.concatenate([[0], np.cumsum(rows.column("bytes").to_numpy()) // QUERY_BYTES]) if rows.num_rows else np.zeros(1)
+        for step in np.unique(edges[1:]).tolist():
+            at = np.flatnonzero(edges[1:] == step)
+            queries = _by_length(rows.slice(int(at[0]), len(at)))
+            kth = _pass(vectors, queries, k, blocks, None).withColumn("rank", ranked).where(F.col("rank") == k).select("query_id", "score").collect()  # one row per query of the block
+            final = _pass(vectors, queries, k, blocks, {r[0]: int(r[1]) for r in kth}).withColumn("rank", ranked).where(F.col("rank") <= k)
+            final.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score")).write.mode("append").parquet(folder)
+    return spark.read.schema(empty.schema).parquet(folder)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,15 +4,18 @@ Two character models, of toxic and of ordinary texts, spell each word to its end
 before it in its word, up to ORDER - 1 letters with the word's start. Words are runs of letters and their marks; all else
 parts them. A letter in a context that no labelled text has it in says nothing. Both models discount their own counts absolutely and back off to shared counts: the pooled counts of both classes in
 the same context, which back off to continuation counts (in how many contexts that end alike a letter occurs) and from
-there to all letters. An expression that either class has hardly seen thus gets nearly the same likelihood from both. A
-text's score is the difference of the two log-likelihoods per word, mapped to 0..1 by a logistic curve; a word counts by
-what its difference exceeds a dead zone, and words that look ordinary do not outweigh those that do not.
+there to all letters. An expression that either class has hardly seen thus gets nearly the same likelihood from both.
 
-Counts cover all n-grams of all labelled rows, in a Spark table that grows with them; words meet it in parts of about `PART`
-n-grams, one pass over the texts' distinct words for each, and texts meet the words above the dead zone in the same way. The curve is fitted on at most
+A toxic text is written in ordinary words for the most part, so the toxic likelihood of a word is 1 - SHARE of its ordinary one
+and SHARE of that by the model of toxic texts. A text's score is the difference of its two log-likelihoods by number of words, of
+all words and in both directions, mapped to 0..1 by a logistic curve.
+
+Counts cover all n-grams of all labelled rows, in a Spark table that grows with them. It meets words in parts of at most `PART`
+n-grams. If it is one part, texts are scored in one pass; else the texts' distinct words meet all parts first, one pass for each, and
+texts then meet the parts of the words' table. Sums are exact, so both ways give the same. The curve is fitted on at most
 `CURVE_ROWS` rows in expectation, each half scored by the other half's model.
 
-Null and empty texts, and texts without a letter, score the curve's value at no difference, 0.5 at most. Rows without a
+Null and empty texts, and texts without a letter, say nothing and score the curve's value at no difference, 0.5 at most. Rows without a
 label or text are not learned from; a document labelled more than once counts once per label row. With no row of one of
 the classes, every score is 0. Texts of any length are read whole; repeated rows get equal results.
 """
@@ -24,22 +27,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lumengrid.llm.common import slices, stored, sums, table, texts_of, words_of
+from lumengrid.llm.common import fresh, slices, stored, sums, table, texts_of, words_of
 
 #: Letters of an n-gram: a letter, or the end mark, with its context.
 ORDER = 6
 START, END = "^", "$"
 DISCOUNT = 0.9
-#: Nats by which a word's two likelihoods may differ for no reason but the classes' mix of languages and topics.
-DEAD_ZONE = 2.0
+#: The share of a toxic text's words that the model of toxic texts writes.
+SHARE = 0.01
 #: Gains are whole multiples of 1 / STEP, so that their sums are exact in any order.
 STEP = 1 << 20
-#: N-grams or words that a worker holds at once.
-PART = 1_000_000
+#: N-grams or words that a worker holds at once, 16 to 32 bytes each.
+PART = 4_000_000
+#: Slots into which labelled ids are hashed to leave out texts before they are dealt; a fixed number.
+SLOTS = 1 << 20
 CURVE_ROWS = 6000
 #: An n-gram's counts in each half's ordinary and toxic rows.
 COUNTS = ("n00", "n01", "n10", "n11")
@@ -91,42 +97,81 @@ def gains(nodes: DataFrame) -> DataFrame:
     return told.select("gram", *[F.when(F.col(ordinary) + F.col(toxic) > 0, exact(F.log(p(toxic) / p(ordinary)))).otherwise(0.0).alias(name) for name, (ordinary, toxic) in counts.items()])
 
 
+class Held:
+    """A part of a table (unit, values) in a worker: sorted hashes of the units (XXH64, as Spark's function has it), and their values."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def sums(self, lists: list[list[str]]) -> np.ndarray:
+        """The sums of the values of each list's units; units that the part does not hold add nothing."""
+        size = np.array([len(x) for x in lists], np.int64)
+        keys = np.fromiter((xxhash.xxh64_intdigest(u, 42) for x in lists for u in x), np.uint64, size.sum())
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        values = np.zeros((len(keys), self.values.shape[1]))
+        if len(self.keys):
+            hit = self.keys[at] == keys
+            values[hit] = self.values[at[hit]]
+        return sums(values, np.concatenate([[0], np.cumsum(size)]))
+
+
+def parts_of(table: DataFrame, names: list[str]) -> Iterator[Held]:
+    """The table (unit, ...) in parts of about PART rows."""
+    parts, unit = max(1, -(-table.count() // PART)), table.columns[0]
+    for k in range(parts):
+        held = table.where(F.pmod(F.xxhash64(unit), F.lit(parts)) == k).select(F.xxhash64(unit).alias("key"), *names).toArrow()  # numbers only
+        yield Held(held.column("key").to_numpy().view(np.uint64), np.stack([held.column(n).to_numpy() for n in names], axis=1))
+
+
+def word_gain(gain: np.ndarray) -> np.ndarray:
+    """log(toxic / ordinary) of words of which the class models say `gain`, in whole multiples of 1 / STEP."""
+    ratio = np.logaddexp(np.log1p(-SHARE), np.log(SHARE) + gain)
+    return np.round(ratio * STEP) / STEP
+
+
 def likelihoods(df: DataFrame, told: DataFrame, names: list[str], text_col: str = "text") -> DataFrame:
-    """`df` with toxic_words and toxic_<name>: each text's number of words and the sum of what they exceed the dead zone by."""
+    """`df` with toxic_words and toxic_<name>: each text's number of words and the sum of their log(toxic / ordinary)."""
+    if told.count() <= PART:
+        return summed(df, told, names, text_col, grams, word_gain)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield pa.record_batch([pa.array([w for w in spelled(texts_of(part.column("text")))[0] if w], pa.string())], ["word"])
 
     words = stored(df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(distinct, "word string").distinct())
-    above = summed(words, told, names, "word", grams).select("word", *[F.greatest(F.col("toxic_" + n) - DEAD_ZONE, F.lit(0.0)).alias(n) for n in names])
-    above = stored(above.where(" or ".join(f"`{n}` > 0" for n in names)))
-    return summed(df, above, names, text_col, lambda word: [word])
+    by_word = summed(words, told, names, "word", grams, None)
 
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), *(pa.array(word_gain(batch.column(1 + i).to_numpy())) for i in range(len(names)))], ["word", *names])
 
-def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, units) -> DataFrame:
+    gained = by_word.select("word", *["toxic_" + n for n in names]).mapInArrow(finished, "word string, " + ", ".join(f"`{n}` double" for n in names))
+    return summed(df, stored(gained), names, text_col, lambda word: [word], None)
+
+
+def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, units, change) -> DataFrame:
     """`df` with toxic_words and toxic_<name>: each text's number of words, and the sum over their units of each of the table's columns.
 
-    The table (unit, ...) goes by in parts of about PART rows, so that a worker holds one of them; each part meets all texts.
+    `change` turns the sum of each word's units, if the table is one part. Each part of the table meets all texts.
     """
-    spark, added = df.sparkSession, ["toxic_words", *["toxic_" + n for n in names]]
+    added = ["toxic_words", *["toxic_" + n for n in names]]
     df = df.drop(*added).withColumns({added[0]: F.lit(0).cast("long"), **{c: F.lit(0.0) for c in added[1:]}})
-    parts = max(1, -(-table.count() // PART))
-    for k in range(parts):
-        unit = table.columns[0]
-        held = table.where(F.pmod(F.xxhash64(unit), F.lit(parts)) == k).select(unit, *names).toArrow()
-        values = np.stack([held.column(n).to_numpy() for n in names] or [[]], axis=1)
-        index = {g: i for i, g in enumerate(held.column(unit).to_pylist())}
-        shared = spark.sparkContext.broadcast((index, np.concatenate([values, np.zeros((1, len(names)))])))
+    shared = None
+    for k, held in enumerate(parts_of(table, names)):
+        if k:
+            df = stored(df)
+            shared.unpersist()
+        shared = df.sparkSession.sparkContext.broadcast(held)  # PART units at most, as hashes split them
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first: bool = not k) -> Iterator[pa.RecordBatch]:
-            index, values = shared.value
-            none = len(index)
             for part in slices(batches, text_col):
                 words, own, own_offsets, codes, offsets = spelled(texts_of(part.column(text_col)))
-                size = np.array([len(units(w)) if w else 0 for w in words], np.int64)
-                at = np.fromiter((index.get(u, none) for w in words if w for u in units(w)), np.int64, size.sum())
-                by_word = np.column_stack([size > 0, sums(values[at], np.concatenate([[0], np.cumsum(size)]))])
+                values = shared.value.sums([units(w) if w else [] for w in words])
+                there = np.array([bool(w) for w in words], bool)
+                if change is not None:
+                    values = np.where(there[:, None], change(values), 0.0)
+                by_word = np.column_stack([there, values])
                 total = sums(sums(by_word[own], own_offsets)[codes], offsets)
                 columns = list(part.columns[: -len(added)])
                 columns.append(pa.array(total[:, 0].astype(np.int64)) if first else part.column(added[0]))
@@ -134,16 +179,19 @@ def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, uni
                 yield pa.record_batch(columns, part.schema.names)
 
         df = df.mapInArrow(run, df.schema)
-        if parts > 1:
-            df = stored(df)
-            shared.unpersist()
     return df
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, y) of the rows with a text and a label 0 or 1; a merge join at every size, as labels have no size bound."""
+    """(doc_id, text, y) of the rows with a text and a label 0 or 1.
+
+    Labels have no size bound, so both sides are dealt by id; texts whose id falls in none of the labels' SLOTS stay where they are.
+    """
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("y in (0, 1)")
-    return docs.select("doc_id", "text").where("text is not null").join(marks.hint("merge"), "doc_id")
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SLOTS))
+    slots = marks.select(slot.alias("slot")).distinct()  # SLOTS rows at most
+    some = docs.select("doc_id", "text", slot.alias("slot")).where("text is not null").join(F.broadcast(slots), "slot", "left_semi")
+    return some.select("doc_id", "text").join(marks.hint("merge"), "doc_id")
 
 
 class Classifier:
@@ -219,18 +267,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     x, y = got.column("x").to_numpy(), got.column("y").to_numpy()
     order = np.lexsort((y, x))
     slope, bias = _curve(x[order], y[order].astype(float)) if len(x) and 0 < y.sum() < len(y) else (1.0, 0.0)
-    return Classifier(told, max(slope, 0.0), min(bias, 0.0))
+    return Classifier(told, max(slope, 0.0), bias)
 
 
-def annotate(df: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
-    """`df` with toxic_score; a clashing column of this name is replaced."""
-    df = df.drop("toxic_score")
+def annotate(df: DataFrame, classifier: Classifier, text_col: str = "text", score_out: str = "toxic_score") -> DataFrame:
+    """`df` with its score; a clashing column of this name is replaced. Columns named as the sums' would be stay as they are."""
+    df = df.drop(score_out)
     if classifier.table is None:
-        return df.withColumn("toxic_score", F.lit(0.0))
+        return df.withColumn(score_out, F.lit(0.0))
     columns = df.columns
+    clash = {c: fresh(df, "kept_" + c) for c in columns if c.lower() in ("toxic_words", "toxic_both")}
+    df = df.withColumnsRenamed(clash)
+    text_col = clash.get(text_col, text_col)
     x = F.col("toxic_both") / F.greatest("toxic_words", F.lit(1))
     score = 1 / (1 + F.exp(-F.greatest(F.least(classifier.bias + classifier.slope * x, F.lit(50.0)), F.lit(-50.0))))
-    return likelihoods(df, classifier.table, ["both"], text_col).select(*[F.col(f"`{c}`") for c in columns], score.alias("toxic_score"))
+    score = F.when(F.col("toxic_words") == 0, F.least(score, F.lit(0.5))).otherwise(score)
+    return likelihoods(df, classifier.table, ["both"], text_col).select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in columns], score.alias(score_out))
 
 
 def held_out():
