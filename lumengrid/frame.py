@@ -56,8 +56,13 @@ class ImageFrame:
     def blank(cls, spark: SparkSession, width: int, height: int, color=(0, 0, 0, 0)) -> ImageFrame:
         return cls(new_image(spark, width, height, color))
 
-    def save(self, folder: str) -> None:
-        images.write_images(to_images(self.pixels), folder)
+    def save(self, folder: str, kind: str = "png") -> None:
+        """One PNG or GIF file for each image."""
+        images.write_images(to_images(self.pixels), folder, kind)
+
+    def add_images(self, other: ImageFrame) -> ImageFrame:
+        """The images of both frames."""
+        return ImageFrame(self.pixels.unionByName(other.pixels))
 
     def images(self) -> DataFrame:
         return to_images(self.pixels)

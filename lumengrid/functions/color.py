@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,21 +128,28 @@ def lab_to_rgb(light: Column, a: Column, b: Column) -> tuple[Column, Column, Col
     return tuple(u8_round(clamp(from_linear(sum((xyz[i] * k for i, k in enumerate(row)), F.lit(0.0))), 0.0, 1.0) * 255.0) for row in FROM_XYZ)
 
 
+def _once(columns: tuple, change) -> tuple[Column, Column, Column]:
+    """A conversion of whole channels that are made once: a lambda's variable stands for them wherever it needs them."""
+    packed = F.array(F.struct(*[c.alias(k) for k, c in zip("uvw", columns, strict=True)]))
+    made = F.transform(packed, lambda p: F.struct(*[v.alias(k) for k, v in zip("uvw", change(p["u"], p["v"], p["w"]), strict=True)]))[0]
+    return made["u"], made["v"], made["w"]
+
+
 def hsl_to_lab(h: Column, s: Column, light: Column) -> tuple[Column, Column, Column]:
     """By way of whole RGB channels, as the other mixed conversions."""
-    return rgb_to_lab(*hsl_to_rgb(h, s, light))
+    return _once(hsl_to_rgb(h, s, light), rgb_to_lab)
 
 
 def hsv_to_lab(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
-    return rgb_to_lab(*hsv_to_rgb(h, s, v))
+    return _once(hsv_to_rgb(h, s, v), rgb_to_lab)
 
 
 def lab_to_hsl(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
-    return rgb_to_hsl(*lab_to_rgb(light, a, b))
+    return _once(lab_to_rgb(light, a, b), rgb_to_hsl)
 
 
 def lab_to_hsv(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
-    return rgb_to_hsv(*lab_to_rgb(light, a, b))
+    return _once(lab_to_rgb(light, a, b), rgb_to_hsv)
 
 
 def random_color(seed: int) -> tuple[Column, Column, Column]:
@@ -155,6 +162,11 @@ class Gradient:
     """Colour stops ((r, g, b, a), time) in order of time."""
 
     stops: tuple = field(default_factory=tuple)
+    #: The path along which a fill runs; None is from left to right.
+    direction: object = None
+
+    def with_direction(self, path) -> Gradient:
+        return replace(self, direction=path)
 
     @classmethod
     def evenly(cls, *colors):
@@ -184,7 +196,7 @@ class Gradient:
 
     def reverse(self) -> Gradient:
         last = max((t for _, t in self.stops), default=0.0)
-        return Gradient(tuple((c, last - t) for c, t in reversed(self.stops)))
+        return Gradient(tuple((c, last - t) for c, t in reversed(self.stops)), self.direction)
 
     def color_at(self, time: Column) -> dict[str, Column]:
         """The channels at a time: between stops in proportion, truncated; clear black before the first, the last after it."""

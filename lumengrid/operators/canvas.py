@@ -6,15 +6,16 @@ counts from 0 at the bottom without gaps in each canvas.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumengrid.functions.numeric import div32, f32, u8
-from lumengrid.operators import blend
+from lumengrid.operators import blend, point, spatial, warp
 from lumengrid.operators.raster import gaussian_blur
-from lumengrid.plans.views import CHANNELS, KEY, RGB
+from lumengrid.plans.views import CHANNELS, KEY, RGB, sizes
 
 ANCHORS = ("top-left", "top-center", "top-right", "center-left", "center", "center-right", "bottom-left", "bottom-center", "bottom-right")
 LAYER = "canvas_id int, layer_id string, name string, z int, image_id int, x int, y int, width int, height int, opacity double, blend_mode string, visible boolean, anchor string"
@@ -93,7 +94,11 @@ def resize(layers: DataFrame, factor: float) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layer:
-    """One layer of the composite, for every canvas at once: its pixels' image_id is the canvas's."""
+    """One layer of the composite, for every canvas at once: its pixels' image_id is the canvas's.
+
+    `size` (width, height) is needed by transforms and anchors only. `effects` are (function, parameters) pairs of EFFECTS,
+    applied in their order before the layer is drawn.
+    """
 
     pixels: DataFrame
     blend_mode: str = "normal"
@@ -101,14 +106,188 @@ class Layer:
     x: int = 0
     y: int = 0
     visible: bool = True
+    size: tuple[int, int] | None = None
+    anchor: str | None = None
+    effects: tuple = ()
+    name: str = ""
+
+    def with_image(self, pixels: DataFrame, size: tuple[int, int] | None = None) -> Layer:
+        return replace(self, pixels=pixels, size=size)
+
+    def rotated(self, degrees: float, algorithm: str | None = None) -> Layer:
+        """The layer's image turned; its place stays."""
+        size = warp.rotated_size(*self.size, degrees) if self.size else None
+        return replace(self, pixels=warp.rotate(self.pixels, degrees, algorithm), size=size)
+
+    def flipped(self, axis: str = "x") -> Layer:
+        width, height = self.size
+        return replace(self, pixels=point.flip_horizontal(self.pixels, width) if axis == "x" else point.flip_vertical(self.pixels, height))
+
+    def resized(self, width: int, height: int, algorithm: str | None = None) -> Layer:
+        return replace(self, pixels=warp.resize(self.pixels, width, height, algorithm), size=(width, height))
+
+
+@dataclass(frozen=True)
+class Canvas:
+    """A canvas of clear or coloured `pixels` of the size (width, height), child canvases below its own layers.
+
+    A child is flattened, turned and blended as a whole; one that passes through and is not turned draws into its parent.
+    """
+
+    pixels: DataFrame
+    size: tuple[int, int]
+    layers: tuple[Layer, ...] = ()
+    children: tuple[Canvas, ...] = ()
+    x: int = 0
+    y: int = 0
+    opacity: float = 1.0
+    blend_mode: str = "normal"
+    rotation: float | None = None
+    pass_through: bool = False
+    effects: tuple = ()
+    name: str = ""
+
+    @classmethod
+    def blank(cls, images: DataFrame, width: int, height: int, name: str = "") -> Canvas:
+        """A clear canvas for each image_id of a table."""
+        p = images.select("image_id").distinct().withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))))
+        pixels = p.select("image_id", (F.col("p") % width).alias("x"), F.call_function("div", F.col("p"), F.lit(width)).cast("int").alias("y"), *[F.lit(0).alias(c) for c in CHANNELS])
+        return cls(pixels, (width, height), name=name)
+
+    @classmethod
+    def of(cls, pixels: DataFrame, width: int, height: int, name: str = "") -> Canvas:
+        """A canvas of an image's size with the image as its only layer."""
+        return cls.blank(pixels, width, height, name).add_layer(Layer(pixels, size=(width, height), name=name))
+
+    def add_layer(self, layer: Layer) -> Canvas:
+        return replace(self, layers=(*self.layers, layer))
+
+    def add_canvas(self, child: Canvas, x: int | None = None, y: int | None = None, rotation: float | None = None) -> Canvas:
+        child = replace(child, x=child.x if x is None else x, y=child.y if y is None else y, rotation=child.rotation if rotation is None else rotation)
+        return replace(self, children=(*self.children, child))
+
+    def positioned(self, x: int, y: int) -> Canvas:
+        return replace(self, x=x, y=y)
+
+    def anchored(self, anchor: str, width: int, height: int) -> Canvas:
+        """Placed in a parent of that size."""
+        x, y = anchor_place(anchor, (width, height), self.size)
+        return replace(self, x=x, y=y)
+
+    def rotated(self, degrees: float | None) -> Canvas:
+        return replace(self, rotation=degrees)
+
+    def blended(self, mode: str) -> Canvas:
+        return replace(self, blend_mode=mode)
+
+    def faded(self, opacity: float) -> Canvas:
+        return replace(self, opacity=min(max(opacity, 0.0), 1.0))
+
+    def passing_through(self, on: bool = True) -> Canvas:
+        return replace(self, pass_through=on)
+
+    def flattened(self) -> Canvas:
+        """One layer with the canvas's result, without children."""
+        return replace(self, layers=(Layer(render(self), size=self.size, name=self.name),), children=(), effects=())
+
+    def resized(self, width: int, height: int, algorithm: str | None = None) -> Canvas:
+        """All layers scaled in size and place, each rounded; the same size changes nothing."""
+        if (width, height) == self.size:
+            return self
+        return self._scaled(width / self.size[0] if self.size[0] else 1.0, height / self.size[1] if self.size[1] else 1.0, (width, height), algorithm)
+
+    def resized_by(self, factor: float, algorithm: str | None = None) -> Canvas:
+        return self.resized(int(max(self.size[0] * factor, 1)), int(max(self.size[1] * factor, 1)), algorithm)
+
+    def resized_width(self, width: int, algorithm: str | None = None) -> Canvas:
+        """Across only; the canvas takes the size of its lowest layer."""
+        return self._scaled(width / self.size[0] if self.size[0] else 1.0, None, None, algorithm)
+
+    def resized_height(self, height: int, algorithm: str | None = None) -> Canvas:
+        return self._scaled(None, height / self.size[1] if self.size[1] else 1.0, None, algorithm)
+
+    def widened(self, dx: int, algorithm: str | None = None) -> Canvas:
+        """Each layer wider by dx, the canvas of the lowest layer's size, layers centred across."""
+        return self._stretched(dx, 0, algorithm)
+
+    def heightened(self, dy: int, algorithm: str | None = None) -> Canvas:
+        return self._stretched(0, dy, algorithm)
+
+    def turned(self, degrees: float, algorithm: str | None = None) -> Canvas:
+        """Every layer's image turned in its place."""
+        return replace(self, layers=tuple(layer.rotated(degrees, algorithm) for layer in self.layers))
+
+    def flipped(self, axis: str = "x") -> Canvas:
+        return replace(self, layers=tuple(layer.flipped(axis) for layer in self.layers))
+
+    def _sized(self, layers: tuple[Layer, ...], size: tuple[int, int] | None) -> Canvas:
+        size = size or (layers[0].size if layers else self.size)
+        return replace(self, layers=layers, size=size, pixels=Canvas.blank(self.pixels, *size).pixels)
+
+    def _scaled(self, sx: float | None, sy: float | None, size: tuple[int, int] | None, algorithm: str | None) -> Canvas:
+        def one(layer: Layer) -> Layer:
+            width, height = (v if k is None else _half_up(v * k) for v, k in zip(layer.size, (sx, sy), strict=True))
+            x, y = (v if k is None else _half_up(v * k) for v, k in ((layer.x, sx), (layer.y, sy)))
+            return replace(layer.resized(width, height, algorithm), x=x, y=y)
+
+        return self._sized(tuple(map(one, self.layers)), size)
+
+    def _stretched(self, dx: int, dy: int, algorithm: str | None) -> Canvas:
+        grown = [layer.resized(max(1, layer.size[0] + dx), max(1, layer.size[1] + dy), algorithm) for layer in self.layers]
+        width, height = grown[0].size if grown else self.size
+        middle = lambda outer, inner: int((outer - inner) / 2)
+        placed = [replace(g, x=middle(width, g.size[0])) if dx else replace(g, y=middle(height, g.size[1])) for g in grown]
+        return self._sized(tuple(placed), None)
+
+
+def _half_up(v: float) -> int:
+    """Rounded, halves away from zero."""
+    return int(math.copysign(math.floor(abs(v) + 0.5), v))
+
+
+def anchor_place(anchor: str, outer: tuple[int, int], inner: tuple[int, int]) -> tuple[int, int]:
+    """(x, y) of an inner rectangle at an anchor of an outer one; halves truncate toward zero."""
+    row, col = anchor.split("-")[0], anchor.split("-")[-1]
+    share = {"left": 0.0, "top": 0.0, "center": 0.5, "right": 1.0, "bottom": 1.0}
+    return int((outer[0] - inner[0]) * share[col]), int((outer[1] - inner[1]) * share[row])
+
+
+def render(canvas: Canvas) -> DataFrame:
+    """The canvas's pixels with its children and layers drawn, and its effects applied within its own bounds."""
+    return _drawn(canvas, canvas.pixels, 0, 0)
 
 
-def composite(canvas: DataFrame, layers: list[Layer]) -> DataFrame:
-    """The layers, bottom first, folded over the canvas's pixels. Each is one join on the pixel's place, in the same partitioning."""
-    for layer in layers:
-        if layer.visible:
-            canvas = blend.blend_opacity(canvas, layer.pixels, layer.blend_mode, layer.opacity, layer.x, layer.y)
-    return canvas
+def _drawn(canvas: Canvas, onto: DataFrame, dx: int, dy: int) -> DataFrame:
+    for child in canvas.children:
+        x, y = dx + child.x, dy + child.y
+        if child.pass_through and child.rotation is None:
+            onto = _drawn(child, onto, x, y)
+            continue
+        flat = render(child)
+        if child.effects:
+            flat, (left, top) = with_effects(flat, child.effects, child.size)
+            x, y = x - left, y - top
+        if child.rotation is not None:
+            flat = warp.rotate(flat, child.rotation, None)
+        onto = blend.blend_opacity(onto, flat, child.blend_mode, child.opacity, x, y)
+    lowest = not canvas.children
+    for layer in canvas.layers:
+        if not layer.visible:
+            continue
+        x, y = anchor_place(layer.anchor, canvas.size, layer.size) if layer.anchor else (layer.x, layer.y)
+        pixels = layer.pixels
+        if layer.effects:
+            pixels, (left, top) = with_effects(pixels, layer.effects, layer.size)
+            x, y = x - left, y - top
+        # nothing lies below the lowest layer of a canvas without children: it is drawn normally
+        onto = blend.blend_opacity(onto, pixels, "normal" if lowest else layer.blend_mode, layer.opacity, dx + x, dy + y)
+        lowest = False
+    return onto
+
+
+def composite(canvas: DataFrame, layers: list[Layer], children: list[Canvas] | None = None) -> DataFrame:
+    """The layers, lowest first, folded over the canvas's pixels. Each is one join on the pixel's place, in the same partitioning."""
+    return render(Canvas(canvas, (0, 0), tuple(layers), tuple(children or ())))
 
 
 def stroke_rect(pixels: DataFrame, size: int, color: tuple[int, int, int, int], width: int, height: int) -> DataFrame:
@@ -118,24 +297,81 @@ def stroke_rect(pixels: DataFrame, size: int, color: tuple[int, int, int, int],
     return pixels.select(*KEY, *[F.when(edge, F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in zip(CHANNELS, color, strict=True)])
 
 
-def drop_shadow(pixels: DataFrame, offset: tuple[int, int], color: tuple[int, int, int], opacity: float, size: int = 0) -> DataFrame:
-    """A coloured copy of the opaque part, moved, blurred by `size` and put under the image; the canvas keeps its size."""
-    shape = pixels.select("image_id", (F.col("x") + offset[0]).alias("x"), (F.col("y") + offset[1]).alias("y"), F.when(F.col("a") > 128, 255).otherwise(F.col("a")).alias("s"))
-    shadow = pixels.select(*KEY).join(shape, list(KEY), "left").select(*KEY, *[F.lit(v).alias(c) for c, v in zip(RGB, color, strict=True)], F.coalesce("s", F.lit(0)).alias("a"))
-    soft = gaussian_blur(shadow, size)
-    under = soft.select(*KEY, *[F.lit(v).alias(c) for c, v in zip(RGB, color, strict=True)], u8(f32(F.col("a")) * f32(opacity)).alias("a"))
-    a, b = blend._sides()
-    mixed = blend.source_over(a, b, b["a"])
-    return blend._pair(under, pixels, 0, 0).select(*KEY, *[mixed[c].alias(c) for c in CHANNELS])
+def spread(pixels: DataFrame, amount: float) -> DataFrame:
+    """A shadow's alpha grown (above 0.5) or shrunk (below) by one pixel; 0.5 and 0 leave it."""
+    if amount <= 0 or amount == 0.5:
+        return pixels
+    return spatial.spread_alpha(pixels, amount > 0.5)
+
+
+def shadow_padding(angle: float, distance: float, size: float) -> tuple[tuple[int, int], tuple[int, int, int, int]]:
+    """((dx, dy), (left, top, right, bottom)): a shadow's offset, and by how much the image grows to hold it."""
+    dx, dy = (_half_up(distance * v) for v in (math.cos(math.radians(angle)), math.sin(math.radians(angle))))
+    blur = int(size)
+    return (dx, dy), (max(-dx, 0) + blur, max(-dy, 0) + blur, max(dx, 0) + blur, max(dy, 0) + blur)
+
+
+def drop_shadow(
+    pixels: DataFrame, size_of: tuple[int, int], color: tuple[int, int, int] = (0, 0, 0), opacity: float = 0.35,
+    angle: float = 45.0, distance: float = 5.0, spread_by: float = 0.0, size: float = 5.0, mode: str = "normal",
+) -> DataFrame:
+    """Images of the size `size_of` on a coloured, moved and blurred copy of their opaque part; the image grows to hold it.
+
+    The copy is drawn by `mode`, blurred by `size`, and its alpha scaled once more. A size of 0 leaves the image unchanged.
+    """
+    if size <= 0:
+        return pixels
+    (dx, dy), (left, top, right, bottom) = shadow_padding(angle, distance, size)
+    solid = F.when(F.col("a") > 128, 255).otherwise(F.col("a"))
+    shape = spread(pixels.select(*KEY, *[F.lit(v).alias(c) for c, v in zip(RGB, color, strict=True)], solid.alias("a")), spread_by)
+    ground = Canvas.blank(pixels, size_of[0] + left + right, size_of[1] + top + bottom).pixels
+    drawn = blend.blend_opacity(ground, shape, mode, 1.0, left + dx, top + dy)
+    soft = gaussian_blur(drawn, int(size)).withColumn("a", u8(f32(F.col("a")) * f32(opacity)))
+    return blend.blend_opacity(soft, pixels, "normal", 1.0, left, top)
+
+
+def _shadowed(pixels: DataFrame, own: tuple[int, int], **options) -> tuple[DataFrame, tuple[int, int], tuple[int, int]]:
+    blur = options.get("size", 5.0)
+    if blur <= 0:
+        return pixels, (0, 0), own
+    _, (left, top, right, bottom) = shadow_padding(options.get("angle", 45.0), options.get("distance", 5.0), blur)
+    return drop_shadow(pixels, own, **options), (left, top), (own[0] + left + right, own[1] + top + bottom)
+
+
+def _outlined(pixels: DataFrame, own: tuple[int, int], width: int = 1, color: tuple[int, int, int, int] = (0, 0, 0, 255)) -> tuple[DataFrame, tuple[int, int], tuple[int, int]]:
+    return stroke_rect(pixels, width, color, *own), (0, 0), own
+
+
+#: Effects by name: (pixels, own size, **options) -> (pixels, how far the content moved, new size).
+EFFECTS = {"stroke": _outlined, "drop_shadow": _shadowed}
+
+
+def with_effects(pixels: DataFrame, effects: tuple, size: tuple[int, int]) -> tuple[DataFrame, tuple[int, int]]:
+    """The effects (name, options), strokes before shadows, and how far to the right and down the content has moved."""
+    left = top = 0
+    for name, options in sorted(effects, key=lambda e: list(EFFECTS).index(e[0])):
+        pixels, (dx, dy), size = EFFECTS[name](pixels, size, **options)
+        left, top = left + dx, top + dy
+    return pixels, (left, top)
+
+
+#: Neighbouring ids that are numbered together.
+BUCKET = 4096
 
 
 def grid_layout(images: DataFrame, columns: int, cell: tuple[int, int]) -> DataFrame:
-    """(image_id, col, row, x, y): images of a table in reading order of their ids.
+    """(image_id, col, row, x, y): images of a table in reading order of their whole-number ids.
 
-    Places come from a global order, so the table of images (one row each) must be small enough for one sort task.
+    Ids are numbered within buckets of BUCKET neighbouring ids; only the buckets' counts meet in one task.
     """
-    n = F.row_number().over(Window.orderBy("image_id")) - 1
-    return images.withColumn("n", n).select("image_id", (F.col("n") % columns).alias("col"), F.call_function("div", F.col("n"), F.lit(columns)).cast("int").alias("row")).withColumns({"x": F.col("col") * cell[0], "y": F.col("row") * cell[1]})
+    bucket = F.floor(F.col("image_id") / F.lit(BUCKET)).alias("bucket")
+    rows = images.select("image_id", bucket)
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("bucket").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    n = F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("image_id")) - 1
+    placed = rows.join(starts, "bucket").withColumn("n", n)
+    cells = placed.select("image_id", (F.col("n") % columns).cast("int").alias("col"), F.call_function("div", F.col("n"), F.lit(columns)).cast("int").alias("row"))
+    return cells.withColumns({"x": F.col("col") * cell[0], "y": F.col("row") * cell[1]})
 
 
 def visible(layers: DataFrame) -> DataFrame:
@@ -196,7 +432,76 @@ def adjustment(layers: DataFrame, layer_id: str, kind: str) -> DataFrame:
     return add(layers, layers.select("canvas_id").distinct().withColumns(made).select(layers.columns))
 
 
-def random_layout(images: DataFrame, width: int, height: int, seed: int) -> DataFrame:
-    """(image_id, x, y, rotation): a place and an angle for each image by a hash of its id, so a repeated run gives the same."""
-    draw = lambda k, n: F.pmod(F.xxhash64("image_id", F.lit(seed), F.lit(k)), F.lit(n)).cast("int")
-    return images.select("image_id", draw(0, width).alias("x"), draw(1, height).alias("y"), draw(2, 360).alias("rotation"))
+def _drawn_number(seed: int, what: str, low, high, *keys: str):
+    """A number in low..high by a hash of the keys, so that a repeated run draws the same."""
+    unit = F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit(what)), F.lit(1 << 40)) / float(1 << 40)
+    return low + unit * (high - low)
+
+
+def random_layout(images: DataFrame, width: int, height: int, seed: int, rotation: tuple[float, float] = (0.0, 360.0), scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """(image_id, x, y, rotation, scale) for images (image_id, width, height): anywhere in the canvas less the scaled image."""
+    rows = images.withColumns({"scale": _drawn_number(seed, "scale", *map(float, scale), "image_id"), "rotation": _drawn_number(seed, "rotation", *map(float, rotation), "image_id")})
+    room = lambda side, own: F.greatest(F.lit(side) - F.floor(F.col(own) * F.col("scale")), F.lit(0)) + 1
+    place = lambda what, side, own: F.floor(_drawn_number(seed, what, 0.0, room(side, own), "image_id")).cast("int")
+    return rows.select("image_id", place("x", width, "width").alias("x"), place("y", height, "height").alias("y"), "rotation", "scale")
+
+
+def collage_grid(images: DataFrame, columns: int, rows: int, width: int, height: int, seed: int, rotation: tuple[float, float] = (0.0, 0.0), layered: bool = False, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """(cell, image_id, x, y, width, height, rotation, z): which image each cell of a grid shows, where and how large.
+
+    `images` has image_id. Every cell draws an image by a hash; each draw is the image with the smallest hash for that cell, one
+    aggregate. A plain grid has cells of the size by the root of their number; a layered one by columns and rows, drawn in the
+    order of a hash, with a scale.
+    """
+    count = columns * rows
+    side = int(math.sqrt(count)) if not layered else columns
+    cell = (width // columns, height // rows) if layered else (int(width / math.sqrt(count)), int(height / math.sqrt(count)))
+    cells = images.sparkSession.range(count).select(F.col("id").cast("int").alias("cell"))
+    drawn = images.select("image_id").distinct().crossJoin(F.broadcast(cells)).groupBy("cell").agg(F.min_by("image_id", F.xxhash64("image_id", "cell", F.lit(seed))).alias("image_id"))
+    sized = drawn.withColumns({"rotation": _drawn_number(seed, "rotation", *map(float, rotation), "cell"), "scale": _drawn_number(seed, "scale", *map(float, scale), "cell")})
+    return sized.select(
+        "cell",
+        "image_id",
+        (F.col("cell") % side * cell[0]).cast("int").alias("x"),
+        (F.call_function("div", F.col("cell"), F.lit(side)) * cell[1]).cast("int").alias("y"),
+        F.floor(F.col("scale") * cell[0]).cast("int").alias("width"),
+        F.floor(F.col("scale") * cell[1]).cast("int").alias("height"),
+        "rotation",
+        (F.xxhash64("cell", F.lit(seed), F.lit("z")) if layered else F.col("cell").cast("long")).alias("z"),
+    )
+
+
+def collage(pixels: DataFrame, places: DataFrame, width: int, height: int, anchor: str = "top-center") -> DataFrame:
+    """One canvas (image_id 0) with each placed image scaled to cover its cell, cut to it, and drawn in the order of z.
+
+    Every place is an image of its own, resampled by tiles of targets in one pass; what covers a pixel is folded source over
+    in the order of z, so the work at a pixel grows with the cells over it only.
+    """
+    own = sizes(pixels).withColumnsRenamed({"width": "sw", "height": "sh"})
+    put = places.join(own, "image_id").withColumn("k", F.greatest(F.col("width") / F.col("sw"), F.col("height") / F.col("sh")))
+    target = put.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
+    tx, ty = F.col("p") % F.col("width"), F.call_function("div", F.col("p"), F.col("width"))
+    across = {"left": 0.0, "center": 0.5, "right": 1.0}[anchor.split("-")[-1]]
+    down = {"top": 0.0, "center": 0.5, "bottom": 1.0}[anchor.split("-")[0]]
+    at = lambda t, side, cell, share: F.least(F.floor((t + (F.col(side) * F.col("k") - F.col(cell)) * share + 0.5) / F.col("k")), F.col(side) - 1).cast("int")
+    turn = F.radians(F.col("rotation"))
+    mx, my = (tx - F.col("width") / 2 + 0.5), (ty - F.col("height") / 2 + 0.5)
+    px = F.floor(F.col("x") + F.col("width") / 2 + mx * F.cos(turn) - my * F.sin(turn)).cast("int")
+    py = F.floor(F.col("y") + F.col("height") / 2 + mx * F.sin(turn) + my * F.cos(turn)).cast("int")
+    spots = target.select("image_id", at(tx, "sw", "width", across).alias("sx"), at(ty, "sh", "height", down).alias("sy"), px.alias("px"), py.alias("py"), "z", "cell").where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
+    source = pixels.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), *CHANNELS)
+    seen = spots.join(source, ["image_id", "sx", "sy"])
+    stack = seen.groupBy("px", "py").agg(F.array_sort(F.collect_list(F.struct("z", "cell", *CHANNELS))).alias("stack"))
+    start = F.struct(*[F.lit(0).alias(c) for c in CHANNELS])
+
+    def over(under, top):
+        mixed = blend.source_over({c: under[c] for c in CHANNELS}, {c: top[c] for c in CHANNELS}, top["a"])
+        return F.struct(*[mixed[c].alias(c) for c in CHANNELS])
+
+    return stack.select(F.lit(0).alias("image_id"), F.col("px").alias("x"), F.col("py").alias("y"), F.aggregate("stack", start, over).alias("v")).select(*KEY, "v.*")
+
+
+def project_metadata(layers: DataFrame) -> DataFrame:
+    """(canvas_id, n_layers, n_active, names): a summary of each canvas's layers, the lowest first."""
+    order = F.array_sort(F.collect_list(F.struct("z", "name")))
+    return layers.groupBy("canvas_id").agg(F.count("*").alias("n_layers"), F.sum(F.col("visible").cast("long")).alias("n_active"), F.transform(order, lambda v: v["name"]).alias("names"))

@@ -91,6 +91,11 @@ class Path:
     def mapped(self, change) -> Path:
         return Path(change(self.start), tuple((s[0], *map(change, s[1:])) for s in self.segments))
 
+    def to_viewbox(self) -> tuple[float, float, float, float]:
+        """The bounding box as a view box (x, y, width, height)."""
+        x0, y0, x1, y1 = self.bounds()
+        return x0, y0, x1 - x0, y1 - y0
+
     def fit(self, width: float, height: float, mode: str = "meet", align: tuple[str, str] = ("mid", "mid")) -> Path:
         """The path's bounding box mapped to a viewport: "meet", "slice" or "none" (stretched)."""
         x0, y0, x1, y1 = self.bounds()
@@ -103,6 +108,11 @@ def _bezier(hull: list[Point], t: float) -> Point:
     return hull[0]
 
 
+def aspect_ratio(box: tuple[float, float, float, float]) -> float:
+    """Width by height of a view box; 1 for one without height."""
+    return box[2] / box[3] if box[3] else 1.0
+
+
 def view_point(p: Point, box: tuple[float, float, float, float], width: float, height: float, mode: str = "meet", align: tuple[str, str] = ("mid", "mid")) -> Point:
     """A point of a view box in a viewport."""
     x, y, w, h = box
@@ -155,6 +165,14 @@ def distance(path: Path) -> Column:
     return F.sqrt(F.least(*parts) if len(parts) > 1 else parts[0])
 
 
+def weight_of(path: Path, feather: int = 0) -> Column:
+    """1 inside, rising over `feather` pixels from the outline, 0 outside; the bounding box is asked first."""
+    x0, y0, x1, y1 = path.bounds()
+    w = F.least(F.greatest(distance(path) / float(feather), F.lit(0.0)), F.lit(1.0)) if feather else F.lit(1.0)
+    near = F.col("x").between(math.floor(x0), math.ceil(x1)) & F.col("y").between(math.floor(y0), math.ceil(y1))
+    return F.when(near & contains(path), w).otherwise(0.0)
+
+
 def area_weight(pixels: DataFrame, path: Path, feather: int = 0) -> DataFrame:
     """(image_id, x, y, w): 1 inside, rising over `feather` pixels from the outline."""
     w = F.least(F.greatest(distance(path) / float(feather), F.lit(0.0)), F.lit(1.0)) if feather else F.lit(1.0)

@@ -58,6 +58,10 @@ def div(pixels: DataFrame, k: float) -> DataFrame:
     return map_rgb(pixels, lambda c: u8(div32(f32(c), f32(k))))
 
 
+#: Functions that move or leave out pixels; all others are projections that keep each pixel in its place.
+MOVING = ("crop", "flip_horizontal", "flip_vertical", "get_pixel")
+
+
 def crop(pixels: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
     """The pixels inside the rectangle, moved to the origin; the filter reaches the scan where x and y are stored."""
     inside = F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lumengrid.functions.color import Gradient, rgb_to_hsv
 from lumengrid.functions.numeric import f32, u8, u8_round
-from lumengrid.operators import blend, geometry
+from lumengrid.operators import blend, geometry, point
 from lumengrid.operators.geometry import Path
-from lumengrid.plans.views import CHANNELS, KEY, RGB, new_image
+from lumengrid.plans.views import CHANNELS, KEY, RGB, new_image, sizes
 
 PIXELS = "image_id {kind}, x int, y int, r int, g int, b int, a int"
 
@@ -22,16 +22,28 @@ PIXELS = "image_id {kind}, x int, y int, r int, g int, b int, a int"
 def apply_in_area(pixels: DataFrame, change: Callable[[DataFrame], DataFrame], areas: list[tuple[Path, int]] | None = None, mask: DataFrame | None = None) -> DataFrame:
     """`change` applied inside each area (path, feather) in turn, weighted by the mask's grey; no area is the whole image.
 
-    The weighted result is truncated and mixed in alpha too. Without area and mask there is no join.
+    The weighted result is truncated and mixed in alpha too. The weight of an area is an expression of x and y. A change that is
+    a projection (the functions of `point`) is made beside the old pixels, so only a mask costs a join; any other change meets
+    the old pixels by one join on the pixel's place.
     """
     if not areas and mask is None:
         return change(pixels)
     for path, feather in areas or [(None, 0)]:
-        weight = geometry.area_weight(pixels, path, feather) if path else pixels.select(*KEY, F.lit(1.0).alias("w"))
+        weight = geometry.weight_of(path, feather) if path else F.lit(1.0)
+        old = pixels.select(*KEY, *CHANNELS, weight.alias("w"))
         if mask is not None:
             grey = mask.select(*KEY, (blend.gray_of(*[F.col(c) for c in RGB]) / 255.0).alias("m"))
-            weight = weight.join(grey, list(KEY), "left").select(*KEY, (F.col("w") * F.coalesce("m", F.lit(1.0))).alias("w"))
-        pixels = blend.lerp(pixels, change(pixels), weight)
+            old = old.join(grey, list(KEY), "left").select(*KEY, *CHANNELS, (F.col("w") * F.coalesce("m", F.lit(1.0))).alias("w"))
+        if getattr(change, "__module__", "") == point.__name__ and change.__name__ not in point.MOVING:
+            # the old pixel travels in image_id, which a projection hands through
+            packed = old.withColumn("image_id", F.struct("image_id", *[F.col(c).alias(f"o_{c}") for c in CHANNELS], "w"))
+            both = change(packed.select(*KEY, *CHANNELS)).select("image_id.*", "x", "y", *[F.col(c).alias(f"t_{c}") for c in CHANNELS])
+        else:
+            new = change(pixels).select(*KEY, *[F.col(c).alias(f"t_{c}") for c in CHANNELS])
+            both = old.select(*KEY, *[F.col(c).alias(f"o_{c}") for c in CHANNELS], "w").join(new, list(KEY), "left")
+        w = f32(F.col("w"))
+        mix = lambda c: F.when((F.col("w") <= 0) | F.col(f"t_{c}").isNull(), F.col(f"o_{c}")).otherwise(u8(f32(F.col(f"t_{c}")) * w + f32(F.col(f"o_{c}")) * (f32(1.0) - w)))  # noqa: B023, E731
+        pixels = both.select(*KEY, *[mix(c).alias(c) for c in CHANNELS])
     return pixels
 
 
@@ -45,14 +57,39 @@ def coverage(path: Path, samples: int = 4, rule: str = "non-zero") -> Column:
     return total
 
 
-def fill(spark: SparkSession, path: Path, paint: tuple[int, int, int, int] | Gradient, samples: int = 4, feather: int = 0, image_id: int = 0) -> DataFrame:
-    """A new image of the path's bounding box, filled with a colour or a gradient from left to right, edges smoothed."""
+def gradient_time(path: Path) -> Column:
+    """The t in 0..1 of the place on a path that is nearest to the pixel's centre; each piece of its polyline has an equal share."""
+    own = path.flatten()
+    px, py = F.col("x") + 0.5, F.col("y") + 0.5
+    options = []
+    for i, ((xi, yi), (xj, yj)) in enumerate(zip(own, own[1:], strict=False)):
+        dx, dy = xj - xi, yj - yi
+        norm = dx * dx + dy * dy
+        t = F.greatest(F.least(((px - xi) * dx + (py - yi) * dy) / norm, F.lit(1.0)), F.lit(0.0)) if norm else F.lit(0.0)
+        d = (px - (t * dx + xi)) ** 2 + (py - (t * dy + yi)) ** 2
+        options.append(F.struct(d.alias("d"), F.lit(i).alias("i"), ((t + float(i)) / float(max(len(own) - 1, 1))).alias("t")))
+    return F.array_min(F.array(*options))["t"] if options else F.lit(0.0)
+
+
+def fill(spark: SparkSession, path: Path, paint: tuple[int, int, int, int] | Gradient | DataFrame, samples: int = 4, feather: int = 0, image_id: int = 0, offset: tuple[int, int] = (0, 0)) -> DataFrame:
+    """A new image of the path's bounding box, filled with a colour, a gradient or an image; edges smoothed.
+
+    A gradient goes along its own direction, else from left to right. An image's pixels lie at `offset`; beyond it is nothing.
+    """
     x0, y0, x1, y1 = path.bounds()
     moved = path.mapped(lambda p: (p[0] - x0, p[1] - y0))
     width, height = max(1, math.ceil(x1 - x0)), max(1, math.ceil(y1 - y0))
     grid = new_image(spark, width, height, image_id=image_id).withColumn("cover", coverage(moved, samples))
     if isinstance(paint, Gradient):
-        color = paint.color_at((F.col("x") + 0.5) / float(width))
+        if paint.direction is not None:
+            grid = grid.withColumn("t", gradient_time(paint.direction))
+            color = paint.color_at(F.col("t"))
+        else:
+            color = paint.color_at((F.col("x") + 0.5) / float(width))
+    elif isinstance(paint, DataFrame):
+        under = paint.select((F.col("x") + offset[0]).alias("x"), (F.col("y") + offset[1]).alias("y"), *[F.col(c).alias(f"p_{c}") for c in CHANNELS])
+        grid = grid.join(under, ["x", "y"], "left")
+        color = {c: F.coalesce(f"p_{c}", F.lit(0)) for c in CHANNELS}
     else:
         color = {c: F.lit(v) for c, v in zip(CHANNELS, paint, strict=True)}
     alpha = color["a"] * F.col("cover") / float(samples * samples)
@@ -63,15 +100,23 @@ def fill(spark: SparkSession, path: Path, paint: tuple[int, int, int, int] | Gra
 
 
 def dab(size: float, hardness: float, distance: Column) -> Column:
-    """A round brush's strength by distance from its centre: 1 inside the hard core, falling to 0 at the rim."""
-    t = F.least(distance / (size / 2.0), F.lit(1.0))
-    core = min(max(hardness, 0.0), 0.999)
-    fall = F.greatest((t - core) / (1.0 - core), F.lit(0.0))
-    return F.when(t >= 1, 0.0).otherwise(F.lit(1.0) - fall * fall)
+    """A round brush's strength by distance from its centre, 0 from the rim on.
+
+    Three curves of the distance by radius are mixed: a quadratic one at hardness 0, a line at 0.5, a step at half the radius at 1.
+    """
+    t = distance / (size / 2.0)
+    hardness = min(max(hardness, 0.0), 1.0)
+    line = F.lit(1.0) - t
+    if hardness < 0.5:
+        curve = (F.lit(1.0) - t * t) * (1.0 - 2 * hardness) + line * (2 * hardness)
+    else:
+        curve = line * (2.0 - 2 * hardness) + F.when(t < 0.5, 1.0).otherwise(0.0) * (2 * hardness - 1.0)
+    return F.when(t >= 1, 0.0).otherwise(F.greatest(curve, F.lit(0.0)))
 
 
-def paint(pixels: DataFrame, x: float, y: float, size: float, color: tuple[int, int, int, int], hardness: float = 1.0) -> DataFrame:
-    """One brush dab, source over."""
+def paint(pixels: DataFrame, x: float, y: float, size: float, color: tuple[int, int, int, int], hardness: float = 1.0, opacity: float = 1.0) -> DataFrame:
+    """One brush dab, source over; opacity scales the colour's alpha."""
+    color = (*color[:3], int(color[3] * min(max(opacity, 0.0), 1.0)))
     d = F.sqrt((F.col("x") + 0.5 - x) ** 2 + (F.col("y") + 0.5 - y) ** 2)
     return _stroke(pixels, dab(size, hardness, d), color)
 
@@ -130,6 +175,38 @@ def per_image(pixels: DataFrame, change: Callable[[np.ndarray], np.ndarray]) ->
     return pixels.select(*KEY, *CHANNELS).groupBy("image_id").applyInArrow(run, PIXELS.format(kind=kind))
 
 
+#: The side of the tiles that a task holds for functions of bounded reach.
+TILE = 512
+
+
+def per_tile(pixels: DataFrame, change: Callable[..., np.ndarray], halo: int, sized: bool = False) -> DataFrame:
+    """A function of image arrays whose pixels see `halo` neighbours at most, run on tiles of TILE x TILE and their halos.
+
+    A pixel goes to its own tile and, within `halo` of a border, to the neighbours: no task holds an image whole. At the image's
+    own edge there is no halo, so the function sees the edge there and nowhere else. `sized`: it also gets (width, height).
+    """
+    kind, side = pixels.schema["image_id"].dataType.simpleString(), TILE
+    rows = pixels.select(*KEY, *CHANNELS)
+    if sized:
+        rows = rows.join(sizes(pixels), "image_id")
+    own = lambda c: F.sequence(F.greatest(F.floor((F.col(c) - halo) / side), F.lit(0)), F.floor((F.col(c) + halo) / side))
+    rows = rows.withColumn("tile_x", F.explode(own("x"))).withColumn("tile_y", F.explode(own("y")))
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        tile_x, tile_y = table.column("tile_x")[0].as_py(), table.column("tile_y")[0].as_py()
+        x0, y0 = int(x.min()), int(y.min())
+        image = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1, 4), np.float32)
+        image[y - y0, x - x0] = np.stack([table.column(c).to_numpy() for c in CHANNELS], axis=1)
+        keep = (x // side == tile_x) & (y // side == tile_y)
+        x, y = x[keep], y[keep]
+        extra = ((table.column("width")[0].as_py(), table.column("height")[0].as_py()),) if sized else ()
+        out = np.clip(np.nan_to_num(change(image, *extra)), 0, 255).astype(np.int32)[y - y0, x - x0] if len(x) else np.zeros((0, 4), np.int32)
+        return pa.table([table.column("image_id").filter(pa.array(keep)), pa.array(x), pa.array(y), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(4))], names=["image_id", "x", "y", *CHANNELS])
+
+    return rows.groupBy("image_id", "tile_x", "tile_y").applyInArrow(run, PIXELS.format(kind=kind))
+
+
 def _lines(image: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
     """Weighted neighbours along an axis, edges repeated, taps added in order, truncated to bytes."""
     r = len(weights) // 2
@@ -142,30 +219,30 @@ def _lines(image: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
     return np.trunc(np.clip(out, 0, 255))
 
 
+def normal_weights(radius: int) -> np.ndarray:
+    at = np.arange(-radius, radius + 1, dtype=np.float64)
+    weights = np.exp(-at * at / (2 * (radius / 2.0) ** 2))
+    return weights / weights.sum()
+
+
 def gaussian_blur(pixels: DataFrame, radius: int) -> DataFrame:
     """A separable normal kernel with sigma of half the radius."""
     if radius <= 0:
         return pixels
-    at = np.arange(-radius, radius + 1, dtype=np.float64)
-    weights = np.exp(-at * at / (2 * (radius / 2.0) ** 2))
-    weights /= weights.sum()
-    return per_image(pixels, lambda image: _lines(_lines(image, weights, 1), weights, 0))
+    weights = normal_weights(radius)
+    return per_tile(pixels, lambda image: _lines(_lines(image, weights, 1), weights, 0), radius)
 
 
-def bilinear(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Values at places between pixels, edges repeated."""
-    h, w = image.shape[:2]
-    x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
-    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-    fx, fy = (x - x0)[..., None], (y - y0)[..., None]
-    top = image[y0, x0] * (1 - fx) + image[y0, x1] * fx
-    return top * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy
+def shifted(image: np.ndarray, dx: float, dy: float) -> np.ndarray:
+    """Values at the places (x + dx, y + dy), mixed from four pixels, edges repeated. The shares are those of the shift alone."""
 
+    def along(values: np.ndarray, d: float, axis: int) -> np.ndarray:
+        n, whole = values.shape[axis], math.floor(d)
+        at = np.arange(n) + whole
+        low, high = (np.take(values, np.clip(i, 0, n - 1), axis=axis) for i in (at, at + 1))
+        return low + (high - low) * np.float32(d - whole)
 
-def _grid(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    y, x = np.mgrid[0 : image.shape[0], 0 : image.shape[1]].astype(np.float32)
-    return x, y
+    return along(along(image, dx, 1), dy, 0)
 
 
 def motion_blur(pixels: DataFrame, angle: float, distance: int) -> DataFrame:
@@ -174,33 +251,51 @@ def motion_blur(pixels: DataFrame, angle: float, distance: int) -> DataFrame:
     dx, dy = math.cos(math.radians(angle)), math.sin(math.radians(angle))
 
     def change(image: np.ndarray) -> np.ndarray:
-        x, y = _grid(image)
-        return sum(bilinear(image, x + (k - (n - 1) / 2) * dx, y + (k - (n - 1) / 2) * dy) for k in range(n)) / n
+        return sum(shifted(image, (k - (n - 1) / 2) * dx, (k - (n - 1) / 2) * dy) for k in range(n)) / n
+
+    return per_tile(pixels, change, math.ceil((n - 1) / 2) + 1)
 
-    return per_image(pixels, change)
 
+# Weights of a colour's luminance, and the golden ratio's share of a turn.
+LUMA = (0.2126, 0.7152, 0.0722)
+GOLDEN = 0.61803398875
 
-def lens_blur(pixels: DataFrame, radius: float, samples: int = 32, blades: int = 6, rotation: float = 0.0, brightness: float = 0.0, threshold: float = 255.0) -> DataFrame:
-    """The mean over golden-angle samples of an iris with 3 to 8 blades; bright samples may be raised."""
-    blades = min(max(blades, 3), 8)
-    offsets = []
-    for k in range(max(1, samples)):
-        angle, reach = k * math.pi * (3 - math.sqrt(5)), math.sqrt((k + 0.5) / max(1, samples))
-        part = (angle - rotation) % (2 * math.pi / blades) - math.pi / blades
-        reach *= math.cos(math.pi / blades) / math.cos(part)
-        offsets.append((radius * reach * math.cos(angle), radius * reach * math.sin(angle)))
+
+def iris(radius: int, samples: int, blades: int, curvature: float, rotation: float) -> np.ndarray:
+    """Offsets (dx, dy) that fill an iris evenly: a spiral whose reach is that of a polygon, bent toward a circle by `curvature`."""
+    k = np.arange(samples)
+    turn = 2 * np.pi * (k * GOLDEN % 1.0) + rotation
+    sector = 2 * np.pi / blades
+    polygon = np.cos(np.pi / blades) * radius / np.cos(np.fmod(turn, sector) - np.pi / blades)
+    reach = np.sqrt((k + 0.5) / samples) * (polygon * (1 - curvature) + radius * curvature)
+    return np.stack([reach * np.cos(turn), reach * np.sin(turn)], axis=1)
+
+
+def lens_blur(
+    pixels: DataFrame, radius: int = 8, samples: int = 32, blades: int = 6, curvature: float = 0.5, rotation: float = 0.0,
+    specular: tuple[float, float] | None = None, noise: float = 0.0, gaussian_noise: bool = False,
+) -> DataFrame:
+    """The mean over the samples of an iris with 3 to 8 blades, truncated.
+
+    `specular` (brightness, threshold): samples whose luminance in 0..1 is above the threshold count brightness times, once at
+    least. `noise`: the strength of the noise put over the result. A radius of 0 leaves the image as it is, without noise too.
+    """
+    if radius <= 0:
+        return pixels
+    offsets = iris(int(radius), max(1, samples), min(max(blades, 3), 8), curvature, rotation)
 
     def change(image: np.ndarray) -> np.ndarray:
-        x, y = _grid(image)
         total = np.zeros_like(image)
-        for dx, dy in offsets:
-            got = bilinear(image, x + dx, y + dy)
-            luma = got[..., :3] @ np.array([0.299, 0.587, 0.114], np.float32)
-            got[..., :3] *= np.where(luma > threshold, 1 + brightness, 1.0)[..., None]
+        for dx, dy in offsets.tolist():
+            got = shifted(image, dx, dy)
+            if specular is not None:
+                bright = got[..., :3] @ np.array(LUMA, np.float32) / 255.0 > specular[1]
+                got[..., :3] *= np.where(bright, max(specular[0], 1.0), 1.0)[..., None]
             total += got
         return total / len(offsets)
 
-    return per_image(pixels, change)
+    done = per_tile(pixels, change, int(radius) + 1)
+    return point.noise(done, noise, gaussian=gaussian_noise) if noise > 0 else done
 
 
 def median_wide(pixels: DataFrame, radius: int) -> DataFrame:
@@ -215,21 +310,55 @@ def median_wide(pixels: DataFrame, radius: int) -> DataFrame:
             out[row, :, :3] = np.partition(flat, flat.shape[-1] // 2, axis=-1)[..., flat.shape[-1] // 2]
         return out
 
-    return per_image(pixels, change)
+    return per_tile(pixels, change, radius)
+
+
+# What counts as skin (hue in degrees, saturation, value), and the reach of the mask's feather and of the blur.
+SKIN_HUE, SKIN_SATURATION, SKIN_VALUE = (0.0, 50.0), (0.12, 0.68), 0.25
+SKIN_FEATHER, SKIN_RADIUS = 5, 8
 
 
 def skin_mask(pixels: DataFrame) -> DataFrame:
     """(image_id, x, y, w): 1 where hue, saturation and value are those of skin."""
     h, s, v = rgb_to_hsv(*[F.col(c) for c in RGB])
-    return pixels.select(*KEY, F.when(h.between(0.0, 50.0) & s.between(0.12, 0.68) & (v >= 0.25), 1.0).otherwise(0.0).alias("w"))
+    return pixels.select(*KEY, F.when(h.between(*SKIN_HUE) & s.between(*SKIN_SATURATION) & (v >= SKIN_VALUE), 1.0).otherwise(0.0).alias("w"))
 
 
-def smooth_skin(pixels: DataFrame, amount: float, radius: int = 8) -> DataFrame:
-    """A blur of at most radius 8, mixed in where the pixel looks like skin."""
-    weight = skin_mask(pixels).withColumn("w", F.col("w") * min(max(amount, 0.0), 1.0))
-    return blend.lerp(pixels, gaussian_blur(pixels, min(radius, 8)), weight)
+def _box(values: np.ndarray, radius: int, axis: int) -> np.ndarray:
+    """Means of 2 * radius + 1 neighbours along an axis; what lies outside counts as 0."""
+    pad = [(0, 0)] * values.ndim
+    pad[axis] = (radius + 1, radius)
+    run = np.cumsum(np.pad(values.astype(np.float64), pad), axis=axis)
+    n = values.shape[axis]
+    return (np.take(run, np.arange(2 * radius + 1, 2 * radius + 1 + n), axis=axis) - np.take(run, np.arange(n), axis=axis)) / (2 * radius + 1)
+
+
+def smooth_skin(pixels: DataFrame, amount: float) -> DataFrame:
+    """A soft blur, mixed in by a feathered mask of what looks like skin.
+
+    The mask's feather is a quarter of the longer side, the blur's radius an eighth, both 1 at least and bounded.
+    """
+    amount = min(max(amount, 0.0), 1.0)
+    if not amount:
+        return pixels
+    hue, saturation, value = rgb_to_hsv(*[F.col(c) for c in RGB])
+    skin = hue.between(*SKIN_HUE) & saturation.between(*SKIN_SATURATION) & (value >= SKIN_VALUE)
+    # the mask's bit travels in alpha, above its eight bits
+    marked = pixels.select(*KEY, *RGB, (F.col("a") + F.when(skin, 256).otherwise(0)).alias("a"))
+
+    def change(image: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+        longest = max(size)
+        mask, own = (image[..., 3] >= 256).astype(np.float32), image.copy()
+        own[..., 3] -= 256 * mask
+        feather, radius = min(SKIN_FEATHER, max(1, longest // 4)), min(SKIN_RADIUS, max(1, longest // 8))
+        grey = np.floor(np.clip(_box(_box(mask, feather, 1), feather, 0), 0, 1) * amount * 255 + 0.5)
+        w = (grey / 255).astype(np.float32)[..., None]
+        weights = normal_weights(radius)
+        soft = _lines(_lines(own, weights, 1), weights, 0)
+        return np.where(w > 0, np.trunc(soft * w + own * (1 - w)), own)
+
+    return per_tile(marked, change, max(SKIN_FEATHER, SKIN_RADIUS), sized=True)
 
 
 def focus_blur(pixels: DataFrame, radius: int = 25, lens: bool = False) -> DataFrame:
     return lens_blur(pixels, radius) if lens else gaussian_blur(pixels, radius)
-

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumengrid.operators import geometry
 from lumengrid.operators.geometry import Path, Point
 from lumengrid.plans.views import CHANNELS, RGB
 
@@ -57,28 +59,71 @@ def samples(path: Path, spacing: float) -> list[Point]:
     return [path.start, *(path.point_at(k * spacing) for k in range(1, inner + 1)), path.point_at(1.0)]
 
 
-def outline(path: Path, width: float, cap: str = "butt") -> Path:
-    """The closed outline of an open path drawn with a pen: both sides at half the width, ends "butt", "square" or "round"."""
-    line = path.flatten()
+#: Pieces of an arc at a round corner or end.
+ARC = 12
+
+
+def outline(path: Path, width: float, cap: str = "butt", join: str = "miter", tolerance: float = 0.125) -> Path:
+    """The closed outline of a path drawn with a pen: both sides at half the width, each point aside of the piece that follows it.
+
+    Ends are "butt", "square" (a tip half the width ahead) or "round"; corners are left as the sides have them, or "round".
+    """
+    line = path.flatten(tolerance)
     own = [p for i, p in enumerate(line) if i == 0 or p != line[i - 1]]
     if len(own) < 2:
         return Path.polygon(*own * 3)
-    unit = [((b[0] - a[0]) / math.dist(a, b), (b[1] - a[1]) / math.dist(a, b)) for a, b in zip(own, own[1:], strict=False)]
-    half = width / 2
-    if cap == "square":
-        own[0] = (own[0][0] - unit[0][0] * half, own[0][1] - unit[0][1] * half)
-        own[-1] = (own[-1][0] + unit[-1][0] * half, own[-1][1] + unit[-1][1] * half)
+    half, last = width / 2, len(own) - 1
+    normals = [_normal(a, b) for a, b in zip(own, own[1:], strict=False)]
+    aside = lambda i, u, side: (own[i][0] + side * u[0] * half, own[i][1] + side * u[1] * half)
     left, right = [], []
+    for i in range(last + 1):
+        u, v = normals[max(i - 1, 0)], normals[min(i, last - 1)]
+        corner = join == "round" and 0 < i < last
+        outer = u[0] * v[1] - u[1] * v[0] > 0
+        left += _arc(own[i], aside(i, u, 1), aside(i, v, 1)) if corner and outer else [aside(i, v, 1)]
+        right += _arc(own[i], aside(i, u, -1), aside(i, v, -1)) if corner else [aside(i, v, -1)]
+    ends = [_cap(own[last], normals[-1], half, cap, left[-1], right[-1]), _cap(own[0], (-normals[0][0], -normals[0][1]), half, cap, right[0], left[0])]
+    return Path.polygon(*left, *ends[0], *reversed(right), *ends[1])
+
+
+def area_outline(path: Path, width: float) -> Path:
+    """The outline of an area drawn with a pen: its corners moved out and in along the mean of their two normals, as two rings."""
+    own = path.flatten()
+    own = [p for i, p in enumerate(own) if i == 0 or p != own[i - 1]]
+    own = own[:-1] if own[0] == own[-1] else own
+    if len(own) < 3:
+        return Path()
+    normals = [_normal(a, b) for a, b in zip(own, [*own[1:], own[0]], strict=True)]
+    outer, inner = [], []
     for i, (x, y) in enumerate(own):
-        near = unit[max(i - 1, 0) : i + 1] or [unit[-1]]
-        nx, ny = -sum(u[1] for u in near), sum(u[0] for u in near)
-        size = math.hypot(nx, ny) or 1.0
-        left.append((x + nx / size * half, y + ny / size * half))
-        right.append((x - nx / size * half, y - ny / size * half))
-    arc = lambda at, u: [(at[0] + half * math.cos(t), at[1] + half * math.sin(t)) for t in (math.atan2(u[0], -u[1]) - math.pi * k / 8 for k in range(1, 8))]
-    end = arc(own[-1], unit[-1]) if cap == "round" else []
-    start = arc(own[0], (-unit[0][0], -unit[0][1])) if cap == "round" else []
-    return Path.polygon(*left, *end, *reversed(right), *start)
+        mx, my = normals[i - 1][0] + normals[i][0], normals[i - 1][1] + normals[i][1]
+        size = max(math.hypot(mx, my) / 2, 0.001) * 2
+        outer.append((x + mx / size * width / 2, y + my / size * width / 2))
+        inner.append((x - mx / size * width / 2, y - my / size * width / 2))
+    return Path.polygon(*outer, *reversed(inner))
+
+
+def _normal(a: Point, b: Point) -> Point:
+    """The unit vector across a piece."""
+    d = math.dist(a, b)
+    return -(b[1] - a[1]) / d, (b[0] - a[0]) / d
+
+
+def _arc(center: Point, start: Point, stop: Point, through: Point | None = None) -> list[Point]:
+    """ARC pieces around a centre, the short way, or by the side of a direction where both ways are as long."""
+    radius, first = math.dist(center, start), math.atan2(start[1] - center[1], start[0] - center[0])
+    turn = (math.atan2(stop[1] - center[1], stop[0] - center[0]) - first + math.pi) % (2 * math.pi) - math.pi
+    if through is not None and math.cos(first + turn / 2) * through[0] + math.sin(first + turn / 2) * through[1] < 0:
+        turn -= math.copysign(2 * math.pi, turn)
+    return [(center[0] + radius * math.cos(first + turn * k / ARC), center[1] + radius * math.sin(first + turn * k / ARC)) for k in range(ARC + 1)]
+
+
+def _cap(end: Point, across: Point, half: float, cap: str, one: Point, other: Point) -> list[Point]:
+    """The points between the two sides at an end; `across` is turned from the direction outward."""
+    ahead = (across[1], -across[0])
+    if cap == "square":
+        return [(end[0] + ahead[0] * half, end[1] + ahead[1] * half)]
+    return _arc(end, one, other, ahead)[1:-1] if cap == "round" else []
 
 
 def grid_lines(lines: DataFrame) -> DataFrame:
@@ -91,18 +136,59 @@ def grid_lines(lines: DataFrame) -> DataFrame:
     return rows.select("id", "i", at("x0", dx).alias("x"), at("y0", dy).alias("y"))
 
 
+def dab_centers(path: Path, size: float) -> tuple[list[Point], float]:
+    """(centres, radius) of the dabs that fill an area: a grid a third of the radius apart, of the dabs that meet it.
+
+    A dab meets the area if its centre or one of eight points of its rim lies inside. The brush is at least a quarter of the
+    area's longer side wide, so that centres are at most some thousands.
+    """
+    x0, y0, x1, y1 = path.bounds()
+    radius = max(size, max(x1 - x0, y1 - y0) / 4, 1.0) / 2
+    step = max(radius / 3, 1.0)
+    grid = lambda low, high: [math.floor(low - radius) + k * step for k in range(int((math.ceil(high + radius) - math.floor(low - radius)) / step) + 1)]
+    x, y = np.meshgrid(grid(x0, x1), grid(y0, y1))
+    rim = [(0.0, 0.0)] + [(radius * math.cos(math.pi / 4 * k), radius * math.sin(math.pi / 4 * k)) for k in range(8)]
+    meets = np.zeros(x.shape, bool)
+    for dx, dy in rim:
+        meets |= _inside(path, x + dx, y + dy)
+    return list(zip(x[meets].tolist(), y[meets].tolist(), strict=True)), radius
+
+
+def _inside(path: Path, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which places have a winding number that is not 0."""
+    total = np.zeros(x.shape, int)
+    for ax, ay, bx, by in ((e[0], e[1], e[2], e[3]) for e in path.edges()):
+        side = (y - ay) * (bx - ax) - (x - ax) * (by - ay)
+        total += ((ay <= y) & (by > y) & (side < 0)).astype(int) - ((ay > y) & (by <= y) & (side > 0)).astype(int)
+    return total != 0
+
+
+def _adding(px, py, size: float, hardness: float):
+    """A fold that adds the strengths of dabs at a place."""
+    from lumengrid.operators import raster
+
+    return lambda total, c: total + raster.dab(size, hardness, F.sqrt((px - c["x"]) ** 2 + (py - c["y"]) ** 2))
+
+
 def fill_with_dabs(pixels: DataFrame, path: Path, size: float, color: tuple[int, int, int, int], hardness: float = 1.0) -> DataFrame:
-    """An area filled by a grid of brush dabs a third of the radius apart, at least a quarter of the area's longer side wide."""
+    """An area filled by overlapping brush dabs: at each of 2 x 2 points of a pixel their strengths add up, as far as opaque."""
     from lumengrid.operators import raster
 
+    centers, radius = dab_centers(path, size)
+    if not centers:
+        return pixels
+    dots = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in centers])
+    alpha = F.lit(0.0)
+    for k in range(4):
+        px, py = F.col("x") + (k % 2 + 0.5) / 2, F.col("y") + (k // 2 + 0.5) / 2
+        sum_at = F.aggregate("dots", F.lit(0.0), _adding(px, py, 2 * radius, hardness))
+        here = F.floor(F.least(sum_at * float(color[3]), F.lit(255.0)))
+        inside = geometry.winding(px, py, path.edges()) != 0
+        alpha = alpha + F.when(inside, here).otherwise(0.0)
     x0, y0, x1, y1 = path.bounds()
-    size = max(size, max(x1 - x0, y1 - y0) / 4)
-    step = max(1.0, size / 6)
-    px, py = F.col("x") + 0.5, F.col("y") + 0.5
-    # the grid point nearest to a pixel gives the strongest dab
-    near = lambda p, low, high: F.least(F.greatest(F.round((p - low) / step) * step + low, F.lit(low)), F.lit(high))
-    d = F.sqrt((px - near(px, x0, x1)) ** 2 + (py - near(py, y0, y1)) ** 2)
-    return raster._stroke(pixels, F.when(raster.coverage(path) > 0, raster.dab(size, hardness, d)).otherwise(0.0), color)
+    near = F.col("x").between(math.floor(x0), math.ceil(x1)) & F.col("y").between(math.floor(y0), math.ceil(y1))
+    strength = F.when(near, alpha / 4.0 / float(max(color[3], 1))).otherwise(0.0)
+    return raster._stroke(pixels.withColumn("dots", dots), strength, color)
 
 
 def to_planes(pixels: DataFrame) -> DataFrame:

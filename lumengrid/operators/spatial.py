@@ -6,10 +6,12 @@ windows; wide or ordered supports run per image in Arrow batches (`lumengrid.ope
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumengrid.functions.numeric import idiv
+from lumengrid.operators import raster
 from lumengrid.plans.views import CHANNELS, KEY, RGB, sizes
 
 # 3 x 3 kernels in row-major order.
@@ -19,18 +21,26 @@ SOBEL_HORIZONTAL = (1.0, 2.0, 1.0, 0.0, 0.0, 0.0, -1.0, -2.0, -1.0)
 SOBEL_VERTICAL = (1.0, 0.0, -1.0, 2.0, 0.0, -2.0, 1.0, 0.0, -1.0)
 
 
+def _beside(at: str, *across: str):
+    """Windows over rows or columns, and the value before and after a pixel in its line; absent ones count 0."""
+    line = Window.partitionBy("image_id", *across).orderBy(at)
+    before = lambda v: F.when(F.lag(at).over(line) == F.col(at) - 1, F.lag(v).over(line)).otherwise(0)
+    after = lambda v: F.when(F.lead(at).over(line) == F.col(at) + 1, F.lead(v).over(line)).otherwise(0)
+    return before, after
+
+
 def apply_kernel(pixels: DataFrame, kernel: tuple[float, ...]) -> DataFrame:
     """3 x 3 correlation of all channels; taps outside the image are left out, without making up for them.
 
-    A pixel is scattered to the places that its taps reach, and sums are made map-side before one shuffle.
+    Images are dense. One window over rows makes each kernel row's sums, one over columns adds the three of them: two shuffles of
+    one row for each pixel.
     """
-    taps = F.array(*[F.struct(F.lit(k % 3 - 1).alias("dx"), F.lit(k // 3 - 1).alias("dy"), F.lit(float(w)).alias("w")) for k, w in enumerate(kernel) if w])
-    rows = pixels.select("image_id", "x", "y", *CHANNELS, F.explode(taps).alias("t"))
-    moved = rows.select("image_id", (F.col("x") - F.col("t.dx")).alias("x"), (F.col("y") - F.col("t.dy")).alias("y"), *[(F.col(c) * F.col("t.w")).alias(c) for c in CHANNELS])
-    summed = moved.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in CHANNELS])
-    at = pixels.select(*KEY)
-    value = lambda c: F.least(F.greatest(F.round(F.coalesce(F.col(c), F.lit(0.0))), F.lit(0.0)), F.lit(255.0)).cast("int")
-    return at.join(summed, list(KEY), "left").select(*KEY, *[value(c).alias(c) for c in CHANNELS])
+    left, right = _beside("x", "y")
+    rows = {f"{c}{k}": left(c) * kernel[3 * k] + F.col(c) * kernel[3 * k + 1] + right(c) * kernel[3 * k + 2] for k in range(3) for c in CHANNELS}
+    across = pixels.select(*KEY, *[v.alias(n) for n, v in rows.items()])
+    above, below = _beside("y", "x")
+    value = lambda c: F.least(F.greatest(F.round(above(f"{c}0") + F.col(f"{c}1") + below(f"{c}2")), F.lit(0.0)), F.lit(255.0)).cast("int")
+    return across.select(*KEY, *[value(c).alias(c) for c in CHANNELS])
 
 
 def smooth(pixels: DataFrame) -> DataFrame:
@@ -40,11 +50,11 @@ def smooth(pixels: DataFrame) -> DataFrame:
 
 
 def apply_sums(pixels: DataFrame) -> DataFrame:
-    """Whole-number sums over 3 x 3."""
-    taps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    rows = pixels.select("image_id", "x", "y", *CHANNELS, F.explode(taps).alias("t"))
-    moved = rows.select("image_id", (F.col("x") + F.col("t.dx")).alias("x"), (F.col("y") + F.col("t.dy")).alias("y"), *CHANNELS)
-    return pixels.select(*KEY).join(moved.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in CHANNELS]), list(KEY))
+    """Whole-number sums over 3 x 3 of dense images."""
+    left, right = _beside("x", "y")
+    across = pixels.select(*KEY, *[(left(c) + F.col(c) + right(c)).alias(c) for c in CHANNELS])
+    above, below = _beside("y", "x")
+    return across.select(*KEY, *[(above(c) + F.col(c) + below(c)).alias(c) for c in CHANNELS])
 
 
 def _box_pass(pixels: DataFrame, radius: int, along: str, across: str) -> DataFrame:
@@ -64,6 +74,37 @@ def box_blur(pixels: DataFrame, radius: int) -> DataFrame:
     return _box_pass(_box_pass(pixels, radius, "x", "y"), radius, "y", "x")
 
 
+#: The radius up to which neighbours meet as rows; wider ones would multiply the rows, and are seen in halo tiles.
+NEAR = 2
+
+
+def _seen(image: np.ndarray, radius: int) -> np.ndarray:
+    """The colours around each pixel [height, width, 3, side, side], edges repeated."""
+    wide = np.pad(image[..., :3], ((radius, radius), (radius, radius), (0, 0)), mode="edge")
+    return np.lib.stride_tricks.sliding_window_view(wide, (2 * radius + 1, 2 * radius + 1), axis=(0, 1))
+
+
+def _surface(image: np.ndarray, radius: int, threshold: int) -> np.ndarray:
+    out, near = image.copy(), _seen(image, radius)
+    for row in range(image.shape[0]):  # a row at a time bounds the memory
+        close = np.abs(near[row] - image[row, :, :3, None, None]) <= threshold
+        out[row, :, :3] = np.floor((near[row] * close).sum(axis=(-1, -2)) / close.sum(axis=(-1, -2)))
+    return out
+
+
+def _despeckled(image: np.ndarray, radius: int, threshold: float) -> np.ndarray:
+    out, near = image.copy(), _seen(image, radius)
+    weights = np.array([299, 587, 114], np.float32)
+    for row in range(image.shape[0]):
+        flat = near[row].reshape(image.shape[1], 3, -1)
+        middle = np.partition(flat, flat.shape[-1] // 2, axis=-1)[..., flat.shape[-1] // 2]
+        luma = np.floor(np.einsum("xck,c->xk", flat, weights) / 1000)
+        own = np.floor(image[row, :, :3] @ weights / 1000)
+        odd = (own == luma.min(axis=1)) | (own == luma.max(axis=1)) | (np.abs(image[row, :, :3] - middle).max(axis=1) > threshold)
+        out[row, :, :3] = np.where(odd[:, None], middle, image[row, :, :3])
+    return out
+
+
 def neighbours(pixels: DataFrame, radius: int) -> DataFrame:
     """(image_id, x, y, r, g, b, a, times): the pixels within `radius` of each place, edges repeated.
 
@@ -85,9 +126,11 @@ def neighbours(pixels: DataFrame, radius: int) -> DataFrame:
 
 
 def median(pixels: DataFrame, radius: int = 1) -> DataFrame:
-    """The middle value of each colour channel around a pixel; alpha stays."""
+    """The middle value of each colour channel around a pixel; alpha stays. Beyond a radius of NEAR, by halo tiles."""
     if radius <= 0:
         return pixels
+    if radius > NEAR:
+        return raster.median_wide(pixels, radius)
     lists = neighbours(pixels, radius).groupBy(*KEY).agg(*[F.array_sort(F.flatten(F.collect_list(F.array_repeat(F.col(c), F.col("times").cast("int"))))).alias(c) for c in RGB])
     mid = (2 * radius + 1) ** 2 // 2 + 1
     return lists.select(*KEY, *[F.element_at(c, mid).alias(c) for c in RGB]).join(pixels.select(*KEY, "a"), list(KEY)).select(*KEY, *CHANNELS)
@@ -99,6 +142,8 @@ def _luma(p: str = ""):
 
 def despeckle(pixels: DataFrame, radius: int = 1, threshold: float = 0.0) -> DataFrame:
     """The window's median replaces a pixel that is darkest or brightest in it, or differs by more than `threshold`."""
+    if radius > NEAR:
+        return raster.per_tile(pixels, lambda image: _despeckled(image, radius, threshold), radius)
     near = neighbours(pixels, radius).withColumn("luma", _luma())
     lists = near.groupBy(*KEY).agg(F.min("luma").alias("low"), F.max("luma").alias("high"), *[F.array_sort(F.flatten(F.collect_list(F.array_repeat(F.col(c), F.col("times").cast("int"))))).alias(f"m_{c}") for c in RGB])
     mid = (2 * radius + 1) ** 2 // 2 + 1
@@ -110,6 +155,8 @@ def despeckle(pixels: DataFrame, radius: int = 1, threshold: float = 0.0) -> Dat
 
 def surface_blur(pixels: DataFrame, radius: int, threshold: int) -> DataFrame:
     """For each colour channel, the mean of the neighbours within `threshold` of the pixel; alpha stays."""
+    if radius > NEAR:
+        return raster.per_tile(pixels, lambda image: _surface(image, radius, threshold), radius)
     own = pixels.select(*KEY, *[F.col(c).alias(f"o_{c}") for c in RGB], F.col("a").alias("o_a"))
     both = neighbours(pixels, radius).join(own, list(KEY))
     close = lambda c: F.abs(F.col(c) - F.col(f"o_{c}")) <= threshold

@@ -113,23 +113,26 @@ def color_median_compat(pixels: DataFrame) -> DataFrame:
     return mid.groupBy("image_id").agg(*[F.max(F.when(F.col("channel") == c, F.col("v"))).alias(c) for c in RGB])
 
 
-def _bounds_wide(pixels: DataFrame, fraction: float) -> DataFrame:
+def _wide(bounds: DataFrame) -> DataFrame:
     """One row for each image with lo and hi of r, g and b."""
-    bounds = clip_bounds(histogram(pixels, skip_transparent=True).where("channel <> 'a'"), fraction)
     pick = lambda c, v: F.max(F.when(F.col("channel") == c, F.col(v))).alias(f"{v}_{c}")
     return bounds.groupBy("image_id").agg(*[pick(c, v) for c in RGB for v in ("lo", "hi")])
 
 
-def _levelled(pixels: DataFrame, fraction: float) -> DataFrame:
-    """Pixels with each image's levels stretched, in columns m_r, m_g, m_b. An image without visible pixels keeps its values."""
-    both = pixels.join(_bounds_wide(pixels, fraction), "image_id", "left")
+def _bounds_wide(pixels: DataFrame, fraction: float) -> DataFrame:
+    return _wide(clip_bounds(histogram(pixels, skip_transparent=True).where("channel <> 'a'"), fraction))
+
+
+def _levelled(pixels: DataFrame, wide: DataFrame) -> DataFrame:
+    """Pixels or colours with each image's levels stretched, in columns m_r, m_g, m_b. An image without visible pixels keeps its values."""
+    both = pixels.join(wide, "image_id", "left")
     stretched = {f"m_{c}": F.coalesce(_stretch(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}")), F.col(c)) for c in RGB}
     return both.withColumns(stretched).drop(*[f"{v}_{c}" for c in RGB for v in ("lo", "hi")])
 
 
 def auto_tone(pixels: DataFrame, fraction: float = 0.005) -> DataFrame:
     """Levels of each channel stretched between the clip bounds of the visible pixels; transparent pixels stay."""
-    done = _levelled(pixels, fraction)
+    done = _levelled(pixels, _bounds_wide(pixels, fraction))
     return done.select("image_id", "x", "y", *[F.when(F.col("a") == 0, F.col(c)).otherwise(F.col(f"m_{c}")).alias(c) for c in RGB], "a")
 
 
@@ -138,17 +141,26 @@ def auto_color(pixels: DataFrame, fraction: float = 0.005, low: float = 0.3, hig
 
     Midtones are visible pixels of middle luminance with no channel at an end; fewer than `least` leave the cast.
     """
-    done = _levelled(pixels, fraction)
+    # the visible colours and their numbers: bounds and cast come from them, so pixels are read and levelled once
+    seen = pixels.where("a <> 0").groupBy("image_id", *RGB).agg(F.count("*").alias("cnt"))
+    parts = seen.select("image_id", "cnt", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("bin")) for c in RGB])).alias("v"))
+    hist = parts.groupBy("image_id", "v.channel", "v.bin").agg(F.sum("cnt").alias("cnt"))
+    wide = _wide(clip_bounds(hist, fraction))
+
+    def lab_of(rows: DataFrame) -> DataFrame:
+        m = [F.col(f"m_{c}") for c in RGB]
+        lum = (m[0] * 0.2126 + m[1] * 0.7152 + m[2] * 0.0722) / 255.0
+        lit = _levelled(rows, wide).withColumns({f"lin_{c}": color.to_linear(F.col(f"m_{c}") / 255.0) for c in RGB})
+        light, a, b = color.linear_to_lab(*[F.col(f"lin_{c}") for c in RGB])
+        return lit.withColumns({"lum": lum, "lab_l": light, "lab_a": a, "lab_b": b})
+
     m = [F.col(f"m_{c}") for c in RGB]
-    lum = (m[0] * 0.2126 + m[1] * 0.7152 + m[2] * 0.0722) / 255.0
-    lit = done.withColumns({f"lin_{c}": color.to_linear(v / 255.0) for c, v in zip(RGB, m, strict=True)})
-    light, a, b = color.linear_to_lab(*[F.col(f"lin_{c}") for c in RGB])
-    lab = lit.withColumns({"lum": lum, "lab_l": light, "lab_a": a, "lab_b": b})
-    mid = (F.col("a") != 0) & F.col("lum").between(low, high) & (F.least(*m) > 0) & (F.greatest(*m) < 255)
-    cast = lab.where(mid).groupBy("image_id").agg(F.avg("lab_a").alias("mean_a"), F.avg("lab_b").alias("mean_b"), F.count("*").alias("n")).where(F.col("n") >= least)
+    mid = F.col("lum").between(low, high) & (F.least(*m) > 0) & (F.greatest(*m) < 255)
+    sums = lab_of(seen).where(mid).groupBy("image_id").agg(F.sum(F.col("lab_a") * F.col("cnt")).alias("sum_a"), F.sum(F.col("lab_b") * F.col("cnt")).alias("sum_b"), F.sum("cnt").alias("n")).where(F.col("n") >= least)
+    cast = sums.select("image_id", (F.col("sum_a") / F.col("n")).alias("mean_a"), (F.col("sum_b") / F.col("n")).alias("mean_b"))
     w = F.greatest(F.least((F.col("lum") - low) / (high - low), F.lit(1.0)), F.lit(0.0))
     w = w * w * (3.0 - w * 2.0)
     off = lambda c: F.col(f"lab_{c}") - F.coalesce(F.col(f"mean_{c}"), F.lit(0.0)) * w
-    both = lab.join(cast.drop("n"), "image_id", "left").withColumns({"new_a": off("a"), "new_b": off("b")})
+    both = lab_of(pixels).join(cast, "image_id", "left").withColumns({"new_a": off("a"), "new_b": off("b")})
     rgb = color.lab_to_rgb(F.col("lab_l"), F.col("new_a"), F.col("new_b"))
     return both.select("image_id", "x", "y", *[v.alias(c) for c, v in zip(RGB, rgb, strict=True)], "a")

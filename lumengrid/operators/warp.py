@@ -1,6 +1,7 @@
 """Resampling and geometric transforms: a target grid that gathers from the source.
 
-Nearest resizing is an equi-join of the target grid with the source. Smooth samplers and free angles run per image.
+Nearest resizing is an equi-join of the target grid with the source. Smooth samplers run on tiles of the target, to which the
+source pixels go that a sample in the tile can reach. Free angles, pinch and ripple run per image.
 Samples outside the image are transparent; colours are weighted by alpha, and results are rounded.
 """
 
@@ -9,11 +10,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumengrid.operators import raster
 from lumengrid.operators.raster import per_image
-from lumengrid.plans.views import CHANNELS, sizes
+from lumengrid.plans.views import CHANNELS, KEY, sizes
 
 ALGORITHMS = ("nearest", "bilinear", "bicubic", "lanczos", "edge-nedi", "edge-edi", "auto")
 RIPPLE_LENGTH = {"small": 50.0, "medium": 30.0, "large": 15.0}
@@ -23,7 +26,7 @@ def choose(algorithm: str | None, width: int, height: int, new_width: int, new_h
     """The sampler for a change of size; "auto" and None go by how the sides change."""
     if algorithm not in (None, "auto"):
         return algorithm
-    if new_width * 2 < width or new_height * 2 < height:
+    if new_width < width // 2 or new_height < height // 2:
         return "lanczos"
     if new_width > width or new_height > height:
         return "bicubic"
@@ -39,8 +42,9 @@ def resize_nearest(pixels: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def _cubic(t: np.ndarray) -> np.ndarray:
+    """Its outer lobe is positive, other than that of the usual cubic kernel."""
     t = np.abs(t)
-    return np.where(t <= 1, (t - 2) * t * t + 1, np.where(t < 2, ((-t + 5) * t - 8) * t + 4, 0.0))
+    return np.where(t < 1, (t - 2) * t * t + 1, np.where(t < 2, ((t - 5) * t + 8) * t - 4, 0.0))
 
 
 def _lanczos(t: np.ndarray) -> np.ndarray:
@@ -77,24 +81,82 @@ def sample(image: np.ndarray, x: np.ndarray, y: np.ndarray, algorithm: str) -> n
     return np.floor(np.clip(np.concatenate([rgb, (alpha / np.where(np.abs(norm) < 1e-6, 1, norm))[..., None]], axis=-1), 0, 255) + 0.5)
 
 
+def _premultiplied(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Colours times alpha, and alpha in 0..1, of whole places; nothing outside."""
+    h, w = image.shape[:2]
+    inside = (x >= 0) & (y >= 0) & (x < w) & (y < h)
+    got = np.where(inside[..., None], image[np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)], 0).astype(np.float64)
+    alpha = got[..., 3:] / 255
+    return np.concatenate([got[..., :3] * alpha, alpha], axis=-1)
+
+
+def _bytes(mixed: np.ndarray) -> np.ndarray:
+    """Premultiplied sums as rounded straight channels; colours of what is clear are black."""
+    alpha = mixed[..., 3:]
+    rgb = np.where(alpha > 0, mixed[..., :3] / np.where(alpha > 0, alpha, 1), 0)
+    return np.floor(np.clip(np.concatenate([rgb, alpha * 255], axis=-1), 0, 255) + 0.5)
+
+
+def _linear(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    fx, fy = (x - x0)[..., None], (y - y0)[..., None]
+    row = lambda dy: _premultiplied(image, x0, y0 + dy) * (1 - fx) + _premultiplied(image, x0 + 1, y0 + dy) * fx
+    return row(0) * (1 - fy) + row(1) * fy
+
+
+def _luma_around(image: np.ndarray, margin: int) -> np.ndarray:
+    """Brightness of the visible pixels with a margin of 0 around them, where clear pixels count 0 too."""
+    luma = np.where(image[..., 3] > 0, image[..., :3] @ np.array([0.299, 0.587, 0.114]), 0.0)
+    return np.pad(luma, margin)
+
+
+def _edges_by_covariance(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(ux, uy, strength, margin) at each pixel and `margin` around: the main axis of the gradients of 5 x 5 pixels, and their spread."""
+    margin = 3
+    luma = _luma_around(image, margin + 3)
+    gx, gy = (luma[1:-1, 2:] - luma[1:-1, :-2]) / 2, (luma[2:, 1:-1] - luma[:-2, 1:-1]) / 2
+    near = lambda v: np.lib.stride_tricks.sliding_window_view(v, (5, 5)).mean(axis=(2, 3))
+    mean_x, mean_y = near(gx), near(gy)
+    a, b, c = near(gx * gx) - mean_x**2, near(gx * gy) - mean_x * mean_y, near(gy * gy) - mean_y**2
+    top = (a + c) / 2 + np.sqrt(np.maximum((a + c) ** 2 / 4 - (a * c - b * b), 0))
+    vx, vy = top - c, b
+    norm = np.hypot(vx, vy)
+    turned = np.abs(b) > 1e-6
+    ux = np.where(turned & (norm > 0), vx / np.where(norm > 0, norm, 1), np.where(~turned & (c - a > 1e-6), 0.0, 1.0))
+    uy = np.where(turned & (norm > 0), vy / np.where(norm > 0, norm, 1), np.where(~turned & (c - a > 1e-6), 1.0, 0.0))
+    return ux, uy, np.sqrt(np.maximum(a + c, 0)), margin
+
+
+def _edges_by_sobel(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(direction 0..3, magnitude, margin): the gradient's angle in eighths of a turn, opposite ones alike."""
+    margin = 3
+    luma = _luma_around(image, margin + 1)
+    part = lambda dy, dx: luma[1 + dy : luma.shape[0] - 1 + dy, 1 + dx : luma.shape[1] - 1 + dx]
+    gx = part(-1, 1) + 2 * part(0, 1) + part(1, 1) - part(-1, -1) - 2 * part(0, -1) - part(1, -1)
+    gy = part(1, -1) + 2 * part(1, 0) + part(1, 1) - part(-1, -1) - 2 * part(-1, 0) - part(-1, 1)
+    angle = np.arctan2(gy, gx)
+    angle = np.where(angle < 0, angle + np.pi, angle)
+    return np.floor(angle / np.pi * 4 + 0.5).astype(int) % 4, np.hypot(gx, gy), margin
+
+
 def _edge_sample(image: np.ndarray, x: np.ndarray, y: np.ndarray, algorithm: str) -> np.ndarray:
-    """Two samples along the local edge where the gradient is strong, a smooth sampler elsewhere."""
-    luma = image[..., :3] @ np.array([0.299, 0.587, 0.114])
-    gy, gx = np.gradient(np.pad(luma, 1, mode="edge"))
-    gx, gy = gx[1:-1, 1:-1], gy[1:-1, 1:-1]
-    h, w = luma.shape
-    xi, yi = np.clip(np.floor(x + 0.5).astype(int), 0, w - 1), np.clip(np.floor(y + 0.5).astype(int), 0, h - 1)
-    ex, ey = -gy[yi, xi], gx[yi, xi]
-    strength = np.hypot(ex, ey)
-    limit, plain = (5.0, "bicubic") if algorithm == "edge-nedi" else (10.0, "bilinear")
-    if algorithm == "edge-edi":  # one of four directions
-        angle = np.round(np.arctan2(ey, ex) / (np.pi / 4)) * (np.pi / 4)
-        ux, uy = np.cos(angle), np.sin(angle)
-    else:
-        safe = np.where(strength > 0, strength, 1)
-        ux, uy = ex / safe, ey / safe
-    along = (sample(image, x + ux / 2, y + uy / 2, "bilinear") + sample(image, x - ux / 2, y - uy / 2, "bilinear")) / 2
-    return np.where((strength > limit)[..., None], np.floor(along + 0.5), sample(image, x, y, plain))
+    """Two samples along the local edge where it is strong, a smooth sampler elsewhere."""
+    h, w = image.shape[:2]
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    fx, fy = x - x0, y - y0
+    at = lambda v, margin: v[np.clip(y0, -margin, h - 1 + margin) + margin, np.clip(x0, -margin, w - 1 + margin) + margin]
+    if algorithm == "edge-nedi":
+        ux, uy, strength, margin = _edges_by_covariance(image)
+        ux, uy, strength = at(ux, margin), at(uy, margin), at(strength, margin)
+        share = ((fx * ux + fy * uy + 1) / 2)[..., None]
+        along = _linear(image, x0 - ux, y0 - uy) * (1 - share) + _linear(image, x0 + ux, y0 + uy) * share
+        return np.where((strength > 5.0)[..., None], _bytes(along), sample(image, x, y, "bicubic"))
+    direction, strength, margin = _edges_by_sobel(image)
+    direction, strength = at(direction, margin), at(strength, margin)
+    one = _premultiplied(image, x0 + (direction == 3), y0)
+    other = _premultiplied(image, x0 + ((direction == 0) | (direction == 1)), y0 + (direction != 0))
+    share = np.where(direction == 0, fx, np.where(direction == 2, fy, (fx + fy) / 2))[..., None]
+    return np.where((strength > 10.0)[..., None], _bytes(one * (1 - share) + other * share), _bytes(_linear(image, x, y)))
 
 
 def _target(width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,19 +164,44 @@ def _target(width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
+#: How many pixels around a place its sample can see.
+REACH = {"bilinear": 1, "bicubic": 2, "lanczos": 3, "edge-nedi": 5, "edge-edi": 4, "nearest": 1}
+
+
 def resize(pixels: DataFrame, width: int, height: int, algorithm: str | None = None) -> DataFrame:
-    """Images of any size brought to one size; pixel centres are aligned. The same size is left as it is."""
+    """Images of any size brought to one size; pixel centres are aligned. The same size is left as it is.
+
+    A source pixel goes to the tiles of the target that have a sample near it, by arithmetic: no task holds an image whole.
+    """
     if algorithm == "nearest":
         return resize_nearest(pixels, width, height)
-
-    def change(image: np.ndarray) -> np.ndarray:
-        h, w = image.shape[:2]
+    side, reach = raster.TILE, max(REACH.values()) if algorithm in (None, "auto") else REACH[algorithm]
+    kind = pixels.schema["image_id"].dataType.simpleString()
+
+    def tiles_of(at: str, own: str, target: int):
+        """The target tiles of which some sample is within reach of a source coordinate."""
+        place = lambda d: F.floor(((F.col(at) + d + 0.5) * float(target) / F.col(own) - 0.5) / float(side))
+        return F.sequence(F.least(F.greatest(place(-reach), F.lit(0)), F.lit((target - 1) // side)), F.least(F.greatest(place(reach), F.lit(0)), F.lit((target - 1) // side)))
+
+    rows = pixels.select(*KEY, *CHANNELS).join(sizes(pixels), "image_id")
+    rows = rows.withColumn("tile_x", F.explode(tiles_of("x", "width", width))).withColumn("tile_y", F.explode(tiles_of("y", "height", height)))
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        w, h, tx, ty = (table.column(c)[0].as_py() for c in ("width", "height", "tile_x", "tile_y"))
+        x0, y0 = int(x.min()), int(y.min())
+        image = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1, 4), np.float32)
+        image[y - y0, x - x0] = np.stack([table.column(c).to_numpy() for c in CHANNELS], axis=1)
+        at_y, at_x = np.mgrid[ty * side : min((ty + 1) * side, height), tx * side : min((tx + 1) * side, width)]
         if (w, h) == (width, height):
-            return image
-        x, y = _target(width, height)
-        return sample(image, (x + 0.5) * w / width - 0.5, (y + 0.5) * h / height - 0.5, choose(algorithm, w, h, width, height))
+            out = image[at_y - y0, at_x - x0]
+        else:
+            out = sample(image, (at_x + 0.5) * w / width - 0.5 - x0, (at_y + 0.5) * h / height - 0.5 - y0, choose(algorithm, w, h, width, height))
+        flat = np.clip(np.nan_to_num(out), 0, 255).astype(np.int32).reshape(-1, 4)
+        ids = table.column("image_id").take(pa.array(np.zeros(len(flat), np.int64)))
+        return pa.table([ids, pa.array(at_x.ravel().astype(np.int32)), pa.array(at_y.ravel().astype(np.int32)), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4))], names=["image_id", "x", "y", *CHANNELS])
 
-    return per_image(pixels, change)
+    return rows.groupBy("image_id", "tile_x", "tile_y").applyInArrow(run, raster.PIXELS.format(kind=kind))
 
 
 def resize_width(pixels: DataFrame, width: int, source: tuple[int, int], algorithm: str | None = None) -> DataFrame:
@@ -135,6 +222,15 @@ def resize_factor(pixels: DataFrame, factor: float, source: tuple[int, int], alg
     return pixels if factor <= 0 else resize(pixels, max(1, int(source[0] * factor)), max(1, int(source[1] * factor)), algorithm)
 
 
+def rotated_size(width: int, height: int, degrees: float) -> tuple[int, int]:
+    """The size that holds a turned image; whole quarter turns are exact."""
+    quarter, rest = divmod(degrees % 180.0, 90.0)
+    if quarter:
+        width, height = height, width
+    cos, sin = math.cos(math.radians(rest)), math.sin(math.radians(rest))
+    return max(1, int(width * cos + height * sin + 1e-9)), max(1, int(width * sin + height * cos + 1e-9))
+
+
 def rotate(pixels: DataFrame, degrees: float, algorithm: str | None = "bilinear") -> DataFrame:
     """Clockwise about the centre; the canvas grows to hold the turned image."""
     turn = math.radians(degrees)
@@ -142,7 +238,7 @@ def rotate(pixels: DataFrame, degrees: float, algorithm: str | None = "bilinear"
 
     def change(image: np.ndarray) -> np.ndarray:
         h, w = image.shape[:2]
-        width, height = max(1, int(abs(w * cos) + abs(h * sin) + 1e-9)), max(1, int(abs(w * sin) + abs(h * cos) + 1e-9))
+        width, height = rotated_size(w, h, degrees)
         x, y = _target(width, height)
         x, y = x + 0.5 - width / 2, y + 0.5 - height / 2
         return sample(image, x * cos + y * sin + w / 2 - 0.5, -x * sin + y * cos + h / 2 - 0.5, choose(algorithm, w, h, width, height))
@@ -169,31 +265,53 @@ def pinch(pixels: DataFrame, amount: float) -> DataFrame:
         reach = min(w, h) / 2
         r = np.hypot(dx, dy) / reach
         power = 1 - amount / 2 if amount >= 0 else 1 + abs(amount) / 2
-        scale = np.where((r > 0) & (r < 1), np.power(np.maximum(r, 1e-9), power) / np.maximum(r, 1e-9), 1.0)
-        return sample(image, w / 2 + dx * scale, h / 2 + dy * scale, "bilinear")
+        scale = np.where(r > 0, np.power(np.maximum(r, 1e-9), power) / np.maximum(r, 1e-9), 1.0)
+        pulled = sample(image, np.clip(w / 2 + dx * scale, 0, w - 1), np.clip(h / 2 + dy * scale, 0, h - 1), "bilinear")
+        return np.where((r < 1)[..., None], pulled, image)
 
     return per_image(pixels, change)
 
 
+# Multipliers of the hashed displacements.
+SCATTER_X, SCATTER_Y, SCATTER = (73856093, 19349663), (83492791, 23911681), 2654435761
+
+
+def _scatter(x: np.ndarray, y: np.ndarray, keys: tuple[int, int]) -> np.ndarray:
+    """A number in -1..1 for each place, in 32-bit arithmetic."""
+    mixed = (x.astype(np.uint32) * np.uint32(keys[0])) ^ (y.astype(np.uint32) * np.uint32(keys[1]))
+    return (mixed * np.uint32(SCATTER) % np.uint32(2000)).astype(np.float64) / 1000 - 1
+
+
+def _waves(x: np.ndarray, y: np.ndarray, degrees: float, length: float, reach: float, sign: float) -> tuple[np.ndarray, np.ndarray]:
+    """Displacements of waves along an angle: a sine whose length and height drift slowly, and a weak one across it."""
+    cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    along, across = x * sin + y * cos, x * cos - y * sin
+    wave = np.sin(along * 2 * np.pi / length / (1 + 0.15 * np.sin(0.05 * along)))
+    move = wave * reach * (1 + 0.08 * np.sin(0.13 * along)) * sign
+    drift = 0.35 * reach * np.sin(0.03 * across + 0.07 * along) * sign
+    return move * sin + drift * cos, move * cos - drift * sin
+
+
 def ripple(pixels: DataFrame, amount: float, size: str = "medium", shape: str | float = "circular") -> DataFrame:
-    """Waves: circular, square, random, or along an angle in degrees."""
-    length, strength = RIPPLE_LENGTH[size], abs(amount) * 50.0
+    """Waves: circular, square, random, or along an angle in degrees. Sources beyond an edge are taken from it."""
+    length, reach = RIPPLE_LENGTH[size], abs(amount) * 50.0
+    if not amount:
+        return pixels
 
     def change(image: np.ndarray) -> np.ndarray:
         h, w = image.shape[:2]
         x, y = _target(w, h)
-        dx, dy = x - w / 2, y - h / 2
-        if shape == "square":
-            d, ux, uy = np.maximum(np.abs(dx), np.abs(dy)), np.sign(dx), np.sign(dy)
+        if shape == "random":
+            sx, sy = x + _scatter(x, y, SCATTER_X) * reach * amount, y + _scatter(x, y, SCATTER_Y) * reach * amount
         elif isinstance(shape, str):
-            d = np.hypot(dx, dy)
-            ux, uy = dx / np.maximum(d, 1e-9), dy / np.maximum(d, 1e-9)
-            if shape == "random":
-                d = d + (np.sin(x * 12.9898 + y * 78.233) * 43758.5453) % 1.0 * length
+            dx, dy = x - w / 2, y - h / 2
+            d = np.maximum(np.abs(dx), np.abs(dy)) if shape == "square" else np.hypot(dx, dy)
+            d = d + np.sin(d / length) * reach * amount
+            turn = np.arctan2(dy, dx)
+            sx, sy = w / 2 + d * np.cos(turn), h / 2 + d * np.sin(turn)
         else:
-            ux, uy = math.cos(math.radians(shape)), math.sin(math.radians(shape))
-            d = dx * ux + dy * uy
-        move = np.sin(d / length * 2 * math.pi) * strength * amount
-        return sample(image, x + ux * move, y + uy * move, "bicubic")
+            mx, my = _waves(x, y, shape, length, reach, math.copysign(1, amount))
+            sx, sy = x + mx, y + my
+        return sample(image, np.clip(sx, 0, w - 1), np.clip(sy, 0, h - 1), "bicubic")
 
     return per_image(pixels, change)

@@ -130,10 +130,16 @@ for _name, _pick in (("hue", (_ht[0], _hp[1], _hp[2])), ("saturation", (_hp[0],
 for _name in blend.MODES:
     add("blend_" + _name.replace("-", "_"), lambda spark, d, m=_name: blend.blend(pixels_base(spark, d), pixels_top(spark, d), m), blend_sql(MODE_SQL[_name]))
 add("blend_offset", lambda spark, d: blend.blend(pixels_base(spark, d), pixels_top(spark, d), "multiply", 3, -2), blend_sql(MODE_SQL["multiply"], 3, -2))
-_bl = {c: f"(CAST(p.{c} * t.{c} // 255 AS INT))" for c in CHANNELS}
-_na = u8(f"{f(_bl['a'])} * {f(0.6)}")
-_oa = f"({_u(_na)} + {_u('p.a')} * ({f(1)} - {_u(_na)}))"
-_so = {c: f"(CASE WHEN {_oa} > 0 THEN {u8(f(f'({_u(_bl[c])} * {_u(_na)} + {_u(f'p.{c}')} * {_u('p.a')} * ({f(1)} - {_u(_na)})) / nullif({_oa}, 0)') + f' * {f(255)}')} ELSE 0 END)" for c in RGB} | {"a": u8(f"{_oa} * {f(255)}")}
+
+
+def faded(mixed: dict[str, str], opacity: float) -> dict[str, str]:
+    """The text of a mode's result composited over p with an opacity."""
+    alpha = u8(f"{f(mixed['a'])} * {f(opacity)}")
+    out = f"({_u(alpha)} + {_u('p.a')} * ({f(1)} - {_u(alpha)}))"
+    return {c: f"(CASE WHEN {out} > 0 THEN {u8(f(f'({_u(mixed[c])} * {_u(alpha)} + {_u(f'p.{c}')} * {_u('p.a')} * ({f(1)} - {_u(alpha)})) / nullif({out}, 0)') + f' * {f(255)}')} ELSE 0 END)" for c in RGB} | {"a": u8(f"{out} * {f(255)}")}
+
+
+_so = faded({c: f"(CAST(p.{c} * t.{c} // 255 AS INT))" for c in CHANNELS}, 0.6)
 add("blend_opacity", lambda spark, d: blend.blend_opacity(pixels_base(spark, d), pixels_top(spark, d), "multiply", 0.6), blend_sql(_so))
 add("draw_image_at", lambda spark, d: blend.draw_at(pixels_base(spark, d), pixels_top(spark, d), 4, 5), blend_sql({c: f"t.{c}" for c in CHANNELS}, 4, 5))
 add("apply_mask", lambda spark, d: blend.apply_mask(pixels_base(spark, d), pixels_top(spark, d)), blend_sql({c: f"p.{c}" for c in RGB} | {"a": "CAST((t.r * 299 + t.g * 587 + t.b * 114 + 500) // 1000 AS INT)"}))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lumengrid.functions import color
 from lumengrid.operators import blend, canvas, geometry, point, raster, shapes, spatial, stats, tiles, warp
 from lumengrid.operators.geometry import Path
-from lumengrid.plans.pixel_queries import _so, base
+from lumengrid.plans.pixel_queries import MODE_SQL, base, faded
 from lumengrid.plans.sqltext import f, u8, u8r, views
-from lumengrid.plans.views import CHANNELS, RGB, checkerboard, new_image, pixels_base, pixels_top, read, sizes, to_images, to_pixels
+from lumengrid.plans.views import CHANNELS, RGB, checkerboard, new_image, pixels_base, pixels_large, pixels_top, read, sizes, to_images, to_pixels
 from lumengrid.sources import images
 from lumengrid.streaming import subjects
 
@@ -140,10 +140,51 @@ add("anchor_position", lambda spark, d: canvas.anchored(layers(spark, d), 101, 7
 _m = "(least(x + width, 40) > greatest(x, 10) AND least(y + height, 25) > greatest(y, 5))"
 add("layer_crop", lambda spark, d: canvas.crop(layers(spark, d), 10, 5, 30, 20), _all("z", x=f"CASE WHEN {_m} THEN greatest(x, 10) - 10 ELSE 0 END", y=f"CASE WHEN {_m} THEN greatest(y, 5) - 5 ELSE 0 END", width=f"CASE WHEN {_m} THEN least(x + width, 40) - greatest(x, 10) ELSE 0 END", height=f"CASE WHEN {_m} THEN least(y + height, 25) - greatest(y, 5) ELSE 0 END"))
 add("layer_resize", lambda spark, d: canvas.resize(layers(spark, d), 1.5), _all("z", **{c: f"CAST(round({c} * 1.5::DOUBLE) AS INT)" for c in ("x", "y", "width", "height")}))
-_so1 = ", ".join(f"CASE WHEN t.a IS NULL THEN p.{c} ELSE {_so[c]} END AS {c}" for c in CHANNELS)
-_join = lambda under, dx, dy: f"SELECT p.image_id, p.x, p.y, {_so1} FROM {under} p LEFT JOIN pt t ON t.image_id = p.image_id AND t.x + {dx} = p.x AND t.y + {dy} = p.y"
-add("canvas_composite", lambda spark, d: canvas.composite(pixels_base(spark, d), [canvas.Layer(pixels_top(spark, d), "multiply", 0.6, 0, 0), canvas.Layer(pixels_top(spark, d), "normal", visible=False), canvas.Layer(pixels_top(spark, d), "multiply", 0.6, 2, 1)]), f"{views('px', 'pt')}, one AS ({_join('px', 0, 0)}) {_join('one', 2, 1)}")
-add("drop_shadow", base(lambda p: canvas.drop_shadow(p, (2, 2), (0, 0, 0), 0.5, 2)))
+
+
+def _over(under: str, mode: str, opacity: float, dx: int, dy: int, top: str = "pt") -> str:
+    cols = ", ".join(f"CASE WHEN t.a IS NULL THEN p.{c} ELSE {v} END AS {c}" for c, v in faded(MODE_SQL[mode], opacity).items())
+    return f"SELECT p.image_id, p.x, p.y, {cols} FROM {under} p LEFT JOIN {top} t ON t.image_id = p.image_id AND t.x + {dx} = p.x AND t.y + {dy} = p.y"
+
+
+# the lowest visible layer of a canvas without children is drawn normally
+add("canvas_composite", lambda spark, d: canvas.composite(pixels_base(spark, d), [canvas.Layer(pixels_top(spark, d), "multiply", 0.6, 0, 0), canvas.Layer(pixels_top(spark, d), "normal", visible=False), canvas.Layer(pixels_top(spark, d), "multiply", 0.6, 2, 1)]), f"{views('px', 'pt')}, one AS ({_over('px', 'normal', 0.6, 0, 0)}) {_over('one', 'multiply', 0.6, 2, 1)}")
+_BLANK = "(SELECT image_id, x, y, 0 AS r, 0 AS g, 0 AS b, 0 AS a FROM px)"
+
+
+def _nested(spark, d, through: bool):
+    """A child with two layers below a parent's layer: flattened and screened at half opacity, or passing through."""
+    px, pt = pixels_base(spark, d), pixels_top(spark, d)
+    child = canvas.Canvas.blank(px, 10, 10).add_layer(canvas.Layer(px, "screen")).add_layer(canvas.Layer(pt, "multiply", 0.6, 1, 1))
+    child = child.positioned(2, 3).faded(0.5).blended("screen").passing_through(through)
+    return canvas.render(canvas.Canvas(px, (10, 10)).add_canvas(child).add_layer(canvas.Layer(pt, "darken", 0.6, 1, 0)))
+
+
+add("canvas_nested", lambda spark, d: _nested(spark, d, False), f"{views('px', 'pt')}, e AS {_BLANK}, c1 AS ({_over('e', 'normal', 1.0, 0, 0, 'px')}), c2 AS ({_over('c1', 'multiply', 0.6, 1, 1)}), one AS ({_over('px', 'screen', 0.5, 2, 3, 'c2')}) {_over('one', 'darken', 0.6, 1, 0)}")
+add("canvas_pass_through", lambda spark, d: _nested(spark, d, True), f"{views('px', 'pt')}, c1 AS ({_over('px', 'normal', 1.0, 2, 3, 'px')}), c2 AS ({_over('c1', 'multiply', 0.6, 3, 4)}) {_over('c2', 'darken', 0.6, 1, 0)}")
+
+
+def _simple(spark, d):
+    return canvas.Canvas.of(pixels_base(spark, d), 10, 10).add_layer(canvas.Layer(pixels_top(spark, d), "multiply", 0.6, 2, 1, size=(10, 10)))
+
+
+def _flat(lower: str, upper: str) -> str:
+    """The text of _simple's layers drawn, after changes of the two images."""
+    return f"{views('px', 'pt')}, e AS {_BLANK}, lo AS ({lower}), up AS ({upper}), one AS ({_over('e', 'normal', 1.0, 0, 0, 'lo')}) {_over('one', 'multiply', 0.6, 2, 1, 'up')}"
+
+
+add("canvas_flatten", lambda spark, d: canvas.render(_simple(spark, d).flattened()), f"{views('px', 'pt')}, e AS {_BLANK}, one AS ({_over('e', 'normal', 1.0, 0, 0, 'px')}), two AS ({_over('one', 'multiply', 0.6, 2, 1)}) {_over('e', 'normal', 1.0, 0, 0, 'two')}")
+_flip = lambda t: f"SELECT image_id, 9 - x AS x, y, r, g, b, a FROM {t}"
+add("canvas_flip", lambda spark, d: canvas.render(_simple(spark, d).flipped("x")), _flat(_flip("px"), _flip("pt")))
+add("canvas_resize", lambda spark, d: canvas.render(_simple(spark, d).resized(15, 8)))
+add("canvas_resize_width", lambda spark, d: canvas.render(_simple(spark, d).resized_width(15)))
+add("canvas_widen", lambda spark, d: canvas.render(_simple(spark, d).widened(4)))
+add("canvas_turn", lambda spark, d: canvas.render(_simple(spark, d).turned(30.0)))
+add("canvas_rotated_child", lambda spark, d: canvas.render(canvas.Canvas(pixels_top(spark, d), (10, 10)).add_canvas(_simple(spark, d).rotated(45.0).positioned(-1, 2))))
+add("canvas_anchored_child", lambda spark, d: canvas.render(canvas.Canvas(pixels_top(spark, d), (10, 10)).add_canvas(_simple(spark, d).anchored("bottom-right", 14, 13))), f"{views('px', 'pt')}, e AS {_BLANK}, one AS ({_over('e', 'normal', 1.0, 0, 0, 'px')}), two AS ({_over('one', 'multiply', 0.6, 2, 1)}) {_over('pt', 'normal', 1.0, 4, 3, 'two')}")
+add("layer_effects", lambda spark, d: canvas.render(canvas.Canvas(pixels_top(spark, d), (10, 10)).add_layer(canvas.Layer(pixels_base(spark, d), size=(10, 10), effects=(("drop_shadow", {"distance": 3.0, "size": 2.0}), ("stroke", {"width": 2, "color": (1, 2, 3, 255)}))))))
+add("project_metadata", lambda spark, d: canvas.project_metadata(layers(spark, Whole(d))).withColumn("names", F.concat_ws(",", "names")), f"WITH {_LSQL.replace(_FIRST, '')} SELECT canvas_id, count(*) AS n_layers, count(*) FILTER (visible) AS n_active, string_agg(name, ',' ORDER BY z) AS names FROM l GROUP BY canvas_id")
+add("drop_shadow", base(lambda p: canvas.drop_shadow(p, (10, 10), (0, 0, 0), 0.5, 45.0, 3.0, 0.0, 2.0)))
 _ed = "(x < 1.5::DOUBLE OR y < 1.5::DOUBLE OR x >= 8.5::DOUBLE OR y >= 8.5::DOUBLE)"
 add("stroke_rect", base(lambda p: canvas.stroke_rect(p, 3, (1, 2, 3, 255), 10, 10)), f"{views('px')} SELECT image_id, x, y, CASE WHEN {_ed} THEN 1 ELSE r END AS r, CASE WHEN {_ed} THEN 2 ELSE g END AS g, CASE WHEN {_ed} THEN 3 ELSE b END AS b, CASE WHEN {_ed} THEN 255 ELSE a END AS a FROM px")
 add("grid_layout", base(lambda p: canvas.grid_layout(p.select("image_id").distinct(), 7, (12, 15))), f"{views('px')}, n AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS n FROM (SELECT DISTINCT image_id FROM px)) SELECT image_id, CAST(n % 7 AS INT) AS col, CAST(n // 7 AS INT) AS row, CAST(n % 7 * 12 AS INT) AS x, CAST(n // 7 * 15 AS INT) AS y FROM n")
@@ -157,8 +198,8 @@ def _image_sizes(spark, d):
     return spark.sql(_IMG.format(t="lumengrid_part"))
 
 
-_n = lambda s: f"CASE WHEN {s} <= 256 THEN 1 ELSE CAST(ceil(({s} - 256) / 240.0::DOUBLE) AS INT) + 1 END"
-add("generate_tiles", lambda spark, d: tiles.generate(_image_sizes(spark, d), 256, 16), f"WITH s AS ({_IMG.format(t='part')}), n AS (SELECT *, {_n('width')} AS nx, {_n('height')} AS ny FROM s), t AS (SELECT *, unnest(range(nx * ny)) AS i FROM n) SELECT image_id, CAST(i AS INT) AS idx, CAST(least(i % nx * 240, greatest(width - 256, 0)) AS INT) AS x, CAST(least(i // nx * 240, greatest(height - 256, 0)) AS INT) AS y, least(256, width) AS width, least(256, height) AS height, CAST(nx * ny AS INT) AS total FROM t")
+_at = lambda i, s: f"CASE WHEN {i} * 240 + 256 > {s} AND {s} > 256 THEN {s} - 256 ELSE {i} * 240 END"
+add("generate_tiles", lambda spark, d: tiles.generate(_image_sizes(spark, d), 256, 16), f"WITH s AS ({_IMG.format(t='part')}), n AS (SELECT *, (width + 239) // 240 AS nx, (height + 239) // 240 AS ny FROM s), t AS (SELECT *, unnest(range(nx * ny)) AS i FROM n), q AS (SELECT *, {_at('(i % nx)', 'width')} AS x, {_at('(i // nx)', 'height')} AS y FROM t) SELECT image_id, CAST(i AS INT) AS idx, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(least(256, width - x) AS INT) AS width, CAST(least(256, height - y) AS INT) AS height, CAST(nx * ny AS INT) AS total FROM q")
 add("tile_merge", base(lambda p: tiles.merge(tiles.cut(p, 6, 2).withColumns({c: F.col(c) / 256.0 for c in RGB}))), f"{views('px')} SELECT image_id, x, y, {', '.join(f'CAST(floor({c} / 256.0::DOUBLE * 255) AS INT) AS {c}' for c in RGB)}, 255 AS a FROM px")
 add("tile_process", base(lambda p: tiles.process(p, 6, 2, lambda own: 1 - own)))
 
@@ -176,7 +217,8 @@ add("event_windows", lambda spark, d: subjects.windows(events(spark, d), "ts", "
 _PAL = "pal AS (SELECT image_id, r, g, b, row_number() OVER (PARTITION BY image_id ORDER BY seen) - 1 AS idx FROM (SELECT image_id, r, g, b, min(y * 1000 + x) AS seen FROM px GROUP BY ALL))"
 add("palette", base(lambda p: images.palette(p, 16)), f"{views('px')}, {_PAL} SELECT image_id, CAST(idx AS INT) AS idx, r, g, b FROM pal WHERE idx < 16")
 add("indexed_colors", base(lambda p: images.indexed(p, 16)), f"{views('px')}, {_PAL} SELECT px.image_id, x, y, CAST(arg_min(idx, pow(px.r - pal.r, 2) * 1000 + pow(px.g - pal.g, 2) * 1000 + pow(px.b - pal.b, 2) * 1000 + idx) AS INT) AS idx FROM px JOIN pal ON pal.image_id = px.image_id AND idx < 16 GROUP BY px.image_id, x, y")
-add("png_round_trip", base(lambda p: images.encoded(to_images(p)).select("image_id", F.octet_length("png").alias("n_bytes"))))
+add("png_round_trip", base(lambda p: to_pixels(images.decoded(images.encoded(to_images(p))))), f"{views('px')} SELECT * FROM px")
+add("gif_round_trip", base(lambda p: to_pixels(images.decoded(images.encoded(to_images(p), "gif"), "gif"))), f"{views('px')} SELECT image_id, x, y, r, g, b, 255 AS a FROM px")
 add("image_sizes", base(sizes), f"{views('px')} SELECT image_id, CAST(max(x) + 1 AS INT) AS width, CAST(max(y) + 1 AS INT) AS height FROM px GROUP BY image_id")
 
 
@@ -221,9 +263,28 @@ def _turned(p, *steps):
 
 
 add("hsv_by_hsl_round_trip", base(lambda p: _turned(p, color.rgb_to_hsv, color.hsv_to_hsl, color.hsl_to_rgb)), f"{views('px')} SELECT * FROM px")
+_LAB = (("lab_by_hsl", color.rgb_to_hsl, color.hsl_to_lab, color.lab_to_rgb), ("lab_by_hsv", color.rgb_to_hsv, color.hsv_to_lab, color.lab_to_rgb), ("hsl_by_lab", color.rgb_to_lab, color.lab_to_hsl, color.hsl_to_rgb), ("hsv_by_lab", color.rgb_to_lab, color.lab_to_hsv, color.hsv_to_rgb))
+for _n, *_steps in _LAB:
+    add(_n + "_round_trip", base(lambda p, s=tuple(_steps): _turned(p, *s)), f"{views('px')} SELECT * FROM px")
+add("hsl_by_hsv_round_trip", base(lambda p: _turned(p, color.rgb_to_hsl, color.hsl_to_hsv, color.hsv_to_rgb)), f"{views('px')} SELECT * FROM px")
+_DIAGONAL = raster.Gradient.from_to((0, 0, 0, 255), (250, 200, 100, 255)).with_direction(Path((0.0, 0.0)).line_to((8.0, 6.0)))
+add("fill_gradient_along", lambda spark, d: raster.fill(spark, Path.rect(0.0, 0.0, 12.0, 9.0), _DIAGONAL))
+add("fill_image", lambda spark, d: raster.fill(spark, STAR, checkerboard(spark, 6, 6, 2), offset=(2, 1)))
 add("gradient_rainbow", base(lambda p: point.gradient_map(p, color.Gradient.rainbow())))
 add("gradient_hue_reversed", base(lambda p: point.gradient_map(p, color.Gradient.hue().reverse())))
 
+# large images: the functions that work by tiles, row windows or batches
+large = lambda change: lambda spark, d: change(pixels_large(spark, d))
+add("large_round_trip", large(lambda p: to_pixels(to_images(p))), f"{views('pl')} SELECT * FROM pl")
+add("large_invert_in_area", large(lambda p: raster.apply_in_area(p, point.invert, [(Path.rect(20.0, 1.0, 200.0, 30.0), 0)])), f"{views('pl')} SELECT image_id, x, y, {', '.join(f'CASE WHEN x BETWEEN 20 AND 219 AND y BETWEEN 1 AND 30 THEN 255 - {c} ELSE {c} END AS {c}' for c in RGB)}, a FROM pl")
+add("large_tile_merge", large(lambda p: tiles.merge(tiles.cut(p, 64, 8).withColumns({c: F.col(c) / 256.0 for c in RGB}))), f"{views('pl')} SELECT image_id, x, y, {', '.join(f'CAST(floor({c} / 256.0::DOUBLE * 255) AS INT) AS {c}' for c in RGB)}, 255 AS a FROM pl")
+_TAP = lambda c: f"CAST(least(greatest(round({' + '.join(f'coalesce(n{i}.{c}, 0) * {w}::DOUBLE' for i, w in enumerate(spatial.SHARPEN) if w)}), 0), 255) AS INT) AS {c}"
+add("large_sharpen", large(lambda p: spatial.apply_kernel(p, spatial.SHARPEN)), f"{views('pl')} SELECT p.image_id, p.x, p.y, {', '.join(map(_TAP, CHANNELS))} FROM pl p " + " ".join(f"LEFT JOIN pl n{i} ON n{i}.image_id = p.image_id AND n{i}.x = p.x + {i % 3 - 1} AND n{i}.y = p.y + {i // 3 - 1}" for i, w in enumerate(spatial.SHARPEN) if w))
+add("large_gaussian", large(lambda p: raster.gaussian_blur(p, 8)))
+add("large_median", large(lambda p: spatial.median(p, 4)))
+add("large_resize", large(lambda p: warp.resize(p, 600, 150, "bicubic")))
+add("large_auto_color", large(stats.auto_color))
+
 # more of the layer algebra
 add("layer_to_top", lambda spark, d: canvas.move_to_top(layers(spark, d), "L1"), _all("CASE layer_id WHEN 'L0' THEN 0 WHEN 'L2' THEN 1 WHEN 'L3' THEN 2 ELSE 3 END"))
 add("layer_to_bottom", lambda spark, d: canvas.move_to_bottom(layers(spark, d), "L2"), _all("CASE layer_id WHEN 'L2' THEN 0 WHEN 'L0' THEN 1 WHEN 'L1' THEN 2 ELSE 3 END"))
@@ -235,7 +296,20 @@ _ratio = lambda pick: f"{pick}({f(f('40') + ' / ' + f('width'))}, {f(f('30') + '
 for _rule, _pick in (("contain", "least"), ("cover", "greatest")):
     add("layer_" + _rule, lambda spark, d, r=_rule: canvas.fit_layers(layers(spark, d), r, 40, 30), _all("z", **{c: f"CAST(floor({f(f(c) + ' * ' + _ratio(_pick))}) AS INT)" for c in ("width", "height")}))
 add("layer_adjustment", lambda spark, d: canvas.adjustment(layers(spark, d), "adj", "levels"), f"WITH {_LSQL}, n AS (SELECT canvas_id, CAST(max(z) + 1 AS INT) AS z FROM l GROUP BY canvas_id) SELECT * FROM l UNION ALL SELECT canvas_id, 'adj', 'levels', z, NULL, 0, 0, 1, 1, 1.0, 'normal', true, NULL FROM n")
-add("random_layout", base(lambda p: canvas.random_layout(p.select("image_id").distinct(), 640, 480, 7)))
+add("random_layout", base(lambda p: canvas.random_layout(sizes(p), 640, 480, 7)))
+add("collage_grid", lambda spark, d: canvas.collage(pixels_base(spark, d), canvas.collage_grid(pixels_base(spark, d), 4, 4, 48, 40, 5), 48, 40))
+add("collage_layered", lambda spark, d: canvas.collage(pixels_base(spark, d), canvas.collage_grid(pixels_base(spark, d), 4, 3, 48, 36, 5, (-20.0, 20.0), True, (1.0, 1.4)), 48, 36, "center"))
+add("collage_random", lambda spark, d: canvas.collage(pixels_base(spark, d), _scattered(spark, d), 200, 160))
+
+
+
+def _scattered(spark, d):
+    """A random collage's places: each image in its scaled size."""
+    own = sizes(pixels_base(spark, d))
+    put = canvas.random_layout(own, 200, 160, 3, (-30.0, 30.0), (1.0, 2.0)).join(own, "image_id")
+    side = lambda c: F.floor(F.col(c) * F.col("scale")).cast("int").alias(c)
+    return put.select(F.col("image_id").cast("int").alias("cell"), "image_id", "x", "y", side("width"), side("height"), "rotation", F.col("image_id").cast("long").alias("z"))
+
 
 # the layer queries over all orders
 LAYER_QUERIES = [n for n in SQL if _LSQL in SQL[n]]

@@ -5,6 +5,10 @@ A pixel table has (image_id, x, y, r, g, b, a), channels 0..255; an image table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,24 @@ def pixels_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The width of the images of pixels_large, and their pixels.
+WIDE, LARGE = 250, 100_000
+
+
+def pixels_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images 250 wide and up to 400 high, one for every 100,000 events."""
+    at = f"CAST(event_id % {LARGE} AS INT)"
+    return read(spark, sf_dir, "events").select(
+        F.expr(f"CAST(event_id div {LARGE} AS INT)").alias("image_id"),
+        F.expr(f"{at} % {WIDE}").alias("x"),
+        F.expr(f"CAST({at} div {WIDE} AS INT)").alias("y"),
+        F.expr("CAST(user_id * 37 % 256 AS INT)").alias("r"),
+        F.expr("CAST(CAST(floor(value * 100) AS BIGINT) % 256 AS INT)").alias("g"),
+        F.expr("CAST(event_id * 73 % 256 AS INT)").alias("b"),
+        F.expr("CAST(CASE WHEN event_id % 17 = 0 THEN 0 ELSE 255 - event_id % 64 END AS INT)").alias("a"),
+    )
+
+
 def pixels_emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4 x 4 images, one for every vector; each component is a byte."""
     byte = F.posexplode(F.transform("embedding", lambda v: F.floor((v + 1) * 127.5).cast("int"))).alias("i", "v")
@@ -59,6 +81,9 @@ SQL = {
     "px": """SELECT CAST(event_id // 100 AS INT) AS image_id, CAST(event_id % 10 AS INT) AS x, CAST((event_id // 10) % 10 AS INT) AS y,
       CAST(user_id * 37 % 256 AS INT) AS r, CAST(CAST(floor(value * 100) AS BIGINT) % 256 AS INT) AS g, CAST(event_id * 73 % 256 AS INT) AS b,
       CAST(CASE WHEN event_id % 17 = 0 THEN 0 ELSE 255 - event_id % 64 END AS INT) AS a FROM events""",
+    "pl": """SELECT CAST(event_id // 100000 AS INT) AS image_id, CAST(event_id % 100000 % 250 AS INT) AS x, CAST(event_id % 100000 // 250 AS INT) AS y,
+      CAST(user_id * 37 % 256 AS INT) AS r, CAST(CAST(floor(value * 100) AS BIGINT) % 256 AS INT) AS g, CAST(event_id * 73 % 256 AS INT) AS b,
+      CAST(CASE WHEN event_id % 17 = 0 THEN 0 ELSE 255 - event_id % 64 END AS INT) AS a FROM events""",
     "pt": """SELECT CAST(o_orderkey // 100 AS INT) AS image_id, CAST(o_orderkey % 10 AS INT) AS x, CAST((o_orderkey // 10) % 10 AS INT) AS y,
       CAST(o_custkey * 29 % 256 AS INT) AS r, CAST(CAST(floor(o_totalprice) AS BIGINT) % 256 AS INT) AS g, CAST(o_orderkey * 61 % 256 AS INT) AS b,
       CAST(255 - o_orderkey % 128 AS INT) AS a FROM orders""",
@@ -72,19 +97,41 @@ def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
+#: Pixels that an Arrow batch of pixel rows holds.
+PIXELS_AT_ONCE = 1 << 16
+
+
 def to_images(pixels: DataFrame) -> DataFrame:
-    """One row for each image; pixels in row-major order. An image must fit a task, as in every per-image function."""
-    px = F.struct("y", "x", *CHANNELS)
-    rows = pixels.groupBy("image_id").agg(F.array_sort(F.collect_list(px)).alias("px"), (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    hexes = F.transform("px", lambda p: F.concat(*[F.lpad(F.hex(p[c]), 2, "0") for c in CHANNELS]))
-    return rows.select("image_id", "width", "height", F.unhex(F.concat_ws("", hexes)).alias("rgba"))
+    """One row for each image; pixels in row-major order, absent ones clear black. An image must fit a task, as its row holds it whole."""
+    kind = pixels.schema["image_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        width, height = int(x.max()) + 1, int(y.max()) + 1
+        image = np.zeros((height, width, 4), np.uint8)
+        image[y, x] = np.stack([table.column(c).to_numpy().astype(np.uint8) for c in CHANNELS], axis=1)
+        row = [table.column("image_id")[:1].combine_chunks(), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([image.tobytes()], pa.binary())]
+        return pa.table(row, names=["image_id", "width", "height", "rgba"])
+
+    return pixels.select(*KEY, *CHANNELS).groupBy("image_id").applyInArrow(run, f"image_id {kind}, width int, height int, rgba binary")
 
 
 def to_pixels(images: DataFrame) -> DataFrame:
-    """One row for each pixel of image rows."""
-    rows = images.select("image_id", "width", F.hex("rgba").alias("h"), F.explode(F.sequence(F.lit(0), (F.octet_length("rgba") / 4).cast("int") - 1)).alias("p"))
-    part = lambda k: F.conv(F.substr("h", F.col("p") * 8 + 1 + 2 * k, F.lit(2)), 16, 10).cast("int")
-    return rows.select("image_id", (F.col("p") % F.col("width")).alias("x"), F.expr("CAST(p div width AS INT)").alias("y"), *[part(k).alias(c) for k, c in enumerate(CHANNELS)])
+    """One row for each pixel of image rows, in batches of PIXELS_AT_ONCE."""
+    kind = images.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                flat = np.frombuffer(batch.column(2)[i].as_py() or b"", np.uint8).reshape(-1, 4)
+                width = batch.column(1)[i].as_py()
+                for at in range(0, len(flat), PIXELS_AT_ONCE):
+                    part = flat[at : at + PIXELS_AT_ONCE].astype(np.int32)
+                    y, x = np.divmod(np.arange(at, at + len(part), dtype=np.int32), np.int32(width))
+                    ids = batch.column(0).take(pa.array(np.full(len(part), i)))
+                    yield pa.record_batch([ids, pa.array(x), pa.array(y), *(pa.array(np.ascontiguousarray(part[:, k])) for k in range(4))], ["image_id", "x", "y", *CHANNELS])
+
+    return images.select("image_id", "width", "rgba").mapInArrow(run, f"image_id {kind}, x int, y int, r int, g int, b int, a int")
 
 
 def new_image(spark: SparkSession, width: int, height: int, color: tuple[int, int, int, int] = (0, 0, 0, 0), image_id: int = 0) -> DataFrame:

@@ -58,6 +58,44 @@ def latest_stream(events: DataFrame, key: str, time: str, value: str) -> DataFra
     return events.select(key, time, value).groupBy(key).applyInPandasWithState(step, schema, "t string, v double", "update", GroupStateTimeout.NoTimeout)
 
 
+def replay_stream(events: DataFrame, key: str, time: str, value: str, n: int) -> DataFrame:
+    """Stream: (key, n, time, value), the last n rows of each key, newest 1, whenever one of them changes.
+
+    The state is a list of n rows for each key. A later row of the same time counts as newer; rows come in any order.
+    """
+    kind = lambda c: events.schema[c].dataType.simpleString()
+    schema = f"{key} {kind(key)}, n int, {time} {kind(time)}, {value} {kind(value)}"
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = list(zip(*state.get, strict=True)) if state.exists else []
+        kept = list(before)
+        for part in parts:
+            kept += [(t.isoformat(), float(v)) for t, v in zip(part[time], part[value], strict=True)]
+            kept = sorted(kept, key=lambda row: row[0])[-n:]
+        if kept != before:
+            times, values = (list(c) for c in zip(*kept, strict=True))
+            state.update((times, values))
+            yield pd.DataFrame({key: [group[0]] * len(kept), "n": list(range(len(kept), 0, -1)), time: pd.to_datetime(times), value: values})
+
+    return events.select(key, time, value).groupBy(key).applyInPandasWithState(step, schema, "t array<string>, v array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def history_stream(events: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """Stream: (key, index, time, value), the rows of each key numbered from 0 in the order of their coming; the state is a count."""
+    kind = lambda c: events.schema[c].dataType.simpleString()
+    schema = f"{key} {kind(key)}, index long, {time} {kind(time)}, {value} {kind(value)}"
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at = state.get[0] if state.exists else 0
+        for part in parts:
+            part = part.sort_values(time, kind="stable")
+            yield pd.DataFrame({key: [group[0]] * len(part), "index": range(at, at + len(part)), time: part[time].to_numpy(), value: part[value].to_numpy()})
+            at += len(part)
+        state.update((at,))
+
+    return events.select(key, time, value).groupBy(key).applyInPandasWithState(step, schema, "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def multicast(stream: DataFrame, listeners: list[Callable[[DataFrame, int], None]], checkpoint: str, **trigger):
     """A query that hands each micro-batch to all listeners; stop() it to unsubscribe."""
 
