@@ -60,6 +60,39 @@ def grams(word: str) -> list[str]:
     return [marked[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(marked))]
 
 
+#: Odd multipliers of a gram's letters, the last letter's first: a key is their sum, modulo 2**64.
+WEIGHTS = np.random.default_rng(29).integers(1, 2**63, ORDER, dtype=np.uint64) | np.uint64(1)
+
+
+def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each character of the texts in a row, the key of it with up to ORDER - 1 before it in its text; its place there; the lengths."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+    key = codes * WEIGHTS[0]
+    for j in range(1, ORDER):
+        key[j:] += np.where(place[j:] >= j, codes[:-j] * WEIGHTS[j], np.uint64(0))
+    return key, place, size
+
+
+def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the words' grams in order, how many each word has); an empty word has none."""
+    key, place, size = _keys([START + w + END if w else "" for w in words])
+    return key[place > 0], np.maximum(size - 1, 0)
+
+
+def unit_keys(units: list[str]) -> np.ndarray:
+    """The key of each gram, ORDER letters at most."""
+    key, _, size = _keys(units)
+    return key[np.cumsum(size) - 1] if len(units) else key
+
+
+def word_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(a key for each word, 1 each); an empty word has none."""
+    there = np.fromiter((bool(w) for w in words), np.int64, len(words))
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words if w), np.uint64, int(there.sum())), there
+
+
 def spelled(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words, each token's words and their offsets, each text's tokens and their offsets); tokens are parted by white space."""
     tokens, codes, offsets = words_of(texts)
@@ -98,16 +131,14 @@ def gains(nodes: DataFrame) -> DataFrame:
 
 
 class Held:
-    """A part of a table (unit, values) in a worker: sorted hashes of the units (XXH64, as Spark's function has it), and their values."""
+    """A part of a table (unit, values) in a worker: sorted 64-bit keys of the units, and their values."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
-    def sums(self, lists: list[list[str]]) -> np.ndarray:
+    def sums(self, keys: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The sums of the values of each list's units; units that the part does not hold add nothing."""
-        size = np.array([len(x) for x in lists], np.int64)
-        keys = np.fromiter((xxhash.xxh64_intdigest(u, 42) for x in lists for u in x), np.uint64, size.sum())
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         values = np.zeros((len(keys), self.values.shape[1]))
         if len(self.keys):
@@ -116,11 +147,18 @@ class Held:
         return sums(values, np.concatenate([[0], np.cumsum(size)]))
 
 
-def parts_of(table: DataFrame, names: list[str]) -> Iterator[Held]:
-    """The table (unit, ...) in parts of about PART rows."""
+def parts_of(table: DataFrame, names: list[str], keys_of) -> Iterator[Held]:
+    """The table (unit, ...) in parts of about PART rows, keys instead of units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array(keys_of(batch.column(0).to_pylist()).view(np.int64))
+            yield pa.record_batch([keys, *batch.columns[1:]], ["key", *names])
+
     parts, unit = max(1, -(-table.count() // PART)), table.columns[0]
     for k in range(parts):
-        held = table.where(F.pmod(F.xxhash64(unit), F.lit(parts)) == k).select(F.xxhash64(unit).alias("key"), *names).toArrow()  # numbers only
+        some = table.where(F.pmod(F.xxhash64(unit), F.lit(parts)) == k).select(unit, *names)
+        held = some.mapInArrow(run, "key long, " + ", ".join(f"`{n}` double" for n in names)).toArrow()  # numbers only
         yield Held(held.column("key").to_numpy().view(np.uint64), np.stack([held.column(n).to_numpy() for n in names], axis=1))
 
 
@@ -133,32 +171,33 @@ def word_gain(gain: np.ndarray) -> np.ndarray:
 def likelihoods(df: DataFrame, told: DataFrame, names: list[str], text_col: str = "text") -> DataFrame:
     """`df` with toxic_words and toxic_<name>: each text's number of words and the sum of their log(toxic / ordinary)."""
     if told.count() <= PART:
-        return summed(df, told, names, text_col, grams, word_gain)
+        return summed(df, told, names, text_col, unit_keys, gram_keys, word_gain)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield pa.record_batch([pa.array([w for w in spelled(texts_of(part.column("text")))[0] if w], pa.string())], ["word"])
 
     words = stored(df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(distinct, "word string").distinct())
-    by_word = summed(words, told, names, "word", grams, None)
+    by_word = summed(words, told, names, "word", unit_keys, gram_keys, None)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), *(pa.array(word_gain(batch.column(1 + i).to_numpy())) for i in range(len(names)))], ["word", *names])
 
     gained = by_word.select("word", *["toxic_" + n for n in names]).mapInArrow(finished, "word string, " + ", ".join(f"`{n}` double" for n in names))
-    return summed(df, stored(gained), names, text_col, lambda word: [word], None)
+    return summed(df, stored(gained), names, text_col, lambda units: word_keys(units)[0], word_keys, None)
 
 
-def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, units, change) -> DataFrame:
+def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, keys_of, units_of, change) -> DataFrame:
     """`df` with toxic_words and toxic_<name>: each text's number of words, and the sum over their units of each of the table's columns.
 
-    `change` turns the sum of each word's units, if the table is one part. Each part of the table meets all texts.
+    `keys_of` gives the table's units their keys, `units_of` the keys of each word's units. `change` turns the sum of each word's
+    units, if the table is one part. Each part of the table meets all texts.
     """
     added = ["toxic_words", *["toxic_" + n for n in names]]
     df = df.drop(*added).withColumns({added[0]: F.lit(0).cast("long"), **{c: F.lit(0.0) for c in added[1:]}})
     shared = None
-    for k, held in enumerate(parts_of(table, names)):
+    for k, held in enumerate(parts_of(table, names, keys_of)):
         if k:
             df = stored(df)
             shared.unpersist()
@@ -167,7 +206,7 @@ def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, uni
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first: bool = not k) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, text_col):
                 words, own, own_offsets, codes, offsets = spelled(texts_of(part.column(text_col)))
-                values = shared.value.sums([units(w) if w else [] for w in words])
+                values = shared.value.sums(*units_of(words))
                 there = np.array([bool(w) for w in words], bool)
                 if change is not None:
                     values = np.where(there[:, None], change(values), 0.0)
@@ -241,14 +280,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
             for g in np.unique(group).tolist():
                 tokens = np.bincount(codes[of == g], minlength=len(own_offsets) - 1)
                 np.add.at(n[:, g], own, np.repeat(tokens, np.diff(own_offsets)))
-            for word, c in zip(words, n.tolist(), strict=True):
-                for gram in grams(word) if word else ():
-                    if (mine := held.get(gram)) is None:
-                        held[gram] = c.copy()
-                    else:
-                        for g in range(4):
-                            mine[g] += c[g]
-                if len(held) > 500_000:
+            keys, size = gram_keys(words)
+            _, first, of_key = np.unique(keys, return_index=True, return_inverse=True)
+            total = np.stack([np.bincount(of_key, np.repeat(n[:, g], size), len(first)) for g in range(4)], axis=1).astype(np.int64)
+            word = np.repeat(np.arange(len(words)), size)[first]
+            end = first - (np.cumsum(size) - size)[word] + 2  # of the gram in its marked word
+            for w, e, c in zip(word.tolist(), end.tolist(), total.tolist(), strict=True):
+                gram = (START + words[w] + END)[max(0, e - ORDER) : e]
+                if (mine := held.get(gram)) is None:
+                    held[gram] = c
+                else:
+                    for g in range(4):
+                        mine[g] += c[g]
+            if len(held) > 500_000:
                     yield out()
         yield out()
 
