@@ -178,20 +178,24 @@ def photo_filter(pixels: DataFrame, rgb: tuple[int, int, int], density: float) -
     return staged.withColumns({c: u8_round(clamp(color.from_linear(F.col(f"_m{c}")), 0.0, 1.0) * 255.0) for c in RGB}).select(pixels.columns)
 
 
-def hash3(u: Column, v: Column, w: int) -> Column:
-    """A mix of three 32-bit words, as a long."""
-    x = mul32(u, 374761393).bitwiseXOR(mul32(v, 668265263)).bitwiseXOR(F.lit(w * 2246822519 & 0xFFFFFFFF))
-    x = x.bitwiseXOR(F.shiftright(x, 13))
-    x = mul32(x, 1274126177)
+# Multipliers of the noise's mix, and what sets its second word apart.
+MIX_X, MIX_Y, MIX_W, MIX_OUT = 374761393, 668265263, 2246822519, 1274126177
+OTHER_X, OTHER_Y, OTHER_W = 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35
+
+
+def mixed32(u: Column, v: Column, w: int) -> Column:
+    """Three 32-bit words stirred into one, as a long."""
+    x = mul32(u, MIX_X).bitwiseXOR(mul32(v, MIX_Y)).bitwiseXOR(F.lit(w * MIX_W & 0xFFFFFFFF))
+    x = mul32(x.bitwiseXOR(F.shiftright(x, 13)), MIX_OUT)
     return x.bitwiseXOR(F.shiftright(x, 16))
 
 
 def noise(pixels: DataFrame, amount: float, gaussian: bool = False) -> DataFrame:
     """The same noise for the same (x, y), uniform or normal."""
     x, y = F.col("x").cast("long"), F.col("y").cast("long")
-    one = hash3(x, y, 0) / 4294967295.0
+    one = mixed32(x, y, 0) / 4294967295.0
     if gaussian:
-        two = hash3(x.bitwiseXOR(F.lit(0x9E3779B9)), y.bitwiseXOR(F.lit(0x85EBCA6B)), 0xC2B2AE35) / 4294967295.0
+        two = mixed32(x.bitwiseXOR(F.lit(OTHER_X)), y.bitwiseXOR(F.lit(OTHER_Y)), OTHER_W) / 4294967295.0
         n = F.sqrt(F.log(F.greatest(one, F.lit(1e-7))) * -2.0) * F.cos(two * 6.283185307179586)
     else:
         n = one * 2.0 - 1.0
@@ -203,3 +207,10 @@ def rotate_hue(pixels: DataFrame, degrees: float) -> DataFrame:
     h, s, light = color.rgb_to_hsl(*[F.col(c) for c in RGB])
     turned = (h + (degrees % 360.0)) % 360.0
     return pixels.withColumns(dict(zip(RGB, color.hsl_to_rgb(turned, s, light), strict=True)))
+
+
+def copy_channel(pixels: DataFrame, source: DataFrame, of: str, to: str) -> DataFrame:
+    """A channel of another image of the same size put in the place of one of these; absent pixels keep theirs."""
+    other = source.select("image_id", "x", "y", F.col(of).alias("_from"))
+    both = pixels.join(other, ["image_id", "x", "y"], "left")
+    return both.withColumn(to, F.coalesce("_from", F.col(to))).select(pixels.columns)

@@ -136,7 +136,11 @@ def auto_tone(pixels: DataFrame, fraction: float = 0.005) -> DataFrame:
     return done.select("image_id", "x", "y", *[F.when(F.col("a") == 0, F.col(c)).otherwise(F.col(f"m_{c}")).alias(c) for c in RGB], "a")
 
 
-def auto_color(pixels: DataFrame, fraction: float = 0.005, low: float = 0.3, high: float = 0.7, least: int = 5) -> DataFrame:
+# The share of pixels clipped at either end, the luminances of midtones, and the fewest of them.
+CLIP, MID_LOW, MID_HIGH, MID_LEAST = 0.005, 0.3, 0.7, 5
+
+
+def auto_color(pixels: DataFrame, fraction: float = CLIP, low: float = MID_LOW, high: float = MID_HIGH, least: int = MID_LEAST) -> DataFrame:
     """Levels stretched, then the mean cast of the midtones taken off in Lab, smoothly from `low` to `high` luminance.
 
     Midtones are visible pixels of middle luminance with no channel at an end; fewer than `least` leave the cast.

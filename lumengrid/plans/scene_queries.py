@@ -285,6 +285,8 @@ add("large_median", large(lambda p: spatial.median(p, 4)))
 add("large_resize", large(lambda p: warp.resize(p, 600, 150, "bicubic")))
 add("large_auto_color", large(stats.auto_color))
 
+add("copy_channel", lambda spark, d: point.copy_channel(pixels_base(spark, d), pixels_top(spark, d), "g", "r"), f"{views('px', 'pt')} SELECT px.image_id, px.x, px.y, coalesce(pt.g, px.r) AS r, px.g, px.b, px.a FROM px LEFT JOIN pt ON pt.image_id = px.image_id AND pt.x = px.x AND pt.y = px.y")
+
 # more of the layer algebra
 add("layer_to_top", lambda spark, d: canvas.move_to_top(layers(spark, d), "L1"), _all("CASE layer_id WHEN 'L0' THEN 0 WHEN 'L2' THEN 1 WHEN 'L3' THEN 2 ELSE 3 END"))
 add("layer_to_bottom", lambda spark, d: canvas.move_to_bottom(layers(spark, d), "L2"), _all("CASE layer_id WHEN 'L2' THEN 0 WHEN 'L0' THEN 1 WHEN 'L1' THEN 2 ELSE 3 END"))

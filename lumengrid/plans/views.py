@@ -134,6 +134,21 @@ def to_pixels(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "rgba").mapInArrow(run, f"image_id {kind}, x int, y int, r int, g int, b int, a int")
 
 
+def from_rgb(images: DataFrame) -> DataFrame:
+    """Image rows (image_id, width, height, rgba) of rows with rgb bytes; all pixels are opaque."""
+    kind = images.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rgba = []
+            for data in batch.column(3).to_pylist():
+                flat = np.frombuffer(data, np.uint8).reshape(-1, 3)
+                rgba.append(np.concatenate([flat, np.full((len(flat), 1), 255, np.uint8)], axis=1).tobytes())
+            yield pa.record_batch([*batch.columns[:3], pa.array(rgba, pa.binary())], ["image_id", "width", "height", "rgba"])
+
+    return images.select("image_id", "width", "height", "rgb").mapInArrow(run, f"image_id {kind}, width int, height int, rgba binary")
+
+
 def new_image(spark: SparkSession, width: int, height: int, color: tuple[int, int, int, int] = (0, 0, 0, 0), image_id: int = 0) -> DataFrame:
     """A constant image; transparent black by default."""
     p = F.col("id")

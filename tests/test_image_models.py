@@ -279,6 +279,13 @@ def test_areas_mix_in_place(spark, change):
     assert np.abs(got - want).max() <= 1
 
 
+def test_images_of_three_channels(spark):
+    from lumengrid.plans.views import from_rgb
+
+    rows = spark.createDataFrame([(1, 2, 1, bytearray([1, 2, 3, 4, 5, 6]))], "image_id int, width int, height int, rgb binary")
+    assert array(to_pixels(from_rgb(rows))).tolist() == [[[1, 2, 3, 255], [4, 5, 6, 255]]]
+
+
 def test_gif_files(spark, tmp_path):
     image = np.random.default_rng(2).integers(0, 256, (20, 30, 4)).astype(np.uint8)
     image[..., :2] //= 64
