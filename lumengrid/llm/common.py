@@ -44,15 +44,20 @@ def stored(df: DataFrame) -> DataFrame:
 
 #: A key with more than one in HEAVY of a table's rows is heavy; a table has fewer than HEAVY of them.
 HEAVY = 128
+#: A table of so many rows is no burden to one task, whatever its keys.
+LIGHT = 20_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """An inner join with `right`, which has one row for each key; `left`, a stored table, may hold any share of its rows under one key.
 
     Rows of heavy keys meet their fewer than HEAVY right rows by broadcast and stay where they are; only the rest are dealt by
-    key. `total`: the number of rows of `left`, if known.
+    key. `total`: the number of rows of `left`, or a bound of it, if known.
     """
-    least = (left.count() if total is None else total) / HEAVY
+    total = left.count() if total is None else total
+    if total <= LIGHT:
+        return left.join(right, key)
+    least = total / HEAVY
     heavy = [r[0] for r in left.groupBy(key).count().where(F.col("count") > F.lit(least)).select(key).collect()]  # fewer than HEAVY
     if not heavy:
         return left.join(right, key)

@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = stored(spread_join(both, low, "u", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        small = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.col("v").alias("a"), F.col("u").alias("b"), "m")
+        small = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m")), "u", 2 * seen[0]).select(F.col("v").alias("a"), F.col("u").alias("b"), "m")
         star = small.select(F.col("a").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("b").alias("u"), F.col("m").alias("v")))
         now = stored(star.where("u <> v").distinct())
         new = _sign(now)

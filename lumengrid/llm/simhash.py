@@ -431,7 +431,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = nodes.count()
     choices = random_choices(n)
     state = pivot_table(nodes.select("node", "fp", "n", F.col("node").alias("comp"), F.lit(-1).cast("long").alias("floor")))
-    links, sets, tests, first = None, None, TESTS, True
+    sets, tests, first = None, TESTS, True
     while True:
         asked = stored(candidates(state, choices, n, tests, first, similarity))
         tried = asked.select("node", F.explode("best.partner").alias("partner"))
@@ -444,19 +444,19 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             active = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
             sets = shingle_sets(df, nodes.join(active, "node").select("rep.*", "node"), id_col, text_col, shingle)
         good = stored(verified(pairs, sets, similarity))
-        links = good if links is None else stored(links.unionByName(good))
-        roots = components(links).withColumnRenamed("root", "new_comp")
+        # links between groups join the groups: what is one group is one node here
+        group = state.select("node", "comp")
+        a_side = spread_join(good, group.withColumnsRenamed({"node": "b", "comp": "of_b"}), "b")
+        links = a_side.join(group.withColumnsRenamed({"node": "a", "comp": "of_a"}), "a").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        roots = components(links).withColumnsRenamed({"node": "comp", "root": "new_comp"})
         floors = asked.select("node", F.when(F.size("best") < tests, F.lit(2**63 - 1)).otherwise(F.element_at("best.rank", -1)).alias("new_floor"))
-        moved = state.join(active, "node", "left_semi").join(roots, "node", "left").join(floors, "node", "left")
+        moved = state.join(active, "node", "left_semi").join(floors, "node", "left").join(roots, "comp", "left")
         done = F.coalesce("new_floor", F.lit(2**63 - 1))  # no candidate outside its group
         state = stored(moved.select("node", "fp", "n", F.coalesce("new_comp", "comp").alias("comp"), done.alias("floor"), "unit", "far"))
+        tests, first = tests * MORE, False
         if state.where(F.col("floor") < 2**63 - 1).isEmpty():
             break
-        tests, first = tests * MORE, False
-    if links is None:
-        named = nodes.select("node", F.col("node").alias("root"), "rep")
-    else:
-        named = nodes.select("node", "rep").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
+    named = nodes.select("node", "rep").join(state.select("node", F.col("comp").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named)
     names = named.groupBy("root").agg(F.min("rep.doc_id").alias("group_id"))
     of_node = stored(spread_join(named, names, "root").select("node", "root", "group_id"))
