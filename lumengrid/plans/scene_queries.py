@@ -102,22 +102,14 @@ add("checkerboard", lambda spark, d: checkerboard(spark, 8, 6, 2), f"SELECT 0 AS
 # layers
 _LAYERS = """SELECT CAST(o_orderkey {div} 4 AS INT) AS canvas_id, concat('L', CAST(o_orderkey % 4 AS STRING)) AS layer_id, concat('layer ', CAST(o_orderkey AS STRING)) AS name, CAST(o_orderkey % 4 AS INT) AS z, CAST(o_orderkey AS INT) AS image_id,
 CAST(o_custkey % 40 AS INT) AS x, CAST(o_orderkey * 7 % 30 AS INT) AS y, CAST(10 + o_custkey % 20 AS INT) AS width, CAST(5 + o_orderkey % 30 AS INT) AS height, CAST(1 - (o_orderkey % 4) / {ten} AS DOUBLE) AS opacity,
-CASE o_orderkey % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'multiply' ELSE 'screen' END AS blend_mode, o_orderkey % 5 <> 0 AS visible, CASE o_orderkey % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'bottom-right' WHEN 2 THEN 'top-center' ELSE NULL END AS anchor FROM {t} WHERE o_orderkey < 400"""
+CASE o_orderkey % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'multiply' ELSE 'screen' END AS blend_mode, o_orderkey % 5 <> 0 AS visible, CASE o_orderkey % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'bottom-right' WHEN 2 THEN 'top-center' ELSE NULL END AS anchor FROM {t}"""
 _LSQL = "l AS (" + _LAYERS.format(div="//", ten="10.0::DOUBLE", t="orders").replace("STRING", "VARCHAR") + ")"
 
 
-_FIRST = " WHERE o_orderkey < 400"
-
-
-class Whole(str):
-    """A table folder of which every order becomes a layer."""
-
-
 def layers(spark, d):
-    """Four layers for each canvas, from orders: of a hundred canvases, or of all of them in a `Whole` folder."""
+    """Every order as a layer, four to a canvas."""
     read(spark, d, "orders").createOrReplaceTempView("lumengrid_orders")
-    text = _LAYERS.removesuffix(_FIRST) if isinstance(d, Whole) else _LAYERS
-    return spark.sql(text.format(div="div", ten="10D", t="lumengrid_orders"))
+    return spark.sql(_LAYERS.format(div="div", ten="10D", t="lumengrid_orders"))
 
 
 def _all(z: str, where: str = "", **new) -> str:
@@ -183,7 +175,7 @@ add("canvas_turn", lambda spark, d: canvas.render(_simple(spark, d).turned(30.0)
 add("canvas_rotated_child", lambda spark, d: canvas.render(canvas.Canvas(pixels_top(spark, d), (10, 10)).add_canvas(_simple(spark, d).rotated(45.0).positioned(-1, 2))))
 add("canvas_anchored_child", lambda spark, d: canvas.render(canvas.Canvas(pixels_top(spark, d), (10, 10)).add_canvas(_simple(spark, d).anchored("bottom-right", 14, 13))), f"{views('px', 'pt')}, e AS {_BLANK}, one AS ({_over('e', 'normal', 1.0, 0, 0, 'px')}), two AS ({_over('one', 'multiply', 0.6, 2, 1)}) {_over('pt', 'normal', 1.0, 4, 3, 'two')}")
 add("layer_effects", lambda spark, d: canvas.render(canvas.Canvas(pixels_top(spark, d), (10, 10)).add_layer(canvas.Layer(pixels_base(spark, d), size=(10, 10), effects=(("drop_shadow", {"distance": 3.0, "size": 2.0}), ("stroke", {"width": 2, "color": (1, 2, 3, 255)}))))))
-add("project_metadata", lambda spark, d: canvas.project_metadata(layers(spark, Whole(d))).withColumn("names", F.concat_ws(",", "names")), f"WITH {_LSQL.replace(_FIRST, '')} SELECT canvas_id, count(*) AS n_layers, count(*) FILTER (visible) AS n_active, string_agg(name, ',' ORDER BY z) AS names FROM l GROUP BY canvas_id")
+add("project_metadata", lambda spark, d: canvas.project_metadata(layers(spark, d)).withColumn("names", F.concat_ws(",", "names")), f"WITH {_LSQL} SELECT canvas_id, count(*) AS n_layers, count(*) FILTER (visible) AS n_active, string_agg(name, ',' ORDER BY z) AS names FROM l GROUP BY canvas_id")
 add("drop_shadow", base(lambda p: canvas.drop_shadow(p, (10, 10), (0, 0, 0), 0.5, 45.0, 3.0, 0.0, 2.0)))
 _ed = "(x < 1.5::DOUBLE OR y < 1.5::DOUBLE OR x >= 8.5::DOUBLE OR y >= 8.5::DOUBLE)"
 add("stroke_rect", base(lambda p: canvas.stroke_rect(p, 3, (1, 2, 3, 255), 10, 10)), f"{views('px')} SELECT image_id, x, y, CASE WHEN {_ed} THEN 1 ELSE r END AS r, CASE WHEN {_ed} THEN 2 ELSE g END AS g, CASE WHEN {_ed} THEN 3 ELSE b END AS b, CASE WHEN {_ed} THEN 255 ELSE a END AS a FROM px")
@@ -313,7 +305,7 @@ def _scattered(spark, d):
     return put.select(F.col("image_id").cast("int").alias("cell"), "image_id", "x", "y", side("width"), side("height"), "rotation", F.col("image_id").cast("long").alias("z"))
 
 
-# the layer queries over all orders
-LAYER_QUERIES = [n for n in SQL if _LSQL in SQL[n]]
+# the layer queries by their names of the first round, when the others read the first orders only
+LAYER_QUERIES = [n for n in SQL if _LSQL in SQL[n] and n != "project_metadata"]
 for _n in LAYER_QUERIES:
-    add(_n + "_all", lambda spark, d, q=QUERIES[_n]: q(spark, Whole(d)), SQL[_n].replace(_LSQL, _LSQL.replace(_FIRST, "")))
+    add(_n + "_all", QUERIES[_n], SQL[_n])
