@@ -14,7 +14,7 @@ coordinates with their values; rows of one cell are compared.
   blocks - radius whole ones; each choice of so many is one cell. Blocks grow in number with the table, so that cells stay small.
 - `similar_documents` looks for a Jaccard similarity of word shingles, of which 64 bits are only a sketch: at 0.8, pairs
   are some 10 bits apart. Its cells are random choices of coordinates, so many that a pair `MEAN_BITS` apart
-  shares a cell with the chance `RECALL`, and candidates up to `WIDE` bits apart are verified on their shingles.
+  shares a cell with the chance `RECALL`, and candidates up to `WIDE` bits apart are verified on 32-bit hashes of their shingles.
 
 Within a cell, rows are swept in sorted order. Cells above `GROUP` rows are dealt to pairs of parts, so that no task holds
 one whole; they are found by the cells of a share of the table, and if that misses one, its task just holds more.
@@ -388,17 +388,23 @@ def _closest(parts: list[tuple[np.ndarray, ...]], tests: int) -> tuple[np.ndarra
     return x[keep], rank[keep], y[keep]
 
 
-def shingle_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, hashes): the sorted shingle hashes of the texts that stand for the nodes in wanted (doc_id, text_hash, node). Stored."""
+def shingle_sets(df: DataFrame, wanted: DataFrame, repeated: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, hashes): the sorted 32-bit shingle hashes of the texts that stand for the nodes in wanted (doc_id, text_hash, node). Stored.
+
+    Rows that `repeated` (doc_id, text_hash) names occur more than once, and only they are dealt by node to keep one of them.
+    """
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            hashes = [shingle_set(t.as_py().encode(), shingle).tobytes() for t in texts_of(part.column("text"))]
+            hashes = [np.unique(shingle_set(t.as_py().encode(), shingle).astype("<u4")).tobytes() for t in texts_of(part.column("text"))]
             yield pa.record_batch([part.column("node"), pa.array(hashes, pa.binary())], ["node", "hashes"])
 
-    rows = texts.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
-    return stored(rows.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]))
+    key = ["doc_id", "text_hash"]
+    rows = texts.join(wanted.join(repeated, key, "left_anti"), key).select("node", "text")
+    if not repeated.isEmpty():
+        rows = rows.unionByName(texts.join(wanted.join(repeated, key, "left_semi"), key).select("node", "text").dropDuplicates(["node"]))
+    return stored(rows.mapInArrow(run, "node long, hashes binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -408,13 +414,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    left = spread_join(pairs, sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    side = lambda c, name: sets.select(F.col("node").alias(c), F.col("hashes").alias(name)).join(pairs.select(c), c, "left_semi")
+    both = spread_join(pairs, side("b", "y"), "b").join(side("a", "x"), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -442,7 +448,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         if first:  # texts without a candidate have no part in later rounds
             active = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-            sets = shingle_sets(df, nodes.join(active, "node").select("rep.*", "node"), id_col, text_col, shingle)
+            repeated = stored(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
+            sets = shingle_sets(df, nodes.join(active, "node").select("rep.*", "node"), repeated, id_col, text_col, shingle)
         good = stored(verified(pairs, sets, similarity))
         # links between groups join the groups: what is one group is one node here
         group = state.select("node", "comp")
