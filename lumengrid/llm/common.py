@@ -66,6 +66,15 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, total: int | None =
     return left.join(F.broadcast(few), key).unionByName(left.join(F.broadcast(keys), key, "left_anti").join(right, key))
 
 
+#: Rows of a few numbers that are broadcast at most.
+FEW_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast if its counted size allows it."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of `df` has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import slices, spread_join, stored, table, texts_of
+from lumengrid.llm.common import FEW_ROWS, slices, spread_join, stored, table, texts_of
 from lumengrid.llm.components import components
 
 SEED = 42
@@ -57,6 +57,8 @@ RECALL = 0.97
 CELL_BITS = 4
 #: Candidates that a text tests in the first round, and the factor from round to round.
 TESTS, MORE = 1, 16
+#: The floor of a text that has no candidate left.
+LAST = 2**63 - 1
 
 
 def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -176,13 +178,15 @@ def cells(pivots: DataFrame, choices: list[list[int]], columns: list[str]) -> Da
     return pivots.select("unit", *columns).mapInArrow(run, f"cell long{kinds}")
 
 
-def dealt(pivots: DataFrame, choices: list[list[int]], columns: list[str], group: int, n: int) -> DataFrame:
+def dealt(pivots: DataFrame, choices: list[list[int]], columns: list[str], group: int, n: int, asking: DataFrame | None = None) -> DataFrame:
     """(columns, cell[, part]): the cells, sorted within partitions. Large ones are dealt to cells of two parts each.
 
     `part` is 2 for rows that are compared with each other, and 0 or 1 for rows of two parts of which only pairs across are
-    compared; without a large cell there is none.
+    compared; without a large cell there is none. `asking`: the rows of the table that look for others; cells without one are left out.
     """
     own = cells(pivots, choices, columns)
+    if asking is not None:
+        own = own.join(cells(asking, choices, []).distinct(), "cell", "left_semi")
     rate = max(1, min(64, group // 128))
     large = None
     if n > group:
@@ -331,7 +335,8 @@ def candidates(pivots: DataFrame, choices: list[list[int]], n: int, tests: int,
     `best` are the `tests` closest candidates (rank, partner) above its floor in the order of bits, then digest;
     `star` is the smallest candidate, in the first round, so that a crowd soon meets at one text.
     """
-    rows = dealt(pivots, choices, ["fp", "far", "node", "n", *([] if first else ["comp", "floor"])], group, n)
+    asking = None if first else pivots.where(F.col("floor") < F.lit(LAST))
+    rows = dealt(pivots, choices, ["fp", "far", "node", "n", *([] if first else ["comp", "floor"])], group, n, asking)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, g in by_cell(batches, 4 * group):
@@ -401,9 +406,10 @@ def shingle_sets(df: DataFrame, wanted: DataFrame, repeated: DataFrame, id_col:
             yield pa.record_batch([part.column("node"), pa.array(hashes, pa.binary())], ["node", "hashes"])
 
     key = ["doc_id", "text_hash"]
-    rows = texts.join(wanted.join(repeated, key, "left_anti"), key).select("node", "text")
+    mark = F.broadcast if wanted.count() <= FEW_ROWS else (lambda part: part)
+    rows = texts.join(mark(wanted.join(repeated, key, "left_anti")), key).select("node", "text")
     if not repeated.isEmpty():
-        rows = rows.unionByName(texts.join(wanted.join(repeated, key, "left_semi"), key).select("node", "text").dropDuplicates(["node"]))
+        rows = rows.unionByName(texts.join(mark(wanted.join(repeated, key, "left_semi")), key).select("node", "text").dropDuplicates(["node"]))
     return stored(rows.mapInArrow(run, "node long, hashes binary"))
 
 
@@ -449,19 +455,19 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if first:  # texts without a candidate have no part in later rounds
             active = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
             repeated = stored(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
-            sets = shingle_sets(df, nodes.join(active, "node").select("rep.*", "node"), repeated, id_col, text_col, shingle)
+            sets = shingle_sets(df, stored(nodes.join(active, "node").select("rep.*", "node")), repeated, id_col, text_col, shingle)
         good = stored(verified(pairs, sets, similarity))
         # links between groups join the groups: what is one group is one node here
         group = state.select("node", "comp")
         a_side = spread_join(good, group.withColumnsRenamed({"node": "b", "comp": "of_b"}), "b")
         links = a_side.join(group.withColumnsRenamed({"node": "a", "comp": "of_a"}), "a").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
         roots = components(links).withColumnsRenamed({"node": "comp", "root": "new_comp"})
-        floors = asked.select("node", F.when(F.size("best") < tests, F.lit(2**63 - 1)).otherwise(F.element_at("best.rank", -1)).alias("new_floor"))
+        floors = asked.select("node", F.when(F.size("best") < tests, F.lit(LAST)).otherwise(F.element_at("best.rank", -1)).alias("new_floor"))
         moved = state.join(active, "node", "left_semi").join(floors, "node", "left").join(roots, "comp", "left")
-        done = F.coalesce("new_floor", F.lit(2**63 - 1))  # no candidate outside its group
+        done = F.coalesce("new_floor", F.lit(LAST))  # no candidate outside its group
         state = stored(moved.select("node", "fp", "n", F.coalesce("new_comp", "comp").alias("comp"), done.alias("floor"), "unit", "far"))
         tests, first = tests * MORE, False
-        if state.where(F.col("floor") < 2**63 - 1).isEmpty():
+        if state.where(F.col("floor") < F.lit(LAST)).isEmpty():
             break
     named = nodes.select("node", "rep").join(state.select("node", F.col("comp").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named)
