@@ -7,6 +7,7 @@ counts from 0 at the bottom without gaps in each canvas.
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
@@ -359,18 +360,21 @@ def with_effects(pixels: DataFrame, effects: tuple, size: tuple[int, int]) -> tu
 BUCKET = 4096
 
 
-def grid_layout(images: DataFrame, columns: int, cell: tuple[int, int]) -> DataFrame:
-    """(image_id, col, row, x, y): images of a table in reading order of their whole-number ids.
+def ranked(images: DataFrame) -> DataFrame:
+    """(image_id, n): whole-number ids of a table numbered from 0 in their order.
 
     Ids are numbered within buckets of BUCKET neighbouring ids; only the buckets' counts meet in one task.
     """
-    bucket = F.floor(F.col("image_id") / F.lit(BUCKET)).alias("bucket")
-    rows = images.select("image_id", bucket)
+    rows = images.select("image_id", F.floor(F.col("image_id") / F.lit(BUCKET)).alias("bucket"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("bucket").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     n = F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("image_id")) - 1
-    placed = rows.join(starts, "bucket").withColumn("n", n)
-    cells = placed.select("image_id", (F.col("n") % columns).cast("int").alias("col"), F.call_function("div", F.col("n"), F.lit(columns)).cast("int").alias("row"))
+    return rows.join(starts, "bucket").select("image_id", n.alias("n"))
+
+
+def grid_layout(images: DataFrame, columns: int, cell: tuple[int, int]) -> DataFrame:
+    """(image_id, col, row, x, y): images of a table in reading order of their ids."""
+    cells = ranked(images).select("image_id", (F.col("n") % columns).cast("int").alias("col"), F.call_function("div", F.col("n"), F.lit(columns)).cast("int").alias("row"))
     return cells.withColumns({"x": F.col("col") * cell[0], "y": F.col("row") * cell[1]})
 
 
@@ -449,15 +453,17 @@ def random_layout(images: DataFrame, width: int, height: int, seed: int, rotatio
 def collage_grid(images: DataFrame, columns: int, rows: int, width: int, height: int, seed: int, rotation: tuple[float, float] = (0.0, 0.0), layered: bool = False, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(cell, image_id, x, y, width, height, rotation, z): which image each cell of a grid shows, where and how large.
 
-    `images` has image_id. Every cell draws an image by a hash; each draw is the image with the smallest hash for that cell, one
-    aggregate. A plain grid has cells of the size by the root of their number; a layered one by columns and rows, drawn in the
+    `images` has whole-number image_ids. Every cell draws an image by its rank, from the seed. A plain grid has cells of the size by the root of their number; a layered one by columns and rows, drawn in the
     order of a hash, with a scale.
     """
     count = columns * rows
     side = int(math.sqrt(count)) if not layered else columns
     cell = (width // columns, height // rows) if layered else (int(width / math.sqrt(count)), int(height / math.sqrt(count)))
-    cells = images.sparkSession.range(count).select(F.col("id").cast("int").alias("cell"))
-    drawn = images.select("image_id").distinct().crossJoin(F.broadcast(cells)).groupBy("cell").agg(F.min_by("image_id", F.xxhash64("image_id", "cell", F.lit(seed))).alias("image_id"))
+    ids = images.select("image_id").distinct()
+    total = ids.count()
+    draws = [(k, random.Random(f"{seed} {k}").randrange(total)) for k in range(count if total else 0)]
+    cells = images.sparkSession.createDataFrame(draws, "cell int, n long")
+    drawn = ranked(ids).join(F.broadcast(cells), "n").select("cell", "image_id")  # one row for each cell of the grid
     sized = drawn.withColumns({"rotation": _drawn_number(seed, "rotation", *map(float, rotation), "cell"), "scale": _drawn_number(seed, "scale", *map(float, scale), "cell")})
     return sized.select(
         "cell",
