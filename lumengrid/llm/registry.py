@@ -1,6 +1,6 @@
 """Queries of the training-data operators, by name, and their DuckDB SQL where SQL can express them."""
 
-from lumengrid.llm import chat, langid, media, packing, secrets, sentencepiece, sharding, simhash, topk, toxicity
+from lumengrid.llm import chat, langid, linededup, media, packing, resampling, secrets, sentencepiece, sharding, simhash, topk, toxicity, whitening
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_langid": langid.query,
     "op9_chat": chat.query,
     "op10_media": media.query,
+    "op11_linededup": linededup.query,
+    "op12_whitening": whitening.query,
+    "op13_resampling": resampling.query,
 }
 
-SQL = {"op4_topk": topk.SQL, "op9_chat": chat.SQL}
+SQL = {"op4_topk": topk.SQL, "op9_chat": chat.SQL, "op11_linededup": linededup.SQL, "op13_resampling": resampling.SQL}
