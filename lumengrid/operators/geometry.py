@@ -133,11 +133,11 @@ def crosses(px: Column, py: Column, edges: list[tuple[float, float, float, float
 
 
 def winding(px: Column, py: Column, edges: list[tuple[float, float, float, float]]) -> Column:
-    """The winding number: the non-zero rule takes anything but 0 as inside."""
+    """The winding number by the edges right of the place: the non-zero rule takes anything but 0 as inside."""
     total = F.lit(0)
-    for xj, yj, xi, yi in [(e[2], e[3], e[0], e[1]) for e in edges]:
-        side = (py - yj) * (xi - xj) - (px - xj) * (yi - yj)
-        total = total + F.when((F.lit(yj) <= py) & (F.lit(yi) > py) & (side < 0), 1).when((F.lit(yj) > py) & (F.lit(yi) <= py) & (side > 0), -1).otherwise(0)
+    for xi, yi, xj, yj in edges:
+        side = (py - yi) * (xj - xi) - (px - xi) * (yj - yi)
+        total = total + F.when((F.lit(yi) <= py) & (F.lit(yj) > py) & (side > 0), 1).when((F.lit(yi) > py) & (F.lit(yj) <= py) & (side < 0), -1).otherwise(0)
     return total
 
 

@@ -58,9 +58,13 @@ def coverage(path: Path, samples: int = 4, rule: str = "non-zero") -> Column:
 
 
 def gradient_time(path: Path) -> Column:
-    """The t in 0..1 of the place on a path that is nearest to the pixel's centre; each piece of its polyline has an equal share."""
+    """`gradient_time_at` of the pixel's centre."""
+    return gradient_time_at(path, F.col("x") + 0.5, F.col("y") + 0.5)
+
+
+def gradient_time_at(path: Path, px: Column, py: Column) -> Column:
+    """The t in 0..1 of the place on a path that is nearest to (px, py); each piece of its polyline has an equal share."""
     own = path.flatten()
-    px, py = F.col("x") + 0.5, F.col("y") + 0.5
     options = []
     for i, ((xi, yi), (xj, yj)) in enumerate(zip(own, own[1:], strict=False)):
         dx, dy = xj - xi, yj - yi

@@ -46,17 +46,9 @@ _W = f"CASE WHEN x BETWEEN 2 AND 7 AND y BETWEEN 2 AND 6 THEN least({_dist} / 2,
 add("apply_area_feather", base(lambda p: raster.apply_in_area(p, point.invert, [(RECT, 2)])), f"{views('px')}, w AS (SELECT *, {f(_W)} AS w FROM px) SELECT image_id, x, y, {', '.join(f'CASE WHEN w > 0 THEN {u8(f"{f(f'255 - {c}')} * w + {f(c)} * ({f(1)} - w)")} ELSE {c} END AS {c}' for c in RGB)}, CASE WHEN w > 0 THEN {u8(f'{f("a")} * w + {f("a")} * ({f(1)} - w)')} ELSE a END AS a FROM w")
 add("apply_mask_invert", lambda spark, d: raster.apply_in_area(pixels_base(spark, d), point.invert, mask=pixels_top(spark, d)), f"""{views('px', 'pt')}, w AS (SELECT px.*, {f("coalesce(((pt.r * 299 + pt.g * 587 + pt.b * 114 + 500) // 1000) / 255.0::DOUBLE, 1.0::DOUBLE)")} AS w FROM px LEFT JOIN pt ON pt.image_id = px.image_id AND pt.x = px.x AND pt.y = px.y)
 SELECT image_id, x, y, {', '.join(f'CASE WHEN w > 0 THEN {u8(f"{f(f'255 - {c}')} * w + {f(c)} * ({f(1)} - w)")} ELSE {c} END AS {c}' for c in RGB)}, CASE WHEN w > 0 THEN {u8(f'{f("a")} * w + {f("a")} * ({f(1)} - w)')} ELSE a END AS a FROM w""")
-_cov = lambda path: f"g AS (SELECT CAST(p % {{w}} AS INT) AS x, CAST(p // {{w}} AS INT) AS y FROM range({{w}} * {{h}}) t(p)), s AS (SELECT i, (i % 4 + 0.5::DOUBLE) / 4 AS sx, (i // 4 + 0.5::DOUBLE) / 4 AS sy FROM range(16) t(i)), k AS (SELECT g.x, g.y, sum(CASE WHEN {_WIND.format(x='(g.x + s.sx)', y='(g.y + s.sy)')} THEN 1 ELSE 0 END) AS n FROM g CROSS JOIN s GROUP BY g.x, g.y)"
-_MOVED = STAR.mapped(lambda p: (p[0], p[1]))
-add("fill_polygon", lambda spark, d: raster.fill(spark, STAR, (10, 20, 30, 200)), f"WITH {_edges(_MOVED)}, {_cov(_MOVED).format(w=10, h=10)} SELECT 0 AS image_id, x, y, CASE WHEN n > 0 THEN 10 ELSE 0 END AS r, CASE WHEN n > 0 THEN 20 ELSE 0 END AS g, CASE WHEN n > 0 THEN 30 ELSE 0 END AS b, CASE WHEN n > 0 THEN {u8r('200 * n / 16.0::DOUBLE')} ELSE 0 END AS a FROM k")
-add("fill_gradient", lambda spark, d: raster.fill(spark, STAR, raster.Gradient.from_to((0, 0, 0, 255), (255, 255, 255, 255)), feather=2))
 add("paint_brush", base(lambda p: raster.paint(p, 5.0, 5.0, 6.0, (255, 0, 0, 255), 0.5)))
 add("stroke_path", base(lambda p: raster.stroke(p, Path((1.0, 1.0)).quad_to((9.0, 1.0), (9.0, 9.0)), 2.0, (0, 0, 255, 255))))
 add("mask_area", base(lambda p: raster.draw_mask_area(raster.new_mask(p), RECT, 0, 2)))
-add("path_flatten", lambda spark, d: geometry.points_table(spark, Path((0.0, 0.0)).quad_to((8.0, 0.0), (8.0, 8.0)).line_to((0.0, 8.0)), 1).groupBy("path_id").agg(F.count("*").alias("n")))
-_P3 = [(0.0, 0.0), (3.0, 4.0), (3.0, 10.0)]
-_P3SQL = "p(path_id, seq, px, py) AS (VALUES (7, 0, 0.0::DOUBLE, 0.0::DOUBLE), (7, 1, 3.0, 4.0), (7, 2, 3.0, 10.0))"
-add("path_stats", lambda spark, d: geometry.path_stats(geometry.points_table(spark, Path(_P3[0]).line_to(_P3[1]).line_to(_P3[2]), 7)), f"WITH {_P3SQL}, l AS (SELECT *, sqrt(pow(px - lag(px) OVER (ORDER BY seq), 2) + pow(py - lag(py) OVER (ORDER BY seq), 2)) AS d FROM p) SELECT path_id, sum(d) AS length, min(px) AS x_min, min(py) AS y_min, max(px) AS x_max, max(py) AS y_max FROM l GROUP BY path_id")
 _SEG = "SELECT CAST(s_suppkey AS INT) AS path_id, 0 AS seq, CAST(0 AS DOUBLE) AS x0, CAST(0 AS DOUBLE) AS y0, CAST(s_suppkey % 7 AS DOUBLE) AS x1, CAST(0 AS DOUBLE) AS y1, CAST(s_suppkey % 5 AS DOUBLE) AS x2, CAST(s_suppkey % 11 AS DOUBLE) AS y2 FROM {t}"
 
 
@@ -95,9 +87,6 @@ add("median_wide", base(lambda p: raster.median_wide(p, 2)), _MED)
 add("smooth_skin", base(lambda p: raster.smooth_skin(p, 0.8)))
 add("focus_blur", base(lambda p: raster.focus_blur(p, 3)))
 add("image_round_trip", base(lambda p: to_pixels(to_images(p))), f"{views('px')} SELECT * FROM px")
-add("new_image", lambda spark, d: new_image(spark, 4, 3, (1, 2, 3, 4)), "SELECT 0 AS image_id, CAST(p % 4 AS INT) AS x, CAST(p // 4 AS INT) AS y, 1 AS r, 2 AS g, 3 AS b, 4 AS a FROM range(12) t(p)")
-_CH = "CASE WHEN ((p % 8) // 2 + (p // 8) // 2) % 2 = 0 THEN 200 ELSE 100 END"
-add("checkerboard", lambda spark, d: checkerboard(spark, 8, 6, 2), f"SELECT 0 AS image_id, CAST(p % 8 AS INT) AS x, CAST(p // 8 AS INT) AS y, {_CH} AS r, {_CH} AS g, {_CH} AS b, 255 AS a FROM range(48) t(p)")
 
 # layers
 _LAYERS = """SELECT CAST(o_orderkey {div} 4 AS INT) AS canvas_id, concat('L', CAST(o_orderkey % 4 AS STRING)) AS layer_id, concat('layer ', CAST(o_orderkey AS STRING)) AS name, CAST(o_orderkey % 4 AS INT) AS z, CAST(o_orderkey AS INT) AS image_id,
@@ -259,9 +248,6 @@ _LAB = (("lab_by_hsl", color.rgb_to_hsl, color.hsl_to_lab, color.lab_to_rgb), ("
 for _n, *_steps in _LAB:
     add(_n + "_round_trip", base(lambda p, s=tuple(_steps): _turned(p, *s)), f"{views('px')} SELECT * FROM px")
 add("hsl_by_hsv_round_trip", base(lambda p: _turned(p, color.rgb_to_hsl, color.hsl_to_hsv, color.hsv_to_rgb)), f"{views('px')} SELECT * FROM px")
-_DIAGONAL = raster.Gradient.from_to((0, 0, 0, 255), (250, 200, 100, 255)).with_direction(Path((0.0, 0.0)).line_to((8.0, 6.0)))
-add("fill_gradient_along", lambda spark, d: raster.fill(spark, Path.rect(0.0, 0.0, 12.0, 9.0), _DIAGONAL))
-add("fill_image", lambda spark, d: raster.fill(spark, STAR, checkerboard(spark, 6, 6, 2), offset=(2, 1)))
 add("gradient_rainbow", base(lambda p: point.gradient_map(p, color.Gradient.rainbow())))
 add("gradient_hue_reversed", base(lambda p: point.gradient_map(p, color.Gradient.hue().reverse())))
 
@@ -303,9 +289,3 @@ def _scattered(spark, d):
     put = canvas.random_layout(own, 200, 160, 3, (-30.0, 30.0), (1.0, 2.0)).join(own, "image_id")
     side = lambda c: F.floor(F.col(c) * F.col("scale")).cast("int").alias(c)
     return put.select(F.col("image_id").cast("int").alias("cell"), "image_id", "x", "y", side("width"), side("height"), "rotation", F.col("image_id").cast("long").alias("z"))
-
-
-# the layer queries by their names of the first round, when the others read the first orders only
-LAYER_QUERIES = [n for n in SQL if _LSQL in SQL[n] and n != "project_metadata"]
-for _n in LAYER_QUERIES:
-    add(_n + "_all", QUERIES[_n], SQL[_n])

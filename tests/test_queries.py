@@ -2,10 +2,10 @@
 
 import pytest
 
-from lumengrid.plans import pixel_queries, scene_queries
+from lumengrid.plans import area_queries, pixel_queries, scene_queries
 
-ALL = {**pixel_queries.QUERIES, **scene_queries.QUERIES}
-SQL = {**pixel_queries.SQL, **scene_queries.SQL}
+ALL = {**pixel_queries.QUERIES, **scene_queries.QUERIES, **area_queries.QUERIES}
+SQL = {**pixel_queries.SQL, **scene_queries.SQL, **area_queries.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -13,7 +13,7 @@ def test_same_as_sql(name, same):
     same(ALL[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(ALL) - set(SQL) if n not in ("path_flatten", "png_round_trip", "rgb_to_lab", "random_layout")))
+@pytest.mark.parametrize("name", sorted(n for n in set(ALL) - set(SQL) if n not in ("png_round_trip", "rgb_to_lab", "random_layout")))
 def test_channels_stay_in_range(name, spark, sf_dir):
     from pyspark.sql import functions as F
 
