@@ -10,12 +10,14 @@ import math
 import random
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumengrid.functions.numeric import div32, f32, u8
-from lumengrid.operators import blend, point, spatial, warp
+from lumengrid.operators import areas, blend, point, spatial, warp
 from lumengrid.operators.raster import gaussian_blur
+from lumengrid.operators.warp import Affine
 from lumengrid.plans.views import CHANNELS, KEY, RGB, sizes
 
 ANCHORS = ("top-left", "top-center", "top-right", "center-left", "center", "center-right", "bottom-left", "bottom-center", "bottom-right")
@@ -98,7 +100,8 @@ class Layer:
     """One layer of the composite, for every canvas at once: its pixels' image_id is the canvas's.
 
     `size` (width, height) is needed by transforms and anchors only. `effects` are (function, parameters) pairs of EFFECTS,
-    applied in their order before the layer is drawn.
+    applied in their order before the layer is drawn. `matrix` is a chain of maps from the layer's own places, whose origin
+    lies at (x, y): the layer is sampled once, by `sampler`, when it is drawn, however long the chain.
     """
 
     pixels: DataFrame
@@ -111,6 +114,26 @@ class Layer:
     anchor: str | None = None
     effects: tuple = ()
     name: str = ""
+    matrix: Affine | None = None
+    sampler: str = "bicubic"
+
+    def transformed(self, change: Affine) -> Layer:
+        """A map more in the chain."""
+        return replace(self, matrix=(self.matrix or Affine()).then(change))
+
+    def spun(self, degrees: float, origin: str | tuple[float, float] = "center") -> Layer:
+        """A turn about an origin of the layer, in the chain."""
+        return self.transformed(Affine().turned(degrees, origin_place(origin, self.size)))
+
+    def stretched(self, sx: float, sy: float, origin: str | tuple[float, float] = "center") -> Layer:
+        return self.transformed(Affine().scaled(sx, sy, origin_place(origin, self.size)))
+
+    def sampled(self) -> Layer:
+        """The layer with its chain carried out."""
+        if self.matrix is None:
+            return self
+        box = self.matrix.box(*self.size)
+        return replace(self, pixels=warp.affine(self.pixels, self.matrix, box, self.sampler), size=box[2:], x=self.x + box[0], y=self.y + box[1], matrix=None)
 
     def with_image(self, pixels: DataFrame, size: tuple[int, int] | None = None) -> Layer:
         return replace(self, pixels=pixels, size=size)
@@ -127,6 +150,28 @@ class Layer:
     def resized(self, width: int, height: int, algorithm: str | None = None) -> Layer:
         return replace(self, pixels=warp.resize(self.pixels, width, height, algorithm), size=(width, height))
 
+    def resized_by(self, factor: float, algorithm: str | None = None) -> Layer:
+        """A factor of 0 or less changes nothing."""
+        return self if factor <= 0 else self.resized(*warp.scaled_size(self.size, factor), algorithm)
+
+    def resized_width(self, width: int, algorithm: str | None = None) -> Layer:
+        return self.resized(*warp.width_size(self.size, width), algorithm)
+
+    def resized_height(self, height: int, algorithm: str | None = None) -> Layer:
+        return self.resized(*warp.height_size(self.size, height), algorithm)
+
+    def widened(self, dx: int, algorithm: str | None = None) -> Layer:
+        return self.resized(*warp.relative_size(self.size, dx=dx), algorithm)
+
+    def heightened(self, dy: int, algorithm: str | None = None) -> Layer:
+        return self.resized(*warp.relative_size(self.size, dy=dy), algorithm)
+
+    def cropped(self, x: int, y: int, width: int, height: int) -> Layer:
+        """The part of the layer's image inside a rectangle of its own places; the layer's place stays."""
+        left, top = max(x, 0), max(y, 0)
+        wide, high = max(0, min(x + width, self.size[0]) - left), max(0, min(y + height, self.size[1]) - top)
+        return replace(self, pixels=point.crop(self.pixels, left, top, wide, high), size=(wide, high))
+
 
 @dataclass(frozen=True)
 class Canvas:
@@ -147,13 +192,13 @@ class Canvas:
     pass_through: bool = False
     effects: tuple = ()
     name: str = ""
+    origin: str | tuple[float, float] = "center"
 
     @classmethod
     def blank(cls, images: DataFrame, width: int, height: int, name: str = "") -> Canvas:
         """A clear canvas for each image_id of a table."""
-        p = images.select("image_id").distinct().withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))))
-        pixels = p.select("image_id", (F.col("p") % width).alias("x"), F.call_function("div", F.col("p"), F.lit(width)).cast("int").alias("y"), *[F.lit(0).alias(c) for c in CHANNELS])
-        return cls(pixels, (width, height), name=name)
+        ids = images.select("image_id").distinct().withColumns({"width": F.lit(width), "height": F.lit(height)})
+        return cls(areas.blank(ids), (width, height), name=name)
 
     @classmethod
     def of(cls, pixels: DataFrame, width: int, height: int, name: str = "") -> Canvas:
@@ -195,25 +240,45 @@ class Canvas:
         """All layers scaled in size and place, each rounded; the same size changes nothing."""
         if (width, height) == self.size:
             return self
-        return self._scaled(width / self.size[0] if self.size[0] else 1.0, height / self.size[1] if self.size[1] else 1.0, (width, height), algorithm)
+        return self._scaled(_ratio(width, self.size[0]), _ratio(height, self.size[1]), (width, height), algorithm)
 
     def resized_by(self, factor: float, algorithm: str | None = None) -> Canvas:
-        return self.resized(int(max(self.size[0] * factor, 1)), int(max(self.size[1] * factor, 1)), algorithm)
+        return self.resized(*warp.scaled_size(self.size, factor), algorithm)
 
     def resized_width(self, width: int, algorithm: str | None = None) -> Canvas:
         """Across only; the canvas takes the size of its lowest layer."""
-        return self._scaled(width / self.size[0] if self.size[0] else 1.0, None, None, algorithm)
+        return self._scaled(_ratio(width, self.size[0]), None, None, algorithm)
 
     def resized_height(self, height: int, algorithm: str | None = None) -> Canvas:
-        return self._scaled(None, height / self.size[1] if self.size[1] else 1.0, None, algorithm)
+        return self._scaled(None, _ratio(height, self.size[1]), None, algorithm)
 
     def widened(self, dx: int, algorithm: str | None = None) -> Canvas:
-        """Each layer wider by dx, the canvas of the lowest layer's size, layers centred across."""
+        """Each layer wider by dx in proportion, the canvas of the lowest layer's size, layers centred across."""
         return self._stretched(dx, 0, algorithm)
 
     def heightened(self, dy: int, algorithm: str | None = None) -> Canvas:
         return self._stretched(0, dy, algorithm)
 
+    def with_origin(self, origin: str | tuple[float, float]) -> Canvas:
+        """The place that `spun` turns about: a name as of an anchor, or shares of width and height."""
+        return replace(self, origin=origin)
+
+    def spun(self, degrees: float) -> Canvas:
+        """All layers turned about the canvas's origin, each by its chain."""
+        about = Affine().turned(degrees, origin_place(self.origin, self.size))
+        return replace(self, layers=tuple(layer.transformed(Affine(e=layer.x, f=layer.y).then(about).moved(-layer.x, -layer.y)) for layer in self.layers))
+
+    def cropped(self, x: int, y: int, width: int, height: int) -> Canvas:
+        """Every layer cut to a rectangle and moved to its corner; a layer outside has no pixels. Children stay as they are."""
+
+        def one(layer: Layer) -> Layer:
+            layer = layer.sampled()
+            meets = layer.x < x + width and layer.x + layer.size[0] > x and layer.y < y + height and layer.y + layer.size[1] > y
+            cut = layer.cropped(x - layer.x, y - layer.y, width, height) if meets else layer.cropped(0, 0, 0, 0)
+            return replace(cut, x=max(layer.x - x, 0) if meets else 0, y=max(layer.y - y, 0) if meets else 0)
+
+        return self._sized(tuple(map(one, self.layers)), (width, height))
+
     def turned(self, degrees: float, algorithm: str | None = None) -> Canvas:
         """Every layer's image turned in its place."""
         return replace(self, layers=tuple(layer.rotated(degrees, algorithm) for layer in self.layers))
@@ -225,22 +290,27 @@ class Canvas:
         size = size or (layers[0].size if layers else self.size)
         return replace(self, layers=layers, size=size, pixels=Canvas.blank(self.pixels, *size).pixels)
 
-    def _scaled(self, sx: float | None, sy: float | None, size: tuple[int, int] | None, algorithm: str | None) -> Canvas:
+    def _scaled(self, sx: np.float32 | None, sy: np.float32 | None, size: tuple[int, int] | None, algorithm: str | None) -> Canvas:
         def one(layer: Layer) -> Layer:
-            width, height = (v if k is None else _half_up(v * k) for v, k in zip(layer.size, (sx, sy), strict=True))
-            x, y = (v if k is None else _half_up(v * k) for v, k in ((layer.x, sx), (layer.y, sy)))
+            width, height = (v if k is None else _half_up(float(np.float32(v) * k)) for v, k in zip(layer.size, (sx, sy), strict=True))
+            x, y = (v if k is None else _half_up(float(np.float32(v) * k)) for v, k in ((layer.x, sx), (layer.y, sy)))
             return replace(layer.resized(width, height, algorithm), x=x, y=y)
 
         return self._sized(tuple(map(one, self.layers)), size)
 
     def _stretched(self, dx: int, dy: int, algorithm: str | None) -> Canvas:
-        grown = [layer.resized(max(1, layer.size[0] + dx), max(1, layer.size[1] + dy), algorithm) for layer in self.layers]
+        grown = [layer.widened(dx, algorithm) if dx else layer.heightened(dy, algorithm) for layer in self.layers]
         width, height = grown[0].size if grown else self.size
         middle = lambda outer, inner: int((outer - inner) / 2)
         placed = [replace(g, x=middle(width, g.size[0])) if dx else replace(g, y=middle(height, g.size[1])) for g in grown]
         return self._sized(tuple(placed), None)
 
 
+def _ratio(new: int, old: int) -> np.float32:
+    """A change of size in single precision."""
+    return np.float32(new) / np.float32(old) if old else np.float32(1.0)
+
+
 def _half_up(v: float) -> int:
     """Rounded, halves away from zero."""
     return int(math.copysign(math.floor(abs(v) + 0.5), v))
@@ -253,6 +323,13 @@ def anchor_place(anchor: str, outer: tuple[int, int], inner: tuple[int, int]) ->
     return int((outer[0] - inner[0]) * share[col]), int((outer[1] - inner[1]) * share[row])
 
 
+def origin_place(origin: str | tuple[float, float], size: tuple[int, int]) -> tuple[int, int]:
+    """The place of an origin in a size: by a name as of an anchor, halves truncated, or by shares of width and height."""
+    if not isinstance(origin, str):
+        return tuple(int(np.float32(v) * np.float32(k)) for v, k in zip(size, origin, strict=True))
+    return anchor_place(origin, size, (0, 0))
+
+
 def render(canvas: Canvas) -> DataFrame:
     """The canvas's pixels with its children and layers drawn, and its effects applied within its own bounds."""
     return _drawn(canvas, canvas.pixels, 0, 0)
@@ -260,6 +337,8 @@ def render(canvas: Canvas) -> DataFrame:
 
 def _drawn(canvas: Canvas, onto: DataFrame, dx: int, dy: int) -> DataFrame:
     for child in canvas.children:
+        if 0 in child.size:
+            continue
         x, y = dx + child.x, dy + child.y
         if child.pass_through and child.rotation is None:
             onto = _drawn(child, onto, x, y)
@@ -275,6 +354,7 @@ def _drawn(canvas: Canvas, onto: DataFrame, dx: int, dy: int) -> DataFrame:
     for layer in canvas.layers:
         if not layer.visible:
             continue
+        layer = layer.sampled()
         x, y = anchor_place(layer.anchor, canvas.size, layer.size) if layer.anchor else (layer.x, layer.y)
         pixels = layer.pixels
         if layer.effects:

@@ -183,11 +183,12 @@ def per_image(pixels: DataFrame, change: Callable[[np.ndarray], np.ndarray]) ->
 TILE = 512
 
 
-def per_tile(pixels: DataFrame, change: Callable[..., np.ndarray], halo: int, sized: bool = False) -> DataFrame:
+def per_tile(pixels: DataFrame, change: Callable[..., np.ndarray], halo: int, sized: bool = False, placed: bool = False) -> DataFrame:
     """A function of image arrays whose pixels see `halo` neighbours at most, run on tiles of TILE x TILE and their halos.
 
     A pixel goes to its own tile and, within `halo` of a border, to the neighbours: no task holds an image whole. At the image's
-    own edge there is no halo, so the function sees the edge there and nowhere else. `sized`: it also gets (width, height).
+    own edge there is no halo, so the function sees the edge there and nowhere else. `sized`: it also gets (width, height);
+    `placed`: and after that the place (x, y) of the array in the image.
     """
     kind, side = pixels.schema["image_id"].dataType.simpleString(), TILE
     rows = pixels.select(*KEY, *CHANNELS)
@@ -205,6 +206,7 @@ def per_tile(pixels: DataFrame, change: Callable[..., np.ndarray], halo: int, si
         keep = (x // side == tile_x) & (y // side == tile_y)
         x, y = x[keep], y[keep]
         extra = ((table.column("width")[0].as_py(), table.column("height")[0].as_py()),) if sized else ()
+        extra = (*extra, (x0, y0)) if placed else extra
         out = np.clip(np.nan_to_num(change(image, *extra)), 0, 255).astype(np.int32)[y - y0, x - x0] if len(x) else np.zeros((0, 4), np.int32)
         return pa.table([table.column("image_id").filter(pa.array(keep)), pa.array(x), pa.array(y), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(4))], names=["image_id", "x", "y", *CHANNELS])
 

@@ -1,24 +1,28 @@
 """Resampling and geometric transforms: a target grid that gathers from the source.
 
-Nearest resizing is an equi-join of the target grid with the source. Smooth samplers run on tiles of the target, to which the
-source pixels go that a sample in the tile can reach. Free angles, pinch and ripple run per image.
+Nearest resizing is an equi-join of the target grid with the source. Everything else runs on tiles of the target, to which the
+source pixels go that a sample in the tile can reach: by the forward map of a pixel for resizing, affine maps (turns among them)
+and radial ones, by a bound of the displacement for waves. No task holds an image whole.
 Samples outside the image are transparent; colours are weighted by alpha, and results are rounded.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumengrid.functions.numeric import f32
 from lumengrid.operators import raster
-from lumengrid.operators.raster import per_image
 from lumengrid.plans.views import CHANNELS, KEY, sizes
 
 ALGORITHMS = ("nearest", "bilinear", "bicubic", "lanczos", "edge-nedi", "edge-edi", "auto")
+# The waves' length by size.
 RIPPLE_LENGTH = {"small": 50.0, "medium": 30.0, "large": 15.0}
 
 
@@ -35,8 +39,8 @@ def choose(algorithm: str | None, width: int, height: int, new_width: int, new_h
 
 def resize_nearest(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Each target pixel takes the source pixel at trunc(x / width * (source width - 1)). One shuffle on the pixel's place."""
-    grid = sizes(pixels).select("image_id", F.col("width").alias("w"), F.col("height").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("p"))
-    at = grid.select("image_id", (F.col("p") % width).alias("tx"), F.expr(f"CAST(p div {width} AS INT)").alias("ty"), "w", "h")
+    rows = sizes(pixels).select("image_id", F.col("width").alias("w"), F.col("height").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("ty"))
+    at = rows.withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     source = at.withColumns({"x": F.floor(F.col("tx") / float(width) * (F.col("w") - 1)).cast("int"), "y": F.floor(F.col("ty") / float(height) * (F.col("h") - 1)).cast("int")})
     return source.join(pixels, ["image_id", "x", "y"]).select("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"), *CHANNELS)
 
@@ -139,6 +143,10 @@ def _edges_by_sobel(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return np.floor(angle / np.pi * 4 + 0.5).astype(int) % 4, np.hypot(gx, gy), margin
 
 
+# Strengths from which an edge counts.
+STRONG = {"edge-nedi": 5.0, "edge-edi": 10.0}
+
+
 def _edge_sample(image: np.ndarray, x: np.ndarray, y: np.ndarray, algorithm: str) -> np.ndarray:
     """Two samples along the local edge where it is strong, a smooth sampler elsewhere."""
     h, w = image.shape[:2]
@@ -150,24 +158,85 @@ def _edge_sample(image: np.ndarray, x: np.ndarray, y: np.ndarray, algorithm: str
         ux, uy, strength = at(ux, margin), at(uy, margin), at(strength, margin)
         share = ((fx * ux + fy * uy + 1) / 2)[..., None]
         along = _linear(image, x0 - ux, y0 - uy) * (1 - share) + _linear(image, x0 + ux, y0 + uy) * share
-        return np.where((strength > 5.0)[..., None], _bytes(along), sample(image, x, y, "bicubic"))
+        return np.where((strength > STRONG["edge-nedi"])[..., None], _bytes(along), sample(image, x, y, "bicubic"))
     direction, strength, margin = _edges_by_sobel(image)
     direction, strength = at(direction, margin), at(strength, margin)
     one = _premultiplied(image, x0 + (direction == 3), y0)
     other = _premultiplied(image, x0 + ((direction == 0) | (direction == 1)), y0 + (direction != 0))
     share = np.where(direction == 0, fx, np.where(direction == 2, fy, (fx + fy) / 2))[..., None]
-    return np.where((strength > 10.0)[..., None], _bytes(one * (1 - share) + other * share), _bytes(_linear(image, x, y)))
-
-
-def _target(width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
-    y, x = np.mgrid[0:height, 0:width].astype(np.float64)
-    return x, y
+    return np.where((strength > STRONG["edge-edi"])[..., None], _bytes(one * (1 - share) + other * share), _bytes(_linear(image, x, y)))
 
 
 #: How many pixels around a place its sample can see.
 REACH = {"bilinear": 1, "bicubic": 2, "lanczos": 3, "edge-nedi": 5, "edge-edi": 4, "nearest": 1}
 
 
+@dataclass(frozen=True)
+class Window:
+    """The part of an image that a target tile needs, and where it lies."""
+
+    image: np.ndarray
+    x: int
+    y: int
+
+    def sampled(self, x: np.ndarray, y: np.ndarray, algorithm: str) -> np.ndarray:
+        return sample(self.image, x - self.x, y - self.y, algorithm)
+
+    def at(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The pixels at whole places; places beyond the window give its nearest pixel."""
+        h, w = self.image.shape[:2]
+        return self.image[np.clip(y - self.y, 0, h - 1).astype(int), np.clip(x - self.x, 0, w - 1).astype(int)]
+
+
+def _reach(algorithm: str | None) -> int:
+    return max(REACH.values()) if algorithm in (None, "auto") else REACH[algorithm]
+
+
+def gathered(pixels: DataFrame, images: DataFrame, spot: tuple[Column, Column, Column, Column], make: Callable[[Window, np.ndarray, np.ndarray, dict], np.ndarray]) -> DataFrame:
+    """New images, tile by tile of the target.
+
+    `images` has a row for each image: image_id, out_w, out_h (the target's size) and whatever `spot` and `make` need. `spot`
+    says by a pixel's columns and its image's in which rectangle (low x, high x, low y, high y) of the target samples may see
+    it; the pixel goes to the tiles there. `make` (window, x, y, image's columns) gives the tile's values at x, y. Tiles that
+    no pixel goes to are made too.
+    """
+    side, kind = raster.TILE, pixels.schema["image_id"].dataType.simpleString()
+    own = [c for c in images.columns if c != "image_id"]
+
+    def among(low: Column, high: Column, target: str) -> Column:
+        """The numbers of the tiles of a side between two places, if any."""
+        last = F.floor((F.col(target) - 1) / side)
+        first, stop = F.greatest(F.floor(low / side), F.lit(0)), F.least(F.floor(high / side), last)
+        return F.explode(F.when(first <= stop, F.sequence(first, stop)))
+
+    here = pixels.select(*KEY, *CHANNELS).join(images, "image_id")
+    here = here.withColumns({"low_x": spot[0], "high_x": spot[1], "low_y": spot[2], "high_y": spot[3]})
+    here = here.withColumn("tile_x", among(F.col("low_x"), F.col("high_x"), "out_w")).withColumn("tile_y", among(F.col("low_y"), F.col("high_y"), "out_h"))
+    every = images.withColumn("tile_x", among(F.lit(0), F.col("out_w") - 1, "out_w")).withColumn("tile_y", among(F.lit(0), F.col("out_h") - 1, "out_h"))
+    nothing = {c: F.lit(None).cast("int") for c in ("x", "y", *CHANNELS)}
+    columns = [*KEY, *CHANNELS, *own, "tile_x", "tile_y"]
+    rows = here.select(columns).unionByName(every.withColumns(nothing).select(columns))
+
+    def run(table: pa.Table) -> pa.Table:
+        about = {c: table.column(c)[0].as_py() for c in (*own, "tile_x", "tile_y")}
+        ids = table.column("image_id")[:1].combine_chunks()
+        table = table.filter(table.column("x").is_valid())
+        window = Window(np.zeros((1, 1, 4), np.float32), 0, 0)
+        if table.num_rows:
+            x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+            x0, y0 = int(x.min()), int(y.min())
+            image = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1, 4), np.float32)
+            image[y - y0, x - x0] = np.stack([table.column(c).to_numpy() for c in CHANNELS], axis=1)
+            window = Window(image, x0, y0)
+        left, top = about["tile_x"] * side, about["tile_y"] * side
+        at_y, at_x = np.mgrid[top : min(top + side, about["out_h"]), left : min(left + side, about["out_w"])]
+        flat = np.clip(np.nan_to_num(make(window, at_x, at_y, about)), 0, 255).astype(np.int32).reshape(-1, 4)
+        ids = ids.take(pa.array(np.zeros(len(flat), np.int64)))
+        return pa.table([ids, pa.array(at_x.ravel().astype(np.int32)), pa.array(at_y.ravel().astype(np.int32)), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4))], names=["image_id", "x", "y", *CHANNELS])
+
+    return rows.groupBy("image_id", "tile_x", "tile_y").applyInArrow(run, raster.PIXELS.format(kind=kind))
+
+
 def resize(pixels: DataFrame, width: int, height: int, algorithm: str | None = None) -> DataFrame:
     """Images of any size brought to one size; pixel centres are aligned. The same size is left as it is.
 
@@ -175,75 +244,183 @@ def resize(pixels: DataFrame, width: int, height: int, algorithm: str | None = N
     """
     if algorithm == "nearest":
         return resize_nearest(pixels, width, height)
-    side, reach = raster.TILE, max(REACH.values()) if algorithm in (None, "auto") else REACH[algorithm]
-    kind = pixels.schema["image_id"].dataType.simpleString()
-
-    def tiles_of(at: str, own: str, target: int):
-        """The target tiles of which some sample is within reach of a source coordinate."""
-        place = lambda d: F.floor(((F.col(at) + d + 0.5) * float(target) / F.col(own) - 0.5) / float(side))
-        return F.sequence(F.least(F.greatest(place(-reach), F.lit(0)), F.lit((target - 1) // side)), F.least(F.greatest(place(reach), F.lit(0)), F.lit((target - 1) // side)))
+    images = sizes(pixels).withColumns({"out_w": F.lit(width), "out_h": F.lit(height)})
 
-    rows = pixels.select(*KEY, *CHANNELS).join(sizes(pixels), "image_id")
-    rows = rows.withColumn("tile_x", F.explode(tiles_of("x", "width", width))).withColumn("tile_y", F.explode(tiles_of("y", "height", height)))
+    def spot(reach: int) -> tuple[Column, Column, Column, Column]:
+        place = lambda at, own, target, d: (F.col(at) + d + 0.5) * float(target) / F.col(own) - 0.5
+        return place("x", "width", width, -reach), place("x", "width", width, reach), place("y", "height", height, -reach), place("y", "height", height, reach)
 
-    def run(table: pa.Table) -> pa.Table:
-        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
-        w, h, tx, ty = (table.column(c)[0].as_py() for c in ("width", "height", "tile_x", "tile_y"))
-        x0, y0 = int(x.min()), int(y.min())
-        image = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1, 4), np.float32)
-        image[y - y0, x - x0] = np.stack([table.column(c).to_numpy() for c in CHANNELS], axis=1)
-        at_y, at_x = np.mgrid[ty * side : min((ty + 1) * side, height), tx * side : min((tx + 1) * side, width)]
+    def make(seen: Window, x: np.ndarray, y: np.ndarray, own: dict) -> np.ndarray:
+        w, h = own["width"], own["height"]
         if (w, h) == (width, height):
-            out = image[at_y - y0, at_x - x0]
-        else:
-            out = sample(image, (at_x + 0.5) * w / width - 0.5 - x0, (at_y + 0.5) * h / height - 0.5 - y0, choose(algorithm, w, h, width, height))
-        flat = np.clip(np.nan_to_num(out), 0, 255).astype(np.int32).reshape(-1, 4)
-        ids = table.column("image_id").take(pa.array(np.zeros(len(flat), np.int64)))
-        return pa.table([ids, pa.array(at_x.ravel().astype(np.int32)), pa.array(at_y.ravel().astype(np.int32)), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4))], names=["image_id", "x", "y", *CHANNELS])
+            return seen.at(x, y)
+        return seen.sampled((x + 0.5) * w / width - 0.5, (y + 0.5) * h / height - 0.5, choose(algorithm, w, h, width, height))
 
-    return rows.groupBy("image_id", "tile_x", "tile_y").applyInArrow(run, raster.PIXELS.format(kind=kind))
+    return gathered(pixels, images, spot(_reach(algorithm)), make)
+
+
+def width_size(size: tuple[int, int], width: int) -> tuple[int, int]:
+    """A size of the given width, the height in proportion in single precision, 1 at least."""
+    return width, max(1, int(np.float32(size[1]) / np.float32(size[0]) * np.float32(width)))
+
+
+def height_size(size: tuple[int, int], height: int) -> tuple[int, int]:
+    return max(1, int(np.float32(size[0]) / np.float32(size[1]) * np.float32(height))), height
 
 
 def resize_width(pixels: DataFrame, width: int, source: tuple[int, int], algorithm: str | None = None) -> DataFrame:
-    """A width; the height follows in proportion, one at least."""
-    return resize(pixels, width, max(1, int(source[1] * width / source[0])), algorithm)
+    return resize(pixels, *width_size(source, width), algorithm)
 
 
 def resize_height(pixels: DataFrame, height: int, source: tuple[int, int], algorithm: str | None = None) -> DataFrame:
-    return resize(pixels, max(1, int(source[0] * height / source[1])), height, algorithm)
+    return resize(pixels, *height_size(source, height), algorithm)
+
+
+def relative_size(size: tuple[int, int], dx: int = 0, dy: int = 0) -> tuple[int, int]:
+    """Wider by dx, or else higher by dy, in proportion."""
+    return width_size(size, max(1, size[0] + dx)) if dx or not dy else height_size(size, max(1, size[1] + dy))
 
 
 def resize_relative(pixels: DataFrame, dx: int, dy: int, source: tuple[int, int], algorithm: str | None = None) -> DataFrame:
-    return resize(pixels, max(1, source[0] + dx), max(1, source[1] + dy), algorithm)
+    return resize(pixels, *relative_size(source, dx, dy), algorithm)
+
+
+def scaled_size(size: tuple[int, int], factor: float) -> tuple[int, int]:
+    """A size times a factor in single precision, truncated, 1 at least."""
+    return tuple(int(max(np.float32(v) * np.float32(factor), np.float32(1.0))) for v in size)
 
 
 def resize_factor(pixels: DataFrame, factor: float, source: tuple[int, int], algorithm: str | None = None) -> DataFrame:
     """1.0 is the same size; a factor of 0 or less changes nothing."""
-    return pixels if factor <= 0 else resize(pixels, max(1, int(source[0] * factor)), max(1, int(source[1] * factor)), algorithm)
+    return pixels if factor <= 0 else resize(pixels, *scaled_size(source, factor), algorithm)
 
 
-def rotated_size(width: int, height: int, degrees: float) -> tuple[int, int]:
-    """The size that holds a turned image; whole quarter turns are exact."""
-    quarter, rest = divmod(degrees % 180.0, 90.0)
-    if quarter:
-        width, height = height, width
-    cos, sin = math.cos(math.radians(rest)), math.sin(math.radians(rest))
-    return max(1, int(width * cos + height * sin + 1e-9)), max(1, int(width * sin + height * cos + 1e-9))
+#: One degree, in single precision.
+DEGREE = np.float32(np.pi) / np.float32(180.0)
 
 
-def rotate(pixels: DataFrame, degrees: float, algorithm: str | None = "bilinear") -> DataFrame:
-    """Clockwise about the centre; the canvas grows to hold the turned image."""
-    turn = math.radians(degrees)
-    cos, sin = math.cos(turn), math.sin(turn)
+def _turn(degrees: float) -> tuple[np.float32, np.float32]:
+    """Cosine and sine in single precision."""
+    turn = float(np.float32(degrees) * DEGREE)
+    return np.float32(math.cos(turn)), np.float32(math.sin(turn))
 
-    def change(image: np.ndarray) -> np.ndarray:
-        h, w = image.shape[:2]
-        width, height = rotated_size(w, h, degrees)
-        x, y = _target(width, height)
-        x, y = x + 0.5 - width / 2, y + 0.5 - height / 2
-        return sample(image, x * cos + y * sin + w / 2 - 0.5, -x * sin + y * cos + h / 2 - 0.5, choose(algorithm, w, h, width, height))
 
-    return per_image(pixels, change)
+def rotated_size(width: int, height: int, degrees: float) -> tuple[int, int]:
+    """The size that holds a turned image, truncated in single precision; whole quarter turns are exact."""
+    rest = np.float32(math.fmod(np.float32(degrees), 180.0))
+    rest = rest + np.float32(180.0) if rest < 0 else rest
+    if rest >= 90:
+        width, height, rest = height, width, rest - np.float32(90.0)
+    if rest == 0:
+        return max(1, width), max(1, height)
+    cos, sin = _turn(rest)
+    w, h = np.float32(width), np.float32(height)
+    return max(1, int(abs(w * cos + h * sin))), max(1, int(abs(w * sin + h * cos)))
+
+
+def _rotated_columns(degrees: Column) -> dict[str, Column]:
+    """`rotated_size` of the columns width and height."""
+    rest = F.pmod(f32(degrees), f32(180.0))
+    swapped = rest >= 90
+    rest = F.when(swapped, rest - f32(90.0)).otherwise(rest)
+    turn = f32(rest * f32(float(DEGREE)))
+    cos, sin = f32(F.cos(turn)), f32(F.sin(turn))
+    w, h = (f32(F.when(swapped, F.col(b)).otherwise(F.col(a))) for a, b in (("width", "height"), ("height", "width")))
+    side = lambda one, other: F.greatest(F.when(rest == 0, one).otherwise(F.abs(one * cos + other * sin)).cast("int"), F.lit(1))
+    return {"out_w": side(w, h), "out_h": F.greatest(F.when(rest == 0, h).otherwise(F.abs(w * sin + h * cos)).cast("int"), F.lit(1))}
+
+
+def rotate(pixels: DataFrame, degrees: float | DataFrame, algorithm: str | None = "bilinear") -> DataFrame:
+    """Clockwise; the image grows to hold the turned one. `degrees`: one angle, or rows (image_id, degrees), others staying out.
+
+    Places, not centres of pixels, turn about half the size: whole quarter turns by an angle leave the first row or column clear.
+    """
+    images = sizes(pixels)
+    images = images.join(degrees.select("image_id", F.col("degrees").cast("double")), "image_id") if isinstance(degrees, DataFrame) else images.withColumn("degrees", F.lit(float(degrees)))
+    images = images.withColumns(_rotated_columns(F.col("degrees")))
+    turn = F.radians("degrees")
+    cos, sin, dx, dy = F.cos(turn), F.sin(turn), F.col("x") - F.col("width") / 2, F.col("y") - F.col("height") / 2
+    wide = (F.abs(cos) + F.abs(sin)) * (_reach(algorithm) + 1)
+    x, y = dx * cos - dy * sin + F.col("out_w") / 2, dx * sin + dy * cos + F.col("out_h") / 2
+
+    def make(seen: Window, x: np.ndarray, y: np.ndarray, own: dict) -> np.ndarray:
+        cos, sin = _turn(own["degrees"])
+        half = lambda c: np.float32(own[c]) / np.float32(2.0)
+        dx, dy = x.astype(np.float32) - half("out_w"), y.astype(np.float32) - half("out_h")
+        sx, sy = dx * cos + dy * sin + half("width"), -dx * sin + dy * cos + half("height")
+        by = choose(algorithm, own["width"], own["height"], own["out_w"], own["out_h"])
+        aside = 0.5 if by == "nearest" else 0.0  # the nearest pixel is the one that holds the place
+        return seen.sampled(sx.astype(np.float64) - aside, sy.astype(np.float64) - aside, by)
+
+    return gathered(pixels, images, (x - wide, x + wide, y - wide, y + wide), make)
+
+
+@dataclass(frozen=True)
+class Affine:
+    """x' = a x + c y + e, y' = b x + d y + f. `then` chains maps, so that pixels are sampled once for any number of them."""
+
+    a: float = 1.0
+    b: float = 0.0
+    c: float = 0.0
+    d: float = 1.0
+    e: float = 0.0
+    f: float = 0.0
+
+    def then(self, other: Affine) -> Affine:
+        x, y = other.linear(self.a, self.b), other.linear(self.c, self.d)
+        return Affine(*x, *y, *other.of(self.e, self.f))
+
+    def linear(self, x: float, y: float) -> tuple[float, float]:
+        return self.a * x + self.c * y, self.b * x + self.d * y
+
+    def of(self, x, y):
+        return self.a * x + self.c * y + self.e, self.b * x + self.d * y + self.f
+
+    def inverse(self) -> Affine:
+        det = self.a * self.d - self.b * self.c
+        if not det:
+            raise ValueError("a map onto a line has no inverse")
+        a, b, c, d = self.d / det, -self.b / det, -self.c / det, self.a / det
+        return Affine(a, b, c, d, -(a * self.e + c * self.f), -(b * self.e + d * self.f))
+
+    def moved(self, dx: float, dy: float) -> Affine:
+        return self.then(Affine(e=dx, f=dy))
+
+    def _about(self, other: Affine, origin: tuple[float, float]) -> Affine:
+        return self.moved(-origin[0], -origin[1]).then(other).moved(*origin)
+
+    def turned(self, degrees: float, origin: tuple[float, float] = (0.0, 0.0)) -> Affine:
+        """Clockwise on the screen; quarter turns are exact."""
+        quarter = {0.0: (1.0, 0.0), 90.0: (0.0, 1.0), 180.0: (-1.0, 0.0), 270.0: (0.0, -1.0)}
+        cos, sin = quarter.get(degrees % 360.0, (math.cos(math.radians(degrees)), math.sin(math.radians(degrees))))
+        return self._about(Affine(cos, sin, -sin, cos), origin)
+
+    def scaled(self, sx: float, sy: float, origin: tuple[float, float] = (0.0, 0.0)) -> Affine:
+        return self._about(Affine(a=sx, d=sy), origin)
+
+    def sheared(self, x: float, y: float, origin: tuple[float, float] = (0.0, 0.0)) -> Affine:
+        return self._about(Affine(b=y, c=x), origin)
+
+    def box(self, width: float, height: float) -> tuple[int, int, int, int]:
+        """(left, top, width, height) of the whole pixels that hold a mapped rectangle."""
+        xs, ys = zip(*(self.of(x, y) for x in (0, width) for y in (0, height)), strict=True)
+        left, top = math.floor(min(xs) + 1e-9), math.floor(min(ys) + 1e-9)
+        return left, top, max(1, math.ceil(max(xs) - 1e-9) - left), max(1, math.ceil(max(ys) - 1e-9) - top)
+
+
+def affine(pixels: DataFrame, matrix: Affine, box: tuple[int, int, int, int], algorithm: str = "bicubic") -> DataFrame:
+    """Images mapped by a matrix and cut to box (left, top, width, height), whose corner becomes the origin. Centres of pixels map."""
+    back = matrix.inverse()
+    images = pixels.select("image_id").distinct().withColumns({"out_w": F.lit(box[2]), "out_h": F.lit(box[3])})
+    wide = _reach(algorithm) + 1
+    x, y = matrix.of(F.col("x") + 0.5, F.col("y") + 0.5)
+    x, y, ex, ey = x - 0.5 - box[0], y - 0.5 - box[1], (abs(matrix.a) + abs(matrix.c)) * wide, (abs(matrix.b) + abs(matrix.d)) * wide
+
+    def make(seen: Window, x: np.ndarray, y: np.ndarray, own: dict) -> np.ndarray:
+        sx, sy = back.of(x + box[0] + 0.5, y + box[1] + 0.5)
+        return seen.sampled(sx - 0.5, sy - 0.5, algorithm)
+
+    return gathered(pixels, images, (x - ex, x + ex, y - ey, y + ey), make)
 
 
 def rotate_quarter(pixels: DataFrame, turns: int) -> DataFrame:
@@ -254,22 +431,45 @@ def rotate_quarter(pixels: DataFrame, turns: int) -> DataFrame:
     return rows.select("image_id", to[0].alias("x"), to[1].alias("y"), *CHANNELS)
 
 
+def _radial_spot(low: Callable[[Column], Column], high: Callable[[Column], Column], margin: float, always: Column | None = None) -> tuple[Column, Column, Column, Column]:
+    """Where the samples lie that see a pixel, for maps along rays from the image's middle.
+
+    `low` and `high`: the least and greatest target radius for a source radius, in pixels; both grow with it. A sample may lie `margin` beside the pixel:
+    the spot is the ray's part between the radii, as wide as the margin is seen from there. `always`: when the pixel's own place counts too.
+    """
+    dx, dy = F.col("x") - F.col("width") / 2, F.col("y") - F.col("height") / 2
+    d = F.sqrt(dx * dx + dy * dy)
+    near, far = low(F.greatest(d - margin, F.lit(0.0))), high(d + margin)
+    close = d <= 2 * margin
+    beside = F.when(close, far).otherwise(far * (1.2 * margin) / d) + 1
+    out = []
+    for c, v, size in (("x", dx, "width"), ("y", dy, "height")):
+        ends = [F.when(close, 0.0).otherwise(v / d * r) for r in (near, far)]
+        first, last = F.least(*ends) - beside + F.col(size) / 2, F.greatest(*ends) + beside + F.col(size) / 2
+        if always is not None:
+            first, last = F.when(always, F.least(first, F.col(c))).otherwise(first), F.when(always, F.greatest(last, F.col(c))).otherwise(last)
+        out += [first, last]
+    return tuple(out)
+
+
 def pinch(pixels: DataFrame, amount: float) -> DataFrame:
     """A radial pull toward (positive) or away from the centre, inside the smaller half side."""
     amount = min(max(amount, -1.0), 1.0)
-
-    def change(image: np.ndarray) -> np.ndarray:
-        h, w = image.shape[:2]
-        x, y = _target(w, h)
+    power = 1 - amount / 2 if amount >= 0 else 1 + abs(amount) / 2
+    images = sizes(pixels).withColumns({"out_w": F.col("width"), "out_h": F.col("height")})
+    half = F.least("width", "height") / 2
+    radius = lambda r: F.pow(r / half, F.lit(1 / power)) * half
+    d = F.sqrt((F.col("x") - F.col("width") / 2) ** 2 + (F.col("y") - F.col("height") / 2) ** 2)
+
+    def make(seen: Window, x: np.ndarray, y: np.ndarray, own: dict) -> np.ndarray:
+        w, h = own["width"], own["height"]
         dx, dy = x - w / 2, y - h / 2
-        reach = min(w, h) / 2
-        r = np.hypot(dx, dy) / reach
-        power = 1 - amount / 2 if amount >= 0 else 1 + abs(amount) / 2
+        r = np.hypot(dx, dy) / (min(w, h) / 2)
         scale = np.where(r > 0, np.power(np.maximum(r, 1e-9), power) / np.maximum(r, 1e-9), 1.0)
-        pulled = sample(image, np.clip(w / 2 + dx * scale, 0, w - 1), np.clip(h / 2 + dy * scale, 0, h - 1), "bilinear")
-        return np.where((r < 1)[..., None], pulled, image)
+        pulled = seen.sampled(np.clip(w / 2 + dx * scale, 0, w - 1), np.clip(h / 2 + dy * scale, 0, h - 1), "bilinear")
+        return np.where((r < 1)[..., None], pulled, seen.at(x, y))
 
-    return per_image(pixels, change)
+    return gathered(pixels, images, _radial_spot(radius, radius, 4.0, d + 8 >= half), make)
 
 
 # Multipliers of the hashed displacements.
@@ -282,13 +482,18 @@ def _scatter(x: np.ndarray, y: np.ndarray, keys: tuple[int, int]) -> np.ndarray:
     return (mixed * np.uint32(SCATTER) % np.uint32(2000)).astype(np.float64) / 1000 - 1
 
 
+# By how much the waves' length, height and drift change, and how slowly.
+WAVE_DRIFT = {"length": (0.15, 0.05), "height": (0.08, 0.13), "across": (0.35, 0.03, 0.07)}
+
+
 def _waves(x: np.ndarray, y: np.ndarray, degrees: float, length: float, reach: float, sign: float) -> tuple[np.ndarray, np.ndarray]:
     """Displacements of waves along an angle: a sine whose length and height drift slowly, and a weak one across it."""
     cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
     along, across = x * sin + y * cos, x * cos - y * sin
-    wave = np.sin(along * 2 * np.pi / length / (1 + 0.15 * np.sin(0.05 * along)))
-    move = wave * reach * (1 + 0.08 * np.sin(0.13 * along)) * sign
-    drift = 0.35 * reach * np.sin(0.03 * across + 0.07 * along) * sign
+    (by_length, slow), (by_height, slower), (share, down, on) = WAVE_DRIFT.values()
+    wave = np.sin(along * 2 * np.pi / length / (1 + by_length * np.sin(slow * along)))
+    move = wave * reach * (1 + by_height * np.sin(slower * along)) * sign
+    drift = share * reach * np.sin(down * across + on * along) * sign
     return move * sin + drift * cos, move * cos - drift * sin
 
 
@@ -298,20 +503,45 @@ def ripple(pixels: DataFrame, amount: float, size: str = "medium", shape: str |
     if not amount:
         return pixels
 
-    def change(image: np.ndarray) -> np.ndarray:
-        h, w = image.shape[:2]
-        x, y = _target(w, h)
+    if shape == "square":
+        return _square_ripple(pixels, reach * amount, length)
+    most = {"random": 1.0, "circular": 1.0}.get(shape, 1.5) * reach * max(abs(amount) if isinstance(shape, str) else 1.0, 0.0)
+
+    def change(image: np.ndarray, size: tuple[int, int], corner: tuple[int, int]) -> np.ndarray:
+        w, h = size
+        y, x = (np.mgrid[0 : image.shape[0], 0 : image.shape[1]] + np.array(corner[::-1])[:, None, None]).astype(np.float64)
         if shape == "random":
             sx, sy = x + _scatter(x, y, SCATTER_X) * reach * amount, y + _scatter(x, y, SCATTER_Y) * reach * amount
         elif isinstance(shape, str):
             dx, dy = x - w / 2, y - h / 2
-            d = np.maximum(np.abs(dx), np.abs(dy)) if shape == "square" else np.hypot(dx, dy)
+            d = np.hypot(dx, dy)
             d = d + np.sin(d / length) * reach * amount
             turn = np.arctan2(dy, dx)
             sx, sy = w / 2 + d * np.cos(turn), h / 2 + d * np.sin(turn)
         else:
             mx, my = _waves(x, y, shape, length, reach, math.copysign(1, amount))
             sx, sy = x + mx, y + my
-        return sample(image, np.clip(sx, 0, w - 1), np.clip(sy, 0, h - 1), "bicubic")
+        return sample(image, np.clip(sx, 0, w - 1) - corner[0], np.clip(sy, 0, h - 1) - corner[1], "bicubic")
+
+    return raster.per_tile(pixels, change, math.ceil(most) + REACH["bicubic"] + 1, sized=True, placed=True)
 
-    return per_image(pixels, change)
+
+def _square_ripple(pixels: DataFrame, height: float, length: float) -> DataFrame:
+    """Waves by the greater of the distances across and down; places come nearer to the middle beside the axes, so tiles gather along rays."""
+    images = sizes(pixels).withColumns({"out_w": F.col("width"), "out_h": F.col("height")})
+    dx, dy = F.col("x") - F.col("width") / 2, F.col("y") - F.col("height") / 2
+    d = F.sqrt(dx * dx + dy * dy)
+    longest = F.when(d > 0, F.greatest(F.abs(dx), F.abs(dy)) / d).otherwise(1.0)  # the longer side's share of the radius
+
+    def make(seen: Window, x: np.ndarray, y: np.ndarray, own: dict) -> np.ndarray:
+        w, h = own["width"], own["height"]
+        dx, dy = x - w / 2, y - h / 2
+        d = np.maximum(np.abs(dx), np.abs(dy))
+        d = d + np.sin(d / length) * height
+        turn = np.arctan2(dy, dx)
+        return seen.sampled(np.clip(w / 2 + d * np.cos(turn), 0, w - 1), np.clip(h / 2 + d * np.sin(turn), 0, h - 1), "bicubic")
+
+    margin = 2 * abs(height) + 2 * REACH["bicubic"] + 2
+    turns = F.lit(margin * 1.3) / F.greatest(d, F.lit(margin))  # by how much the share may differ beside the ray
+    least, most = F.least(longest + turns, F.lit(1.0)), F.greatest(longest - turns, F.lit(0.7))
+    return gathered(pixels, images, _radial_spot(lambda r: F.greatest(r - abs(height), F.lit(0.0)) / least, lambda r: (r + abs(height)) / most, margin), make)

@@ -312,7 +312,7 @@ def test_canvas_transforms_of_sizes(spark):
     across = own.resized_width(16)
     assert across.size == (16, 6) and [(v.size, v.x) for v in across.layers] == [((16, 6), 0), ((8, 3), 6)]
     grown = own.heightened(4)
-    assert grown.size == (8, 10) and [(v.size, v.y) for v in grown.layers] == [((8, 10), 0), ((4, 7), 1)]
+    assert grown.size == (13, 10) and [(v.size, v.y) for v in grown.layers] == [((13, 10), 0), ((9, 7), 1)]  # in proportion
     assert own.turned(90.0).layers[1].size == (3, 4)
     assert array(canvas.render(own.flipped("y"))).shape == (6, 8, 4)
 
