@@ -13,25 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumengrid.functions.color import Gradient
-from lumengrid.operators import blend, point, raster, spatial, stats, tiles, warp
+from lumengrid import plugins
+from lumengrid.operators import blend, collage, point, raster, spatial, stats, tiles, warp
+from lumengrid.operators.canvas import Canvas, Layer, render
 from lumengrid.operators.geometry import Path
 from lumengrid.plans.views import new_image, sizes, to_images, to_pixels
+from lumengrid.plugins import Parameter, PluginResult, plugin
 from lumengrid.sources import images
 
-#: Named transforms of frames that others may add: name -> (frame, **parameters) -> frame.
-PLUGINS: dict[str, Callable] = {}
-
-
-def plugin(name: str) -> Callable:
-    """Registers a transform under a name."""
-
-    def keep(change: Callable) -> Callable:
-        PLUGINS[name] = change
-        return change
-
-    return keep
-
-
 class ImageFrame:
     """Images as pixel rows (image_id, x, y, r, g, b, a)."""
 
@@ -94,9 +83,18 @@ class ImageFrame:
     def gradient_map(self, gradient: Gradient) -> ImageFrame:
         return ImageFrame(point.gradient_map(self.pixels, gradient))
 
+    def run(self, name: str, **parameters) -> PluginResult:
+        """A plugin by its name, with its parameters checked before any plan is made."""
+        return plugins.run(name, self, parameters)
+
     def apply(self, name: str, **parameters) -> ImageFrame:
-        """A plugin by its name."""
-        return PLUGINS[name](self, **parameters)
+        """A plugin's first image, or its first canvas drawn."""
+        made = self.run(name, **parameters)
+        if made.images:
+            return made.images[0]
+        if made.canvases:
+            return ImageFrame(render(made.canvases[0]))
+        return ImageFrame(made.layers[0].pixels)
 
 
 def _chained(change: Callable[..., DataFrame]) -> Callable:
@@ -116,3 +114,15 @@ for _module, _names in (
 ):
     for _name in _names.split():
         setattr(ImageFrame, _name, _chained(getattr(_module, _name)))
+
+
+@plugin(
+    "collage", "A collage of the frame's images.",
+    style=Parameter("string", "grid", choices=collage.STYLES), columns=Parameter("integer", 2, low=1), rows=Parameter("integer", 2, low=1),
+    width=Parameter("integer", 512, low=1), height=Parameter("integer", 512, low=1), seed=Parameter("integer", 0),
+    rotation_min=Parameter("float", 0.0), rotation_max=Parameter("float", 0.0), scale_min=Parameter("float", 1.0, low=0.0), scale_max=Parameter("float", 1.0, low=0.0),
+)
+def _collage(frame: ImageFrame, **p) -> PluginResult:
+    pixels = collage.collage(frame.pixels, p["style"], p["columns"], p["rows"], (p["width"], p["height"]), p["seed"], (p["rotation_min"], p["rotation_max"]), (p["scale_min"], p["scale_max"]))
+    own = Canvas.blank(pixels, p["width"], p["height"], "Collage").add_layer(Layer(pixels, size=(p["width"], p["height"]), name="collage"))
+    return PluginResult().add_canvas(own)

@@ -7,7 +7,6 @@ counts from 0 at the bottom without gaps in each canvas.
 from __future__ import annotations
 
 import math
-import random
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -371,9 +370,12 @@ def composite(canvas: DataFrame, layers: list[Layer], children: list[Canvas] | N
     return render(Canvas(canvas, (0, 0), tuple(layers), tuple(children or ())))
 
 
-def stroke_rect(pixels: DataFrame, size: int, color: tuple[int, int, int, int], width: int, height: int) -> DataFrame:
-    """The image's rectangle outlined inside with half the size."""
+def stroke_rect(pixels: DataFrame, size: int, color: tuple[int, int, int, int], width: int | None = None, height: int | None = None) -> DataFrame:
+    """The image's rectangle outlined inside with half the size; without width and height, each image's own."""
     half = size / 2.0
+    if width is None or height is None:
+        pixels = pixels.join(sizes(pixels), "image_id")
+        width, height = F.col("width"), F.col("height")
     edge = (F.col("x") < half) | (F.col("y") < half) | (F.col("x") >= width - half) | (F.col("y") >= height - half)
     return pixels.select(*KEY, *[F.when(edge, F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in zip(CHANNELS, color, strict=True)])
 
@@ -393,10 +395,10 @@ def shadow_padding(angle: float, distance: float, size: float) -> tuple[tuple[in
 
 
 def drop_shadow(
-    pixels: DataFrame, size_of: tuple[int, int], color: tuple[int, int, int] = (0, 0, 0), opacity: float = 0.35,
+    pixels: DataFrame, size_of: tuple[int, int] | None = None, color: tuple[int, int, int] = (0, 0, 0), opacity: float = 0.35,
     angle: float = 45.0, distance: float = 5.0, spread_by: float = 0.0, size: float = 5.0, mode: str = "normal",
 ) -> DataFrame:
-    """Images of the size `size_of` on a coloured, moved and blurred copy of their opaque part; the image grows to hold it.
+    """Images of the size `size_of`, or each its own, on a coloured, moved and blurred copy of their opaque part; the image grows to hold it.
 
     The copy is drawn by `mode`, blurred by `size`, and its alpha scaled once more. A size of 0 leaves the image unchanged.
     """
@@ -405,30 +407,33 @@ def drop_shadow(
     (dx, dy), (left, top, right, bottom) = shadow_padding(angle, distance, size)
     solid = F.when(F.col("a") > 128, 255).otherwise(F.col("a"))
     shape = spread(pixels.select(*KEY, *[F.lit(v).alias(c) for c, v in zip(RGB, color, strict=True)], solid.alias("a")), spread_by)
-    ground = Canvas.blank(pixels, size_of[0] + left + right, size_of[1] + top + bottom).pixels
+    if size_of is None:
+        ground = areas.blank(sizes(pixels).withColumns({"width": F.col("width") + left + right, "height": F.col("height") + top + bottom}))
+    else:
+        ground = Canvas.blank(pixels, size_of[0] + left + right, size_of[1] + top + bottom).pixels
     drawn = blend.blend_opacity(ground, shape, mode, 1.0, left + dx, top + dy)
     soft = gaussian_blur(drawn, int(size)).withColumn("a", u8(f32(F.col("a")) * f32(opacity)))
     return blend.blend_opacity(soft, pixels, "normal", 1.0, left, top)
 
 
-def _shadowed(pixels: DataFrame, own: tuple[int, int], **options) -> tuple[DataFrame, tuple[int, int], tuple[int, int]]:
+def _shadowed(pixels: DataFrame, own: tuple[int, int] | None, **options) -> tuple[DataFrame, tuple[int, int], tuple[int, int] | None]:
     blur = options.get("size", 5.0)
     if blur <= 0:
         return pixels, (0, 0), own
     _, (left, top, right, bottom) = shadow_padding(options.get("angle", 45.0), options.get("distance", 5.0), blur)
-    return drop_shadow(pixels, own, **options), (left, top), (own[0] + left + right, own[1] + top + bottom)
+    return drop_shadow(pixels, own, **options), (left, top), own and (own[0] + left + right, own[1] + top + bottom)
 
 
-def _outlined(pixels: DataFrame, own: tuple[int, int], width: int = 1, color: tuple[int, int, int, int] = (0, 0, 0, 255)) -> tuple[DataFrame, tuple[int, int], tuple[int, int]]:
-    return stroke_rect(pixels, width, color, *own), (0, 0), own
+def _outlined(pixels: DataFrame, own: tuple[int, int] | None, width: int = 1, color: tuple[int, int, int, int] = (0, 0, 0, 255)) -> tuple[DataFrame, tuple[int, int], tuple[int, int] | None]:
+    return stroke_rect(pixels, width, color, *(own or (None, None))), (0, 0), own
 
 
 #: Effects by name: (pixels, own size, **options) -> (pixels, how far the content moved, new size).
 EFFECTS = {"stroke": _outlined, "drop_shadow": _shadowed}
 
 
-def with_effects(pixels: DataFrame, effects: tuple, size: tuple[int, int]) -> tuple[DataFrame, tuple[int, int]]:
-    """The effects (name, options), strokes before shadows, and how far to the right and down the content has moved."""
+def with_effects(pixels: DataFrame, effects: tuple, size: tuple[int, int] | None) -> tuple[DataFrame, tuple[int, int]]:
+    """The effects (name, options), strokes before shadows, and how far to the right and down the content has moved. Without a size, images have each its own."""
     left = top = 0
     for name, options in sorted(effects, key=lambda e: list(EFFECTS).index(e[0])):
         pixels, (dx, dy), size = EFFECTS[name](pixels, size, **options)
@@ -530,63 +535,6 @@ def random_layout(images: DataFrame, width: int, height: int, seed: int, rotatio
     return rows.select("image_id", place("x", width, "width").alias("x"), place("y", height, "height").alias("y"), "rotation", "scale")
 
 
-def collage_grid(images: DataFrame, columns: int, rows: int, width: int, height: int, seed: int, rotation: tuple[float, float] = (0.0, 0.0), layered: bool = False, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """(cell, image_id, x, y, width, height, rotation, z): which image each cell of a grid shows, where and how large.
-
-    `images` has whole-number image_ids. Every cell draws an image by its rank, from the seed. A plain grid has cells of the size by the root of their number; a layered one by columns and rows, drawn in the
-    order of a hash, with a scale.
-    """
-    count = columns * rows
-    side = int(math.sqrt(count)) if not layered else columns
-    cell = (width // columns, height // rows) if layered else (int(width / math.sqrt(count)), int(height / math.sqrt(count)))
-    ids = images.select("image_id").distinct()
-    total = ids.count()
-    draws = [(k, random.Random(f"{seed} {k}").randrange(total)) for k in range(count if total else 0)]
-    cells = images.sparkSession.createDataFrame(draws, "cell int, n long")
-    drawn = ranked(ids).join(F.broadcast(cells), "n").select("cell", "image_id")  # one row for each cell of the grid
-    sized = drawn.withColumns({"rotation": _drawn_number(seed, "rotation", *map(float, rotation), "cell"), "scale": _drawn_number(seed, "scale", *map(float, scale), "cell")})
-    return sized.select(
-        "cell",
-        "image_id",
-        (F.col("cell") % side * cell[0]).cast("int").alias("x"),
-        (F.call_function("div", F.col("cell"), F.lit(side)) * cell[1]).cast("int").alias("y"),
-        F.floor(F.col("scale") * cell[0]).cast("int").alias("width"),
-        F.floor(F.col("scale") * cell[1]).cast("int").alias("height"),
-        "rotation",
-        (F.xxhash64("cell", F.lit(seed), F.lit("z")) if layered else F.col("cell").cast("long")).alias("z"),
-    )
-
-
-def collage(pixels: DataFrame, places: DataFrame, width: int, height: int, anchor: str = "top-center") -> DataFrame:
-    """One canvas (image_id 0) with each placed image scaled to cover its cell, cut to it, and drawn in the order of z.
-
-    Every place is an image of its own, resampled by tiles of targets in one pass; what covers a pixel is folded source over
-    in the order of z, so the work at a pixel grows with the cells over it only.
-    """
-    own = sizes(pixels).withColumnsRenamed({"width": "sw", "height": "sh"})
-    put = places.join(own, "image_id").withColumn("k", F.greatest(F.col("width") / F.col("sw"), F.col("height") / F.col("sh")))
-    target = put.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
-    tx, ty = F.col("p") % F.col("width"), F.call_function("div", F.col("p"), F.col("width"))
-    across = {"left": 0.0, "center": 0.5, "right": 1.0}[anchor.split("-")[-1]]
-    down = {"top": 0.0, "center": 0.5, "bottom": 1.0}[anchor.split("-")[0]]
-    at = lambda t, side, cell, share: F.least(F.floor((t + (F.col(side) * F.col("k") - F.col(cell)) * share + 0.5) / F.col("k")), F.col(side) - 1).cast("int")
-    turn = F.radians(F.col("rotation"))
-    mx, my = (tx - F.col("width") / 2 + 0.5), (ty - F.col("height") / 2 + 0.5)
-    px = F.floor(F.col("x") + F.col("width") / 2 + mx * F.cos(turn) - my * F.sin(turn)).cast("int")
-    py = F.floor(F.col("y") + F.col("height") / 2 + mx * F.sin(turn) + my * F.cos(turn)).cast("int")
-    spots = target.select("image_id", at(tx, "sw", "width", across).alias("sx"), at(ty, "sh", "height", down).alias("sy"), px.alias("px"), py.alias("py"), "z", "cell").where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
-    source = pixels.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), *CHANNELS)
-    seen = spots.join(source, ["image_id", "sx", "sy"])
-    stack = seen.groupBy("px", "py").agg(F.array_sort(F.collect_list(F.struct("z", "cell", *CHANNELS))).alias("stack"))
-    start = F.struct(*[F.lit(0).alias(c) for c in CHANNELS])
-
-    def over(under, top):
-        mixed = blend.source_over({c: under[c] for c in CHANNELS}, {c: top[c] for c in CHANNELS}, top["a"])
-        return F.struct(*[mixed[c].alias(c) for c in CHANNELS])
-
-    return stack.select(F.lit(0).alias("image_id"), F.col("px").alias("x"), F.col("py").alias("y"), F.aggregate("stack", start, over).alias("v")).select(*KEY, "v.*")
-
-
 def project_metadata(layers: DataFrame) -> DataFrame:
     """(canvas_id, n_layers, n_active, names): a summary of each canvas's layers, the lowest first."""
     order = F.array_sort(F.collect_list(F.struct("z", "name")))

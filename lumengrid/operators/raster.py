@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -304,16 +304,39 @@ def lens_blur(
     return point.noise(done, noise, gaussian=gaussian_noise) if noise > 0 else done
 
 
+def histograms(values: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """For each row of a channel [height, width] of bytes: the 256 counts of each pixel's window, edges repeated.
+
+    Columns keep the counts of the rows in reach, which gain a row and lose one per step; a running sum over columns gives the
+    windows. The work of a pixel is that of 256 counts, whatever the radius.
+    """
+    wide = np.pad(values.astype(np.int64), radius, mode="edge")
+    columns = np.zeros((wide.shape[1], 256), np.int32)
+    at = np.arange(wide.shape[1])
+    for row in wide[: 2 * radius]:
+        columns[at, row] += 1
+    for y in range(values.shape[0]):
+        columns[at, wide[y + 2 * radius]] += 1
+        run = np.cumsum(columns, axis=0)
+        run = np.concatenate([np.zeros((1, 256), run.dtype), run])
+        yield run[2 * radius + 1 :] - run[: -(2 * radius + 1)]
+        columns[at, wide[y]] -= 1
+
+
+def middles(counts: np.ndarray, radius: int) -> np.ndarray:
+    """The middle value of each window's counts."""
+    upto = np.cumsum(counts, axis=1)
+    return (upto <= (2 * radius + 1) ** 2 // 2).sum(axis=1)
+
+
 def median_wide(pixels: DataFrame, radius: int) -> DataFrame:
-    """The middle value of (2 * radius + 1)^2 neighbours for radii that are too wide for rows; alpha stays."""
+    """The middle value of (2 * radius + 1)^2 neighbours for radii that are too wide for rows, by sliding histograms; alpha stays."""
 
     def change(image: np.ndarray) -> np.ndarray:
-        wide = np.pad(image[..., :3], ((radius, radius), (radius, radius), (0, 0)), mode="edge")
-        near = np.lib.stride_tricks.sliding_window_view(wide, (2 * radius + 1, 2 * radius + 1), axis=(0, 1))
         out = image.copy()
-        for row in range(image.shape[0]):  # a row at a time bounds the memory
-            flat = near[row].reshape(image.shape[1], 3, -1)
-            out[row, :, :3] = np.partition(flat, flat.shape[-1] // 2, axis=-1)[..., flat.shape[-1] // 2]
+        for channel in range(3):
+            for y, counts in enumerate(histograms(image[..., channel], radius)):
+                out[y, :, channel] = middles(counts, radius)
         return out
 
     return per_tile(pixels, change, radius)

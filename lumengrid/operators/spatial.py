@@ -78,30 +78,41 @@ def box_blur(pixels: DataFrame, radius: int) -> DataFrame:
 NEAR = 2
 
 
-def _seen(image: np.ndarray, radius: int) -> np.ndarray:
-    """The colours around each pixel [height, width, 3, side, side], edges repeated."""
-    wide = np.pad(image[..., :3], ((radius, radius), (radius, radius), (0, 0)), mode="edge")
-    return np.lib.stride_tricks.sliding_window_view(wide, (2 * radius + 1, 2 * radius + 1), axis=(0, 1))
-
-
 def _surface(image: np.ndarray, radius: int, threshold: int) -> np.ndarray:
-    out, near = image.copy(), _seen(image, radius)
-    for row in range(image.shape[0]):  # a row at a time bounds the memory
-        close = np.abs(near[row] - image[row, :, :3, None, None]) <= threshold
-        out[row, :, :3] = np.floor((near[row] * close).sum(axis=(-1, -2)) / close.sum(axis=(-1, -2)))
+    """From each window's counts: how many values lie near the pixel's, and their sum."""
+    out, value = image.copy(), np.arange(256)
+    for channel in range(3):
+        for y, counts in enumerate(raster.histograms(image[..., channel], radius)):
+            own = image[y, :, channel].astype(np.int64)
+            at, low, high = np.arange(len(own)), np.maximum(own - threshold, 0), np.minimum(own + threshold, 255) + 1
+            number, total = (np.concatenate([np.zeros((len(own), 1), np.int64), np.cumsum(c, axis=1)], axis=1) for c in (counts, counts * value))
+            out[y, :, channel] = (total[at, high] - total[at, low]) // (number[at, high] - number[at, low])
     return out
 
 
+def _extremes(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and greatest value of each window, along rows and then columns, edges repeated."""
+    found = []
+    for pick in (np.minimum, np.maximum):
+        part = np.pad(values, radius, mode="edge")
+        for axis in (0, 1):
+            n = values.shape[axis]
+            taps = [np.take(part, np.arange(k, k + n), axis=axis) for k in range(2 * radius + 1)]
+            part = pick.reduce(taps)
+        found.append(part)
+    return tuple(found)
+
+
 def _despeckled(image: np.ndarray, radius: int, threshold: float) -> np.ndarray:
-    out, near = image.copy(), _seen(image, radius)
-    weights = np.array([299, 587, 114], np.float32)
-    for row in range(image.shape[0]):
-        flat = near[row].reshape(image.shape[1], 3, -1)
-        middle = np.partition(flat, flat.shape[-1] // 2, axis=-1)[..., flat.shape[-1] // 2]
-        luma = np.floor(np.einsum("xck,c->xk", flat, weights) / 1000)
-        own = np.floor(image[row, :, :3] @ weights / 1000)
-        odd = (own == luma.min(axis=1)) | (own == luma.max(axis=1)) | (np.abs(image[row, :, :3] - middle).max(axis=1) > threshold)
-        out[row, :, :3] = np.where(odd[:, None], middle, image[row, :, :3])
+    out = image.copy()
+    luma = image[..., :3].astype(np.int64) @ np.array([299, 587, 114]) // 1000
+    low, high = _extremes(luma, radius)
+    middle = np.empty_like(image[..., :3])
+    for channel in range(3):
+        for y, counts in enumerate(raster.histograms(image[..., channel], radius)):
+            middle[y, :, channel] = raster.middles(counts, radius)
+    odd = (luma == low) | (luma == high) | (np.abs(image[..., :3] - middle).max(axis=-1) > threshold)
+    out[..., :3] = np.where(odd[..., None], middle, image[..., :3])
     return out
 
 

@@ -238,25 +238,29 @@ def gathered(pixels: DataFrame, images: DataFrame, spot: tuple[Column, Column, C
 
 
 def resize(pixels: DataFrame, width: int, height: int, algorithm: str | None = None) -> DataFrame:
-    """Images of any size brought to one size; pixel centres are aligned. The same size is left as it is.
-
-    A source pixel goes to the tiles of the target that have a sample near it, by arithmetic: no task holds an image whole.
-    """
+    """Images of any size brought to one size; pixel centres are aligned. The same size is left as it is."""
     if algorithm == "nearest":
         return resize_nearest(pixels, width, height)
-    images = sizes(pixels).withColumns({"out_w": F.lit(width), "out_h": F.lit(height)})
+    return _resized(pixels, sizes(pixels).withColumns({"out_w": F.lit(width), "out_h": F.lit(height)}), algorithm)
+
 
-    def spot(reach: int) -> tuple[Column, Column, Column, Column]:
-        place = lambda at, own, target, d: (F.col(at) + d + 0.5) * float(target) / F.col(own) - 0.5
-        return place("x", "width", width, -reach), place("x", "width", width, reach), place("y", "height", height, -reach), place("y", "height", height, reach)
+def resize_each(pixels: DataFrame, targets: DataFrame, algorithm: str | None = None) -> DataFrame:
+    """Each image brought to its own size in `targets` (image_id, out_w, out_h); images without one stay out."""
+    return _resized(pixels, sizes(pixels).join(targets.select("image_id", "out_w", "out_h"), "image_id"), algorithm)
+
+
+def _resized(pixels: DataFrame, images: DataFrame, algorithm: str | None) -> DataFrame:
+    reach = _reach(algorithm)
+    place = lambda at, own, target, d: (F.col(at) + d + 0.5) * F.col(target).cast("double") / F.col(own) - 0.5
+    spot = [place(at, own, target, d) for at, own, target in (("x", "width", "out_w"), ("y", "height", "out_h")) for d in (-reach, reach)]
 
     def make(seen: Window, x: np.ndarray, y: np.ndarray, own: dict) -> np.ndarray:
-        w, h = own["width"], own["height"]
+        w, h, width, height = (own[c] for c in ("width", "height", "out_w", "out_h"))
         if (w, h) == (width, height):
             return seen.at(x, y)
         return seen.sampled((x + 0.5) * w / width - 0.5, (y + 0.5) * h / height - 0.5, choose(algorithm, w, h, width, height))
 
-    return gathered(pixels, images, spot(_reach(algorithm)), make)
+    return gathered(pixels, images, tuple(spot), make)
 
 
 def width_size(size: tuple[int, int], width: int) -> tuple[int, int]:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumengrid.functions import color
-from lumengrid.operators import blend, canvas, geometry, point, raster, shapes, spatial, stats, tiles, warp
+from lumengrid.operators import blend, canvas, collage, geometry, point, raster, shapes, spatial, stats, tiles, warp
 from lumengrid.operators.geometry import Path
 from lumengrid.plans.pixel_queries import MODE_SQL, base, faded
 from lumengrid.plans.sqltext import f, u8, u8r, views
-from lumengrid.plans.views import CHANNELS, RGB, checkerboard, new_image, pixels_base, pixels_large, pixels_top, read, sizes, to_images, to_pixels
+from lumengrid.plans.views import CHANNELS, RGB, pixels_base, pixels_large, pixels_top, read, sizes, to_images, to_pixels
 from lumengrid.sources import images
 from lumengrid.streaming import subjects
 
@@ -277,15 +277,6 @@ for _rule, _pick in (("contain", "least"), ("cover", "greatest")):
     add("layer_" + _rule, lambda spark, d, r=_rule: canvas.fit_layers(layers(spark, d), r, 40, 30), _all("z", **{c: f"CAST(floor({f(f(c) + ' * ' + _ratio(_pick))}) AS INT)" for c in ("width", "height")}))
 add("layer_adjustment", lambda spark, d: canvas.adjustment(layers(spark, d), "adj", "levels"), f"WITH {_LSQL}, n AS (SELECT canvas_id, CAST(max(z) + 1 AS INT) AS z FROM l GROUP BY canvas_id) SELECT * FROM l UNION ALL SELECT canvas_id, 'adj', 'levels', z, NULL, 0, 0, 1, 1, 1.0, 'normal', true, NULL FROM n")
 add("random_layout", base(lambda p: canvas.random_layout(sizes(p), 640, 480, 7)))
-add("collage_grid", lambda spark, d: canvas.collage(pixels_base(spark, d), canvas.collage_grid(pixels_base(spark, d), 4, 4, 48, 40, 5), 48, 40))
-add("collage_layered", lambda spark, d: canvas.collage(pixels_base(spark, d), canvas.collage_grid(pixels_base(spark, d), 4, 3, 48, 36, 5, (-20.0, 20.0), True, (1.0, 1.4)), 48, 36, "center"))
-add("collage_random", lambda spark, d: canvas.collage(pixels_base(spark, d), _scattered(spark, d), 200, 160))
-
-
-
-def _scattered(spark, d):
-    """A random collage's places: each image in its scaled size."""
-    own = sizes(pixels_base(spark, d))
-    put = canvas.random_layout(own, 200, 160, 3, (-30.0, 30.0), (1.0, 2.0)).join(own, "image_id")
-    side = lambda c: F.floor(F.col(c) * F.col("scale")).cast("int").alias(c)
-    return put.select(F.col("image_id").cast("int").alias("cell"), "image_id", "x", "y", side("width"), side("height"), "rotation", F.col("image_id").cast("long").alias("z"))
+add("collage_grid", lambda spark, d: collage.collage(pixels_base(spark, d), "grid", 4, 4, (48, 40), 5))
+add("collage_layered", lambda spark, d: collage.collage(pixels_base(spark, d), "layered", 4, 3, (48, 36), 5, (-20.0, 20.0), (1.0, 1.4), (20, 40, 60, 255), (("stroke", {"width": 2}),)))
+add("collage_random", lambda spark, d: collage.collage(pixels_base(spark, d), "random", 40, 1, (200, 160), 3, (-30.0, 30.0), (1.0, 2.0)))

@@ -317,16 +317,6 @@ def test_canvas_transforms_of_sizes(spark):
     assert array(canvas.render(own.flipped("y"))).shape == (6, 8, 4)
 
 
-def test_collage_fills_its_cells(spark):
-    px = new_image(spark, 6, 4, (10, 20, 30, 255), 1).unionByName(new_image(spark, 3, 9, (200, 0, 0, 255), 2))
-    places = canvas.collage_grid(px, 3, 2, 30, 20, seed=1, layered=True)
-    assert [(r.x, r.y, r.width, r.height) for r in places.orderBy("cell").collect()] == [(c % 3 * 10, c // 3 * 10, 10, 10) for c in range(6)]
-    got = array(canvas.collage(px, places, 30, 20))
-    color = {1: [10, 20, 30, 255], 2: [200, 0, 0, 255]}
-    for r in places.collect():
-        assert (got[r.y : r.y + 10, r.x : r.x + 10] == color[r.image_id]).all()
-
-
 def test_last_rows_of_a_stream(spark, tmp_path):
     from lumengrid.streaming import subjects
 

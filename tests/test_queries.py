@@ -2,10 +2,10 @@
 
 import pytest
 
-from lumengrid.plans import area_queries, pixel_queries, scene_queries
+from lumengrid.plans import area_queries, pixel_queries, scene_queries, tree_queries
 
-ALL = {**pixel_queries.QUERIES, **scene_queries.QUERIES, **area_queries.QUERIES}
-SQL = {**pixel_queries.SQL, **scene_queries.SQL, **area_queries.SQL}
+ALL = {**pixel_queries.QUERIES, **scene_queries.QUERIES, **area_queries.QUERIES, **tree_queries.QUERIES}
+SQL = {**pixel_queries.SQL, **scene_queries.SQL, **area_queries.SQL, **tree_queries.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
