@@ -39,7 +39,18 @@ def stored(df: DataFrame) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more; what was made from them must have been stored since."""
+    for t in tables:
+        path = getattr(t, "stored_at", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: A key with more than one in HEAVY of a table's rows is heavy; a table has fewer than HEAVY of them.

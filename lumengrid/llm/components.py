@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import spread_join, stored
+from lumengrid.llm.common import forget, spread_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(spread_join(both, low, "u", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         small = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m")), "u", 2 * seen[0]).select(F.col("v").alias("a"), F.col("u").alias("b"), "m")
         star = small.select(F.col("a").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("b").alias("u"), F.col("m").alias("v")))
-        now = stored(star.where("u <> v").distinct())
+        before, now = now, stored(star.where("u <> v").distinct())
+        forget(before, large)
         new = _sign(now)
         if new == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

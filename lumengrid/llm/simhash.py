@@ -12,9 +12,11 @@ coordinates with their values; rows of one cell are compared.
 
 - `near_duplicates` is exact for fingerprints: of `blocks` blocks of references, a pair within `radius` bits has
   blocks - radius whole ones; each choice of so many is one cell. Blocks grow in number with the table, so that cells stay small.
-- `similar_documents` looks for a Jaccard similarity of word shingles, of which 64 bits are only a sketch: at 0.8, pairs
-  are some 10 bits apart. Its cells are random choices of coordinates, so many that a pair `MEAN_BITS` apart
-  shares a cell with the chance `RECALL`, and candidates up to `WIDE` bits apart are verified on 32-bit hashes of their shingles.
+- `similar_documents` looks for a Jaccard similarity of word shingles, of which 64 bits are only a sketch. Its cells are bands of
+  `ROWS` minima of hashed shingles, as many as it takes for a pair at the similarity to share one with the chance `RECALL` (24
+  at 0.8, whatever the table holds), or with `exact` the rarest part of each set by the order of hashes, of which two similar
+  sets always share one (prefix filter). Candidates of a cell are discarded by the pivots, then by bits (`WIDE`), then by how
+  many minima agree (`AGREE`), and verified on 32-bit hashes of their shingles. Whether two texts are compared does not depend on others.
 
 Within a cell, rows are swept in sorted order. Cells above `GROUP` rows are dealt to pairs of parts, so that no task holds
 one whole; they are found by the cells of a share of the table, and if that misses one, its task just holds more.
@@ -34,10 +36,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import FEW_ROWS, slices, spread_join, stored, table, texts_of
+from lumengrid.llm.common import FEW_ROWS, forget, slices, spread_join, stored, table, texts_of
 from lumengrid.llm.components import components
 
 SEED = 42
@@ -49,13 +51,15 @@ FAR = np.random.default_rng(7).integers(0, 2**64, 8, dtype=np.uint64)
 #: The zero word and the words of one bit.
 UNIT = np.concatenate([[0], 1 << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
 RUN = 1 << 16
-#: Candidates of `similar_documents`: the widest pair, and the chance that a pair MEAN_BITS apart shares a cell.
-WIDE = 18
-MEAN_BITS = 10
-RECALL = 0.97
-#: Rows of a random cell, as a power of two, where fingerprints are unlike each other.
-CELL_BITS = 4
-#: Candidates that a text tests in the first round, and the factor from round to round.
+#: Minima in a band, and the chance that a pair at the similarity shares a band.
+ROWS = 4
+RECALL = 0.999995
+#: Candidates may differ in so many bits (a pair at 0.8 does in ten, by 2.9), and agree in such a share of minima (at 0.8 in 0.8, by 0.04).
+WIDE = 24
+AGREE = 0.6
+#: A text's first test is the head of the cells that it shares, if they share so many bands.
+SHARED = 3
+#: Candidates that a text tests in the first round among groups, and the factor from round to round.
 TESTS, MORE = 1, 16
 #: The floor of a text that has no candidate left.
 LAST = 2**63 - 1
@@ -148,15 +152,6 @@ def blocks_for(n: int, radius: int) -> int:
     return blocks
 
 
-def random_choices(n: int, recall: float | None = None, bits: int = MEAN_BITS, seed: int = 17) -> list[list[int]]:
-    """Random choices of CELL_BITS references fewer than n has bits; so many that a pair `bits` apart agrees on one with the chance `recall`."""
-    k = min(max(math.ceil(math.log2(max(n, 2))) - CELL_BITS, 6), 40)
-    recall = RECALL if recall is None else recall
-    whole = math.prod((64 - bits - i) / (64 - i) for i in range(k))
-    r = np.random.default_rng(seed)
-    return [sorted((r.permutation(64)[:k] + 1).tolist()) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - whole)))]
-
-
 def cells(pivots: DataFrame, choices: list[list[int]], columns: list[str]) -> DataFrame:
     """(cell, columns): each row of the stored table once for each choice of coordinates. Equal coordinates give equal cells."""
     r = np.random.default_rng(3)
@@ -178,15 +173,13 @@ def cells(pivots: DataFrame, choices: list[list[int]], columns: list[str]) -> Da
     return pivots.select("unit", *columns).mapInArrow(run, f"cell long{kinds}")
 
 
-def dealt(pivots: DataFrame, choices: list[list[int]], columns: list[str], group: int, n: int, asking: DataFrame | None = None) -> DataFrame:
+def dealt(pivots: DataFrame, choices: list[list[int]], columns: list[str], group: int, n: int) -> DataFrame:
     """(columns, cell[, part]): the cells, sorted within partitions. Large ones are dealt to cells of two parts each.
 
     `part` is 2 for rows that are compared with each other, and 0 or 1 for rows of two parts of which only pairs across are
-    compared; without a large cell there is none. `asking`: the rows of the table that look for others; cells without one are left out.
+    compared; without a large cell there is none.
     """
     own = cells(pivots, choices, columns)
-    if asking is not None:
-        own = own.join(cells(asking, choices, []).distinct(), "cell", "left_semi")
     rate = max(1, min(64, group // 128))
     large = None
     if n > group:
@@ -309,75 +302,104 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # --- components of similar texts -----------------------------------------------------------------------------------
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, fp, node, n): the fingerprint, a digest of the set of shingles, and the set's size."""
+def bands_for(similarity: float, recall: float | None = None) -> int:
+    """How many bands of ROWS minima a pair at the similarity needs to share one with the chance `recall`."""
+    recall = RECALL if recall is None else recall
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(similarity, 0.999) ** ROWS)))
+
+
+def minima(hashes: np.ndarray, count: int) -> np.ndarray:
+    """The least of the hashes under each of `count` mixings, as 32-bit numbers: two sets agree in one with the chance of their similarity."""
+    r = np.random.default_rng(29)
+    turn, times = r.integers(0, 2**64, count, dtype=np.uint64), r.integers(0, 2**64, count, dtype=np.uint64) | np.uint64(1)
+    least = np.full(count, 2**32 - 1, np.uint32)
+    for at in range(0, len(hashes), 2048):
+        mixed = (hashes[None, at : at + 2048] ^ turn[:, None]) * times[:, None]
+        least = np.minimum(least, (mixed >> np.uint64(32)).astype(np.uint32).min(axis=1))
+    return least
+
+
+def _band_keys(least: np.ndarray) -> np.ndarray:
+    """A 64-bit cell for each band of minima."""
+    m = least.reshape(-1, ROWS).astype(np.uint64)
+    key = np.arange(1, len(m) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(ROWS):
+        key = (key ^ (key >> np.uint64(29)) ^ m[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
+    return key ^ (key >> np.uint64(31))
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, exact: bool) -> DataFrame:
+    """(doc_id, text_hash, fp, node, n, cells, agree): the fingerprint, a digest of the set of shingles, its size, its cells, a byte of each minimum."""
+    count = bands_for(similarity) * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fp, node, n = [], [], []
+            fp, node, n, own_cells, agree = [], [], [], [], []
             for t in texts_of(part.column("text")):
                 runs = list(shingle_hashes(t.as_py().encode(), shingle))
                 own = np.unique(np.concatenate([np.zeros(0, "<u8"), *runs]))
                 fp.append(_folded(iter(runs)))
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 n.append(len(own))
+                least = minima(own, count)
+                first = own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if exact else _band_keys(least)
+                own_cells.append(first.view(np.int64) if len(own) else np.zeros(0, np.int64))
+                agree.append((least & np.uint32(255)).astype(np.uint8).tobytes())
             columns = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fp, node)]
-            yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), *columns, pa.array(n, pa.int32())], ["doc_id", "text_hash", "fp", "node", "n"])
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in own_cells])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *own_cells]))
+            yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), *columns, pa.array(n, pa.int32()), lists, pa.array(agree, pa.binary())], ["doc_id", "text_hash", "fp", "node", "n", "cells", "agree"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, node long, n int")
-
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, node long, n int, cells array<long>, agree binary")
 
-def candidates(pivots: DataFrame, choices: list[list[int]], n: int, tests: int, first: bool, similarity: float, radius: int = WIDE, group: int = GROUP) -> DataFrame:
-    """(node, best, star) from rows with comp and floor: what each text has to test next among texts of other components.
 
-    `best` are the `tests` closest candidates (rank, partner) above its floor in the order of bits, then digest;
-    `star` is the smallest candidate, in the first round, so that a crowd soon meets at one text.
+def candidates(members: DataFrame, tests: int, similarity: float, exact: bool = False, group: int = GROUP) -> DataFrame:
+    """(node, best) from rows (cell, size, node, fp, far, n, comp, floor, agree): the `tests` closest candidates (rank, partner) of other
+    components above the text's floor, in the order of bits, then digest. Cells above `group` rows are dealt to pairs of parts.
     """
-    asking = None if first else pivots.where(F.col("floor") < F.lit(LAST))
-    rows = dealt(pivots, choices, ["fp", "far", "node", "n", *([] if first else ["comp", "floor"])], group, n, asking)
+    radius, least = (64, 0.0) if exact else (WIDE, AGREE)
+    own = members.withColumn("parts", F.ceil(F.col("size") / group).cast("int")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    own = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    part = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") > F.col("q"), 1).otherwise(0).alias("part")
+    rows = own.select("fp", "far", "node", "n", "comp", "floor", "agree", F.xxhash64("cell", F.least("p", "q"), F.greatest("p", "q")).alias("cell"), part).repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, g in by_cell(batches, 4 * group):
+        for t, g in by_cell(batches, group):
             fp, far = _coordinates(t)
-            node, size = t.column("node").to_numpy(), t.column("n").to_numpy()
-            comp, floor = (node, np.full(len(node), -1)) if first else (t.column(c).to_numpy() for c in ("comp", "floor"))
-            tail = (node.view(np.uint64) >> np.uint64(7)).view(np.int64)
+            node, size, comp, floor = (t.column(c).to_numpy() for c in ("node", "n", "comp", "floor"))
+            agree = np.frombuffer(b"".join(t.column("agree").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            tail = (node.view(np.uint64) >> np.uint64(8)).view(np.int64)
 
             def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                return (comp[a] != comp[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))  # noqa: B023
+                return (comp[a] != comp[b]) & ((floor[a] < LAST) | (floor[b] < LAST)) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))  # noqa: B023
 
             out: list[tuple[np.ndarray, ...]] = []
-            stars = np.full(len(node), -1)
             held = 0
             for a, b in pairs_by_step(g, _parts(t), wanted):
                 hit = near(fp, far, a, b, radius)
                 a, b = a[hit], b[hit]
+                alike = (agree[a] == agree[b]).mean(axis=1) >= least if len(a) else np.zeros(0, bool)
+                a, b = a[alike], b[alike]
                 if not len(a):
                     continue
-                bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) << 57
+                bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) << 56
                 for x, y in ((a, b), (b, a)):
-                    if first:
-                        better = (stars[x] < 0) | (node[y] < node[stars[x]])
-                        stars[x[better]] = y[better]  # an index occurs once in a step's x
                     rank = bits | tail[y]
                     above = rank > floor[x]
                     out.append((x[above], rank[above], y[above]))
                     held += int(above.sum())
-                if held > 1 << 20:
+                if held > 1 << 18:
                     out = [_closest(out, tests)]
                     held = len(out[0][0])
             x, rank, y = _closest(out, tests)
-            s = np.flatnonzero(stars >= 0) if first else np.zeros(0, int)
-            yield pa.record_batch(
-                [pa.array(node[np.concatenate([x, s])]), pa.array(np.concatenate([rank, np.zeros(len(s), np.int64)])), pa.array(node[np.concatenate([y, stars[s]])]), pa.array(np.arange(len(x) + len(s)) >= len(x))],
-                ["node", "rank", "partner", "star"],
-            )
+            yield pa.record_batch([pa.array(node[x]), pa.array(rank), pa.array(node[y])], ["node", "rank", "partner"])
 
-    found = rows.mapInArrow(run, "node long, rank long, partner long, star boolean")
-    best = F.slice(F.array_sort(F.collect_set(F.when(~F.col("star"), F.struct("rank", "partner")))), 1, tests)
-    return found.groupBy("node").agg(best.alias("best"), F.min(F.when(F.col("star"), F.col("partner"))).alias("star"))
+    found = rows.mapInArrow(run, "node long, rank long, partner long").distinct()
+    place = F.row_number().over(Window.partitionBy("node").orderBy("rank", "partner"))
+    few = found.withColumn("place", place).where(F.col("place") <= tests)  # of `tests` a cell at most, sorted without holding them
+    return few.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "partner"))).alias("best"))
 
 
 def _closest(parts: list[tuple[np.ndarray, ...]], tests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -430,50 +452,81 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, exact: bool = False) -> DataFrame:
     """(doc_id, text_hash, root, group_id): the group (its root's digest) and its smallest id, for rows that have an id.
 
     Groups are the components of links between texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
-    In rounds, each text tests its closest candidates outside its group, then more of them; verified links join groups, and what
-    is in one group is not tested any more. The rounds end when no text has a candidate outside its group that it has not tested.
-    `text_hash` is xxhash64 of the text.
+    First each text is compared with the head of the cells that it shares most, which makes most crowds one group at a cost in
+    proportion to their size. Then, in rounds, each text tests its closest candidates outside its group, then more of them, in
+    cells that hold several groups; verified links join groups. The rounds end when no text has a candidate outside its group
+    that it has not tested. `exact` finds every link, at the price of more cells. `text_hash` is xxhash64 of the text.
     """
-    rows = stored(signatures(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle))
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n")))
-    n = nodes.count()
-    choices = random_choices(n)
-    state = pivot_table(nodes.select("node", "fp", "n", F.col("node").alias("comp"), F.lit(-1).cast("long").alias("floor")))
-    sets, tests, first = None, TESTS, True
+    rows = stored(signatures(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, similarity, exact))
+    kept = [F.any_value(c).alias(c) for c in ("fp", "n", "cells", "agree")]  # alike for all rows of a node
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *kept))
+    repeated = stored(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
+    every = nodes.select("node", F.explode(F.array_distinct("cells")).alias("cell"))
+    crowded = every.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1")
+    links = stored(every.join(crowded, "cell"))
+    shared = links.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("bands")).where(F.col("bands") >= (1 if exact else SHARED))
+    pairs = stored(shared.groupBy("node").agg(F.max_by("head", F.struct("bands", "head")).alias("head")).select(F.col("node").alias("a"), F.col("head").alias("b")))
+    sets = _with_sets(None, df, nodes, repeated, pairs, id_col, text_col, shingle)
+    good = stored(verified(pairs, sets, similarity))
+    roots = components(good).withColumnRenamed("root", "comp")
+    lone = links.select("node").distinct()
+    about = nodes.join(lone, "node", "left_semi").join(roots, "node", "left")
+    state = pivot_table(about.select("node", "fp", "n", "agree", F.coalesce("comp", "node").alias("comp"), F.lit(-1).cast("long").alias("floor")))
+    forget(pairs, good)
+    tests = TESTS
     while True:
-        asked = stored(candidates(state, choices, n, tests, first, similarity))
+        members = links.select("cell", "size", "node").join(state.drop("unit"), "node")
+        mixed = members.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("floor").alias("open")).where((F.col("low") < F.col("high")) & (F.col("open") < F.lit(LAST)))
+        links_left = stored(members.select("cell", "size", "node").join(mixed.select("cell"), "cell", "left_semi"))  # a cell of one group is never asked again
+        asked = stored(candidates(links_left.join(state.drop("unit"), "node"), tests, similarity, exact))
         tried = asked.select("node", F.explode("best.partner").alias("partner"))
-        if first:
-            tried = tried.unionByName(asked.select("node", F.col("star").alias("partner")).where("star is not null"))
         pairs = stored(tried.select(F.greatest("node", "partner").alias("a"), F.least("node", "partner").alias("b")).distinct())
+        forget(links)
+        links = links_left
         if pairs.isEmpty():
             break
-        if first:  # texts without a candidate have no part in later rounds
-            active = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-            repeated = stored(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
-            sets = shingle_sets(df, stored(nodes.join(active, "node").select("rep.*", "node")), repeated, id_col, text_col, shingle)
+        sets = _with_sets(sets, df, nodes, repeated, pairs, id_col, text_col, shingle)
         good = stored(verified(pairs, sets, similarity))
         # links between groups join the groups: what is one group is one node here
         group = state.select("node", "comp")
         a_side = spread_join(good, group.withColumnsRenamed({"node": "b", "comp": "of_b"}), "b")
-        links = a_side.join(group.withColumnsRenamed({"node": "a", "comp": "of_a"}), "a").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-        roots = components(links).withColumnsRenamed({"node": "comp", "root": "new_comp"})
+        edges = a_side.join(group.withColumnsRenamed({"node": "a", "comp": "of_a"}), "a").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        joined = components(edges).withColumnsRenamed({"node": "comp", "root": "new_comp"})
         floors = asked.select("node", F.when(F.size("best") < tests, F.lit(LAST)).otherwise(F.element_at("best.rank", -1)).alias("new_floor"))
-        moved = state.join(active, "node", "left_semi").join(floors, "node", "left").join(roots, "comp", "left")
+        moved = state.join(floors, "node", "left").join(joined, "comp", "left")
         done = F.coalesce("new_floor", F.lit(LAST))  # no candidate outside its group
-        state = stored(moved.select("node", "fp", "n", F.coalesce("new_comp", "comp").alias("comp"), done.alias("floor"), "unit", "far"))
-        tests, first = tests * MORE, False
+        new = stored(moved.select("node", "fp", "n", "agree", F.coalesce("new_comp", "comp").alias("comp"), done.alias("floor"), "unit", "far"))
+        forget(state, asked, pairs, good)
+        state, tests = new, tests * MORE
         if state.where(F.col("floor") < F.lit(LAST)).isEmpty():
             break
-    named = nodes.select("node", "rep").join(state.select("node", F.col("comp").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stored(named)
+    named = stored(nodes.select("node", "rep").join(state.select("node", F.col("comp").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = named.groupBy("root").agg(F.min("rep.doc_id").alias("group_id"))
     of_node = stored(spread_join(named, names, "root").select("node", "root", "group_id"))
-    return spread_join(rows, of_node, "node").select("doc_id", "text_hash", "root", "group_id")
+    out = stored(spread_join(rows.select("doc_id", "text_hash", "node"), of_node, "node").select("doc_id", "text_hash", "root", "group_id"))
+    forget(rows, nodes, repeated, links, state, named, of_node, sets)
+    return out
+
+
+def _with_sets(sets: DataFrame | None, df: DataFrame, nodes: DataFrame, repeated: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, hashes) of the texts in the pairs, besides those that `sets` has already. Stored."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if sets is not None:
+        wanted = wanted.join(sets.select("node"), "node", "left_anti")
+    wanted = stored(nodes.join(wanted, "node", "left_semi").select("rep.*", "node"))
+    if sets is not None and wanted.isEmpty():
+        return sets
+    new = shingle_sets(df, wanted, repeated, id_col, text_col, shingle)
+    forget(wanted)
+    if sets is None:
+        return new
+    both = stored(sets.unionByName(new))
+    forget(sets, new)
+    return both
 
 
 def query(spark, sf_dir: str) -> DataFrame:

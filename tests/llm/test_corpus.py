@@ -167,8 +167,9 @@ def edited(words, r, n):
     return out
 
 
-def test_similar_documents_equal_brute_force(spark):
-    """Crowds and chains of edited copies: 97 in 100 of the rows that brute force joins are joined, and no other."""
+@pytest.mark.parametrize("exact", [False, True])
+def test_similar_documents_equal_brute_force(spark, exact):
+    """Crowds and chains of edited copies: the groups are those of brute force, by bands and by the exact prefix filter."""
     r = random.Random(12)
     texts = []
     for _ in range(40):
@@ -178,9 +179,10 @@ def test_similar_documents_equal_brute_force(spark):
             texts.append(" ".join(edited(base, r, r.choice([0, 1, 1, 2, len(base) // 50]))))
     rows = list(enumerate([*texts, "", None, "  ", "one two", "One  Two", *texts[:5]]))
     df = spark.createDataFrame([(i, t, i, t) for i, t in rows] + [(None, texts[0], 1, "")], "doc_id long, text string, node int, fp string")
-    got = {x.doc_id: x.group_id for x in simhash.similar_documents(df).collect()}
+    got = {x.doc_id: x.group_id for x in simhash.similar_documents(df, exact=exact).collect()}
     want = plain_groups(rows)
     assert set(got) == {i for i, _ in rows}
+    assert {i: g for (i, _), g in want.items()} == got
     joined = sum(v != i for (i, _), v in want.items())
     assert joined > 150
     least = {}
@@ -198,11 +200,22 @@ def test_similar_documents_beyond_the_first_tests(spark, monkeypatch):
     rows = [(i, " ".join(edited(base, r, r.choice([1, 2, 3])))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(simhash, "MORE", 2)
-    monkeypatch.setattr(simhash, "CELL_BITS", 6)
-    monkeypatch.setattr(simhash, "RECALL", 0.9999)
+    monkeypatch.setattr(simhash, "SHARED", 99)  # no head is tested first
     got = {x.doc_id: x.group_id for x in simhash.similar_documents(df).collect()}
     want = {i: g for (i, _), g in plain_groups(rows).items()}
-    assert sum(got[i] == want[i] for i in got) >= 0.95 * len(rows)
+    assert got == want
+    one = {x.doc_id: x.group_id for x in simhash.similar_documents(df.where("doc_id in (3, 8)")).collect()}  # not moved by other rows
+    two = plain_groups([r for r in rows if r[0] in (3, 8)])
+    assert one == {i: g for (i, _), g in two.items()}
+
+
+def test_bands_and_minima():
+    """A pair at 0.8 shares a band but for a few in a million, and minima agree as often as sets do."""
+    assert simhash.bands_for(0.8) == 24 and 1 - (1 - 0.8**simhash.ROWS) ** 24 > simhash.RECALL
+    r = np.random.default_rng(4)
+    hashes = r.integers(0, 2**64, 12_000, dtype=np.uint64)
+    agree = [(simhash.minima(hashes[k * 100 : k * 100 + 90], 960) == simhash.minima(hashes[k * 100 + 10 : k * 100 + 100], 960)).mean() for k in range(100)]
+    assert abs(np.mean(agree) - 0.8) < 0.01
 
 
 def test_one_of_a_group_stays(spark):
