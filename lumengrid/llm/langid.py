@@ -2,8 +2,10 @@
 
 A bit-sliced Bloom filter: each of `SLICES` tables maps a hashed trigram to a bitmask of languages; the masks of all
 slices, and-ed, name all languages whose trigrams include it. A text's popcounts per language, corrected for each filter's
-rate of false positives, decide. A slot is set by every trigram of a bounded sample of labelled rows, however rare. The
-filters take SLICES x SLOTS bits for each language, of any number.
+rate of false positives, decide. A slot is set by every trigram of a bounded sample of labelled rows, however rare. A slice has
+SLOTS slots, or the power of two from twice the different trigrams of the language that has most of them in the sample: under
+0.4 of its slots are set, and a rate of false positives stays under 0.1. The filters take SLICES x slots x 8 bytes for every 64
+languages, of any number: 1.5 MB by default, 48 MB where a language has a million trigrams.
 
 Trigrams are those of the lower-cased text whose middle is a letter, anything else than a letter being a boundary. Null
 texts and texts without a letter are `und` with score 0. Rows without a label or text are not learned from; ties go to
@@ -71,23 +73,23 @@ def pieces(texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:
     return out, np.array([*first, len(out)], np.int64)
 
 
-def slot(grams: np.ndarray, k: int) -> np.ndarray:
+def slot(grams: np.ndarray, k: int, slots: int = SLOTS) -> np.ndarray:
     h = (grams ^ (grams >> np.uint64(29))) * MULTIPLIERS[k]
-    return (h ^ (h >> np.uint64(32))) * MULTIPLIERS[(k + 1) % SLICES] >> np.uint64(48)
+    return (h ^ (h >> np.uint64(32))) * MULTIPLIERS[(k + 1) % SLICES] >> np.uint64(64 - (slots.bit_length() - 1))
 
 
 class Filters:
     """The fitted slices: languages, a bitmask word array for each slice, and false-positive rates."""
 
-    def __init__(self, languages: list[str], words: list[tuple[int, int, int, int]]):
+    def __init__(self, languages: list[str], words: list[tuple[int, int, int, int]], slots: int = SLOTS):
         """`words`: (language, slice, word, bits), 64 slots to a word."""
-        self.languages = languages
-        self.masks = np.zeros((SLICES, -(-len(languages) // 64) or 1, SLOTS), np.uint64)
+        self.languages, self.slots = languages, slots
+        self.masks = np.zeros((SLICES, -(-len(languages) // 64) or 1, slots), np.uint64)
         fill = np.zeros((len(languages), SLICES))
         for language, k, word, bits in words:
             at = word * 64 + np.flatnonzero(np.unpackbits(np.array([bits], "<i8").view(np.uint8), bitorder="little"))
             self.masks[k, language // 64, at] |= np.uint64(1 << language % 64)
-            fill[language, k] += len(at) / SLOTS
+            fill[language, k] += len(at) / slots
         self.false_rate = np.minimum(fill.prod(axis=1), 0.99)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -106,7 +108,7 @@ class Filters:
     def _counts(self, texts: list[str | None]) -> np.ndarray:
         """For each text, the trigrams that each language has, and all trigrams."""
         grams, offsets, _ = trigrams(texts)
-        at = [slot(grams, k) for k in range(SLICES)]
+        at = [slot(grams, k, self.slots) for k in range(SLICES)]
         out = np.zeros((len(texts), len(self.languages) + 1), np.int64)
         out[:, -1] = np.diff(offsets)
         for w in range(self.masks.shape[1]):
@@ -128,25 +130,37 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     drawn = df.sparkSession.createDataFrame([(name, i, min(1.0, rows_per_language / counts[name])) for i, name in enumerate(languages)], "lang string, language int, share double")
     sample = rows.join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("language", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """The trigrams of each text of the sample, with its language."""
         for part in slices(batches, limit=SLICE):
             own = part.column("language").to_numpy()
             parts, first = pieces(part.column("text").to_pylist())
             own = np.repeat(own, np.diff(first))
             for language in np.unique(own).tolist():
                 for text in [parts[i] for i in np.flatnonzero(own == language)]:
-                    mine = trigrams([text])[0]
-                    for k in range(SLICES):
-                        held.setdefault((language, k), np.zeros(SLOTS, bool))[slot(mine, k).astype(np.int64)] = True
+                    yield language, trigrams([text])[0]
+
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for language, mine in learned(batches):
+            mine = np.unique(mine)
+            yield pa.record_batch([pa.array(np.full(len(mine), language, np.int32)), pa.array(mine.view(np.int64))], ["language", "gram"])
+
+    most = sample.mapInArrow(different, "language int, gram long").groupBy("language").agg(F.approx_count_distinct("gram", 0.02).alias("n")).agg(F.max("n")).first()[0] or 1
+    slots = max(SLOTS, 1 << (2 * int(most * 1.05) - 1).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for language, mine in learned(batches):
+            for k in range(SLICES):
+                held.setdefault((language, k), np.zeros(slots, bool))[slot(mine, k, slots).astype(np.int64)] = True
         for (language, k), got in held.items():
             bits = np.packbits(got, bitorder="little").view("<i8")
             at = np.flatnonzero(bits)
             yield pa.record_batch([pa.array(np.full(len(at), language, np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(bits[at])], ["language", "slice", "word", "bits"])
 
     found = sample.mapInArrow(run, "language int, slice int, word int, bits long").groupBy("language", "slice", "word").agg(F.bit_or("bits").alias("bits"))
-    got = found.toArrow()  # SLICES x SLOTS / 64 rows per language at most
-    return Filters(languages, list(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True)))
+    got = found.toArrow()  # SLICES x slots / 64 rows per language at most
+    return Filters(languages, list(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True)), slots)
 
 
 def annotate(df: DataFrame, filters: Filters, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

@@ -9,7 +9,8 @@ exactly, and those at or above the cutoff are merged. With fewer than k candidat
 
 Queries go through in blocks of bounded bytes; each block meets all rows once per phase, and its results are written, so that
 plans do not grow with the number of blocks. A task sends k rows per query at most. Components become floor(scale * x) with x
-as double; vectors that are null or hold null or non-finite components, and rows with a null id, take no part. Vectors are
+as double; vectors that are null or hold null or non-finite components, and rows with a null id, take no part, nor do vectors whose
+squared length is 2**62 or more after that: no product of the others leaves a long, so all sums are exact in whole numbers. Vectors are
 searched among those of their own length; an empty one scores 0 with others of its kind. Ties go to the smaller id. Repeated
 rows count once each; a query never meets rows of its own id, and rows that share a query's id ask once, with the shortest,
 then smallest vector. An empty table or no query gives an empty result. Only the id and the vector are read.
@@ -18,7 +19,6 @@ then smallest vector. An empty table or no query gives an empty result. Only the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,12 @@ QUERY_BYTES = 16 << 20
 #: Rows that a task scores at once.
 ROWS = 1024
 QUERIES = 512
-#: Entries whose exact scores are resolved at once.
+#: Entries whose exact scores are resolved at once, and found ones that a task holds before it drops all but the best.
 ENTRIES = 1 << 16
+#: Squared lengths of vectors from which on products may not fit a long.
+TOO_LONG = 2.0**62
+#: The cutoff of a query that has fewer than k candidates.
+NO_CUT = -(2**63)
 
 
 def quantized(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -43,12 +47,8 @@ def quantized(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFr
     fine = lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < F.lit(float("inf")))
     kept = df.where(F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, fine))
     parts = F.transform(x, lambda e: F.lit(float(scale)) * e.cast("double"))
-    return kept.select(F.col(id_col).cast("long").alias("vec_id"), parts.alias("v"))
-
-
-def _whole(values: np.ndarray) -> np.ndarray:
-    """Products of these stay exact in doubles below 2**53; larger numbers become Python's integers."""
-    return values if values.size == 0 or np.abs(values).max() < 2**20 else np.array([int(v) for v in values.ravel()], object).reshape(values.shape)
+    rows = kept.select(F.col(id_col).cast("long").alias("vec_id"), parts.alias("v"))
+    return rows.where(F.aggregate("v", F.lit(0.0), lambda a, e: a + F.greatest(F.abs(e), F.abs(e - 1.0)) * F.greatest(F.abs(e), F.abs(e - 1.0))) < TOO_LONG)
 
 
 def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -61,10 +61,9 @@ def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _exact(q: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The whole scores of the entries (query i, row j), and no others."""
-    if len(i) == 0:
-        return np.zeros(0, object)
-    out = [(_whole(q[i[at : at + ENTRIES]]) * _whole(rows[j[at : at + ENTRIES]])).sum(axis=1) for at in range(0, len(i), ENTRIES)]
-    return np.array([int(v) for part in out for v in part], object)
+    q, rows = q.astype(np.int64), rows.astype(np.int64)
+    out = [np.einsum("ed,ed->e", q[i[at : at + ENTRIES]], rows[j[at : at + ENTRIES]]) for at in range(0, len(i), ENTRIES)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _lists(q: np.ndarray, rows: np.ndarray, blocks: int) -> Iterator[np.ndarray]:
@@ -95,14 +94,19 @@ def _collected(q: np.ndarray, rows: np.ndarray, own: np.ndarray, cutoff: np.ndar
     return take & ~own
 
 
-SENT = "query_id long, vec_id long, score decimal(38,0)"
+SENT = "query_id long, vec_id long, score long"
 
 
-def _best(found: dict[int, list[tuple[int, int]]], k: int) -> pa.RecordBatch:
-    """A task's k best (score, id) per query."""
-    rows = [(q, i, s) for q, own in found.items() for s, i in sorted(own, key=lambda e: (-e[0], e[1]))[:k]]
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([Decimal(s) for s in columns[2]], pa.decimal128(38, 0))], ["query_id", "vec_id", "score"])
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query, id, score) of each query, ties to the smaller id."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    query, ids, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, int)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[place < k], ids[place < k], score[place < k]
 
 
 def _pass(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, blocks: int, cutoffs: dict[int, float] | None) -> DataFrame:
@@ -111,7 +115,8 @@ def _pass(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, cut = shared.value
-        found: dict[int, list[tuple[int, int]]] = {}
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
@@ -127,15 +132,19 @@ def _pass(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]],
                         if cut is None:
                             take = _gathered(q, rows, own, k, blocks)
                         else:
-                            take = _collected(q, rows, own, np.array([cut.get(i, -np.inf) for i in q_ids.tolist()]), blocks)
+                            least = np.array([cut.get(i, NO_CUT) for i in q_ids.tolist()], np.int64)
+                            take = _collected(q, rows, own, np.where(least == NO_CUT, -np.inf, least.astype(np.float64)), blocks)
                         i, j = np.nonzero(take)
-                        for x, y, score in zip(i.tolist(), j.tolist(), _exact(q, rows, i, j), strict=True):
-                            if cut is None or score >= cut.get(int(q_ids[x]), -np.inf):
-                                mine = found.setdefault(int(q_ids[x]), [])
-                                mine.append((score, int(row_ids[y])))
-                                if len(mine) > 64 * k:
-                                    mine[:] = sorted(mine, key=lambda e: (-e[0], e[1]))[:k]
-        yield _best(found, k)
+                        score = _exact(q, rows, i, j)
+                        if cut is not None:
+                            good = score >= least[i]
+                            i, j, score = i[good], j[good], score[good]
+                        found.append(_best([(q_ids[i], row_ids[j], score)], k))
+                        held += len(found[-1][0])
+                        if held > ENTRIES:
+                            found = [_best(found, k)]
+                            held = len(found[0][0])
+        yield pa.record_batch(list(map(pa.array, _best(found, k))), ["query_id", "vec_id", "score"])
 
     return vectors.mapInArrow(run, SENT)
 
@@ -147,7 +156,7 @@ def _by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {m.shape[1]: (ids[at], m) for at, m in _vectors(column)}
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, blocks: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, blocks: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows but its own."""
     spark = df.sparkSession
     vectors, asked = quantized(df, scale, id_col, vector_col), quantized(df.where(is_query), scale, id_col, vector_col)

@@ -209,3 +209,17 @@ def test_media_tone():
 
 def test_media_empty(empty):
     assert media.audio_features(media.store_audio(empty)).count() == 0
+
+
+def test_chat_null_turns_as_in_sql(spark, tmp_path):
+    """Turns without a number come first, in the query and in its text."""
+    import duckdb
+
+    rows = [(1, 2, "assistant", "b"), (1, None, "user", "a"), (1, None, "assistant", "z"), (1, 0, None, None), (2, None, "assistant", "<|im_end|>")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    df = chat.query(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(chat.SQL)
+    columns = sorted(df.columns)
+    assert sorted(map(tuple, df.select(columns).collect())) == sorted(want.select(", ".join(columns)).fetchall())

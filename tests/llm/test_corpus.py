@@ -75,6 +75,19 @@ def test_topk_ties_and_bad_vectors(spark):
     assert topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).count() == 2
 
 
+def test_topk_of_very_long_vectors(spark):
+    """Finite components of any size crash nothing: vectors too long for products in a long take no part, the longest others do."""
+    limit = 2.0**31 / 256 / 2
+    made = [(0, [1.0, 2.0]), (1, [1e20, 0.0]), (2, [1e307, -1e307]), (3, [limit * 0.99, 0.0]), (4, [-limit, 0.5]), (5, [0.5, limit]), (6, [-0.25, -1.5])]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in topk.top_k(df, F.lit(True), 9).collect()}
+    live = {i: [int(np.floor(256 * v)) for v in own] for i, own in made if i not in (1, 2)}
+    for q, a in live.items():
+        want = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in live.items() if i != q)
+        assert [got.pop((q, n + 1)) for n in range(len(want))] == [(i, -s) for s, i in want]
+    assert not got
+
+
 def plain_fingerprint(text):
     words = [w for w in (text or "").translate({c: chr(c + 32) for c in range(65, 91)}).replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if w]
     if not words:
@@ -388,6 +401,19 @@ def test_languages_of_any_number_and_rarity(spark):
     assert langid.fit(many).predict(["zqxj"])[0] == ["rare"]
 
 
+def test_languages_of_large_alphabets(spark):
+    """Two languages of twenty thousand words each of the same 2,500 signs: their trigrams are many times the default slots."""
+    r = random.Random(9)
+    signs = [chr(0x4E00 + i) for i in range(2500)]
+    words = {name: ["".join(r.choices(signs, k=r.randint(2, 3))) for _ in range(20_000)] for name in ("one", "two")}
+    rows = [(i, " ".join(r.choices(words[name], k=200)), name) for i, name in enumerate(["one", "two"] * 600)]
+    filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.slots > langid.SLOTS and filters.slots == 1 << filters.slots.bit_length() - 1 and filters.false_rate.max() < 0.1
+    fresh = [(name, " ".join(r.choices(words[name], k=20))) for name in ("one", "two") * 100]
+    told = filters.predict([t for _, t in fresh])[0]
+    assert sum(a == name for a, (name, _) in zip(told, fresh, strict=True)) >= 0.95 * len(fresh)
+
+
 def auc(score, y):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
