@@ -180,9 +180,13 @@ def with_opacity(a: Pixel, b: Pixel, name: str, opacity: Column) -> Pixel:
 
 
 def blend_opacity(bottom: DataFrame, top: DataFrame, name: str, opacity: float, x: int = 0, y: int = 0) -> DataFrame:
+    """`top` at (x, y) over `bottom` by a mode and an opacity. The mode's result and its alpha are columns of their own, made once."""
     a, b = _sides()
-    mixed = with_opacity(a, b, name, f32(min(max(opacity, 0.0), 1.0)))
-    return _pair(bottom, top, x, y).select(*KEY, *[F.when(b["a"].isNull(), a[c]).otherwise(mixed[c]).alias(c) for c in CHANNELS])
+    mixed = mode(name)(a, b)
+    rows = _pair(bottom, top, x, y).withColumns({f"m_{c}": mixed[c] for c in CHANNELS})
+    rows = rows.withColumn("m_alpha", u8(f32(F.col("m_a")) * f32(min(max(opacity, 0.0), 1.0))))
+    over = source_over(a, {c: F.col(f"m_{c}") for c in CHANNELS}, F.col("m_alpha"))
+    return rows.select(*KEY, *[F.when(b["a"].isNull(), a[c]).otherwise(over[c]).alias(c) for c in CHANNELS])
 
 
 def draw_at(bottom: DataFrame, top: DataFrame, x: int, y: int) -> DataFrame:

@@ -50,11 +50,11 @@ def pixels_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The width of the images of pixels_large, and their pixels.
-WIDE, LARGE = 250, 100_000
+WIDE, LARGE = 1250, 100_000
 
 
 def pixels_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images 250 wide and up to 400 high, one for every 100,000 events."""
+    """Images 1250 wide and up to 80 high, one for every 100,000 events: wider than two tiles."""
     at = f"CAST(event_id % {LARGE} AS INT)"
     return read(spark, sf_dir, "events").select(
         F.expr(f"CAST(event_id div {LARGE} AS INT)").alias("image_id"),
@@ -81,7 +81,7 @@ SQL = {
     "px": """SELECT CAST(event_id // 100 AS INT) AS image_id, CAST(event_id % 10 AS INT) AS x, CAST((event_id // 10) % 10 AS INT) AS y,
       CAST(user_id * 37 % 256 AS INT) AS r, CAST(CAST(floor(value * 100) AS BIGINT) % 256 AS INT) AS g, CAST(event_id * 73 % 256 AS INT) AS b,
       CAST(CASE WHEN event_id % 17 = 0 THEN 0 ELSE 255 - event_id % 64 END AS INT) AS a FROM events""",
-    "pl": """SELECT CAST(event_id // 100000 AS INT) AS image_id, CAST(event_id % 100000 % 250 AS INT) AS x, CAST(event_id % 100000 // 250 AS INT) AS y,
+    "pl": """SELECT CAST(event_id // 100000 AS INT) AS image_id, CAST(event_id % 100000 % 1250 AS INT) AS x, CAST(event_id % 100000 // 1250 AS INT) AS y,
       CAST(user_id * 37 % 256 AS INT) AS r, CAST(CAST(floor(value * 100) AS BIGINT) % 256 AS INT) AS g, CAST(event_id * 73 % 256 AS INT) AS b,
       CAST(CASE WHEN event_id % 17 = 0 THEN 0 ELSE 255 - event_id % 64 END AS INT) AS a FROM events""",
     "pt": """SELECT CAST(o_orderkey // 100 AS INT) AS image_id, CAST(o_orderkey % 10 AS INT) AS x, CAST((o_orderkey // 10) % 10 AS INT) AS y,
