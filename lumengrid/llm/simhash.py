@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import FEW_ROWS, forget, slices, spread_join, stored, table, texts_of
+from lumengrid.llm.common import FEW_ROWS, forget, give_back, slices, small_batches, spread_join, stored, table, texts_of
 from lumengrid.llm.components import components
 
 SEED = 42
@@ -122,6 +122,18 @@ def distances(fp: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fp ^ p) for p in references], axis=1).astype(np.uint8)
 
 
+def far_table(rows: DataFrame) -> DataFrame:
+    """`rows`, which have a column fp, with their distances to the random references as `far` (8 bytes as a long). Stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = distances(batch.column(batch.schema.get_field_index("fp")).to_numpy().view(np.uint64), FAR)
+            yield pa.record_batch([*batch.columns, pa.array(np.ascontiguousarray(far).view(np.int64)[:, 0])], [*batch.schema.names, "far"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return stored(rows.mapInArrow(run, f"{kept}, far long"))
+
+
 def pivot_table(rows: DataFrame) -> DataFrame:
     """`rows`, which have a column fp, with their coordinates: `unit` (bytes) and `far` (8 bytes as a long). Stored."""
 
@@ -349,6 +361,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, similari
             ends = np.concatenate([[0], np.cumsum([len(c) for c in own_cells])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *own_cells]))
             yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), *columns, pa.array(n, pa.int32()), lists, pa.array(agree, pa.binary())], ["doc_id", "text_hash", "fp", "node", "n", "cells", "agree"])
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
@@ -395,6 +408,7 @@ def candidates(members: DataFrame, tests: int, similarity: float, exact: bool =
                     held = len(out[0][0])
             x, rank, y = _closest(out, tests)
             yield pa.record_batch([pa.array(node[x]), pa.array(rank), pa.array(node[y])], ["node", "rank", "partner"])
+        give_back()
 
     found = rows.mapInArrow(run, "node long, rank long, partner long").distinct()
     place = F.row_number().over(Window.partitionBy("node").orderBy("rank", "partner"))
@@ -426,6 +440,7 @@ def shingle_sets(df: DataFrame, wanted: DataFrame, repeated: DataFrame, id_col:
         for part in slices(batches):
             hashes = [np.unique(shingle_set(t.as_py().encode(), shingle).astype("<u4")).tobytes() for t in texts_of(part.column("text"))]
             yield pa.record_batch([part.column("node"), pa.array(hashes, pa.binary())], ["node", "hashes"])
+        give_back()
 
     key = ["doc_id", "text_hash"]
     mark = F.broadcast if wanted.count() <= FEW_ROWS else (lambda part: part)
@@ -446,6 +461,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
             yield batch.select([0, 1]).filter(pa.array(keep))
+        give_back()
 
     side = lambda c, name: sets.select(F.col("node").alias(c), F.col("hashes").alias(name)).join(pairs.select(c), c, "left_semi")
     both = spread_join(pairs, side("b", "y"), "b").join(side("a", "x"), "a")
@@ -461,6 +477,11 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells that hold several groups; verified links join groups. The rounds end when no text has a candidate outside its group
     that it has not tested. `exact` finds every link, at the price of more cells. `text_hash` is xxhash64 of the text.
     """
+    with small_batches(df.sparkSession):
+        return _similar(df, id_col, text_col, shingle, similarity, exact)
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, exact: bool) -> DataFrame:
     rows = stored(signatures(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, similarity, exact))
     kept = [F.any_value(c).alias(c) for c in ("fp", "n", "cells", "agree")]  # alike for all rows of a node
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *kept))
@@ -475,14 +496,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(good).withColumnRenamed("root", "comp")
     lone = links.select("node").distinct()
     about = nodes.join(lone, "node", "left_semi").join(roots, "node", "left")
-    state = pivot_table(about.select("node", "fp", "n", "agree", F.coalesce("comp", "node").alias("comp"), F.lit(-1).cast("long").alias("floor")))
+    state = far_table(about.select("node", "fp", "n", "agree", F.coalesce("comp", "node").alias("comp"), F.lit(-1).cast("long").alias("floor")))
     forget(pairs, good)
     tests = TESTS
     while True:
-        members = links.select("cell", "size", "node").join(state.drop("unit"), "node")
+        members = links.select("cell", "size", "node").join(state, "node")
         mixed = members.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("floor").alias("open")).where((F.col("low") < F.col("high")) & (F.col("open") < F.lit(LAST)))
         links_left = stored(members.select("cell", "size", "node").join(mixed.select("cell"), "cell", "left_semi"))  # a cell of one group is never asked again
-        asked = stored(candidates(links_left.join(state.drop("unit"), "node"), tests, similarity, exact))
+        asked = stored(candidates(links_left.join(state, "node"), tests, similarity, exact))
         tried = asked.select("node", F.explode("best.partner").alias("partner"))
         pairs = stored(tried.select(F.greatest("node", "partner").alias("a"), F.least("node", "partner").alias("b")).distinct())
         forget(links)
@@ -499,7 +520,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         floors = asked.select("node", F.when(F.size("best") < tests, F.lit(LAST)).otherwise(F.element_at("best.rank", -1)).alias("new_floor"))
         moved = state.join(floors, "node", "left").join(joined, "comp", "left")
         done = F.coalesce("new_floor", F.lit(LAST))  # no candidate outside its group
-        new = stored(moved.select("node", "fp", "n", "agree", F.coalesce("new_comp", "comp").alias("comp"), done.alias("floor"), "unit", "far"))
+        new = stored(moved.select("node", "fp", "n", "agree", F.coalesce("new_comp", "comp").alias("comp"), done.alias("floor"), "far"))
         forget(state, asked, pairs, good)
         state, tests = new, tests * MORE
         if state.where(F.col("floor") < F.lit(LAST)).isEmpty():
