@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lumengrid.llm.common import slices, sums, table
+from lumengrid.llm.common import give_back, slices, sums, table
 
 SLOTS = 1 << 16
 SLICES = 3
@@ -172,6 +172,7 @@ def annotate(df: DataFrame, filters: Filters, text_col: str = "text", lang_out:
         for part in slices(batches, text_col, SLICE):
             names, score = shared.value.predict(part.column(text_col).to_pylist())
             yield pa.record_batch([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, lang_out, score_out])
+        give_back()
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())]))
 

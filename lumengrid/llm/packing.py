@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import Recent, gather, slices, stored, table, texts_of, words_of
+from lumengrid.llm.common import Recent, gather, give_back, slices, stored, table, texts_of, words_of
 
 CAPACITY = 2048
 #: Parts in which the rows of one length are ranked.
@@ -131,6 +131,7 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, tokenizer_path: str,
                     at, upto, number = upto, upto + capacity, number + 1
             columns = [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.record_batch(columns + [pa.array(kept, pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

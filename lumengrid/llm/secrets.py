@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumengrid.llm.common import slices, table
+from lumengrid.llm.common import give_back, slices, table
 
 LEAST, LONG = 6, 20
 FINDINGS = 8000
@@ -263,6 +263,7 @@ def redact(df: DataFrame, forest: Forest, text_col: str = "text", out: str = "fi
             columns = list(part.columns)
             columns[index] = pa.array(texts, pa.string())
             yield pa.record_batch([*columns, pa.array(findings, kind)], [*part.schema.names, out])
+        give_back()
 
     extra = StructType.fromDDL(f"`{out}` array<struct<start:long,stop:long,score:double>>")
     return df.mapInArrow(run, StructType([*df.schema.fields, *extra.fields]))
