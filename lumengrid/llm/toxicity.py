@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lumengrid.llm.common import fresh, slices, stored, sums, table, texts_of, words_of
+from lumengrid.llm.common import fresh, give_back, slices, stored, sums, table, texts_of, words_of
 
 #: Letters of an n-gram: a letter, or the end mark, with its context.
 ORDER = 6
@@ -44,6 +44,8 @@ SHARE = 0.01
 STEP = 1 << 20
 #: N-grams or words that a worker holds at once, 16 to 32 bytes each.
 PART = 4_000_000
+#: Bytes of text that a worker spells at once.
+SLICE = 2 << 20
 #: Slots into which labelled ids are hashed to leave out texts before they are dealt; a fixed number.
 SLOTS = 1 << 20
 CURVE_ROWS = 6000
@@ -204,7 +206,7 @@ def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, key
         shared = df.sparkSession.sparkContext.broadcast(held)  # PART units at most, as hashes split them
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first: bool = not k) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, text_col):
+            for part in slices(batches, text_col, SLICE):
                 words, own, own_offsets, codes, offsets = spelled(texts_of(part.column(text_col)))
                 values = shared.value.sums(*units_of(words))
                 there = np.array([bool(w) for w in words], bool)
@@ -216,6 +218,7 @@ def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, key
                 columns.append(pa.array(total[:, 0].astype(np.int64)) if first else part.column(added[0]))
                 columns += [pa.array(total[:, i] + part.column(c).to_numpy()) for i, c in enumerate(added[1:], 1)]
                 yield pa.record_batch(columns, part.schema.names)
+            give_back()
 
         df = df.mapInArrow(run, df.schema)
     return df
@@ -272,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
             held.clear()
             return batch
 
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             words, own, own_offsets, codes, offsets = spelled(part.column("text"))
             group = part.column("half").to_numpy() * 2 + part.column("y").to_numpy()
             of = np.repeat(group, np.diff(offsets))
@@ -292,9 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
                 else:
                     for g in range(4):
                         mine[g] += c[g]
-            if len(held) > 500_000:
+            if len(held) > 250_000:
                     yield out()
         yield out()
+        give_back()
 
     counted = rows.mapInArrow(count, "gram string, " + ", ".join(f"{c} long" for c in COUNTS))
     nodes = stored(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]))
