@@ -103,6 +103,10 @@ class Coder:
         return out
 
 
+#: Bytes of text that a worker encodes at once.
+SLICE = 1 << 20
+
+
 @lru_cache(maxsize=2)
 def coder(ranks_path: str, pattern: str, tokenizer_path: str) -> Coder:
     return Coder(ranks_path, pattern, tokenizer_path)
@@ -114,7 +118,7 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, tokenizer_path: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern, tokenizer_path)
         final = np.array([end_id], "<u4")
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, ids in enumerate(own.encode_slice(texts_of(part.column("text")))):
                 ids = np.concatenate([ids, final])
@@ -131,6 +135,8 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, tokenizer_path: str,
                     at, upto, number = upto, upto + capacity, number + 1
             columns = [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.record_batch(columns + [pa.array(kept, pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        coder.cache_clear()  # vocabulary and words are no burden to what the worker does next
+        del own
         give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
