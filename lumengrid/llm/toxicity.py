@@ -2,7 +2,8 @@
 
 Two character models, of toxic and of ordinary texts, spell each word to its end: the context of a letter is what stands
 before it in its word, up to ORDER - 1 letters with the word's start. Words are runs of letters and their marks; all else
-parts them. A letter in a context that no labelled text has it in says nothing. Both models discount their own counts absolutely and back off to shared counts: the pooled counts of both classes in
+parts them. A letter that no labelled text has in a context of labelled texts gets each model's weight of backing off there, times
+a shared likelihood, so that it says the ratio of these weights; in a context that no labelled text has, it says nothing. Both models discount their own counts absolutely and back off to shared counts: the pooled counts of both classes in
 the same context, which back off to continuation counts (in how many contexts that end alike a letter occurs) and from
 there to all letters. An expression that either class has hardly seen thus gets nearly the same likelihood from both.
 
@@ -37,6 +38,8 @@ from lumengrid.llm.common import fresh, give_back, slices, stored, sums, table,
 #: Letters of an n-gram: a letter, or the end mark, with its context.
 ORDER = 6
 START, END = "^", "$"
+#: Stands for each letter that no labelled text has in a context; no word holds it.
+UNSEEN = "*"
 DISCOUNT = 0.9
 #: The share of a toxic text's words that the model of toxic texts writes.
 SHARE = 0.01
@@ -83,16 +86,24 @@ def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[place > 0], np.maximum(size - 1, 0)
 
 
+def backed_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As gram_keys, and between them the key of each gram with UNSEEN as its letter."""
+    marked = "".join([w + END for w in words if w])
+    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    keys, size = gram_keys(words)
+    return keys, keys + (np.uint64(ord(UNSEEN)) - codes) * WEIGHTS[0], size
+
+
 def unit_keys(units: list[str]) -> np.ndarray:
     """The key of each gram, ORDER letters at most."""
     key, _, size = _keys(units)
     return key[np.cumsum(size) - 1] if len(units) else key
 
 
-def word_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(a key for each word, 1 each); an empty word has none."""
+def word_keys(words: list[str]) -> tuple[np.ndarray, None, np.ndarray]:
+    """(a key for each word, none for what is unseen, 1 each); an empty word has none."""
     there = np.fromiter((bool(w) for w in words), np.int64, len(words))
-    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words if w), np.uint64, int(there.sum())), there
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words if w), np.uint64, int(there.sum())), None, there
 
 
 def spelled(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +116,7 @@ def spelled(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndar
 def gains(nodes: DataFrame) -> DataFrame:
     """(gram, by0, by1, both): the log(toxic / ordinary) of each n-gram's last letter, by the rows outside half 0, outside half 1, and by all.
 
-    All steps are aggregations and joins of the n-grams' table, and nothing of it reaches the driver.
+    Each context has a row more, with UNSEEN as its letter: the log ratio of the weights of backing off there. All steps are aggregations and joins of the n-grams' table, and nothing of it reaches the driver.
     """
     size = F.length("gram")
     own = nodes.select("*", F.expr("left(gram, length(gram) - 1)").alias("context"), F.substring("gram", size - 1, F.lit(1)).alias("last"), F.right("gram", F.lit(1)).alias("letter"))
@@ -128,8 +139,13 @@ def gains(nodes: DataFrame) -> DataFrame:
     def p(c: str):
         return F.when(F.col("sum_" + c) > 0, (less(c) + DISCOUNT * F.col("types_" + c) * F.col("shared")) / F.col("sum_" + c)).otherwise(F.col("shared"))
 
+    def left(c: str):
+        return F.when(F.col("sum_" + c) > 0, DISCOUNT * F.col("types_" + c) / F.col("sum_" + c)).otherwise(1.0)
+
     exact = lambda e: F.round(e * STEP) / STEP
-    return told.select("gram", *[F.when(F.col(ordinary) + F.col(toxic) > 0, exact(F.log(p(toxic) / p(ordinary)))).otherwise(0.0).alias(name) for name, (ordinary, toxic) in counts.items()])
+    seen = told.select("gram", *[F.when(F.col(ordinary) + F.col(toxic) > 0, exact(F.log(p(toxic) / p(ordinary)))).otherwise(exact(F.log(left(toxic) / left(ordinary)))).alias(name) for name, (ordinary, toxic) in counts.items()])
+    backed = contexts.select(F.concat("context", F.lit(UNSEEN)).alias("gram"), *[exact(F.log(left(toxic) / left(ordinary))).alias(name) for name, (ordinary, toxic) in counts.items()])
+    return seen.unionByName(backed)
 
 
 class Held:
@@ -139,18 +155,27 @@ class Held:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
-    def sums(self, keys: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The sums of the values of each list's units; units that the part does not hold add nothing."""
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+    def find(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Puts the keys' values where the part holds them, and returns where it does."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        values[hit] = self.values[at[hit]]
+        return hit
+
+    def sums(self, keys: np.ndarray, unseen: np.ndarray | None, size: np.ndarray) -> np.ndarray:
+        """The sums of the values of each list's units, or of the unseen where these are none; what the part does not hold adds nothing."""
         values = np.zeros((len(keys), self.values.shape[1]))
         if len(self.keys):
-            hit = self.keys[at] == keys
-            values[hit] = self.values[at[hit]]
+            missed = np.flatnonzero(~self.find(keys, values))
+            if unseen is not None and len(missed):
+                other = values[missed]
+                self.find(unseen[missed], other)
+                values[missed] = other
         return sums(values, np.concatenate([[0], np.cumsum(size)]))
 
 
-def parts_of(table: DataFrame, names: list[str], keys_of) -> Iterator[Held]:
-    """The table (unit, ...) in parts of about PART rows, keys instead of units."""
+def parts_of(table: DataFrame, names: list[str], keys_of, split) -> Iterator[Held]:
+    """The table (unit, ...) in parts of about PART rows, keys instead of units; units alike in `split` fall in one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +184,7 @@ def parts_of(table: DataFrame, names: list[str], keys_of) -> Iterator[Held]:
 
     parts, unit = max(1, -(-table.count() // PART)), table.columns[0]
     for k in range(parts):
-        some = table.where(F.pmod(F.xxhash64(unit), F.lit(parts)) == k).select(unit, *names)
+        some = table.where(F.pmod(F.xxhash64(split), F.lit(parts)) == k).select(unit, *names)
         held = some.mapInArrow(run, "key long, " + ", ".join(f"`{n}` double" for n in names)).toArrow()  # numbers only
         yield Held(held.column("key").to_numpy().view(np.uint64), np.stack([held.column(n).to_numpy() for n in names], axis=1))
 
@@ -172,34 +197,36 @@ def word_gain(gain: np.ndarray) -> np.ndarray:
 
 def likelihoods(df: DataFrame, told: DataFrame, names: list[str], text_col: str = "text") -> DataFrame:
     """`df` with toxic_words and toxic_<name>: each text's number of words and the sum of their log(toxic / ordinary)."""
+    context = F.expr("left(gram, length(gram) - 1)")
     if told.count() <= PART:
-        return summed(df, told, names, text_col, unit_keys, gram_keys, word_gain)
+        return summed(df, told, names, text_col, unit_keys, backed_keys, context, word_gain)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield pa.record_batch([pa.array([w for w in spelled(texts_of(part.column("text")))[0] if w], pa.string())], ["word"])
 
     words = stored(df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(distinct, "word string").distinct())
-    by_word = summed(words, told, names, "word", unit_keys, gram_keys, None)
+    by_word = summed(words, told, names, "word", unit_keys, backed_keys, context, None)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), *(pa.array(word_gain(batch.column(1 + i).to_numpy())) for i in range(len(names)))], ["word", *names])
 
     gained = by_word.select("word", *["toxic_" + n for n in names]).mapInArrow(finished, "word string, " + ", ".join(f"`{n}` double" for n in names))
-    return summed(df, stored(gained), names, text_col, lambda units: word_keys(units)[0], word_keys, None)
+    return summed(df, stored(gained), names, text_col, lambda units: word_keys(units)[0], word_keys, F.col("word"), None)
 
 
-def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, keys_of, units_of, change) -> DataFrame:
+def summed(df: DataFrame, table: DataFrame, names: list[str], text_col: str, keys_of, units_of, split, change) -> DataFrame:
     """`df` with toxic_words and toxic_<name>: each text's number of words, and the sum over their units of each of the table's columns.
 
-    `keys_of` gives the table's units their keys, `units_of` the keys of each word's units. `change` turns the sum of each word's
+    `keys_of` gives the table's units their keys, `units_of` the keys of each word's units and of
+    what stands for the unseen, which falls in a unit's part by `split`. `change` turns the sum of each word's
     units, if the table is one part. Each part of the table meets all texts.
     """
     added = ["toxic_words", *["toxic_" + n for n in names]]
     df = df.drop(*added).withColumns({added[0]: F.lit(0).cast("long"), **{c: F.lit(0.0) for c in added[1:]}})
     shared = None
-    for k, held in enumerate(parts_of(table, names, keys_of)):
+    for k, held in enumerate(parts_of(table, names, keys_of, split)):
         if k:
             df = stored(df)
             shared.unpersist()
@@ -296,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
                     for g in range(4):
                         mine[g] += c[g]
             if len(held) > 250_000:
-                    yield out()
+                yield out()
         yield out()
         give_back()
 

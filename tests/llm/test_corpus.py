@@ -338,12 +338,14 @@ def plain_toxicity(train, texts):
         ctx[g[:-1]].append(g)
 
     def gain(g):
+        own = ctx[g[:-1]] if g[:-1] in ctx else []
         if g not in both:
-            return 0.0
+            n = [sum(c[x] for x in own) for c in counts]
+            left = [d * sum(c[x] > 0 for x in own) / k if k else 1.0 for c, k in zip(counts, n, strict=True)]
+            return math.log(left[1] / left[0])
         a, b = last(g), g[-1]
         base = less(letters[b]) / n_types + d / n_types
         spread = less(pair[a, b]) / after[a] + d * kinds[a] / after[a] * base
-        own = ctx[g[:-1]]
         pooled = sum(both[x] for x in own)
         shared = less(both[g]) / pooled + d * len(own) / pooled * spread
         p = []
@@ -363,7 +365,7 @@ def test_toxicity_equals_plain_model(spark, sf_dir, documents):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = toxicity.labelled(documents, labels).select("text", "y").collect()
     model = toxicity.fit(documents, labels)
-    texts = ["", None, "12 34", *[r.text for r in documents.orderBy("doc_id").limit(40).collect()]]
+    texts = ["", None, "12 34", "thex quzzyq zqxjk ünd", "東西", *[r.text for r in documents.orderBy("doc_id").limit(40).collect()]]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: (r.toxic_words, r.toxic_both) for r in toxicity.likelihoods(df, model.table, ["both"]).collect()}
     for i, (n, total) in enumerate(plain_toxicity([(r.text, r.y) for r in rows], texts)):
