@@ -8,7 +8,8 @@ length repeats until its documents are placed; what fits nowhere opens sequences
 plus one gap range for each match, whatever the data's size.
 
 Rows then take their places in one distributed pass: a document's rank among those of its length names its range, and
-with it sequence and offset. Ranks are counted in salted groups, so a length that a third of all rows share is no hot group.
+with it sequence and offset. A length is ranked in as many salted groups as its counted rows ask for, about `RANKED` rows each,
+so a length that a third of all rows share is no hot group at any scale.
 
 A null text is empty and still has its closing id; texts of any length are cut into whole pieces from the end, so that
 only the first piece is short. Repeated rows are packed each; ids may be null or repeat. An empty table gives an empty
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from lumengrid.llm.common import Recent, gather, give_back, slices, stored, table, texts_of, words_of
 
 CAPACITY = 2048
-#: Parts in which the rows of one length are ranked.
-SALTS = 64
+#: Rows of one length that one task ranks; more, if there would be over GROUPS groups of hot lengths.
+RANKED, GROUPS = 200_000, 1 << 16
 CACHED_WORDS = 150_000
 SPECIAL = "<|endoftext|>"
 
@@ -178,34 +179,42 @@ def rounds(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return placed
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """`pieces` (with doc_id, piece, length) with sequence_id and offset: gapless from 0 in each sequence."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """`pieces` (with doc_id, piece, length, ids_crc32) with sequence_id and offset: gapless from 0 in each sequence."""
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    groups = pieces.groupBy("length", "salt").count().toArrow()  # capacity x salts rows at most
-    by = sorted(zip(*(groups.column(c).to_pylist() for c in ("length", "salt", "count")), strict=True))
-    counts: dict[int, int] = {}
-    firsts = []
-    for length, salt, count in by:
-        firsts.append((length, salt, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + count
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
+    most = max(RANKED, -(-sum(counts.values()) // GROUPS))
+    salts = {length: -(-n // most) for length, n in counts.items()}
+    hot = {length: n for length, n in salts.items() if n > 1}
+    salt = F.lit(0)
+    if hot:
+        own = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col("length").cast("int")]
+        salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), own).cast("int"), salt)
+    pieces = pieces.withColumn("salt", salt)
+    at = np.zeros(capacity + 2, np.int64)  # where a length's groups begin
+    at[1:] = np.cumsum([salts.get(length, 0) for length in range(capacity + 1)])
+    first = np.zeros(at[-1], np.int64)  # the rank at which each group begins in its length
+    if hot:
+        groups = pieces.where(F.col("length").isin(list(hot))).groupBy("length", "salt").count().collect()  # 2 * GROUPS rows at most
+        for r in groups:
+            first[at[r["length"]] + r["salt"]] = r["count"]
+        for length, n in hot.items():
+            a = at[length]
+            first[a : a + n] = np.cumsum(first[a : a + n]) - first[a : a + n]
     places = sorted(rounds(counts, capacity))
     shift = 1 << 44  # a key orders places by length, then rank
     keys = np.array([p[0] * shift + p[1] for p in places], np.int64)
     seq, off = np.array([p[3] - p[1] for p in places], np.int64), np.array([p[4] for p in places], np.int64)
-    first = np.zeros((capacity + 1, salts), np.int64)
-    for length, salt, before in firsts:
-        first[length, salt] = before
-    shared = spark.sparkContext.broadcast((keys, seq, off, first))  # bounded by capacity and salts, not by the data
+    shared = spark.sparkContext.broadcast((keys, seq, off, at, first))  # bounded by capacity and GROUPS, not by the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, seq, off, first = shared.value
+        keys, seq, off, group, first = shared.value
         for batch in batches:
             names = batch.schema.names
             if not batch.num_rows:
                 continue
             length, salt, rank = (batch.column(names.index(c)).to_numpy() for c in ("length", "salt", "rank"))
-            rank = rank - 1 + first[length, salt]
+            rank = rank - 1 + first[group[length] + salt]
             at = np.searchsorted(keys, length * shift + rank, side="right") - 1
             keep = [i for i, n in enumerate(names) if n not in ("salt", "rank")]
             yield pa.record_batch([*(batch.column(i) for i in keep), pa.array(seq[at] + rank), pa.array(off[at])], [*(names[i] for i in keep), "sequence_id", "offset"])

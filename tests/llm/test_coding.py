@@ -124,6 +124,25 @@ def test_packing_rounds_equal_best_fit(seed):
     assert len(used) == len(gaps)
 
 
+@pytest.mark.parametrize("groups", [1 << 16, 7])
+def test_packing_ranks_hot_lengths_in_groups(spark, monkeypatch, groups):
+    """A length of many rows is ranked in groups by its count, and places are those of one group."""
+    r = random.Random(4)
+    lengths = [2048] * 900 + [500] * 400 + [r.randint(1, 1500) for _ in range(300)]
+    rows = [(i // 3, i % 3, n, i * 7919 % 65537) for i, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long").repartition(5)
+    monkeypatch.setattr(packing, "RANKED", 40)
+    monkeypatch.setattr(packing, "GROUPS", groups)
+    got = packing.pack(pieces).collect()
+    assert sorted((p.doc_id, p.piece, p.length, p.ids_crc32) for p in got) == sorted(rows)
+    of_seq = defaultdict(list)
+    for p in got:
+        of_seq[p.sequence_id].append((p.offset, p.length))
+    for own in of_seq.values():
+        assert [a for a, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1]] and sum(n for _, n in own) <= 2048
+    assert len(of_seq) == len(best_fit(sorted(lengths, reverse=True)))
+
+
 def test_packing_odd_tables(odd, empty):
     assert packing.packed_documents(empty).count() == 0
     assert packing.packed_documents(odd).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
