@@ -6,8 +6,9 @@
 
 Where a child passes through and is not turned, what it holds is drawn into the canvas that it passes into, at the child's turn.
 So every drawn thing has a target, a canvas that is flattened by itself, a place in it, and an order: the path to it in the tree,
-as an array that sorts as drawing does. Targets are flattened from the deepest up: what covers a pixel is sorted and folded over
-it, then the flat canvas, turned if it is to be, is one more thing that its own target draws.
+as an array that sorts as drawing does. Targets are flattened from the deepest up: what covers a tile of one is cut to it, in blocks
+of packed pixels, sorted and folded over its pixels; then the flat canvas, turned if it is to be, is one more thing that its own
+target draws. So one row is shuffled for each thing on a tile, not for each pixel of it, and nothing of what lies outside a target.
 
 Canvases without width or height, and all they hold, are not drawn. A parent_id that no canvas has, or a ring of parents, hangs
 on no root and is not drawn either. Anchors place a child or a layer in its parent; halves truncate toward zero.
@@ -26,6 +27,8 @@ from lumengrid.operators.canvas import ANCHORS
 from lumengrid.plans.views import CHANNELS
 from lumengrid.sources.staging import staged
 
+#: Pixels and targets meet in blocks of so many pixels to a side.
+BLOCK = 16
 PATH = "array<struct<kind:int,n:long,id:long>>"
 
 
@@ -85,8 +88,34 @@ def _items(nodes: DataFrame, layers: DataFrame) -> DataFrame:
     return rows.select("target_id", "depth", path.alias("path"), "image_id", (F.col("dx") + x).alias("x"), (F.col("dy") + y).alias("y"), mode.alias("mode"), F.coalesce("opacity", F.lit(1.0)).alias("opacity"))
 
 
-def _folded(stack: Column, modes: list[str]) -> Column:
-    """The sorted things of a pixel drawn one over the other, from clear."""
+def _blocks(pixels: DataFrame) -> DataFrame:
+    """(image_id, x0, y0, w, h, data): images in blocks of BLOCK by BLOCK, each cut to its pixels' bounds; `data` has a packed pixel, or null, for each place (the first of a place's)."""
+    x, y = F.floor(F.col("x") / BLOCK).alias("bx"), F.floor(F.col("y") / BLOCK).alias("by")
+    packed = _packed({c: F.col(c) for c in CHANNELS}).alias("v")
+    cells = pixels.groupBy("image_id", x, y).agg(F.array_sort(F.collect_list(F.struct("y", "x", packed))).alias("cells"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
+    places = F.transform("cells", lambda p: (p["y"] - F.col("y0")) * F.col("w") + p["x"] - F.col("x0"))
+    whole = (F.size("cells") == F.col("w") * F.col("h")) & (F.size(F.array_distinct(places)) == F.size("cells"))
+    gaps = F.expr("transform(sequence(0, w * h - 1), i -> get(filter(cells, p -> p.y = y0 + i div w AND p.x = x0 + i % w), 0).v)")
+    data = F.when(whole, F.col("cells.v")).otherwise(gaps)
+    return cells.select("image_id", "x0", "y0", "w", "h", data.alias("data"))
+
+
+def _packed(pixel: dict[str, Column]) -> Column:
+    """Four channels in the bytes of an int."""
+    return sum((F.shiftleft(pixel[c].cast("int"), 8 * k) for k, c in enumerate(CHANNELS)), F.lit(0))
+
+
+def _dealt(things: DataFrame) -> DataFrame:
+    """Blocks (x0, y0, w, h, data) on targets of tw by th cut to the targets' tiles tx, ty; what lies beyond a target is left out."""
+    own = things.withColumns({"ax": F.greatest("x0", F.lit(0)), "bx": F.least(F.col("x0") + F.col("w"), "tw") - 1, "ay": F.greatest("y0", F.lit(0)), "by": F.least(F.col("y0") + F.col("h"), "th") - 1}).where("ax <= bx and ay <= by")
+    own = own.withColumn("tx", F.explode(F.expr(f"sequence(ax div {BLOCK}, bx div {BLOCK})"))).withColumn("ty", F.explode(F.expr(f"sequence(ay div {BLOCK}, by div {BLOCK})")))
+    own = own.selectExpr("*", *[f"CAST(greatest(a{c}, t{c} * {BLOCK}) AS INT) AS c{c}" for c in "xy"], *[f"CAST(least(b{c}, t{c} * {BLOCK} + {BLOCK - 1}) - greatest(a{c}, t{c} * {BLOCK}) + 1 AS INT) AS n{c}" for c in "xy"])
+    data = F.expr("CASE WHEN nx = w AND ny = h THEN data ELSE transform(sequence(0, nx * ny - 1), i -> get(data, CAST((cy - y0 + i div nx) * w + cx - x0 + i % nx AS INT))) END")
+    return own.select("target_id", "tx", "ty", "tw", "th", F.struct("path", "mode", "opacity", "cx", "cy", "nx", "ny", data.alias("data")).alias("thing"))
+
+
+def _folded(modes: list[str]) -> Column:
+    """The things of a tile's `stack` drawn one over the other, from clear: a pixel for each of the `pw` by `ph` places of the tile at `px`, `py`."""
 
     def over(under: Column, top: Column) -> Column:
         a, b = {c: under[c] for c in CHANNELS}, {c: top[c] for c in CHANNELS}
@@ -102,13 +131,23 @@ def _folded(stack: Column, modes: list[str]) -> Column:
         once = F.transform(F.array(F.struct(*mixed.values())), lambda m: _struct(blend.source_over(a, {c: m[c] for c in CHANNELS}, u8(f32(m["a"]) * f32(top["opacity"])))))
         return once[0]
 
-    return F.aggregate(stack, F.struct(*[F.lit(0).alias(c) for c in CHANNELS]), over)
+    tops = f"""filter(transform(filter(stack, t -> px + i % pw >= t.cx AND px + i % pw < t.cx + t.nx AND py + i div pw >= t.cy AND py + i div pw < t.cy + t.ny),
+        t -> struct(get(t.data, CAST((py + i div pw - t.cy) * t.nx + px + i % pw - t.cx AS INT)) AS v, t.mode AS mode, t.opacity AS opacity)), t -> t.v IS NOT NULL)"""
+    split = ", ".join(f"shiftright(t.v, {8 * k}) & 255 AS {c}" for k, c in enumerate(CHANNELS))
+    tops = F.expr(f"transform(sequence(0, pw * ph - 1), i -> transform({tops}, t -> struct({split}, t.mode AS mode, t.opacity AS opacity)))")
+    return F.transform(tops, lambda stack: F.aggregate(stack, F.struct(*[F.lit(0).alias(c) for c in CHANNELS]), over))
 
 
 def _struct(pixel: dict[str, Column]) -> Column:
     return F.struct(*[pixel[c].cast("int").alias(c) for c in CHANNELS])
 
 
+def _spread(tiles: DataFrame) -> DataFrame:
+    """The pixels of tiles (target_id, px, py, pw, pixels)."""
+    rows = tiles.select("target_id", "px", "py", "pw", F.posexplode("pixels").alias("i", "v"))
+    return rows.select("target_id", F.expr("CAST(px + i % pw AS INT)").alias("x"), F.expr("CAST(py + i div pw AS INT)").alias("y"), "v.*")
+
+
 def render(canvases: DataFrame, layers: DataFrame, pixels: DataFrame, finish: Callable[[DataFrame], DataFrame] | None = None, plain_id: int | None = None) -> DataFrame:
     """The pixels of every root canvas; image_id is its canvas_id.
 
@@ -121,32 +160,39 @@ def render(canvases: DataFrame, layers: DataFrame, pixels: DataFrame, finish: Ca
     items = staged(_items(nodes, layers))
     drawn = items.select("mode").union(nodes.select("blend_mode")).distinct().collect()  # names of modes
     modes = ["normal", *sorted({r[0] for r in drawn} & set(blend.MODES) - {"normal"})]
-    source = pixels.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), *CHANNELS)
+    size = nodes.where("flat").select(F.col("canvas_id").alias("target_id"), F.col("width").alias("tw"), F.col("height").alias("th"))
+    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)).alias("opacity")
+    blocks = staged(_blocks(pixels.join(items.select("image_id").distinct(), "image_id", "left_semi")))
+    shape = ["target_id", "tw", "th", "path", "mode", "opacity", "x0", "y0", "w", "h", "data"]
     flats = None
     for at in range(depth, -1, -1):
         targets = nodes.where((F.col("depth") == at) & F.col("flat"))
-        shown = items.where(F.col("depth") == at).join(source, "image_id")
-        shape = ["target_id", "x", "y", "path", "mode", "opacity", *CHANNELS]
-        things = shown.select("target_id", (F.col("x") + F.col("px")).alias("x"), (F.col("y") + F.col("py")).alias("y"), "path", "mode", F.least(F.greatest(F.col("opacity"), F.lit(0.0)), F.lit(1.0)).alias("opacity"), *CHANNELS)
+        shown = items.where(F.col("depth") == at).join(size, "target_id").where("x < tw and y < th").join(blocks, "image_id")
+        things = shown.select("target_id", "tw", "th", "path", "mode", unit(F.col("opacity")), (F.col("x") + F.col("x0")).alias("x0"), (F.col("y") + F.col("y0")).alias("y0"), "w", "h", "data")
         if flats is not None:
-            things = things.unionByName(flats.select(shape))
-        ground = areas.blank(targets.select(F.col("canvas_id").alias("image_id"), "width", "height")).withColumnRenamed("image_id", "target_id").withColumns({"path": F.lit(None).cast(PATH), "mode": F.lit(None).cast("string"), "opacity": F.lit(1.0)})
-        thing = F.struct("path", "mode", "opacity", *CHANNELS)
-        # a place of the canvas itself has a row without a path; things beyond it have none
-        stacks = things.unionByName(ground.select(shape)).groupBy("target_id", "x", "y").agg(F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), thing))).alias("stack"), F.max(F.col("path").isNull()).alias("inside")).where("inside")
-        flat = stacks.select("target_id", "x", "y", _folded(F.col("stack"), modes).alias("v")).select("target_id", "x", "y", "v.*")
+            things = things.unionByName(flats.join(size, "target_id").select(shape))
+        things = _dealt(things)
+        ground = targets.select(F.col("canvas_id").alias("target_id"), F.col("width").alias("tw"), F.col("height").alias("th"), F.explode(F.expr(f"sequence(0L, (width - 1) div {BLOCK})")).alias("tx"), "height").withColumn("ty", F.explode(F.expr(f"sequence(0L, (height - 1) div {BLOCK})"))).drop("height")
+        stacks = things.unionByName(ground, allowMissingColumns=True).groupBy("target_id", "tx", "ty").agg(F.array_sort(F.collect_list("thing")).alias("stack"), F.max("tw").alias("tw"), F.max("th").alias("th"))
+        placed = stacks.selectExpr("target_id", "stack", *[f"CAST(t{c} * {BLOCK} AS INT) AS p{c}" for c in "xy"], *[f"CAST(least({BLOCK}, t{n} - t{c} * {BLOCK}) AS INT) AS p{n}" for c, n in (("x", "w"), ("y", "h"))])
+        tiles = placed.select("target_id", "px", "py", "pw", "ph", _folded(modes).alias("pixels"))
         if at == 0:
             break
-        about = targets.select(F.col("canvas_id").alias("target_id"), "above_id", "above_x", "above_y", "above_path", F.coalesce("blend_mode", F.lit("normal")).alias("mode"), F.least(F.greatest(F.coalesce("opacity", F.lit(1.0)), F.lit(0.0)), F.lit(1.0)).alias("opacity"), "rotation")
-        flat = staged(flat)
-        if finish is not None:
-            stays = F.col("target_id") == F.lit(plain_id) if plain_id is not None else F.lit(False)
-            changed = finish(flat.where(~stays).withColumnRenamed("target_id", "image_id")).withColumnRenamed("image_id", "target_id")
-            flat = staged(changed.select(flat.columns).unionByName(flat.where(stays)))
+        about = targets.select(F.col("canvas_id").alias("target_id"), "above_id", "above_x", "above_y", "above_path", F.coalesce("blend_mode", F.lit("normal")).alias("mode"), unit(F.coalesce("opacity", F.lit(1.0))), "rotation")
+        made = tiles.select("target_id", F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("pw").alias("w"), F.col("ph").alias("h"), F.transform("pixels", lambda p: _packed({c: p[c] for c in CHANNELS})).alias("data"))
         turning = about.where("rotation is not null").select(F.col("target_id").alias("image_id"), F.col("rotation").alias("degrees"))
-        plain = flat.join(about.where("rotation is null"), "target_id")
-        if not turning.isEmpty():
-            turned = warp.rotate(flat.withColumnRenamed("target_id", "image_id"), turning, None).withColumnRenamed("image_id", "target_id")
-            plain = plain.unionByName(turned.join(about, "target_id"))
-        flats = staged(plain.select(F.col("above_id").alias("target_id"), (F.col("above_x") + F.col("x")).alias("x"), (F.col("above_y") + F.col("y")).alias("y"), F.col("above_path").alias("path"), "mode", "opacity", *CHANNELS))
-    return flat.withColumnRenamed("target_id", "image_id").select("image_id", "x", "y", *CHANNELS)
+        turns = not turning.isEmpty()
+        if finish is None and not turns:
+            flat = staged(made)
+        else:
+            flat = staged(_spread(tiles))
+            if finish is not None:
+                stays = F.col("target_id") == F.lit(plain_id) if plain_id is not None else F.lit(False)
+                changed = finish(flat.where(~stays).withColumnRenamed("target_id", "image_id")).withColumnRenamed("image_id", "target_id")
+                flat = staged(changed.select(flat.columns).unionByName(flat.where(stays)))
+            if turns:
+                turned = warp.rotate(flat.withColumnRenamed("target_id", "image_id"), turning, None).withColumnRenamed("image_id", "target_id")
+                flat = flat.join(about.where("rotation is null").select("target_id"), "target_id", "left_semi").unionByName(turned.select(flat.columns))
+            flat = staged(_blocks(flat.withColumnRenamed("target_id", "image_id")).withColumnRenamed("image_id", "target_id"))
+        flats = flat.join(about, "target_id").select(F.col("above_id").alias("target_id"), (F.col("above_x") + F.col("x0")).alias("x0"), (F.col("above_y") + F.col("y0")).alias("y0"), "w", "h", F.col("above_path").alias("path"), "mode", "opacity", "data")
+    return _spread(tiles).withColumnRenamed("target_id", "image_id").select("image_id", "x", "y", *CHANNELS)
