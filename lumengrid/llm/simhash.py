@@ -15,11 +15,13 @@ coordinates with their values; rows of one cell are compared.
 - `similar_documents` looks for a Jaccard similarity of word shingles, of which 64 bits are only a sketch. Its cells are bands of
   `ROWS` minima of hashed shingles, as many as it takes for a pair at the similarity to share one with the chance `RECALL` (24
   at 0.8, whatever the table holds), or with `exact` the rarest part of each set by the order of hashes, of which two similar
-  sets always share one (prefix filter). Candidates of a cell are discarded by the pivots, then by bits (`WIDE`), then by how
-  many minima agree (`AGREE`), and verified on 32-bit hashes of their shingles. Whether two texts are compared does not depend on others.
+  sets always share one (prefix filter). The sets of 32-bit shingle hashes go to the cells, and links are found and verified there:
+  two similar sets share one of the shingles that are rarest in the cell, at a place that leaves room for the overlap. A cell sends
+  one edge for each of its groups at most, never its pairs. Whether two texts are compared does not depend on others.
 
-Within a cell, rows are swept in sorted order. Cells above `GROUP` rows are dealt to pairs of parts, so that no task holds
-one whole; they are found by the cells of a share of the table, and if that misses one, its task just holds more.
+Within a cell of fingerprints, rows are swept in sorted order. Cells above `GROUP` rows are dealt to pairs of parts, so that no task holds
+one whole; they are found by the cells of a share of the table, and if that misses one, its task just holds more. Cells of sets are
+dealt so by their counted shingles (`PART`).
 
 Only different texts are compared. Null and empty texts have fingerprint zero and are linked like any other; repeated rows
 get the same result each. Null ids are fingerprinted by `near_duplicates` and take their component's id, but never name it
@@ -35,8 +37,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.llm.common import FEW_ROWS, forget, give_back, slices, small_batches, spread_join, stored, table, texts_of
@@ -54,15 +57,13 @@ RUN = 1 << 16
 #: Minima in a band, and the chance that a pair at the similarity shares a band.
 ROWS = 4
 RECALL = 0.999995
-#: Candidates may differ in so many bits (a pair at 0.8 does in ten, by 2.9), and agree in such a share of minima (at 0.8 in 0.8, by 0.04).
-WIDE = 24
-AGREE = 0.6
 #: A text's first test is the head of the cells that it shares, if they share so many bands.
 SHARED = 3
-#: Candidates that a text tests in the first round among groups, and the factor from round to round.
-TESTS, MORE = 1, 16
-#: The floor of a text that has no candidate left.
-LAST = 2**63 - 1
+#: Shingles of a cell that go to one part of it; a task holds two parts of a large cell.
+PART = 1 << 19
+#: The factor from one look for shingles that a single group holds to the next.
+MORE = 2
+
 
 
 def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -122,18 +123,6 @@ def distances(fp: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fp ^ p) for p in references], axis=1).astype(np.uint8)
 
 
-def far_table(rows: DataFrame) -> DataFrame:
-    """`rows`, which have a column fp, with their distances to the random references as `far` (8 bytes as a long). Stored."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far = distances(batch.column(batch.schema.get_field_index("fp")).to_numpy().view(np.uint64), FAR)
-            yield pa.record_batch([*batch.columns, pa.array(np.ascontiguousarray(far).view(np.int64)[:, 0])], [*batch.schema.names, "far"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return stored(rows.mapInArrow(run, f"{kept}, far long"))
-
-
 def pivot_table(rows: DataFrame) -> DataFrame:
     """`rows`, which have a column fp, with their coordinates: `unit` (bytes) and `far` (8 bytes as a long). Stored."""
 
@@ -341,92 +330,113 @@ def _band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, exact: bool) -> DataFrame:
-    """(doc_id, text_hash, fp, node, n, cells, agree): the fingerprint, a digest of the set of shingles, its size, its cells, a byte of each minimum."""
+    """(doc_id, text_hash, node, n, cells): a digest of the set of shingles, its size, its cells."""
     count = bands_for(similarity) * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fp, node, n, own_cells, agree = [], [], [], [], []
+            node, n, own_cells = [], [], []
             for t in texts_of(part.column("text")):
-                runs = list(shingle_hashes(t.as_py().encode(), shingle))
-                own = np.unique(np.concatenate([np.zeros(0, "<u8"), *runs]))
-                fp.append(_folded(iter(runs)))
+                own = shingle_set(t.as_py().encode(), shingle)
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 n.append(len(own))
-                least = minima(own, count)
-                first = own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if exact else _band_keys(least)
+                first = own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if exact else _band_keys(minima(own, count))
                 own_cells.append(first.view(np.int64) if len(own) else np.zeros(0, np.int64))
-                agree.append((least & np.uint32(255)).astype(np.uint8).tobytes())
-            columns = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fp, node)]
             ends = np.concatenate([[0], np.cumsum([len(c) for c in own_cells])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *own_cells]))
-            yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), *columns, pa.array(n, pa.int32()), lists, pa.array(agree, pa.binary())], ["doc_id", "text_hash", "fp", "node", "n", "cells", "agree"])
+            yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], ["doc_id", "text_hash", "node", "n", "cells"])
         give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, node long, n int, cells array<long>, agree binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, node long, n int, cells array<long>")
+
+
+def mixed_cells(links: DataFrame, state: DataFrame) -> DataFrame:
+    """(cell, tokens) of the cells (cell, node) that hold nodes of several groups (node, n, comp); one cell of those with the same nodes."""
+    members = links.select("cell", "node").join(state, "node")
+    held = [F.count("*").alias("size"), F.min("node").alias("head"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")]
+    each = members.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("tokens"), *held).where("low < high")
+    return each.groupBy("size", "head", "x", "y").agg(F.min("cell").alias("cell"), F.max("tokens").alias("tokens")).select("cell", "tokens")
+
 
+def set_edges(members: DataFrame, sets: DataFrame, similarity: float, limit: int | None = None) -> DataFrame:
+    """(a, b): edges that connect the groups of similar sets, from (cell, tokens, node, comp) and the sets (node, hashes).
 
-def candidates(members: DataFrame, tests: int, similarity: float, exact: bool = False, group: int = GROUP) -> DataFrame:
-    """(node, best) from rows (cell, size, node, fp, far, n, comp, floor, agree): the `tests` closest candidates (rank, partner) of other
-    components above the text's floor, in the order of bits, then digest. Cells above `group` rows are dealt to pairs of parts.
+    A cell, or two parts of one, sends one edge for each of its groups at most. Cells above `limit` shingles are dealt to pairs of parts.
     """
-    radius, least = (64, 0.0) if exact else (WIDE, AGREE)
-    own = members.withColumn("parts", F.ceil(F.col("size") / group).cast("int")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    limit = PART if limit is None else limit
+    own = members.withColumn("parts", F.greatest(F.ceil(F.col("tokens") / limit), F.lit(1)).cast("int")).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     own = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     part = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") > F.col("q"), 1).otherwise(0).alias("part")
-    rows = own.select("fp", "far", "node", "n", "comp", "floor", "agree", F.xxhash64("cell", F.least("p", "q"), F.greatest("p", "q")).alias("cell"), part).repartition("cell").sortWithinPartitions("cell")
+    rows = own.select("node", "comp", F.xxhash64("cell", F.least("p", "q"), F.greatest("p", "q")).alias("cell"), part).join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, g in by_cell(batches, group):
-            fp, far = _coordinates(t)
-            node, size, comp, floor = (t.column(c).to_numpy() for c in ("node", "n", "comp", "floor"))
-            agree = np.frombuffer(b"".join(t.column("agree").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            tail = (node.view(np.uint64) >> np.uint64(8)).view(np.int64)
-
-            def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                return (comp[a] != comp[b]) & ((floor[a] < LAST) | (floor[b] < LAST)) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))  # noqa: B023
-
-            out: list[tuple[np.ndarray, ...]] = []
-            held = 0
-            for a, b in pairs_by_step(g, _parts(t), wanted):
-                hit = near(fp, far, a, b, radius)
-                a, b = a[hit], b[hit]
-                alike = (agree[a] == agree[b]).mean(axis=1) >= least if len(a) else np.zeros(0, bool)
-                a, b = a[alike], b[alike]
-                if not len(a):
-                    continue
-                bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) << 56
-                for x, y in ((a, b), (b, a)):
-                    rank = bits | tail[y]
-                    above = rank > floor[x]
-                    out.append((x[above], rank[above], y[above]))
-                    held += int(above.sum())
-                if held > 1 << 18:
-                    out = [_closest(out, tests)]
-                    held = len(out[0][0])
-            x, rank, y = _closest(out, tests)
-            yield pa.record_batch([pa.array(node[x]), pa.array(rank), pa.array(node[y])], ["node", "rank", "partner"])
+        for whole, g in by_cell(batches, 1):
+            size = np.cumsum(pc.binary_length(whole.column("hashes")).to_numpy().astype(np.int64) // 4)
+            at = 0
+            while at < len(g):  # whole cells of about two parts at a time, or one cell
+                last = int(np.searchsorted(size, (size[at - 1] if at else 0) + 2 * limit, side="right"))
+                upto = len(g) if last >= len(g) else int(np.searchsorted(g, g[last]))
+                upto = upto if upto > at else int(np.searchsorted(g, g[at], side="right"))
+                t = whole.slice(at, upto - at)
+                comp = t.column("comp").to_numpy()
+                first, label = joined_groups(t.column("hashes").to_pylist(), g[at:upto], comp, _parts(t), similarity)
+                moved = first[label[first] != first]
+                yield pa.record_batch([pa.array(comp[moved]), pa.array(comp[label[moved]])], ["a", "b"])
+                at = upto
         give_back()
 
-    found = rows.mapInArrow(run, "node long, rank long, partner long").distinct()
-    place = F.row_number().over(Window.partitionBy("node").orderBy("rank", "partner"))
-    few = found.withColumn("place", place).where(F.col("place") <= tests)  # of `tests` a cell at most, sorted without holding them
-    return few.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "partner"))).alias("best"))
+    dealt_rows = rows.select("comp", "hashes", "cell", "part").repartition("cell").sortWithinPartitions("cell")
+    return dealt_rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _closest(parts: list[tuple[np.ndarray, ...]], tests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The `tests` smallest ranks of each x."""
-    if not parts:
-        return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, int)
-    x, rank, y = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((rank, x))
-    x, rank, y = x[order], rank[order], y[order]
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
-    place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-    keep = place < tests
-    return x[keep], rank[keep], y[keep]
+def joined_groups(sets: list[bytes], cell: np.ndarray, comp: np.ndarray, part: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first, label): the first row of each group `comp`, and the row that stands for each row's group after all links within cells.
+
+    Shingles are ordered by how many of the cell's sets hold them. The first that two sets share leaves each of them room for the
+    overlap that they need, so only a set's beginning is asked; shingles that one set holds alone, as most edits make, ask nothing.
+    """
+    size = np.array([len(s) // 4 for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    key, times = np.unique(cell[row].astype(np.uint64) << np.uint64(32) | np.frombuffer(b"".join(sets), "<u4"), return_inverse=True, return_counts=True)[1:]
+    key = key[np.lexsort((key, times[key], row))]
+    left = np.cumsum(size)[row] - np.arange(len(row))  # shingles from this one on
+    keep = (times[key] > 1) & (left >= similarity * size[row] - 1e-6)
+    row, key, left = row[keep], key[keep], left[keep]
+    order = np.lexsort((size[row], key))  # of two sets, the smaller comes first
+    row, key, left = row[order], key[order], left[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    held = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+    need = similarity / (1 + similarity)
+    first, label = np.unique(comp, return_index=True, return_inverse=True)[1:]
+    label = first[label]
+    at = np.flatnonzero(left >= 2 * need * size[row] - 1e-6)
+    step, look = 0, 1
+    while True:
+        step += 1
+        at = at[at + step < len(row)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            return first, label
+        if step >= look:  # shingles that a single group holds are done
+            of = label[row]
+            at = at[(np.minimum.reduceat(of, start) < np.maximum.reduceat(of, start))[held[at]]]
+            look = step * MORE
+        a, b = row[at], row[at + step]
+        ask = (label[a] != label[b]) & ((part[a] != part[b]) | (part[a] == 2)) & (np.minimum(left[at], left[at + step]) >= need * (size[a] + size[b]) - 1e-6)
+        if ask.any():
+            a, b = np.unique(np.stack([np.minimum(a, b)[ask], np.maximum(a, b)[ask]]), axis=1)
+            hit = np.array([alike(sets[x], sets[y], similarity) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            if hit.any():
+                label = _joined(label, a[hit], b[hit])
+
+
+def alike(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets of 32-bit hashes is `similarity` or more."""
+    x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
 def shingle_sets(df: DataFrame, wanted: DataFrame, repeated: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -457,9 +467,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+                keep[i] = alike(x, y, similarity)
             yield batch.select([0, 1]).filter(pa.array(keep))
         give_back()
 
@@ -473,9 +481,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Groups are the components of links between texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
     First each text is compared with the head of the cells that it shares most, which makes most crowds one group at a cost in
-    proportion to their size. Then, in rounds, each text tests its closest candidates outside its group, then more of them, in
-    cells that hold several groups; verified links join groups. The rounds end when no text has a candidate outside its group
-    that it has not tested. `exact` finds every link, at the price of more cells. `text_hash` is xxhash64 of the text.
+    proportion to their size. Then the sets of the cells that still hold several groups meet there, all at once, and the cells send
+    what connects their groups. `exact` finds every link, at the price of more cells. `text_hash` is xxhash64 of the text.
     """
     with small_batches(df.sparkSession):
         return _similar(df, id_col, text_col, shingle, similarity, exact)
@@ -483,7 +490,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _similar(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, exact: bool) -> DataFrame:
     rows = stored(signatures(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, similarity, exact))
-    kept = [F.any_value(c).alias(c) for c in ("fp", "n", "cells", "agree")]  # alike for all rows of a node
+    kept = [F.any_value(c).alias(c) for c in ("n", "cells")]  # alike for all rows of a node
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *kept))
     repeated = stored(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
     every = nodes.select("node", F.explode(F.array_distinct("cells")).alias("cell"))
@@ -491,40 +498,20 @@ def _similar(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity
     links = stored(every.join(crowded, "cell"))
     shared = links.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("bands")).where(F.col("bands") >= (1 if exact else SHARED))
     pairs = stored(shared.groupBy("node").agg(F.max_by("head", F.struct("bands", "head")).alias("head")).select(F.col("node").alias("a"), F.col("head").alias("b")))
-    sets = _with_sets(None, df, nodes, repeated, pairs, id_col, text_col, shingle)
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _with_sets(None, df, nodes, repeated, asked, id_col, text_col, shingle)
     good = stored(verified(pairs, sets, similarity))
     roots = components(good).withColumnRenamed("root", "comp")
     lone = links.select("node").distinct()
     about = nodes.join(lone, "node", "left_semi").join(roots, "node", "left")
-    state = far_table(about.select("node", "fp", "n", "agree", F.coalesce("comp", "node").alias("comp"), F.lit(-1).cast("long").alias("floor")))
+    state = stored(about.select("node", "n", F.coalesce("comp", "node").alias("comp")))
     forget(pairs, good)
-    tests = TESTS
-    while True:
-        members = links.select("cell", "size", "node").join(state, "node")
-        mixed = members.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("floor").alias("open")).where((F.col("low") < F.col("high")) & (F.col("open") < F.lit(LAST)))
-        links_left = stored(members.select("cell", "size", "node").join(mixed.select("cell"), "cell", "left_semi"))  # a cell of one group is never asked again
-        asked = stored(candidates(links_left.join(state, "node"), tests, similarity, exact))
-        tried = asked.select("node", F.explode("best.partner").alias("partner"))
-        pairs = stored(tried.select(F.greatest("node", "partner").alias("a"), F.least("node", "partner").alias("b")).distinct())
-        forget(links)
-        links = links_left
-        if pairs.isEmpty():
-            break
-        sets = _with_sets(sets, df, nodes, repeated, pairs, id_col, text_col, shingle)
-        good = stored(verified(pairs, sets, similarity))
-        # links between groups join the groups: what is one group is one node here
-        group = state.select("node", "comp")
-        a_side = spread_join(good, group.withColumnsRenamed({"node": "b", "comp": "of_b"}), "b")
-        edges = a_side.join(group.withColumnsRenamed({"node": "a", "comp": "of_a"}), "a").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-        joined = components(edges).withColumnsRenamed({"node": "comp", "root": "new_comp"})
-        floors = asked.select("node", F.when(F.size("best") < tests, F.lit(LAST)).otherwise(F.element_at("best.rank", -1)).alias("new_floor"))
-        moved = state.join(floors, "node", "left").join(joined, "comp", "left")
-        done = F.coalesce("new_floor", F.lit(LAST))  # no candidate outside its group
-        new = stored(moved.select("node", "fp", "n", "agree", F.coalesce("new_comp", "comp").alias("comp"), done.alias("floor"), "far"))
-        forget(state, asked, pairs, good)
-        state, tests = new, tests * MORE
-        if state.where(F.col("floor") < F.lit(LAST)).isEmpty():
-            break
+    members = stored(links.select("cell", "node").join(mixed_cells(links, state), "cell").join(state.select("node", "comp"), "node"))
+    sets = _with_sets(sets, df, nodes, repeated, members.select("node").distinct(), id_col, text_col, shingle)
+    edges = stored(set_edges(members, sets, similarity))
+    joined = components(edges).withColumnsRenamed({"node": "comp", "root": "new_comp"})
+    state, before = stored(state.join(joined, "comp", "left").select("node", F.coalesce("new_comp", "comp").alias("comp"))), state
+    forget(before, members, edges)
     named = stored(nodes.select("node", "rep").join(state.select("node", F.col("comp").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = named.groupBy("root").agg(F.min("rep.doc_id").alias("group_id"))
     of_node = stored(spread_join(named, names, "root").select("node", "root", "group_id"))
@@ -533,9 +520,8 @@ def _similar(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity
     return out
 
 
-def _with_sets(sets: DataFrame | None, df: DataFrame, nodes: DataFrame, repeated: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, hashes) of the texts in the pairs, besides those that `sets` has already. Stored."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _with_sets(sets: DataFrame | None, df: DataFrame, nodes: DataFrame, repeated: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, hashes) of the texts that stand for the wanted nodes, besides those that `sets` has already. Stored."""
     if sets is not None:
         wanted = wanted.join(sets.select("node"), "node", "left_anti")
     wanted = stored(nodes.join(wanted, "node", "left_semi").select("rep.*", "node"))
