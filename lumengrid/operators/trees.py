@@ -8,7 +8,8 @@ Where a child passes through and is not turned, what it holds is drawn into the
 So every drawn thing has a target, a canvas that is flattened by itself, a place in it, and an order: the path to it in the tree,
 as an array that sorts as drawing does. Targets are flattened from the deepest up: what covers a tile of one is cut to it, in blocks
 of packed pixels, sorted and folded over its pixels; then the flat canvas, turned if it is to be, is one more thing that its own
-target draws. So one row is shuffled for each thing on a tile, not for each pixel of it, and nothing of what lies outside a target.
+target draws. So one row is shuffled for each thing on a tile, not for each pixel of it, and nothing of what lies outside a target. Tiles are
+folded in NumPy, many at once; modes that mix channels (by colour, hue, saturation or lightness) are folded by expressions.
 
 Canvases without width or height, and all they hold, are not drawn. A parent_id that no canvas has, or a ring of parents, hangs
 on no root and is not drawn either. Anchors place a child or a layer in its parent; halves truncate toward zero.
@@ -16,8 +17,10 @@ on no root and is not drawn either. Anchors place a child or a layer in its pare
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from lumengrid.sources.staging import staged
 
 #: Pixels and targets meet in blocks of so many pixels to a side.
 BLOCK = 16
+#: Things that a task folds at once; each covers a tile at most.
+AT_ONCE = 2000
 PATH = "array<struct<kind:int,n:long,id:long>>"
 
 
@@ -110,8 +115,94 @@ def _dealt(things: DataFrame) -> DataFrame:
     own = things.withColumns({"ax": F.greatest("x0", F.lit(0)), "bx": F.least(F.col("x0") + F.col("w"), "tw") - 1, "ay": F.greatest("y0", F.lit(0)), "by": F.least(F.col("y0") + F.col("h"), "th") - 1}).where("ax <= bx and ay <= by")
     own = own.withColumn("tx", F.explode(F.expr(f"sequence(ax div {BLOCK}, bx div {BLOCK})"))).withColumn("ty", F.explode(F.expr(f"sequence(ay div {BLOCK}, by div {BLOCK})")))
     own = own.selectExpr("*", *[f"CAST(greatest(a{c}, t{c} * {BLOCK}) AS INT) AS c{c}" for c in "xy"], *[f"CAST(least(b{c}, t{c} * {BLOCK} + {BLOCK - 1}) - greatest(a{c}, t{c} * {BLOCK}) + 1 AS INT) AS n{c}" for c in "xy"])
-    data = F.expr("CASE WHEN nx = w AND ny = h THEN data ELSE transform(sequence(0, nx * ny - 1), i -> get(data, CAST((cy - y0 + i div nx) * w + cx - x0 + i % nx AS INT))) END")
-    return own.select("target_id", "tx", "ty", "tw", "th", F.struct("path", "mode", "opacity", "cx", "cy", "nx", "ny", data.alias("data")).alias("thing"))
+    data = F.expr("CASE WHEN nx = w AND ny = h THEN data ELSE flatten(transform(sequence(0, ny - 1), j -> slice(data, CAST((cy - y0 + j) * w + cx - x0 + 1 AS INT), nx))) END")
+    return own.select("target_id", "tx", "ty", "tw", "th", "path", "mode", "opacity", "cx", "cy", "nx", "ny", data.alias("data"))
+
+
+def _tiles(things: DataFrame, ground: DataFrame) -> DataFrame:
+    """The things and the ground, which has a row for each tile, with px, py, pw, ph: the tile's place in its target, and its size."""
+    rows = things.unionByName(ground.withColumn("path", F.array().cast(PATH)), allowMissingColumns=True)
+    return rows.selectExpr("*", *[f"CAST(t{c} * {BLOCK} AS INT) AS p{c}" for c in "xy"], *[f"CAST(least({BLOCK}, t{n} - t{c} * {BLOCK}) AS INT) AS p{n}" for c, n in (("x", "w"), ("y", "h"))])
+
+
+def _stacked(rows: DataFrame, modes: list[str]) -> DataFrame:
+    """(target_id, px, py, pw, ph, data): tiles whose things are drawn one over the other by expressions, whatever the modes."""
+    thing = F.when(F.col("mode").isNotNull(), F.struct("path", "mode", "opacity", "cx", "cy", "nx", "ny", "data"))
+    stacks = rows.groupBy("target_id", "px", "py", "pw", "ph").agg(F.array_sort(F.collect_list(thing)).alias("stack"))
+    return stacks.select("target_id", "px", "py", "pw", "ph", F.transform(_folded(modes), lambda p: _packed({c: p[c] for c in CHANNELS})).alias("data"))
+
+
+def _painted(rows: DataFrame, tables: dict[str, tuple[int, np.ndarray]]) -> DataFrame:
+    """(target_id, px, py, pw, ph, data): tiles whose things are drawn one over the other in NumPy, by the modes of `tables` and the normal one.
+
+    Rows come sorted by tile and path, the ground first. The last tile of a batch stays open, as its things may go on in the next.
+    """
+    names = list(tables)
+    kind = F.coalesce(*[F.when(F.col("mode") == name, i) for i, name in enumerate(names)], F.lit(-1)).cast("int").alias("kind")
+    tile = ["target_id", "px", "py", "pw", "ph"]
+
+    def over(under: np.ndarray, top: np.ndarray, kind: np.ndarray, opacity: np.ndarray) -> np.ndarray:
+        mixed = np.empty_like(top)
+        for k in np.unique(kind).tolist():
+            own = kind == k
+            if k < 0:
+                mixed[own] = blend.normal_rows(under[own], top[own])
+            else:
+                channels, table = tables[names[k]]
+                made = table[under[own].astype(np.int32) * 256 + top[own]]
+                made[:, channels:] = under[own][:, channels:]
+                mixed[own] = made
+        return blend.source_over_rows(under, mixed, opacity)
+
+    def out(rows: list[np.ndarray], pixels: np.ndarray) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum(rows[3].astype(np.int64) * rows[4])]).astype(np.int32)
+        data = pa.ListArray.from_arrays(ends, np.ascontiguousarray(pixels).view("<i4")[:, 0])
+        return pa.record_batch([*map(pa.array, rows), data], [*tile, "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the open tile and its pixels
+        for batch in batches:
+            for part in (batch.slice(at, AT_ONCE) for at in range(0, batch.num_rows, AT_ONCE)):
+                target, px, py, pw, ph, kind, opacity, cx, cy, nx, ny = (part.column(i).to_numpy(zero_copy_only=False) for i in range(11))
+                key = np.stack([target, px, py])
+                new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
+                of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+                rows = [c[first] for c in (target, px, py, pw, ph)]
+                start = np.concatenate([[0], np.cumsum(rows[3].astype(np.int64) * rows[4])])
+                pixels = np.zeros((start[-1], 4), np.uint8)
+                if held is not None:
+                    if all(c[0] == d[0] for c, d in zip(held[0][:3], rows[:3], strict=True)):
+                        pixels[: start[1]] = held[1]
+                    else:
+                        yield out(*held)
+                data = part.column(11)
+                begin, size = data.offsets.to_numpy().astype(np.int64)[:-1] - data.offsets[0].as_py(), np.diff(data.offsets.to_numpy())
+                values, shown = data.flatten().fill_null(0).to_numpy(), data.flatten().is_valid().to_numpy(zero_copy_only=False)
+                rank = np.arange(len(of)) - first[of]
+                order = np.argsort(rank, kind="stable")  # all lowest things, then all second ones
+                rounds = np.concatenate([[0], np.cumsum(size[order])])[np.searchsorted(rank[order], np.arange(rank.max() + 2))]
+                thing = np.repeat(order, size[order])
+                i = np.arange(len(thing)) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
+                place = start[of[thing]] + (cy[thing] - py[thing] + i // nx[thing]) * pw[thing] + cx[thing] - px[thing] + i % nx[thing]
+                at = begin[thing] + i
+                for a, b in zip(rounds[:-1].tolist(), rounds[1:].tolist(), strict=True):
+                    own = np.flatnonzero(shown[at[a:b]]) + a
+                    if len(own):
+                        p, t = place[own], thing[own]
+                        top = np.ascontiguousarray(values[at[own]]).view(np.uint8).reshape(-1, 4)
+                        pixels[p] = over(pixels[p], top, kind[t], opacity[t])
+                cut = start[-2]
+                if cut:
+                    yield out([c[:-1] for c in rows], pixels[:cut])
+                held = [c[-1:].copy() for c in rows], pixels[cut:].copy()
+        if held is not None:
+            yield out(*held)
+
+    none = F.lit(0)
+    whole = [F.coalesce(c, none).alias(c) for c in ("cx", "cy", "nx", "ny")]
+    sent = rows.select(F.col("target_id").cast("long").alias("target_id"), "px", "py", "pw", "ph", kind, F.coalesce("opacity", F.lit(0.0)).alias("opacity"), *whole, F.coalesce("data", F.array().cast("array<int>")).alias("data"), "path")
+    dealt = sent.repartition("target_id", "px", "py").sortWithinPartitions("target_id", "px", "py", "path").drop("path")
+    return dealt.mapInArrow(run, "target_id long, px int, py int, pw int, ph int, data array<int>")
 
 
 def _folded(modes: list[str]) -> Column:
@@ -143,9 +234,10 @@ def _struct(pixel: dict[str, Column]) -> Column:
 
 
 def _spread(tiles: DataFrame) -> DataFrame:
-    """The pixels of tiles (target_id, px, py, pw, pixels)."""
-    rows = tiles.select("target_id", "px", "py", "pw", F.posexplode("pixels").alias("i", "v"))
-    return rows.select("target_id", F.expr("CAST(px + i % pw AS INT)").alias("x"), F.expr("CAST(py + i div pw AS INT)").alias("y"), "v.*")
+    """The pixels of tiles (target_id, px, py, pw, data)."""
+    rows = tiles.select("target_id", "px", "py", "pw", F.posexplode("data").alias("i", "v"))
+    split = [F.expr(f"shiftright(v, {8 * k}) & 255").alias(c) for k, c in enumerate(CHANNELS)]
+    return rows.select("target_id", F.expr("CAST(px + i % pw AS INT)").alias("x"), F.expr("CAST(py + i div pw AS INT)").alias("y"), *split)
 
 
 def render(canvases: DataFrame, layers: DataFrame, pixels: DataFrame, finish: Callable[[DataFrame], DataFrame] | None = None, plain_id: int | None = None) -> DataFrame:
@@ -160,6 +252,8 @@ def render(canvases: DataFrame, layers: DataFrame, pixels: DataFrame, finish: Ca
     items = staged(_items(nodes, layers))
     drawn = items.select("mode").union(nodes.select("blend_mode")).distinct().collect()  # names of modes
     modes = ["normal", *sorted({r[0] for r in drawn} & set(blend.MODES) - {"normal"})]
+    tables = blend.tables(nodes.sparkSession, modes[1:])
+    mixing = len(tables) < len(modes) - 1
     size = nodes.where("flat").select(F.col("canvas_id").alias("target_id"), F.col("width").alias("tw"), F.col("height").alias("th"))
     unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)).alias("opacity")
     blocks = staged(_blocks(pixels.join(items.select("image_id").distinct(), "image_id", "left_semi")))
@@ -173,13 +267,12 @@ def render(canvases: DataFrame, layers: DataFrame, pixels: DataFrame, finish: Ca
             things = things.unionByName(flats.join(size, "target_id").select(shape))
         things = _dealt(things)
         ground = targets.select(F.col("canvas_id").alias("target_id"), F.col("width").alias("tw"), F.col("height").alias("th"), F.explode(F.expr(f"sequence(0L, (width - 1) div {BLOCK})")).alias("tx"), "height").withColumn("ty", F.explode(F.expr(f"sequence(0L, (height - 1) div {BLOCK})"))).drop("height")
-        stacks = things.unionByName(ground, allowMissingColumns=True).groupBy("target_id", "tx", "ty").agg(F.array_sort(F.collect_list("thing")).alias("stack"), F.max("tw").alias("tw"), F.max("th").alias("th"))
-        placed = stacks.selectExpr("target_id", "stack", *[f"CAST(t{c} * {BLOCK} AS INT) AS p{c}" for c in "xy"], *[f"CAST(least({BLOCK}, t{n} - t{c} * {BLOCK}) AS INT) AS p{n}" for c, n in (("x", "w"), ("y", "h"))])
-        tiles = placed.select("target_id", "px", "py", "pw", "ph", _folded(modes).alias("pixels"))
+        rows = _tiles(things, ground)
+        tiles = _stacked(rows, modes) if mixing else _painted(rows, tables)
         if at == 0:
             break
         about = targets.select(F.col("canvas_id").alias("target_id"), "above_id", "above_x", "above_y", "above_path", F.coalesce("blend_mode", F.lit("normal")).alias("mode"), unit(F.coalesce("opacity", F.lit(1.0))), "rotation")
-        made = tiles.select("target_id", F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("pw").alias("w"), F.col("ph").alias("h"), F.transform("pixels", lambda p: _packed({c: p[c] for c in CHANNELS})).alias("data"))
+        made = tiles.select("target_id", F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("pw").alias("w"), F.col("ph").alias("h"), "data")
         turning = about.where("rotation is not null").select(F.col("target_id").alias("image_id"), F.col("rotation").alias("degrees"))
         turns = not turning.isEmpty()
         if finish is None and not turns:
